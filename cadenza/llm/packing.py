@@ -84,9 +84,9 @@ def solve(demand: np.ndarray) -> list[tuple[np.ndarray, float]]:
         counts = np.zeros(size, np.int64)
         counts[r] = size // (r + 1)
         patterns.append(counts)
-    basis = np.array([p[rows] for p in patterns], float).T
-    inverse = np.linalg.inv(basis)
-    used = inverse @ demand[rows]
+    # products are plain sums: a BLAS that starts threads has no place in a driver
+    inverse = np.diag([1 / p[r] for p, r in zip(patterns, rows, strict=True)])
+    used = (inverse * demand[rows]).sum(axis=1)
     for step in range(50 * len(rows) + 1000):  # ends when no pattern prices out
         dual = inverse.sum(axis=0)
         value = np.zeros(size)
@@ -94,7 +94,7 @@ def solve(demand: np.ndarray) -> list[tuple[np.ndarray, float]]:
         counts, worth = best_pattern(value, demand, size)
         if worth <= 1 + 1e-7:
             break
-        column = inverse @ counts[rows]
+        column = (inverse * counts[rows]).sum(axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(column > 1e-9, used / column, np.inf)
         out = int(np.argmin(ratio))
@@ -105,9 +105,11 @@ def solve(demand: np.ndarray) -> list[tuple[np.ndarray, float]]:
         inverse[out] /= column[out]
         other = np.arange(len(rows)) != out
         inverse[other] -= np.outer(column[other], inverse[out])
-        if step % 100 == 99:  # against rounding
-            inverse = np.linalg.inv(np.array([p[rows] for p in patterns], float).T)
-            used = np.maximum(inverse @ demand[rows], 0)
+        if step % 200 == 199:  # against rounding: one Newton step towards the inverse
+            basis = np.array([p[rows] for p in patterns], float).T
+            rest = 2 * np.eye(len(rows)) - np.einsum("ij,jk->ik", basis, inverse)
+            inverse = np.einsum("ij,jk->ik", inverse, rest)
+            used = np.maximum((inverse * demand[rows]).sum(axis=1), 0)
     return list(zip(patterns, used.tolist(), strict=True))
 
 
