@@ -166,7 +166,7 @@ def _by_join(docs: DataFrame, tests: DataFrame, n: int, own: list[str]) -> DataF
 
     left = docs.select(*own, F.col("text").alias("_cz_text"), row.alias("_cz_key"))
     joined = left.join(hits.select(F.col("key").alias("_cz_key"), F.array_sort("items").alias("items"), F.col("at").alias("_cz_at")), "_cz_key", "left").drop("_cz_key")
-    schema = T.StructType([docs.schema[c] for c in own]).add("items", "array<bigint>").add("_cz_found", T._parse_datatype_string(RESULT.removeprefix("_cz_found ")))
+    schema = T.StructType([docs.schema[c] for c in own]).add("items", T.ArrayType(T.LongType())).add("_cz_found", T._parse_datatype_string(RESULT.removeprefix("_cz_found ")))
     done = joined.select(*own, "items", "_cz_text", "_cz_at").mapInArrow(spans, schema)
     return done.select(*own, F.col("_cz_found.n_words").alias("n_words"), F.col("_cz_found.n_hit").alias("n_hit"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.col("_cz_found.spans").alias("spans"))
 

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.decontaminate import find_contamination
+from cadenza.llm.html_extract import extract
+from cadenza.llm.licenses import THRESHOLD, scan_licenses, template_values
 from cadenza.llm.line_dedup import dedup_lines
 from cadenza.llm.lsh_forest import near_duplicates
 from cadenza.llm.packing import pack
+from cadenza.llm.preference import preference_pairs
 from cadenza.llm.quality import quality
 from cadenza.llm.substring_dedup import dedup_substrings
 from cadenza.llm.token_counts import section_tokens
@@ -58,6 +61,72 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_licenses", F.array_join("licenses", ",").alias("licenses"), "best_license", F.round("best_score", 6).alias("best_score"))
+
+
+def op6_sql() -> str:
+    return rf"""
+WITH template_bigrams(name, bigram) AS (VALUES {template_values()}),
+templates AS (SELECT name, list(bigram) AS t, count(*) AS nt FROM template_bigrams GROUP BY name),
+segments AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS seg FROM documents
+  UNION ALL SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\n[ \t\r\v\f]*\n')) FROM documents
+  UNION ALL SELECT doc_id, coalesce(text, '') FROM documents),
+words AS (
+  SELECT doc_id, regexp_extract_all(translate(seg, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM segments),
+sets AS (
+  SELECT doc_id, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS s FROM words WHERE len(w) > 1),
+scored AS (
+  SELECT doc_id, name, max(2.0 * len(list_intersect(s, t)) / (len(s) + nt)) AS score
+  FROM sets JOIN templates ON len(s) >= {THRESHOLD} / (2 - {THRESHOLD}) * nt AND len(s) <= (2 - {THRESHOLD}) / {THRESHOLD} * nt
+  WHERE 2.0 * len(list_intersect(s, t)) / (len(s) + nt) >= {THRESHOLD}
+  GROUP BY doc_id, name),
+found AS (
+  SELECT doc_id, count(*) AS n_licenses, string_agg(name, ',' ORDER BY name) AS licenses, first(name ORDER BY score DESC, name) AS best_license, max(score) AS best_score
+  FROM scored GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS licenses, best_license, round(CAST(best_score AS DOUBLE), 6) AS best_score
+FROM documents d LEFT JOIN found f USING (doc_id)
+"""
+
+
+def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = preference_pairs(table(spark, sf_dir, "conversations"))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(c)
+    return made.select("pair_id", "n_prefix", "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"))
+
+
+OP7_SQL = r"""
+WITH turns AS (
+  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, replace(coalesce(role, ''), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth
+  FROM conversations WHERE conv_id IS NOT NULL),
+compared AS (
+  SELECT c.pair_id, c.nth, coalesce(c.role = r.role AND c.text = r.text, false) AS same
+  FROM (SELECT * FROM turns WHERE side = 0) c LEFT JOIN (SELECT * FROM turns WHERE side = 1) r ON c.pair_id = r.pair_id AND c.nth = r.nth),
+prefix AS (SELECT pair_id, coalesce(min(nth) FILTER (WHERE NOT same) - 1, count(*)) AS n_prefix FROM compared GROUP BY pair_id),
+placed AS (
+  SELECT t.*, coalesce(n_prefix, 0) AS n_prefix, t.nth <= coalesce(n_prefix, 0) AS shared,
+         '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered
+  FROM turns t LEFT JOIN prefix USING (pair_id)),
+spans AS (
+  SELECT *, coalesce(sum(length(rendered)) OVER (PARTITION BY pair_id, side, shared ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 13 + length(role) AS span_start
+  FROM placed)
+SELECT pair_id, max(n_prefix) AS n_prefix,
+       coalesce(string_agg(rendered, '' ORDER BY nth) FILTER (WHERE shared AND side = 0), '') AS prompt,
+       coalesce(string_agg(rendered, '' ORDER BY nth) FILTER (WHERE NOT shared AND side = 0), '') AS chosen,
+       coalesce(string_agg(rendered, '' ORDER BY nth) FILTER (WHERE NOT shared AND side = 1), '') AS rejected,
+       coalesce(string_agg(CAST(span_start AS BIGINT) || '-' || CAST(span_start + length(text) + 10 AS BIGINT), ',' ORDER BY nth) FILTER (WHERE NOT shared AND side = 0 AND role = 'assistant'), '') AS chosen_mask,
+       coalesce(string_agg(CAST(span_start AS BIGINT) || '-' || CAST(span_start + length(text) + 10 AS BIGINT), ',' ORDER BY nth) FILTER (WHERE NOT shared AND side = 1 AND role = 'assistant'), '') AS rejected_mask
+FROM spans GROUP BY pair_id
+"""
+
+
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -73,10 +142,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontaminate": op3_decontaminate,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_packing": op5_packing,
+        "op6_license_scan": op6_license_scan,
+        "op7_preference": op7_preference,
+        "op8_html_extract": op8_html_extract,
         "op9_minhash": op9_minhash,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op6_license_scan": op6_sql(), "op7_preference": OP7_SQL}
