@@ -241,7 +241,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     copies = stored(placed.where("doc <> lowest").select(F.col("lowest").alias("a"), F.col("doc").alias("b")).distinct(), "copies")
     pairs = candidates(placed.where("doc = lowest"), percent / 100)
     members = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    sets = stored(texts.where("doc is not null").select("doc", "text").join(members, "doc", "left_semi").mapInArrow(_sets(k), "doc long, shingles array<bigint>"), "sets")
+    # members grow with the documents: the same merge join at every size, never a broadcast
+    sets = stored(texts.where("doc is not null").select("doc", "text").join(members.hint("merge"), "doc", "left_semi").mapInArrow(_sets(k), "doc long, shingles array<bigint>"), "sets")
     best = pairs.groupBy("b").agg(F.array_distinct(F.array(F.max_by("a", F.struct("alike", -F.col("a"))), F.min("a"))).alias("best")).select(F.explode("best").alias("a"), "b")
     first = stored(confirmed(best, sets, percent), "links")
     found = connected_components(first)
@@ -260,4 +261,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group of near-duplicates: the one with the smallest doc_id."""
     marks = near_duplicates(docs.select("doc_id", "text"), k, percent).where("not kept").select(F.col("doc_id").alias("_cz_gone")).distinct()
-    return docs.join(marks, docs["doc_id"] == marks["_cz_gone"], "left_anti")
+    return docs.join(marks.hint("merge"), docs["doc_id"] == marks["_cz_gone"], "left_anti")
