@@ -51,7 +51,7 @@ def transform_by(obs: DataFrame, transforms: DataFrame, *keys: str) -> DataFrame
     parameters = ["translate_time", "translate_flux", "dilate_time", "dilate_flux"]
     joined = obs.join(transforms.select(*keys, *parameters), list(keys), "left")
     missing = F.raise_error(F.concat(F.lit("no transform for "), F.concat_ws(", ", *(F.col(k).cast("string") for k in keys))))
-    checked = joined.withColumn("translate_time", F.when(F.col("translate_time").isNotNull(), F.col("translate_time")).otherwise(missing.cast("double")))
+    checked = joined.withColumns({p: F.when(F.col(p).isNotNull(), F.col(p)).otherwise(missing.cast("double")) for p in parameters})
     return linear_transform(checked, *parameters).drop(*parameters)
 
 
