@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.hashing import integer, uniform
+from cadenza.operators.lookups import numbered_within
 
 KEY = ("object_id", "band")
 
@@ -82,8 +83,8 @@ def coverage(obs: DataFrame, radii: Sequence[float]) -> DataFrame:
 
 def ranked_ids(meta: DataFrame, seed: int) -> DataFrame:
     """target, object_id, pos (from 0 in hash order inside the class) and n (size of the class)."""
-    by = Window.partitionBy("target").orderBy(uniform(seed, F.col("object_id")), "object_id")
-    return meta.where("target is not null").select("target", "object_id", (F.row_number().over(by) - 1).alias("pos"), F.count("*").over(Window.partitionBy("target")).alias("n"))
+    shuffled = meta.where("target is not null").select("target", "object_id", uniform(seed, F.col("object_id")).alias("_u"))
+    return numbered_within(shuffled, "target", "_u", "object_id").drop("_u")
 
 
 def different_class_pairs(meta: DataFrame, n: int, seed: int) -> DataFrame:
@@ -100,7 +101,7 @@ def different_class_pairs(meta: DataFrame, n: int, seed: int) -> DataFrame:
     first = integer(F.col("k"), seed, "l", F.col("pair_id"))
     drawn = ask.withColumn("cl", first).withColumn("cr", F.pmod(F.col("cl") + 1 + integer(F.col("k") - 1, seed, "r", F.col("pair_id")), F.col("k")))
     uses = drawn.select("pair_id", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("cl").alias("c")), F.struct(F.lit("right").alias("side"), F.col("cr").alias("c")))).alias("u")).select("pair_id", "u.*")
-    nth = uses.withColumn("use", F.row_number().over(Window.partitionBy("c").orderBy("pair_id", "side")) - 1)
+    nth = numbered_within(uses, "c", "pair_id", "side").drop("n").withColumnRenamed("pos", "use")
     ids = ranked_ids(meta, seed)
     sized = nth.join(F.broadcast(index), "c").join(ids.select("target", "n").distinct(), "target")
     chosen = sized.withColumn("pos", F.col("use") % F.col("n")).join(ids.select("target", "pos", "object_id"), ["target", "pos"])

@@ -57,6 +57,19 @@ def numbered(table: DataFrame, *order: str) -> DataFrame:
     return sized.join(F.broadcast(before.drop("_n")), "_part").withColumn("pos", (F.col("_base") + F.col("_nth")).cast("long")).drop("_part", "_nth", "_base")
 
 
+def numbered_within(table: DataFrame, group: str, *order: str) -> DataFrame:
+    """pos: place from 0 inside the group, and n: size of the group. Numbered over range partitions, so
+    that a group of very many rows isn't sorted in one task."""
+    placed = numbered(table, group, *order)
+    sizes = placed.groupBy(group).agg(F.min("pos").alias("_first"), F.count("*").alias("n"))
+    return placed.join(sizes, group).withColumn("pos", F.col("pos") - F.col("_first")).drop("_first")
+
+
+def outside(ids: DataFrame, others: DataFrame, key: str = "object_id") -> DataFrame:
+    """Ids that the other table lacks: none if it holds them all."""
+    return ids.select(key).distinct().join(others, key, "left_anti")
+
+
 def row_at(table: DataFrame, position: int, order: str = "object_id") -> DataFrame:
     """The row at a place of the order."""
     return numbered(table, order).where(F.col("pos") == position).drop("pos")

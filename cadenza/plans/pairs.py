@@ -13,6 +13,7 @@ from cadenza.functions.hashing import bounded_normal, id_split, integer, normal,
 from cadenza.operators import stats
 from cadenza.operators.curves import KEY, along, by_object, linear_transform
 from cadenza.operators.joins import different_class_pairs
+from cadenza.operators.lookups import numbered, numbered_within
 from cadenza.operators.windows import every_nth, valid_windows
 from cadenza.plans.features import window_features
 
@@ -121,7 +122,7 @@ def mixed(sources: dict[str, DataFrame], weights: dict[str, float], n: int, seed
     """n draws from several tables by weight: draw, source and the row. The k-th draw of a source is
     its k-th row in hash order, round and round."""
     spark = next(iter(sources.values())).sparkSession
-    total, at, choice = sum(weights.values()), 0.0, None
+    total, at = sum(weights.values()), 0.0
     names = list(sources)
     u = uniform(seed, F.lit("source"), F.col("draw"))
     choice = F.lit(names[-1])
@@ -132,13 +133,13 @@ def mixed(sources: dict[str, DataFrame], weights: dict[str, float], n: int, seed
     for name, most in reversed(bounds):
         choice = F.when(u < most, F.lit(name)).otherwise(choice)
     draws = spark.range(n).select(F.col("id").alias("draw")).withColumn("source", choice)
-    draws = draws.withColumn("use", F.row_number().over(Window.partitionBy("source").orderBy("draw")) - 1)
+    draws = numbered_within(draws, "source", "draw").drop("n").withColumnRenamed("pos", "use")
     out = None
     for name, table in sources.items():
-        order = Window.partitionBy(F.lit(1)).orderBy(uniform(seed, F.lit(name), F.col(key)), key)
-        rows = table.withColumns({"_pos": F.row_number().over(order) - 1, "_n": F.count("*").over(Window.partitionBy(F.lit(1)))})
-        sized = draws.where(F.col("source") == name).join(F.broadcast(rows.select("_n").limit(1)), how="cross").withColumn("_pos", F.col("use") % F.col("_n")).drop("_n")
-        one = sized.join(rows.drop("_n"), "_pos").drop("_pos", "use")
+        rows = numbered_within(table.withColumns({"_one": F.lit(1), "_u": uniform(seed, F.lit(name), F.col(key))}), "_one", "_u", key).drop("_one", "_u")
+        size = table.agg(F.count("*").alias("n"))  # one row
+        sized = draws.where(F.col("source") == name).join(F.broadcast(size), how="cross").withColumn("pos", F.col("use") % F.col("n")).drop("n")
+        one = sized.join(rows.drop("n"), "pos").drop("pos", "use")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -168,8 +169,8 @@ def window_pairs(windows: DataFrame, n: int, seed: int) -> DataFrame:
     label, left, right (point arrays). Curves are (object, band); fewer than two give no negatives."""
     spark = windows.sparkSession
     curves = windows.groupBy(*KEY).agg(F.count("*").alias("n_windows"))
-    placed = curves.withColumns({"c": F.row_number().over(Window.orderBy(*KEY)) - 1, "_k": F.count("*").over(Window.partitionBy(F.lit(1)))})  # a row per curve
-    k = placed.select("_k").limit(1)
+    placed = numbered(curves, *KEY).withColumnRenamed("pos", "c")  # a row per curve
+    k = curves.agg(F.count("*").alias("_k"))  # one row
     ask = spark.range(2 * n).select(F.col("id").alias("pair_id"), (F.col("id") < n).cast("int").alias("label")).join(F.broadcast(k), how="cross")
     first = integer(F.col("_k"), seed, "curve", F.col("pair_id"))
     drawn = ask.withColumn("left_c", first).withColumn("right_c", F.when(F.col("label") == 1, F.col("left_c")).otherwise(F.pmod(F.col("left_c") + 1 + integer(F.greatest(F.col("_k") - 1, F.lit(1)), seed, "other", F.col("pair_id")), F.col("_k"))))

@@ -231,6 +231,11 @@ def prefixed_ids(spark, d):
     return lookups.with_prefix(read(spark, d, "customer"), "Customer#00000001", "c_name").select("c_name", "c_custkey")
 
 
+@query("ids_outside", "SELECT c_custkey AS object_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
+def ids_outside(spark, d):
+    return lookups.outside(read(spark, d, "customer").select(F.col("c_custkey").alias("object_id")), lookups.object_ids(observations(spark, d)))
+
+
 @query("first_curves", WITH(OBS_SQL) + "SELECT object_id, tie FROM obs WHERE object_id IN (SELECT DISTINCT object_id FROM obs ORDER BY 1 LIMIT 3)")
 def first_curves(spark, d):
     return lookups.first_curves(observations(spark, d), 3).select("object_id", "tie")
