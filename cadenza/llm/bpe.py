@@ -93,8 +93,10 @@ class Encoder:
         self.encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.size = np.zeros(max(ranks.values()) + 1, np.int64)  # bytes of each token
         self.fragment = np.zeros(len(self.size), bool)  # tokens that aren't whole characters
+        self.sign = np.zeros(len(self.size), bool)  # ASCII tokens of signs alone
         for token, rank in ranks.items():
             self.size[rank] = len(token)
+            self.sign[rank] = token.isascii() and bool(token.strip()) and not any(chr(x).isalnum() for x in token)
             try:
                 token.decode()
             except UnicodeDecodeError:

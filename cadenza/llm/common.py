@@ -27,9 +27,11 @@ _SPACE = bytes(range(0x09, 0x0E)) + b" "
 
 # ---------------------------------------------------------------- tables in the shared folder
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is configured (tests)."""
+    """The folder all executors share; a temporary one only in local mode without one (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-cadenza-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

@@ -5,7 +5,8 @@ five-word windows that occur twice or more. Fertility is measured with a byte-le
 
 * chars_per_token: code points over tokens;
 * fragment_share: share of tokens that are bytes of a split character (the vocabulary's byte fallback);
-* token_entropy: entropy of the tokens over its largest value for their number.
+* token_entropy: entropy of the tokens over its largest value for their number;
+* sign_share: share of tokens without a letter, digit or non-ASCII character.
 
 A document is rejected outside the band of its language, or of DEFAULT for other languages.
 
@@ -30,21 +31,23 @@ from cadenza.llm.common import PLAIN, covered, sequence_hashes, slices, span_has
 
 @dataclass(frozen=True)
 class Band:
-    """Accepted: least <= chars_per_token <= most, fragment_share <= fragments, token_entropy >= entropy."""
+    """Accepted: least <= chars_per_token <= most, fragment_share <= fragments, token_entropy >= entropy,
+    sign_share <= signs."""
 
     least: float
     most: float
     fragments: float
     entropy: float
+    signs: float = 0.26
 
 
 #: Set from the spread of documents labelled good, with room on both sides.
 BANDS = {"en": Band(1.7, 6.0, 0.15, 0.42), "de": Band(1.55, 5.0, 0.25, 0.42), "es": Band(1.45, 5.0, 0.28, 0.42), "fr": Band(1.5, 5.0, 0.28, 0.42)}
-DEFAULT = Band(0.8, 8.0, 0.75, 0.35)
+DEFAULT = Band(0.8, 8.0, 0.75, 0.35, 0.5)
 SIGNS = b"#*$%&|<>"
 WINDOW = 5
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")
-_SHARES = ("chars_per_token", "fragment_share", "token_entropy")
+_SHARES = ("chars_per_token", "fragment_share", "token_entropy", "sign_share")
 MEASURES = T.StructType([T.StructField(c, T.LongType()) for c in _COUNTS] + [T.StructField(c, T.DoubleType()) for c in _SHARES])
 
 
@@ -100,9 +103,10 @@ def _measure(path: str, keep: list[str]):
                 counts = base_counts(data, bounds)
                 ids, first = enc.encode(data, bounds)
                 n = np.diff(first)
-                split = np.bincount(np.repeat(np.arange(len(n)), n), enc.fragment[ids], len(n))
+                row = np.repeat(np.arange(len(n)), n)
+                split, signs = (np.bincount(row, kind[ids], len(n)) for kind in (enc.fragment, enc.sign))
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    shares = {"chars_per_token": counts["_chars"] / n, "fragment_share": split / n, "token_entropy": np.where(n > 0, entropies(ids, first, len(enc.size)), np.nan)}
+                    shares = {"chars_per_token": counts["_chars"] / n, "fragment_share": split / n, "sign_share": signs / n, "token_entropy": np.where(n > 0, entropies(ids, first, len(enc.size)), np.nan)}
                 for f in MEASURES:
                     parts[f.name].append(as_double(shares[f.name]) if f.name in shares else pa.array(n if f.name == "n_tokens" else counts[f.name], pa.int64()))
             done = [pa.concat_arrays(parts[f.name]) if parts[f.name] else pa.array([], pa.float64() if f.dataType == T.DoubleType() else pa.int64()) for f in MEASURES]
@@ -120,7 +124,7 @@ def quality(docs: DataFrame, bands: dict[str, Band] | None = None, default: Band
     schema = T.StructType([docs.schema[c] for c in own] + list(MEASURES))
     measured = docs.select(*read).mapInArrow(_measure(vocab or vocabulary(), own), schema)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    inside = lambda b: F.col("chars_per_token").between(b.least, b.most) & (F.col("fragment_share") <= b.fragments) & (F.col("token_entropy") >= b.entropy)
+    inside = lambda b: F.col("chars_per_token").between(b.least, b.most) & (F.col("fragment_share") <= b.fragments) & (F.col("token_entropy") >= b.entropy) & (F.col("sign_share") <= b.signs)
     if "lang" in docs.columns:
         verdict = inside(default)
         for lang, band in bands.items():

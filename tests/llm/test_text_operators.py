@@ -129,13 +129,15 @@ def test_quality_measures(spark, corpus, documents):
         bits = -sum(c / n * np.log2(c / n) for c in Counter(ids).values())
         assert r.chars_per_token == pytest.approx(len(texts[r.doc_id]) / n)
         assert r.token_entropy == pytest.approx(bits / np.log2(n))
+        alone = [t for t in map(library.decode, ([i] for i in ids)) if t.isascii() and t.strip() and not any(c.isalnum() for c in t)]
+        assert r.sign_share == pytest.approx(len(alone) / n)
         assert r.fragment_share == pytest.approx(sum("�" in library.decode([i]) for i in ids) / n)
 
 
 def test_quality_bands(spark, documents):
     none = quality.quality(documents, bands={"en": quality.Band(99, 100, 0, 1)}).where("lang = 'en' and kept").count()
     assert none == 0
-    kept = quality.quality(documents, bands={}, default=quality.Band(0, 1e9, 1, 0))
+    kept = quality.quality(documents, bands={}, default=quality.Band(0, 1e9, 1, 0, 1))
     assert kept.where("kept").count() == kept.where("not base_failed").count() > 0
 
 
