@@ -10,10 +10,11 @@ threshold are confirmed on the full sets, and links are closed to components.
 Equal sets are found by their 128-bit set hash beforehand and linked to the smallest doc_id, so
 copies never meet in the forest.
 
-Of a document's candidates in a region of many look-alikes only the smallest and the most similar
-ones are carried on: such groups are tied together many times over, and what matters is the
-component. Candidates are confirmed in two rounds, the second for all that the first leaves in
-different components.
+Of a document's look-alikes in a region the first round carries on only the smallest and the most
+similar ones if they are many: that ties groups of near copies together without listing their pairs.
+The documents for which some were left out then meet again, knowing their components: every pair of
+different components that may reach the threshold is confirmed, so nothing is lost by the first
+round's choice.
 
 Chance of missing a link at similarity s in sparse regions: (1 - s**DEPTH)**TREES, below 2e-5 at 0.8
 and 1e-9 at 0.9.
@@ -40,8 +41,8 @@ TREES, VALUES, DEPTH, SKETCH = 16, 8, 3, 64
 #: Rows of a region that are compared with one another; overlap of the window in a denser one.
 REGION, OVERLAP = 2048, 512
 #: Standard deviations by which an estimate may fall short of the threshold.
-SLACK = 5.0
-#: Up to so many look-alikes in a region a document keeps all its candidates.
+SLACK = 4.0
+#: Up to so many look-alikes in a region the first round keeps all; else so many of the nearest.
 FEW, NEAREST = 8, 3
 
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, TREES * VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,7 +106,7 @@ def _bytes(column: pa.Array, size: int) -> np.ndarray:
 
 
 def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row (key, doc, sketch) per document and tree; the key leads with the tree."""
+    """One row (key, doc, sketch, part) per document and tree; the key leads with the tree."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -113,51 +114,58 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = _bytes(batch.column(1), TREES * VALUES * 2).reshape(n, TREES, VALUES * 2)
         tree = np.broadcast_to(np.arange(TREES, dtype=np.uint8)[None, :, None], (n, TREES, 1))
         index = np.repeat(np.arange(n), TREES)
-        yield pa.RecordBatch.from_arrays([_binary(np.concatenate([tree, keys], axis=2).reshape(n * TREES, -1)), batch.column(0).take(pa.array(index)), batch.column(2).take(pa.array(index))], names=["key", "doc", "sketch"])
+        yield pa.RecordBatch.from_arrays([_binary(np.concatenate([tree, keys], axis=2).reshape(n * TREES, -1)), batch.column(0).take(pa.array(index)), batch.column(2).take(pa.array(index)), batch.column(3).take(pa.array(index))], names=["key", "doc", "sketch", "part"])
 
 
 _KEY, _HEAD = 1 + 2 * VALUES, 1 + 2 * DEPTH
-PAIR, EDGE = 0, 1
+PAIR, EDGE, MORE = 0, 1, 2
 _SEEN = "kind tinyint, a long, b long, alike int, key binary, sketch binary"
 
 
-def _compare(docs: np.ndarray, sketches: np.ndarray, fresh: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs (a < b, equal bytes) of which one row at least comes from `fresh` on."""
-    a, b, alike = [], [], []
+def _compare(docs: np.ndarray, parts: np.ndarray, sketches: np.ndarray, fresh: int, least: int, whole: bool) -> tuple[np.ndarray, ...]:
+    """Candidate pairs (a < b, equal bytes) of different parts of which one row at least comes from
+    `fresh` on, and the docs of pairs left out because b had many (none if `whole`)."""
+    a, b, alike, more = [], [], [], []
     m = len(docs)
     step = max(1, 8_000_000 // (m * SKETCH))
     for i in range(0, m, step):
         same = (sketches[i : i + step, None, :] == sketches[None, :, :]).sum(axis=2, dtype=np.int16)
-        ok = (same >= least) & (docs[None, :] < docs[i : i + step, None])
+        ok = (same >= least) & (docs[None, :] < docs[i : i + step, None]) & (parts[None, :] != parts[i : i + step, None])
         if i < fresh:
             ok[: fresh - i, :fresh] = False
         n = ok.sum(axis=1)
-        few = ok & (n <= FEW)[:, None]
+        few = ok if whole else ok & (n <= FEW)[:, None]
         r, c = np.nonzero(few)
         a.append(docs[c]), b.append(docs[i + r]), alike.append(same[r, c])
-        for r in np.flatnonzero(n > FEW).tolist():
+        for r in () if whole else np.flatnonzero(n > FEW).tolist():
             c = np.flatnonzero(ok[r])
             near = c[np.argsort(-same[r, c], kind="stable")[:NEAREST]]
+            more += [docs[c], docs[i + r : i + r + 1]]
             c = np.unique(np.append(near, c[np.argmin(docs[c])]))
             a.append(docs[c]), b.append(np.full(len(c), docs[i + r])), alike.append(same[r, c])
-    return np.concatenate(a), np.concatenate(b), np.concatenate(alike)
+    return np.concatenate(a), np.concatenate(b), np.concatenate(alike), np.unique(np.concatenate(more)) if more else docs[:0]
 
 
-def _neighbours(least: int, edges: bool):
-    """Streams sorted (key, doc, sketch) rows; emits candidate pairs and, with `edges`, the rows at
-    either end of the partition, whose region may go on beyond it."""
+def _neighbours(least: int, edges: bool, whole: bool = False):
+    """Streams sorted (key, doc, sketch, part) rows; emits candidate pairs and, with `edges`, the rows
+    at either end of the partition, whose region may go on beyond it (b: their part)."""
+    names = ["kind", "a", "b", "alike", "key", "sketch"]
 
-    def pairs(docs, sketches, fresh):
-        a, b, alike = _compare(docs, sketches, fresh, least)
-        n = len(a)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, PAIR, np.int8)), pa.array(a), pa.array(b), pa.array(alike, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=["kind", "a", "b", "alike", "key", "sketch"])
+    def pairs(docs, parts, sketches, fresh):
+        a, b, alike, more = _compare(docs, parts, sketches, fresh, least, whole)
+        n, m = len(a), len(a) + len(more)
+        kind = np.where(np.arange(m) < n, PAIR, MORE).astype(np.int8)
+        none = pa.nulls(len(more), pa.int64())
+        columns = [pa.array(kind), pa.array(np.concatenate([a, more])), pa.concat_arrays([pa.array(b), none]), pa.concat_arrays([pa.array(alike, pa.int32()), none.cast(pa.int32())])]
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=names)
 
-    def margin(docs, keys, sketches):
+    def margin(docs, parts, keys, sketches):
         n = len(docs)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, EDGE, np.int8)), pa.array(docs), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), _binary(keys), _binary(sketches)], names=["kind", "a", "b", "alike", "key", "sketch"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, EDGE, np.int8)), pa.array(docs), pa.array(parts), pa.nulls(n, pa.int32()), _binary(keys), _binary(sketches)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, keys, sketches = np.zeros(0, np.int64), np.zeros((0, _KEY), np.uint8), np.zeros((0, SKETCH), np.uint8)
+        docs, parts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, sketches = np.zeros((0, _KEY), np.uint8), np.zeros((0, SKETCH), np.uint8)
         fresh, opening = 0, True  # rows before `fresh` have been compared with one another
         for batch in batches:
             if not batch.num_rows:
@@ -165,35 +173,32 @@ def _neighbours(least: int, edges: bool):
             docs = np.concatenate([docs, batch.column(1).to_numpy(zero_copy_only=False)])
             keys = np.concatenate([keys, _bytes(batch.column(0), _KEY)])
             sketches = np.concatenate([sketches, _bytes(batch.column(2), SKETCH)])
+            parts = np.concatenate([parts, batch.column(3).to_numpy(zero_copy_only=False)])
             if opening and edges:
-                head = (keys[: OVERLAP, :_HEAD] == keys[0, :_HEAD]).all(axis=1)
-                yield margin(docs[:OVERLAP][head], keys[:OVERLAP][head], sketches[:OVERLAP][head])
+                head = np.flatnonzero((keys[:OVERLAP, :_HEAD] == keys[0, :_HEAD]).all(axis=1))
+                yield margin(docs[head], parts[head], keys[head], sketches[head])
                 opening = False
-            change = np.flatnonzero((keys[1:, :_HEAD] != keys[:-1, :_HEAD]).any(axis=1)) + 1
-            bounds = [0, *change.tolist()]
+            bounds = [0, *(np.flatnonzero((keys[1:, :_HEAD] != keys[:-1, :_HEAD]).any(axis=1)) + 1).tolist()]
             for start, stop in zip(bounds[:-1], bounds[1:], strict=True):
-                for out in _region(docs, sketches, start, stop, fresh if start == 0 else 0, pairs):
-                    yield out
-                fresh = 0
+                yield from _region(docs, parts, sketches, start, stop, fresh if start == 0 else 0, pairs)
             start = bounds[-1]
-            docs, keys, sketches, fresh = docs[start:], keys[start:], sketches[start:], fresh if start == 0 else 0
-            if len(docs) > REGION:
-                for out in _region(docs, sketches, 0, len(docs), fresh, pairs):
-                    yield out
-                docs, keys, sketches, fresh = docs[-OVERLAP:], keys[-OVERLAP:], sketches[-OVERLAP:], OVERLAP
-        for out in _region(docs, sketches, 0, len(docs), fresh, pairs):
-            yield out
+            fresh = fresh if start == 0 else 0
+            if len(docs) - start > REGION:
+                yield from _region(docs, parts, sketches, start, len(docs), fresh, pairs)
+                start, fresh = len(docs) - OVERLAP, OVERLAP
+            docs, parts, keys, sketches = docs[start:], parts[start:], keys[start:], sketches[start:]
+        yield from _region(docs, parts, sketches, 0, len(docs), fresh, pairs)
         if edges and len(docs):
-            yield margin(docs[-OVERLAP:], keys[-OVERLAP:], sketches[-OVERLAP:])
+            yield margin(docs[-OVERLAP:], parts[-OVERLAP:], keys[-OVERLAP:], sketches[-OVERLAP:])
 
     return run
 
 
-def _region(docs, sketches, start, stop, fresh, pairs):
+def _region(docs, parts, sketches, start, stop, fresh, pairs):
     """A region as a whole, or by a window with overlap if it is dense."""
     while stop - start > 1 and stop - start > fresh:
         end = min(stop, start + REGION)
-        yield pairs(docs[start:end], sketches[start:end], fresh)
+        yield pairs(docs[start:end], parts[start:end], sketches[start:end], fresh)
         if end == stop:
             return
         start, fresh = end - OVERLAP, OVERLAP
@@ -209,15 +214,18 @@ def _sets(k: int):
     return run
 
 
-def candidates(signatures: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, alike): pairs a < b whose estimate may reach the similarity, from all trees."""
+def candidates(signatures: DataFrame, similarity: float, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(a, b, alike): pairs a < b of different parts whose estimate may reach the similarity, from all
+    trees, and (doc): the documents of pairs left out. signatures: doc, keys, sketch, part."""
     least = int(np.floor(SKETCH * (similarity - SLACK * np.sqrt(similarity * (1 - similarity) / SKETCH))))
-    rows = signatures.select("doc", "keys", "sketch").mapInArrow(_tree_rows, "key binary, doc long, sketch binary")
+    rows = signatures.select("doc", "keys", "sketch", "part").mapInArrow(_tree_rows, "key binary, doc long, sketch binary, part long")
     ordered = rows.repartitionByRange("key", "doc").sortWithinPartitions("key", "doc")
-    seen = stored(ordered.mapInArrow(_neighbours(least, True), _SEEN), "neighbours")
-    margins = seen.where(F.col("kind") == EDGE).select("key", F.col("a").alias("doc"), "sketch").distinct()
-    across = margins.repartition(F.substring("key", 1, _HEAD)).sortWithinPartitions("key", "doc").mapInArrow(_neighbours(least, False), _SEEN)
-    return stored(seen.where(F.col("kind") == PAIR).unionByName(across).groupBy("a", "b").agg(F.max("alike").alias("alike")), "pairs")
+    seen = stored(ordered.mapInArrow(_neighbours(least, True, whole), _SEEN), "neighbours")
+    margins = seen.where(F.col("kind") == EDGE).select("key", F.col("a").alias("doc"), "sketch", F.col("b").alias("part")).distinct()
+    across = margins.repartition(F.substring("key", 1, _HEAD)).sortWithinPartitions("key", "doc").mapInArrow(_neighbours(least, False, whole), _SEEN)
+    both = seen.where(F.col("kind") != EDGE).unionByName(across)
+    pairs = stored(both.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.max("alike").alias("alike")), "pairs")
+    return pairs, both.where(F.col("kind") == MORE).select(F.col("a").alias("doc")).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -236,18 +244,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     signed = texts.select("doc", "text", "row").mapInArrow(_signatures(k), "doc long, row long, n_shingles long, s1 long, s2 long, keys binary, sketch binary")
     base = stored(signed, "signatures")
     linked = base.where("doc is not null and n_shingles > 0")
-    lowest = linked.groupBy("s1", "s2", "n_shingles").agg(F.min("doc").alias("lowest"))
+    # stored, so that the join of copies reads plain shuffles and a very frequent set can be split
+    lowest = stored(linked.groupBy("s1", "s2", "n_shingles").agg(F.min("doc").alias("lowest")), "lowest")
     placed = linked.join(lowest, ["s1", "s2", "n_shingles"])
     copies = stored(placed.where("doc <> lowest").select(F.col("lowest").alias("a"), F.col("doc").alias("b")).distinct(), "copies")
-    pairs = candidates(placed.where("doc = lowest"), percent / 100)
-    members = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    signatures = stored(placed.where("doc = lowest").select("doc", "keys", "sketch"), "forest")
+    pairs, more = candidates(signatures.withColumn("part", F.col("doc")), percent / 100)
+    more = stored(more, "more")
+    members = pairs.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(more).distinct()
     # members grow with the documents: the same merge join at every size, never a broadcast
     sets = stored(texts.where("doc is not null").select("doc", "text").join(members.hint("merge"), "doc", "left_semi").mapInArrow(_sets(k), "doc long, shingles array<bigint>"), "sets")
     best = pairs.groupBy("b").agg(F.array_distinct(F.array(F.max_by("a", F.struct("alike", -F.col("a"))), F.min("a"))).alias("best")).select(F.explode("best").alias("a"), "b")
     first = stored(confirmed(best, sets, percent), "links")
-    found = connected_components(first)
+    found = stored(connected_components(first), "found")
     of = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
-    left = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b").join(best, ["a", "b"], "left_anti")
+    again, _ = candidates(signatures.join(more, "doc", "left_semi").join(of("doc"), "doc", "left").withColumn("part", F.coalesce("of_doc", "doc")), percent / 100, whole=True)
+    rest = pairs.select("a", "b").unionByName(again.select("a", "b")).distinct()
+    left = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b").join(best, ["a", "b"], "left_anti")
     links = first.unionByName(confirmed(left, sets, percent)).unionByName(copies)
     components = connected_components(links)
     result = base.select("doc", "row", "n_shingles").distinct().join(components.withColumnRenamed("node", "doc"), "doc", "left")
