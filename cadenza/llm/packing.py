@@ -30,7 +30,7 @@ from cadenza.llm.common import slices, stored
 
 CAPACITY, END, STEP = 2048, 1, 8
 #: Pieces that one rank chunk numbers, about.
-CHUNK = 20_000
+CHUNK = 5_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
