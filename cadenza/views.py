@@ -16,8 +16,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def days(ts) -> F.Column:
-    """Days from 2024-01-01 of a timestamp taken as UTC."""
-    return F.unix_micros(F.to_utc_timestamp(F.col(ts).cast("timestamp"), F.current_timezone())) / F.lit(8.64e10) - F.lit(float(DAY0))
+    """Days from 2024-01-01 of a timestamp without zone, taken as UTC whatever the session says."""
+    return F.unix_micros(F.from_utc_timestamp(F.col(ts).cast("timestamp"), F.current_timezone())) / F.lit(8.64e10) - F.lit(float(DAY0))
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
