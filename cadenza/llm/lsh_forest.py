@@ -12,9 +12,10 @@ copies never meet in the forest.
 
 Of a document's look-alikes in a region the first round carries on only the smallest and the most
 similar ones if they are many: that ties groups of near copies together without listing their pairs.
-The documents for which some were left out then meet again, knowing their components: every pair of
-different components that may reach the threshold is confirmed, so nothing is lost by the first
-round's choice.
+The documents for which some were left out then meet again, knowing their components: whenever two of
+different components may reach the threshold, the one of the smaller component is compared with all of
+the larger one, inside tasks that hold a bounded block of either side, so nothing is lost by the first
+round's choice and no pairs are listed.
 
 Chance of missing a link at similarity s in sparse regions: (1 - s**DEPTH)**TREES, below 2e-5 at 0.8
 and 1e-9 at 0.9.
@@ -44,6 +45,8 @@ REGION, OVERLAP = 2048, 512
 SLACK = 4.0
 #: Up to so many look-alikes in a region the first round keeps all; else so many of the nearest.
 FEW, NEAREST = 8, 3
+#: Members and probes that are compared together in the second round.
+BLOCK = 1000
 
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, TREES * VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -106,7 +109,7 @@ def _bytes(column: pa.Array, size: int) -> np.ndarray:
 
 
 def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row (key, doc, sketch, part) per document and tree; the key leads with the tree."""
+    """One row (key, doc, sketch, part, mass) per document and tree; the key leads with the tree."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -114,7 +117,7 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = _bytes(batch.column(1), TREES * VALUES * 2).reshape(n, TREES, VALUES * 2)
         tree = np.broadcast_to(np.arange(TREES, dtype=np.uint8)[None, :, None], (n, TREES, 1))
         index = np.repeat(np.arange(n), TREES)
-        yield pa.RecordBatch.from_arrays([_binary(np.concatenate([tree, keys], axis=2).reshape(n * TREES, -1)), batch.column(0).take(pa.array(index)), batch.column(2).take(pa.array(index)), batch.column(3).take(pa.array(index))], names=["key", "doc", "sketch", "part"])
+        yield pa.RecordBatch.from_arrays([_binary(np.concatenate([tree, keys], axis=2).reshape(n * TREES, -1)), batch.column(0).take(pa.array(index)), batch.column(2).take(pa.array(index)), batch.column(3).take(pa.array(index)), batch.column(4).take(pa.array(index))], names=["key", "doc", "sketch", "part", "mass"])
 
 
 _KEY, _HEAD = 1 + 2 * VALUES, 1 + 2 * DEPTH
@@ -122,10 +125,11 @@ PAIR, EDGE, MORE = 0, 1, 2
 _SEEN = "kind tinyint, a long, b long, alike int, key binary, sketch binary"
 
 
-def _compare(docs: np.ndarray, parts: np.ndarray, sketches: np.ndarray, fresh: int, least: int, whole: bool) -> tuple[np.ndarray, ...]:
+def _compare(docs: np.ndarray, parts: np.ndarray, masses: np.ndarray, sketches: np.ndarray, fresh: int, least: int, whole: bool) -> tuple[np.ndarray, ...]:
     """Candidate pairs (a < b, equal bytes) of different parts of which one row at least comes from
-    `fresh` on, and the docs of pairs left out because b had many (none if `whole`)."""
-    a, b, alike, more = [], [], [], []
+    `fresh` on, and the docs of pairs left out because b had many. With `whole` none is left out, and
+    (a, b) is the doc of the smaller part and the other's part, each once."""
+    a, b, alike, more = [docs[:0]], [docs[:0]], [np.zeros(0, np.int16)], [docs[:0]]
     m = len(docs)
     step = max(1, 8_000_000 // (m * SKETCH))
     for i in range(0, m, step):
@@ -134,37 +138,43 @@ def _compare(docs: np.ndarray, parts: np.ndarray, sketches: np.ndarray, fresh: i
         if i < fresh:
             ok[: fresh - i, :fresh] = False
         n = ok.sum(axis=1)
-        few = ok if whole else ok & (n <= FEW)[:, None]
-        r, c = np.nonzero(few)
+        if whole:
+            r, c = np.nonzero(ok)
+            r += i
+            swap = (masses[r] > masses[c]) | ((masses[r] == masses[c]) & (parts[r] > parts[c]))
+            probe = np.unique(np.stack([np.where(swap, docs[c], docs[r]), np.where(swap, parts[r], parts[c])]), axis=1)
+            a.append(probe[0]), b.append(probe[1]), alike.append(np.zeros(probe.shape[1], np.int16))
+            continue
+        r, c = np.nonzero(ok & (n <= FEW)[:, None])
         a.append(docs[c]), b.append(docs[i + r]), alike.append(same[r, c])
-        for r in () if whole else np.flatnonzero(n > FEW).tolist():
+        for r in np.flatnonzero(n > FEW).tolist():
             c = np.flatnonzero(ok[r])
             near = c[np.argsort(-same[r, c], kind="stable")[:NEAREST]]
             more += [docs[c], docs[i + r : i + r + 1]]
             c = np.unique(np.append(near, c[np.argmin(docs[c])]))
             a.append(docs[c]), b.append(np.full(len(c), docs[i + r])), alike.append(same[r, c])
-    return np.concatenate(a), np.concatenate(b), np.concatenate(alike), np.unique(np.concatenate(more)) if more else docs[:0]
+    return np.concatenate(a), np.concatenate(b), np.concatenate(alike), np.unique(np.concatenate(more))
 
 
 def _neighbours(least: int, edges: bool, whole: bool = False):
-    """Streams sorted (key, doc, sketch, part) rows; emits candidate pairs and, with `edges`, the rows
-    at either end of the partition, whose region may go on beyond it (b: their part)."""
+    """Streams sorted (key, doc, sketch, part, mass) rows; emits candidate pairs and, with `edges`, the
+    rows at either end of the partition, whose region may go on beyond it (b: part, alike: mass)."""
     names = ["kind", "a", "b", "alike", "key", "sketch"]
 
-    def pairs(docs, parts, sketches, fresh):
-        a, b, alike, more = _compare(docs, parts, sketches, fresh, least, whole)
+    def pairs(docs, parts, masses, sketches, fresh):
+        a, b, alike, more = _compare(docs, parts, masses, sketches, fresh, least, whole)
         n, m = len(a), len(a) + len(more)
         kind = np.where(np.arange(m) < n, PAIR, MORE).astype(np.int8)
         none = pa.nulls(len(more), pa.int64())
         columns = [pa.array(kind), pa.array(np.concatenate([a, more])), pa.concat_arrays([pa.array(b), none]), pa.concat_arrays([pa.array(alike, pa.int32()), none.cast(pa.int32())])]
         return pa.RecordBatch.from_arrays([*columns, pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=names)
 
-    def margin(docs, parts, keys, sketches):
+    def margin(docs, parts, masses, keys, sketches):
         n = len(docs)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, EDGE, np.int8)), pa.array(docs), pa.array(parts), pa.nulls(n, pa.int32()), _binary(keys), _binary(sketches)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, EDGE, np.int8)), pa.array(docs), pa.array(parts), pa.array(np.minimum(masses, 2**31 - 1), pa.int32()), _binary(keys), _binary(sketches)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, parts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        docs, parts, masses = (np.zeros(0, np.int64) for _ in range(3))
         keys, sketches = np.zeros((0, _KEY), np.uint8), np.zeros((0, SKETCH), np.uint8)
         fresh, opening = 0, True  # rows before `fresh` have been compared with one another
         for batch in batches:
@@ -174,31 +184,32 @@ def _neighbours(least: int, edges: bool, whole: bool = False):
             keys = np.concatenate([keys, _bytes(batch.column(0), _KEY)])
             sketches = np.concatenate([sketches, _bytes(batch.column(2), SKETCH)])
             parts = np.concatenate([parts, batch.column(3).to_numpy(zero_copy_only=False)])
+            masses = np.concatenate([masses, batch.column(4).to_numpy(zero_copy_only=False)])
             if opening and edges:
                 head = np.flatnonzero((keys[:OVERLAP, :_HEAD] == keys[0, :_HEAD]).all(axis=1))
-                yield margin(docs[head], parts[head], keys[head], sketches[head])
+                yield margin(docs[head], parts[head], masses[head], keys[head], sketches[head])
                 opening = False
             bounds = [0, *(np.flatnonzero((keys[1:, :_HEAD] != keys[:-1, :_HEAD]).any(axis=1)) + 1).tolist()]
             for start, stop in zip(bounds[:-1], bounds[1:], strict=True):
-                yield from _region(docs, parts, sketches, start, stop, fresh if start == 0 else 0, pairs)
+                yield from _region(docs, parts, masses, sketches, start, stop, fresh if start == 0 else 0, pairs)
             start = bounds[-1]
             fresh = fresh if start == 0 else 0
             if len(docs) - start > REGION:
-                yield from _region(docs, parts, sketches, start, len(docs), fresh, pairs)
+                yield from _region(docs, parts, masses, sketches, start, len(docs), fresh, pairs)
                 start, fresh = len(docs) - OVERLAP, OVERLAP
-            docs, parts, keys, sketches = docs[start:], parts[start:], keys[start:], sketches[start:]
-        yield from _region(docs, parts, sketches, 0, len(docs), fresh, pairs)
+            docs, parts, masses, keys, sketches = (x[start:] for x in (docs, parts, masses, keys, sketches))
+        yield from _region(docs, parts, masses, sketches, 0, len(docs), fresh, pairs)
         if edges and len(docs):
-            yield margin(docs[-OVERLAP:], parts[-OVERLAP:], keys[-OVERLAP:], sketches[-OVERLAP:])
+            yield margin(*(x[-OVERLAP:] for x in (docs, parts, masses, keys, sketches)))
 
     return run
 
 
-def _region(docs, parts, sketches, start, stop, fresh, pairs):
+def _region(docs, parts, masses, sketches, start, stop, fresh, pairs):
     """A region as a whole, or by a window with overlap if it is dense."""
     while stop - start > 1 and stop - start > fresh:
         end = min(stop, start + REGION)
-        yield pairs(docs[start:end], parts[start:end], sketches[start:end], fresh)
+        yield pairs(*(x[start:end] for x in (docs, parts, masses, sketches)), fresh)
         if end == stop:
             return
         start, fresh = end - OVERLAP, OVERLAP
@@ -216,12 +227,13 @@ def _sets(k: int):
 
 def candidates(signatures: DataFrame, similarity: float, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """(a, b, alike): pairs a < b of different parts whose estimate may reach the similarity, from all
-    trees, and (doc): the documents of pairs left out. signatures: doc, keys, sketch, part."""
+    trees, and (doc): the documents of pairs left out. With `whole` none is left out: (a, b) are the
+    document of the smaller part and the other's part. signatures: doc, keys, sketch, part, mass."""
     least = int(np.floor(SKETCH * (similarity - SLACK * np.sqrt(similarity * (1 - similarity) / SKETCH))))
-    rows = signatures.select("doc", "keys", "sketch", "part").mapInArrow(_tree_rows, "key binary, doc long, sketch binary, part long")
+    rows = signatures.select("doc", "keys", "sketch", "part", "mass").mapInArrow(_tree_rows, "key binary, doc long, sketch binary, part long, mass long")
     ordered = rows.repartitionByRange("key", "doc").sortWithinPartitions("key", "doc")
     seen = stored(ordered.mapInArrow(_neighbours(least, True, whole), _SEEN), "neighbours")
-    margins = seen.where(F.col("kind") == EDGE).select("key", F.col("a").alias("doc"), "sketch", F.col("b").alias("part")).distinct()
+    margins = seen.where(F.col("kind") == EDGE).select("key", F.col("a").alias("doc"), "sketch", F.col("b").alias("part"), F.col("alike").cast("long").alias("mass")).distinct()
     across = margins.repartition(F.substring("key", 1, _HEAD)).sortWithinPartitions("key", "doc").mapInArrow(_neighbours(least, False, whole), _SEEN)
     both = seen.where(F.col("kind") != EDGE).unionByName(across)
     pairs = stored(both.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.max("alike").alias("alike")), "pairs")
@@ -236,6 +248,45 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
 
 
+def _block_links(percent: int):
+    """Links between a block of members and a block of probes, on full sets."""
+
+    def run(members: pa.Table, probes: pa.Table) -> pa.Table:
+        docs = members["doc"].to_numpy()
+        lists_ = members["shingles_m"].combine_chunks()
+        values, bounds = lists_.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.asarray(lists_.value_lengths()))])
+        sizes, a, b = np.diff(bounds), [], []
+        for doc, own in zip(probes["doc"].to_pylist(), probes["shingles_p"].combine_chunks(), strict=True):
+            own = np.sort(own.values.to_numpy())
+            if not len(own) or not len(values):
+                continue
+            held = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+            shared = np.diff(np.concatenate([[0], np.cumsum(held)])[bounds])
+            hit = docs[(100 * shared >= percent * (sizes + len(own) - shared)) & (docs != doc)]
+            if len(hit):  # one link joins the components
+                a.append(int(hit.min())), b.append(doc)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def block_links(probes: DataFrame, sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of probes (doc, part) with the members of the part. parts: doc, part. Small parts
+    are compared pair by pair, others in blocks of at most BLOCK members and about BLOCK probes."""
+    size = stored(parts.groupBy("part").agg(F.count("*").alias("n")), "sizes")
+    asked = probes.join(size, "part")
+    few = asked.where(F.col("n") <= FEW).select(F.col("doc").alias("b"), "part").join(parts.select(F.col("doc").alias("a"), "part"), "part").select("a", "b")
+    large = stored(asked.where(F.col("n") > FEW).select("doc", "part", "n"), "large")
+    load = large.groupBy("part").agg(F.ceil(F.max("n") / BLOCK).cast("int").alias("s"), F.ceil(F.count("*") / BLOCK).cast("int").alias("r"))
+    slot = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one, two = (sets.select("doc", F.col("shingles").alias(f"shingles_{x}")) for x in "mp")
+    left = parts.join(load, "part").select("part", "doc", slot(F.col("s")).alias("s"), every("r").alias("r")).join(one, "doc")
+    right = large.join(load, "part").select("part", "doc", slot(F.col("r")).alias("r"), every("s").alias("s")).join(two, "doc")
+    blocks = left.groupBy("part", "s", "r").cogroup(right.groupBy("part", "s", "r"))
+    return blocks.applyInArrow(lambda key, m, p: _block_links(percent)(m, p), "a long, b long").unionByName(confirmed(few, sets, percent))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without the text, with n_shingles, component_id and kept (doc_id = component_id)."""
     own = [c for c in docs.columns if c not in ("n_shingles", "component_id", "kept", "text")]
@@ -249,7 +300,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     placed = linked.join(lowest, ["s1", "s2", "n_shingles"])
     copies = stored(placed.where("doc <> lowest").select(F.col("lowest").alias("a"), F.col("doc").alias("b")).distinct(), "copies")
     signatures = stored(placed.where("doc = lowest").select("doc", "keys", "sketch"), "forest")
-    pairs, more = candidates(signatures.withColumn("part", F.col("doc")), percent / 100)
+    pairs, more = candidates(signatures.withColumns({"part": F.col("doc"), "mass": F.lit(1).cast("long")}), percent / 100)
     more = stored(more, "more")
     members = pairs.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(more).distinct()
     # members grow with the documents: the same merge join at every size, never a broadcast
@@ -258,10 +309,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     first = stored(confirmed(best, sets, percent), "links")
     found = stored(connected_components(first), "found")
     of = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
-    again, _ = candidates(signatures.join(more, "doc", "left_semi").join(of("doc"), "doc", "left").withColumn("part", F.coalesce("of_doc", "doc")), percent / 100, whole=True)
-    rest = pairs.select("a", "b").unionByName(again.select("a", "b")).distinct()
-    left = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b").join(best, ["a", "b"], "left_anti")
-    links = first.unionByName(confirmed(left, sets, percent)).unionByName(copies)
+    mass = found.groupBy(F.col("component").alias("part")).agg((F.count("*") + 1).alias("mass"))
+    parts = stored(sets.select("doc").distinct().join(of("doc"), "doc", "left").select("doc", F.coalesce("of_doc", "doc").alias("part")), "parts")
+    known = signatures.join(more, "doc", "left_semi").join(parts, "doc").join(mass, "part", "left").withColumn("mass", F.coalesce("mass", F.lit(1).cast("long")))
+    again, _ = candidates(known, percent / 100, whole=True)
+    left = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b").join(best, ["a", "b"], "left_anti")
+    probes = again.select(F.col("a").alias("doc"), F.col("b").alias("part")).distinct()
+    second = confirmed(left, sets, percent).unionByName(block_links(probes, sets, parts, percent))
+    # the first round's components stand for its links
+    links = found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(second).unionByName(copies)
     components = connected_components(links)
     result = base.select("doc", "row", "n_shingles").distinct().join(components.withColumnRenamed("node", "doc"), "doc", "left")
     marks = result.select(F.col("doc").alias("_cz_doc"), F.col("row").alias("_cz_row"), "n_shingles", F.coalesce("component", "doc").alias("component_id"))

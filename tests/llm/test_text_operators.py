@@ -404,7 +404,7 @@ def test_dense_regions_use_the_window(spark, monkeypatch):
     docs = np.arange(200, dtype=np.int64)
     sketch = np.repeat(rng.integers(0, 255, (1, lsh_forest.SKETCH), dtype=np.uint8), 200, axis=0)
     keys = np.zeros((200, lsh_forest._KEY), np.uint8)
-    batches = [pa.RecordBatch.from_arrays([lsh_forest._binary(keys[i : i + 37]), pa.array(docs[i : i + 37]), lsh_forest._binary(sketch[i : i + 37]), pa.array(docs[i : i + 37])], names=["key", "doc", "sketch", "part"]) for i in range(0, 200, 37)]
+    batches = [pa.RecordBatch.from_arrays([lsh_forest._binary(keys[i : i + 37]), pa.array(docs[i : i + 37]), lsh_forest._binary(sketch[i : i + 37]), pa.array(docs[i : i + 37]), pa.array(np.ones(len(docs[i : i + 37]), np.int64))], names=["key", "doc", "sketch", "part", "mass"]) for i in range(0, 200, 37)]
     pairs = [(a, b) for out in lsh_forest._neighbours(40, False)(iter(batches)) for kind, a, b in zip(*(out.column(i).to_pylist() for i in range(3)), strict=True) if kind == lsh_forest.PAIR]
     parent = list(range(200))
 
