@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.common import ALNUM, SLICE_BYTES, covered, sequence_hashes, slices, words_of
+from cadenza.llm.common import ALNUM, covered, sequence_hashes, slices, words_of
 
 RESULT = "_cz_found struct<n_words:bigint,n_hit:bigint,items:array<bigint>,spans:array<struct<start:int,end:int>>>"
 
