@@ -12,13 +12,14 @@ copies never meet in the forest.
 
 Of a document's look-alikes in a region the first round carries on only the smallest and the most
 similar ones if they are many: that ties groups of near copies together without listing their pairs.
-The documents for which some were left out then meet again, knowing their components: whenever two of
-different components may reach the threshold, the one of the smaller component is compared with all of
-the larger one, inside tasks that hold a bounded block of either side, so nothing is lost by the first
-round's choice and no pairs are listed.
+The documents for which some were left out, and all documents of regions of more than OVERLAP rows
+(the window may not have compared those), are then settled by an exact join. Every set is put into one
+order of all shingles, rare ones first; two sets at the threshold share a shingle among their first few,
+and the first they share leaves enough of either set to reach it. Such documents of different components
+meet at that shingle, in blocks of bounded size, and are compared on full sets inside the task.
 
-Chance of missing a link at similarity s in sparse regions: (1 - s**DEPTH)**TREES, below 2e-5 at 0.8
-and 1e-9 at 0.9.
+Chance of missing a link at similarity s outside the exact join: (1 - s**DEPTH)**TREES, below 2e-5 at 0.8
+and 1e-9 at 0.9, and below 2e-6 at 0.8 by the estimate.
 
 Defined cases: texts with fewer than k words have the whole sequence as one shingle; without words
 (or null) the set is empty and linked with nothing; a row without doc_id is never linked and has no
@@ -42,11 +43,11 @@ TREES, VALUES, DEPTH, SKETCH = 16, 8, 3, 64
 #: Rows of a region that are compared with one another; overlap of the window in a denser one.
 REGION, OVERLAP = 2048, 512
 #: Standard deviations by which an estimate may fall short of the threshold.
-SLACK = 4.0
+SLACK = 5.0
 #: Up to so many look-alikes in a region the first round keeps all; else so many of the nearest.
 FEW, NEAREST = 8, 3
-#: Members and probes that are compared together in the second round.
-BLOCK = 1000
+#: Rows of either side that are compared together in the exact join; classes of its order of shingles.
+BLOCK, CLASSES = 1000, 1 << 20
 
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, TREES * VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -109,7 +110,7 @@ def _bytes(column: pa.Array, size: int) -> np.ndarray:
 
 
 def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row (key, doc, sketch, part, mass) per document and tree; the key leads with the tree."""
+    """One row (key, doc, sketch) per document and tree; the key leads with the tree."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -117,34 +118,34 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = _bytes(batch.column(1), TREES * VALUES * 2).reshape(n, TREES, VALUES * 2)
         tree = np.broadcast_to(np.arange(TREES, dtype=np.uint8)[None, :, None], (n, TREES, 1))
         index = np.repeat(np.arange(n), TREES)
-        yield pa.RecordBatch.from_arrays([_binary(np.concatenate([tree, keys], axis=2).reshape(n * TREES, -1)), batch.column(0).take(pa.array(index)), batch.column(2).take(pa.array(index)), batch.column(3).take(pa.array(index)), batch.column(4).take(pa.array(index))], names=["key", "doc", "sketch", "part", "mass"])
+        yield pa.RecordBatch.from_arrays([_binary(np.concatenate([tree, keys], axis=2).reshape(n * TREES, -1)), batch.column(0).take(pa.array(index)), batch.column(2).take(pa.array(index))], names=["key", "doc", "sketch"])
 
 
 _KEY, _HEAD = 1 + 2 * VALUES, 1 + 2 * DEPTH
-PAIR, EDGE, MORE = 0, 1, 2
+PAIR, EDGE, MORE, SIZE = 0, 1, 2, 3
 _SEEN = "kind tinyint, a long, b long, alike int, key binary, sketch binary"
 
 
-def _compare(docs: np.ndarray, parts: np.ndarray, masses: np.ndarray, sketches: np.ndarray, fresh: int, least: int, whole: bool) -> tuple[np.ndarray, ...]:
-    """Candidate pairs (a < b, equal bytes) of different parts of which one row at least comes from
-    `fresh` on, and the docs of pairs left out because b had many. With `whole` none is left out, and
-    (a, b) is the doc of the smaller part and the other's part, each once."""
+def _heads(keys: np.ndarray) -> np.ndarray:
+    """The tree and the leading values of keys as one number."""
+    out = np.zeros(len(keys), np.int64)
+    for j in range(_HEAD):
+        out = out * 256 + keys[:, j]
+    return out
+
+
+def _compare(docs: np.ndarray, sketches: np.ndarray, fresh: int, least: int) -> tuple[np.ndarray, ...]:
+    """Candidate pairs (a < b, equal bytes) of which one row at least comes from `fresh` on, and the
+    docs of pairs left out because b had many."""
     a, b, alike, more = [docs[:0]], [docs[:0]], [np.zeros(0, np.int16)], [docs[:0]]
     m = len(docs)
     step = max(1, 8_000_000 // (m * SKETCH))
     for i in range(0, m, step):
         same = (sketches[i : i + step, None, :] == sketches[None, :, :]).sum(axis=2, dtype=np.int16)
-        ok = (same >= least) & (docs[None, :] < docs[i : i + step, None]) & (parts[None, :] != parts[i : i + step, None])
+        ok = (same >= least) & (docs[None, :] < docs[i : i + step, None])
         if i < fresh:
             ok[: fresh - i, :fresh] = False
         n = ok.sum(axis=1)
-        if whole:
-            r, c = np.nonzero(ok)
-            r += i
-            swap = (masses[r] > masses[c]) | ((masses[r] == masses[c]) & (parts[r] > parts[c]))
-            probe = np.unique(np.stack([np.where(swap, docs[c], docs[r]), np.where(swap, parts[r], parts[c])]), axis=1)
-            a.append(probe[0]), b.append(probe[1]), alike.append(np.zeros(probe.shape[1], np.int16))
-            continue
         r, c = np.nonzero(ok & (n <= FEW)[:, None])
         a.append(docs[c]), b.append(docs[i + r]), alike.append(same[r, c])
         for r in np.flatnonzero(n > FEW).tolist():
@@ -156,65 +157,93 @@ def _compare(docs: np.ndarray, parts: np.ndarray, masses: np.ndarray, sketches:
     return np.concatenate(a), np.concatenate(b), np.concatenate(alike), np.unique(np.concatenate(more))
 
 
-def _neighbours(least: int, edges: bool, whole: bool = False):
-    """Streams sorted (key, doc, sketch, part, mass) rows; emits candidate pairs and, with `edges`, the
-    rows at either end of the partition, whose region may go on beyond it (b: part, alike: mass)."""
+def _neighbours(least: int, edges: bool):
+    """Streams sorted (key, doc, sketch) rows; emits candidate pairs and, with `edges`, the rows at
+    either end of the partition, whose region may go on beyond it, and the sizes (a: head, b: rows) of
+    the regions that are large or lie at an end."""
     names = ["kind", "a", "b", "alike", "key", "sketch"]
 
-    def pairs(docs, parts, masses, sketches, fresh):
-        a, b, alike, more = _compare(docs, parts, masses, sketches, fresh, least, whole)
+    def pairs(docs, sketches, fresh):
+        a, b, alike, more = _compare(docs, sketches, fresh, least)
         n, m = len(a), len(a) + len(more)
         kind = np.where(np.arange(m) < n, PAIR, MORE).astype(np.int8)
         none = pa.nulls(len(more), pa.int64())
         columns = [pa.array(kind), pa.array(np.concatenate([a, more])), pa.concat_arrays([pa.array(b), none]), pa.concat_arrays([pa.array(alike, pa.int32()), none.cast(pa.int32())])]
         return pa.RecordBatch.from_arrays([*columns, pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=names)
 
-    def margin(docs, parts, masses, keys, sketches):
+    def margin(docs, keys, sketches):
         n = len(docs)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, EDGE, np.int8)), pa.array(docs), pa.array(parts), pa.array(np.minimum(masses, 2**31 - 1), pa.int32()), _binary(keys), _binary(sketches)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, EDGE, np.int8)), pa.array(docs), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), _binary(keys), _binary(sketches)], names=names)
+
+    def sizes(found):
+        n = len(found)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, SIZE, np.int8)), *(pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, parts, masses = (np.zeros(0, np.int64) for _ in range(3))
+        docs = np.zeros(0, np.int64)
         keys, sketches = np.zeros((0, _KEY), np.uint8), np.zeros((0, SKETCH), np.uint8)
         fresh, opening = 0, True  # rows before `fresh` have been compared with one another
+        large, at, rows, first = [], None, 0, True
         for batch in batches:
             if not batch.num_rows:
                 continue
+            came = _bytes(batch.column(0), _KEY)
             docs = np.concatenate([docs, batch.column(1).to_numpy(zero_copy_only=False)])
-            keys = np.concatenate([keys, _bytes(batch.column(0), _KEY)])
+            keys = np.concatenate([keys, came])
             sketches = np.concatenate([sketches, _bytes(batch.column(2), SKETCH)])
-            parts = np.concatenate([parts, batch.column(3).to_numpy(zero_copy_only=False)])
-            masses = np.concatenate([masses, batch.column(4).to_numpy(zero_copy_only=False)])
+            heads = _heads(came)
+            cuts = np.concatenate([[0], np.flatnonzero(heads[1:] != heads[:-1]) + 1, [len(heads)]])
+            for head, n in zip(heads[cuts[:-1]].tolist(), np.diff(cuts).tolist(), strict=True):
+                if at is not None and head != at:
+                    if first or rows > OVERLAP:
+                        large.append((at, rows))
+                    first, rows = False, 0
+                at, rows = head, rows + n
             if opening and edges:
                 head = np.flatnonzero((keys[:OVERLAP, :_HEAD] == keys[0, :_HEAD]).all(axis=1))
-                yield margin(docs[head], parts[head], masses[head], keys[head], sketches[head])
+                yield margin(docs[head], keys[head], sketches[head])
                 opening = False
             bounds = [0, *(np.flatnonzero((keys[1:, :_HEAD] != keys[:-1, :_HEAD]).any(axis=1)) + 1).tolist()]
             for start, stop in zip(bounds[:-1], bounds[1:], strict=True):
-                yield from _region(docs, parts, masses, sketches, start, stop, fresh if start == 0 else 0, pairs)
+                yield from _region(docs, sketches, start, stop, fresh if start == 0 else 0, pairs)
             start = bounds[-1]
             fresh = fresh if start == 0 else 0
             if len(docs) - start > REGION:
-                yield from _region(docs, parts, masses, sketches, start, len(docs), fresh, pairs)
+                yield from _region(docs, sketches, start, len(docs), fresh, pairs)
                 start, fresh = len(docs) - OVERLAP, OVERLAP
-            docs, parts, masses, keys, sketches = (x[start:] for x in (docs, parts, masses, keys, sketches))
-        yield from _region(docs, parts, masses, sketches, 0, len(docs), fresh, pairs)
+            docs, keys, sketches = (x[start:] for x in (docs, keys, sketches))
+        yield from _region(docs, sketches, 0, len(docs), fresh, pairs)
         if edges and len(docs):
-            yield margin(*(x[-OVERLAP:] for x in (docs, parts, masses, keys, sketches)))
+            yield margin(*(x[-OVERLAP:] for x in (docs, keys, sketches)))
+            yield sizes([*large, (at, rows)])
 
     return run
 
 
-def _region(docs, parts, masses, sketches, start, stop, fresh, pairs):
+def _region(docs, sketches, start, stop, fresh, pairs):
     """A region as a whole, or by a window with overlap if it is dense."""
     while stop - start > 1 and stop - start > fresh:
         end = min(stop, start + REGION)
-        yield pairs(*(x[start:end] for x in (docs, parts, masses, sketches)), fresh)
+        yield pairs(docs[start:end], sketches[start:end], fresh)
         if end == stop:
             return
         start, fresh = end - OVERLAP, OVERLAP
 
 
+def _within_heads(dense: np.ndarray):
+    """The documents with a row in one of the regions `dense`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if n:
+                keys = _bytes(batch.column(1), TREES * VALUES * 2).reshape(n, TREES, VALUES * 2)
+                own = [np.isin(_heads(np.concatenate([np.full((n, 1), t, np.uint8), keys[:, t]], axis=1)), dense) for t in range(TREES)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(np.any(own, axis=0)))], names=["doc"])
+
+    return run
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,19 +254,23 @@ def _sets(k: int):
     return run
 
 
-def candidates(signatures: DataFrame, similarity: float, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(a, b, alike): pairs a < b of different parts whose estimate may reach the similarity, from all
-    trees, and (doc): the documents of pairs left out. With `whole` none is left out: (a, b) are the
-    document of the smaller part and the other's part. signatures: doc, keys, sketch, part, mass."""
+def candidates(signatures: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b, alike): pairs a < b whose estimate may reach the similarity, from all trees, and (doc): the
+    documents of which not all such pairs are listed. signatures: doc, keys, sketch."""
     least = int(np.floor(SKETCH * (similarity - SLACK * np.sqrt(similarity * (1 - similarity) / SKETCH))))
-    rows = signatures.select("doc", "keys", "sketch", "part", "mass").mapInArrow(_tree_rows, "key binary, doc long, sketch binary, part long, mass long")
+    rows = signatures.select("doc", "keys", "sketch").mapInArrow(_tree_rows, "key binary, doc long, sketch binary")
     ordered = rows.repartitionByRange("key", "doc").sortWithinPartitions("key", "doc")
-    seen = stored(ordered.mapInArrow(_neighbours(least, True, whole), _SEEN), "neighbours")
-    margins = seen.where(F.col("kind") == EDGE).select("key", F.col("a").alias("doc"), "sketch", F.col("b").alias("part"), F.col("alike").cast("long").alias("mass")).distinct()
-    across = margins.repartition(F.substring("key", 1, _HEAD)).sortWithinPartitions("key", "doc").mapInArrow(_neighbours(least, False, whole), _SEEN)
-    both = seen.where(F.col("kind") != EDGE).unionByName(across)
+    seen = stored(ordered.mapInArrow(_neighbours(least, True), _SEEN), "neighbours")
+    margins = seen.where(F.col("kind") == EDGE).select("key", F.col("a").alias("doc"), "sketch").distinct()
+    across = margins.repartition(F.substring("key", 1, _HEAD)).sortWithinPartitions("key", "doc").mapInArrow(_neighbours(least, False), _SEEN)
+    both = seen.where(F.col("kind").isin(PAIR, MORE)).unionByName(across)
     pairs = stored(both.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.max("alike").alias("alike")), "pairs")
-    return pairs, both.where(F.col("kind") == MORE).select(F.col("a").alias("doc")).distinct()
+    # a region counts TREES / OVERLAP times a document at most: 0.25 bytes a document reach the driver
+    dense = seen.where(F.col("kind") == SIZE).groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") > OVERLAP).select("a").toArrow()["a"].to_numpy()
+    more = both.where(F.col("kind") == MORE).select(F.col("a").alias("doc"))
+    if len(dense):
+        more = more.unionByName(signatures.select("doc", "keys").mapInArrow(_within_heads(np.sort(dense)), "doc long"))
+    return pairs, more.distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -248,43 +281,150 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
 
 
+def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles fall into each class."""
+    total = np.zeros(CLASSES, np.int64)
+    for batch in batches:
+        total += np.bincount(batch.column(0).flatten().to_numpy() & (CLASSES - 1), minlength=CLASSES)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["class", "n"])
+
+
+def _leading(load: np.ndarray, percent: int):
+    """The first shingles of each set in the order (load of the class, hash). Sets at the threshold share
+    one of them; the first they share is `short` in the smaller set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.asarray(batch.column(3).value_lengths()).astype(np.int64)
+            h = batch.column(3).flatten().to_numpy()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((h, load[h & (CLASSES - 1)], row))
+            n = sizes[row]
+            place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            kept = np.flatnonzero(place <= n + (-percent * n) // 100)
+            short = place <= n + (-2 * percent * n) // (100 + percent)
+            index = pa.array(row[kept])
+            yield pa.RecordBatch.from_arrays([pa.array(h[order][kept]), *(batch.column(i).take(index) for i in (0, 1, 2, 4)), pa.array(n[kept]), pa.array(place[kept]), pa.array(short[kept])], names=["h", "doc", "part", "mass", "tag", "n", "place", "short"])
+
+    return run
+
+
+def _met(left: tuple, right: tuple, percent: int) -> list[tuple[int, int]]:
+    """Links between rows (doc, part, n, place, values, first) of one shingle that join different parts."""
+    docs, parts, n, place, values, first = right
+    out, parts = [], parts.copy()
+    own_parts = left[1].copy()
+    for i, (doc, size, at) in enumerate(zip(left[0].tolist(), left[2].tolist(), left[3].tolist(), strict=True)):
+        need = -((-percent * (n + size)) // (100 + percent))
+        asked = np.flatnonzero((parts != own_parts[i]) & (np.minimum(n - place, size - at) >= need))
+        if not len(asked):
+            continue
+        own = np.sort(left[4][left[5][i] : left[5][i + 1]])
+        lengths = n[asked]
+        ends = np.cumsum(lengths)
+        theirs = values[np.arange(ends[-1]) + np.repeat(first[asked] - (ends - lengths), lengths)]
+        held = own[np.minimum(np.searchsorted(own, theirs), size - 1)] == theirs
+        shared = np.add.reduceat(held, ends - lengths, dtype=np.int64)
+        for j in asked[100 * shared >= percent * (lengths + size - shared)].tolist():
+            if parts[j] != own_parts[i]:  # one link joins the parts
+                out.append((int(docs[j]), doc))
+                old = parts[j]
+                parts[parts == old] = own_parts[i]
+                own_parts[own_parts == old] = own_parts[i]
+    return out
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[int, int, int]]]]:
+    """Rows (h, s, r, own, ...) sorted so that own rows lead a block, in tables of whole blocks, with
+    (start, end of the own rows, stop) of each block that has both sides."""
+
+    def cut(waiting: list[pa.RecordBatch]) -> tuple[pa.Table, list[tuple[int, int, int]]]:
+        table = pa.Table.from_batches(waiting).combine_chunks()
+        block = np.stack([table[c].to_numpy() for c in ("h", "s", "r")])
+        cuts = np.concatenate([[0], np.flatnonzero((block[:, 1:] != block[:, :-1]).any(axis=0)) + 1, [table.num_rows]])
+        middle = cuts[:-1] + np.add.reduceat(table["own"].to_numpy(), cuts[:-1], dtype=np.int64)
+        some = (middle > cuts[:-1]) & (middle < cuts[1:])
+        return table, list(zip(cuts[:-1][some].tolist(), middle[some].tolist(), cuts[1:][some].tolist(), strict=True))
+
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block = np.stack([batch.column(i).to_numpy() for i in range(3)])
+        change = np.flatnonzero((block[:, 1:] != block[:, :-1]).any(axis=0)) + 1
+        same = waiting and tuple(waiting[-1].column(i)[-1].as_py() for i in range(3)) == tuple(block[:, 0].tolist())
+        at = int(change[-1]) if len(change) else 0
+        if at or (waiting and not same):  # all blocks but the last are complete
+            yield cut([*waiting, batch.slice(0, at)])
+            waiting = [batch.slice(at)]
+        else:
+            waiting.append(batch)
+    if waiting:
+        yield cut(waiting)
+
+
+_ROW = "h long, s int, r int, own boolean, doc long, part long, tag long, n long, place long"
+
+
+def _partnered(percent: int):
+    """The rows of a block for which a row of another part and the other side leaves room for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, blocks in _by_block(batches):
+            part, n, place = (table[c].to_numpy() for c in ("part", "n", "place"))
+            kept = np.zeros(table.num_rows, bool)
+            for a, m, b in blocks:
+                need = -((-percent * (n[a:m, None] + n[None, m:b])) // (100 + percent))
+                ok = (part[a:m, None] != part[None, m:b]) & ((n - place)[a:m, None] >= need) & ((n - place)[None, m:b] >= need)
+                kept[a:m], kept[m:b] = ok.any(axis=1), ok.any(axis=0)
+            yield from table.filter(pa.array(kept)).combine_chunks().to_batches()
+
+    return run
+
+
 def _block_links(percent: int):
-    """Links between a block of members and a block of probes, on full sets."""
-
-    def run(members: pa.Table, probes: pa.Table) -> pa.Table:
-        docs = members["doc"].to_numpy()
-        lists_ = members["shingles_m"].combine_chunks()
-        values, bounds = lists_.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.asarray(lists_.value_lengths()))])
-        sizes, a, b = np.diff(bounds), [], []
-        for doc, own in zip(probes["doc"].to_pylist(), probes["shingles_p"].combine_chunks(), strict=True):
-            own = np.sort(own.values.to_numpy())
-            if not len(own) or not len(values):
-                continue
-            held = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
-            shared = np.diff(np.concatenate([[0], np.cumsum(held)])[bounds])
-            hit = docs[(100 * shared >= percent * (sizes + len(own) - shared)) & (docs != doc)]
-            if len(hit):  # one link joins the components
-                a.append(int(hit.min())), b.append(doc)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, blocks in _by_block(batches):
+            columns = [table[c].to_numpy() for c in ("doc", "part", "n", "place")]
+            held = table["shingles"].combine_chunks()
+            values, first = held.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.asarray(held.value_lengths()).astype(np.int64))])
+            found = []
+            for a, m, b in blocks:
+                found += _met((*(c[a:m] for c in columns), values, first[a : m + 1]), (*(c[m:b] for c in columns), values, first[m : b + 1]), percent)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def block_links(probes: DataFrame, sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of probes (doc, part) with the members of the part. parts: doc, part. Small parts
-    are compared pair by pair, others in blocks of at most BLOCK members and about BLOCK probes."""
-    size = stored(parts.groupBy("part").agg(F.count("*").alias("n")), "sizes")
-    asked = probes.join(size, "part")
-    few = asked.where(F.col("n") <= FEW).select(F.col("doc").alias("b"), "part").join(parts.select(F.col("doc").alias("a"), "part"), "part").select("a", "b")
-    large = stored(asked.where(F.col("n") > FEW).select("doc", "part", "n"), "large")
-    load = large.groupBy("part").agg(F.ceil(F.max("n") / BLOCK).cast("int").alias("s"), F.ceil(F.count("*") / BLOCK).cast("int").alias("r"))
+def exact_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join all parts with sets at the threshold. sets: doc, part, mass, shingles."""
+    loads = sets.select("shingles").mapInArrow(_loads, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
+    load = np.zeros(CLASSES, np.uint32)
+    load[loads["class"].to_numpy()] = np.minimum(loads["n"].to_numpy(), 2**32 - 1)
+    # with doc the tag names a set, even if ids repeat
+    sets = sets.select("doc", "part", "mass", "shingles", F.xxhash64("shingles").alias("tag"))
+    rows = sets.mapInArrow(_leading(load, percent), "h long, doc long, part long, mass long, tag long, n long, place long, short boolean")
+    rows = stored(rows, "leading")
+    # shingles at which parts differ; each pair has a short row and one outside the main part
+    grouped = rows.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max_by("part", F.struct("mass", "part")).alias("main"), F.max("short").alias("any"))
+    shared = stored(grouped.where("any and low <> high").select("h", "main"), "shared")
+    met = stored(rows.join(shared, "h").drop("mass"), "met")
+    other = F.col("part") != F.col("main")
+    load_of = met.groupBy("h").agg(F.count("*").alias("all"), F.count_if(other).alias("others"), F.count_if("short").alias("shorts"))
+    sizes = stored(load_of.select("h", (F.col("shorts") <= F.col("others")).alias("by_short"), F.ceil(F.least("shorts", "others") / BLOCK).cast("int").alias("ns"), F.ceil(F.col("all") / BLOCK).cast("int").alias("nr")), "sizes")
     slot = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one, two = (sets.select("doc", F.col("shingles").alias(f"shingles_{x}")) for x in "mp")
-    left = parts.join(load, "part").select("part", "doc", slot(F.col("s")).alias("s"), every("r").alias("r")).join(one, "doc")
-    right = large.join(load, "part").select("part", "doc", slot(F.col("r")).alias("r"), every("s").alias("s")).join(two, "doc")
-    blocks = left.groupBy("part", "s", "r").cogroup(right.groupBy("part", "s", "r"))
-    return blocks.applyInArrow(lambda key, m, p: _block_links(percent)(m, p), "a long, b long").unionByName(confirmed(few, sets, percent))
+    placed = met.join(sizes, "h")
+    kept = ("h", "doc", "part", "tag", "n", "place")
+    left = placed.where(F.when(F.col("by_short"), F.col("short")).otherwise(other)).select(*kept, slot(F.col("ns")).alias("s"), every("nr").alias("r"), F.lit(True).alias("own"))
+    right = placed.select(*kept, every("ns").alias("s"), slot(F.col("nr")).alias("r"), F.lit(False).alias("own"))
+    dealt = lambda rows: rows.repartition("h", "s", "r").sortWithinPartitions("h", "s", "r", F.desc("own"))
+    names = [x.split()[0] for x in _ROW.split(", ")]
+    both = dealt(left.select(*names).unionByName(right.select(*names)))
+    asked = stored(both.mapInArrow(_partnered(percent), _ROW), "asked")
+    held = asked.join(sets.select("doc", "tag", "shingles").hint("merge"), ["doc", "tag"]).select(*names, "shingles")
+    return dealt(held).mapInArrow(_block_links(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -300,7 +440,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     placed = linked.join(lowest, ["s1", "s2", "n_shingles"])
     copies = stored(placed.where("doc <> lowest").select(F.col("lowest").alias("a"), F.col("doc").alias("b")).distinct(), "copies")
     signatures = stored(placed.where("doc = lowest").select("doc", "keys", "sketch"), "forest")
-    pairs, more = candidates(signatures.withColumns({"part": F.col("doc"), "mass": F.lit(1).cast("long")}), percent / 100)
+    pairs, more = candidates(signatures, percent / 100)
     more = stored(more, "more")
     members = pairs.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(more).distinct()
     # members grow with the documents: the same merge join at every size, never a broadcast
@@ -311,11 +451,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     of = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
     mass = found.groupBy(F.col("component").alias("part")).agg((F.count("*") + 1).alias("mass"))
     parts = stored(sets.select("doc").distinct().join(of("doc"), "doc", "left").select("doc", F.coalesce("of_doc", "doc").alias("part")), "parts")
-    known = signatures.join(more, "doc", "left_semi").join(parts, "doc").join(mass, "part", "left").withColumn("mass", F.coalesce("mass", F.lit(1).cast("long")))
-    again, _ = candidates(known, percent / 100, whole=True)
+    crowd = sets.join(more, "doc", "left_semi").join(parts, "doc").join(mass, "part", "left").withColumn("mass", F.coalesce("mass", F.lit(1).cast("long")))
     left = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b").join(best, ["a", "b"], "left_anti")
-    probes = again.select(F.col("a").alias("doc"), F.col("b").alias("part")).distinct()
-    second = confirmed(left, sets, percent).unionByName(block_links(probes, sets, parts, percent))
+    second = confirmed(left, sets, percent).unionByName(exact_links(stored(crowd, "crowd"), percent))
     # the first round's components stand for its links
     links = found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(second).unionByName(copies)
     components = connected_components(links)

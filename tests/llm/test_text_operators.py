@@ -419,6 +419,40 @@ def test_dense_regions_use_the_window(spark, monkeypatch):
     assert len(pairs) < 200 * 12
 
 
+def test_links_far_apart_in_a_dense_region(spark):
+    """Pairs at 0.808 whose ends lie far apart in every order of a crowd at 0.794."""
+    base = [f"w{i}" for i in range(101)]
+    docs = [(i, " ".join(base + [f"x{i}_{j}" for j in range(13)])) for i in range(6000)]
+    docs += [(6000 + i, " ".join(base + [f"x{i}_0"] + [f"y{i}_{j}" for j in range(12)])) for i in range(100)]
+    got = lsh_forest.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), k=2)
+    same(got.select("doc_id", "component_id"), [(i, i % 6000) for i, _ in docs])
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_exact_links_join_what_brute_force_joins(spark, percent, monkeypatch):
+    monkeypatch.setattr(lsh_forest, "BLOCK", 7)
+    rng = random.Random(percent)
+    sets = []
+    for i in range(150):
+        n = rng.randint(1, 40)
+        sets.append((i, i // 2 * 2 if i < 40 else i, 1, rng.sample(range(60), n) if i % 3 else sorted(set(range(30)) - set(rng.sample(range(30), 3)))))
+    got = {tuple(r) for r in lsh_forest.exact_links(spark.createDataFrame(sets, "doc long, part long, mass long, shingles array<long>"), percent).collect()}
+    want = {(a[0], b[0]) for a in sets for b in sets if a[0] < b[0] and a[1] != b[1] and 100 * len(set(a[3]) & set(b[3])) >= percent * len(set(a[3]) | set(b[3]))}
+    assert {(min(x), max(x)) for x in got} <= want
+
+    def closed(links):
+        part = {x[0]: x[1] for x in sets}
+        for a, b in links:
+            old, new = part[b], part[a]
+            part = {k: new if v == old else v for k, v in part.items()}
+        groups = defaultdict(set)
+        for k, v in part.items():
+            groups[v].add(k)
+        return sorted(map(sorted, groups.values()))
+
+    assert closed(got) == closed(want)
+
+
 def test_near_duplicate_cases(odd, nothing):
     got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in lsh_forest.near_duplicates(odd, k=2).collect())
     assert got == [("1", "1", True)] * 3 + [("2", "1", False), ("3", "3", True)] + [("None", "None", True)] * 2
