@@ -6,10 +6,12 @@ capacity. Neighbouring blocks and blocks of one container are tied by smoothness
 the closer they are in the document tree. The maximum flow separates content from boilerplate.
 
 Blocks keep page order; white space inside a block is one space; blocks are joined by an empty line.
-Scripts, styles, comments and widgets never become blocks. Line breaks (<br>) count as white space.
+Scripts, styles, comments and widgets never become blocks; formulas (<math>) are text. Line breaks
+(<br>) count as white space.
 
 Defined cases: a null, empty or tag-only page has an empty text; unclosed elements close with their
-container; an unclosed comment or script runs to the end of the page; rows are read each by itself,
+container; an unclosed comment, script, style, textarea or title runs to the end of the page; a widget
+without an end tag behind it, or closed in itself, is empty; rows are read each by itself,
 so repeated or null ids are kept; columns named text or n_chars are replaced.
 """
 
@@ -26,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mfrac mi mn mo mrow ms msqrt mstyle msub msubsup msup mtext semantics".split())
 #: Elements whose content is never text of the page.
-SILENT = frozenset("script style template noscript svg iframe object canvas title textarea select button math audio video head".split())
+SILENT = frozenset("script style template noscript svg iframe object canvas title textarea select button annotation annotation-xml audio video head".split())
 RAW = frozenset("script style textarea title".split())
 #: What an opening tag closes if still open: itself, up to a container.
 CLOSES = {"li": ("li",), "p": ("p",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
@@ -56,6 +58,7 @@ class Element:
     role: str = ""
     hidden: bool = False
     depth: int = 0
+    silent: bool = False
 
 
 @dataclass
@@ -71,6 +74,7 @@ def blocks(page: str) -> list[Block]:
     root = Element("html", None)
     here, block, out = root, None, []
     links, at, n = 0, 0, len(page)
+    last_end: dict[str, int] = {}
 
     def close():
         nonlocal block
@@ -82,6 +86,8 @@ def blocks(page: str) -> list[Block]:
 
     def put(text: str):
         nonlocal block
+        if here.silent:
+            return
         if block is None:
             if not text.strip():
                 return
@@ -110,13 +116,19 @@ def blocks(page: str) -> list[Block]:
                 close()
             if tag in VOID:
                 continue
-            if tag in SILENT:
+            if tag in RAW or tag == "head":
                 at = _past(page, at, tag)
                 continue
+            if tag in SILENT:
+                if tag not in last_end:
+                    last_end[tag] = max((x.start() for x in re.finditer(rf"</{tag}\b", page, re.I)), default=-1)
+                if last_end[tag] >= at and not (found[3] or "").rstrip().endswith("/"):
+                    here = Element(tag, here, depth=here.depth + 1, silent=True)
+                continue
             if tag in CLOSES or tag not in INLINE:
                 for old in CLOSES.get(tag, ("p",)):
-                    here = _closed(here, old, stop=("ul", "ol", "table", "dl", "article", "section", "div", "body", "html", "td", "th") if old != "tr" else ("table", "body", "html"))
-            new = Element(tag, here, depth=here.depth + 1)
+                    here = _closed(here, old, stop=("ul", "ol", "table", "dl", "article", "section", "div", "body", "html", "td", "th", *SILENT) if old != "tr" else ("table", "body", "html", *SILENT))
+            new = Element(tag, here, depth=here.depth + 1, silent=here.silent)
             for key, value in ATTRIBUTE.findall(found[3] or ""):
                 key, value = key.lower(), value.strip("\"'")
                 if key in ("class", "id"):

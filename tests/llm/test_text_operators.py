@@ -343,6 +343,19 @@ def test_main_text_of_odd_pages(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>One is here.</p><svg width=1 /><p>Two is here.</p></article>", "One is here.\n\nTwo is here."),
+        ("<article><p>One is here.</p><iframe src=a><p>Two is here.</p></article>", "One is here.\n\nTwo is here."),
+        ("<article><div><button>Buy</div><p>One is here.</p><button>Go <p>now</p></button><p>Two is here.</p></article>", "One is here.\n\nTwo is here."),
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be so.</p></article>", "Let x=1 be so."),
+    ],
+)
+def test_widgets_take_no_text_along(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_cut_is_minimal():
     rng = random.Random(5)
     for _ in range(60):
