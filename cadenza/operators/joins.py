@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.hashing import integer, uniform
-from cadenza.operators.lookups import numbered_within
+from cadenza.operators.lookups import numbered, numbered_within
 
 KEY = ("object_id", "band")
 
@@ -72,13 +72,14 @@ def region_bands(obs: DataFrame, requests: DataFrame, radius: float) -> DataFram
 
 
 def coverage(obs: DataFrame, radii: Sequence[float]) -> DataFrame:
-    """How many times see how many bands within each radius: radius, n_bands, n_times."""
+    """How many times see how many bands strictly within each radius: radius, n_bands, n_times. The
+    nearest point of every band is found once for all radii; cost doesn't grow with the radius."""
     times = obs.select("object_id", F.col("time").alias("request_time")).distinct()
-    out = None
-    for radius in radii:
-        one = region_bands(obs, times, radius).groupBy(F.size("bands").alias("n_bands")).agg(F.count("*").alias("n_times")).select(F.lit(float(radius)).alias("radius"), "n_bands", "n_times")
-        out = one if out is None else out.unionByName(one)
-    return out
+    near = closest_points(obs, times, carry=("time",)).where("closest_time is not null")
+    seen = [F.count_if(F.col("closest_time_diff") < float(r)).alias(f"_r{i}") for i, r in enumerate(radii)]
+    counts = near.groupBy("object_id", "request_time").agg(*seen)
+    each = F.array(*(F.struct(F.lit(float(r)).alias("radius"), F.col(f"_r{i}").cast("int").alias("n_bands")) for i, r in enumerate(radii)))
+    return counts.select(F.explode(each).alias("s")).select("s.*").where("n_bands > 0").groupBy("radius", "n_bands").agg(F.count("*").alias("n_times"))
 
 
 def ranked_ids(meta: DataFrame, seed: int) -> DataFrame:
@@ -87,23 +88,25 @@ def ranked_ids(meta: DataFrame, seed: int) -> DataFrame:
     return numbered_within(shuffled, "target", "_u", "object_id").drop("_u")
 
 
-def different_class_pairs(meta: DataFrame, n: int, seed: int) -> DataFrame:
-    """n pairs (pair_id, left_id, right_id, left_target, right_target) of distinct classes.
+def different_class_pairs(meta: DataFrame, n: int | None, seed: int) -> DataFrame:
+    """n pairs (pair_id, left_id, right_id, left_target, right_target) of distinct classes; with None as
+    many as there are objects.
 
     Each pair draws two different classes by hash; the u-th use of a class takes its u-th id, round
     and round.
     """
-    spark = meta.sparkSession
-    classes = meta.where("target is not null").select("target").distinct()
+    known = meta.where("target is not null")
+    classes = known.select("target").distinct()
     index = classes.select("target", (F.row_number().over(Window.orderBy("target")) - 1).alias("c"))  # one row per class
     k = classes.agg(F.count("*").alias("k"))
-    ask = spark.range(n).select(F.col("id").alias("pair_id")).join(F.broadcast(k), how="cross").where("k > 1")  # k: one row
+    numbers = meta.sparkSession.range(n).select(F.col("id").alias("pair_id")) if n is not None else numbered(known.select("object_id").distinct(), "object_id").select(F.col("pos").alias("pair_id"))
+    ask = numbers.join(F.broadcast(k), how="cross").where("k > 1")  # k: one row
     first = integer(F.col("k"), seed, "l", F.col("pair_id"))
     drawn = ask.withColumn("cl", first).withColumn("cr", F.pmod(F.col("cl") + 1 + integer(F.col("k") - 1, seed, "r", F.col("pair_id")), F.col("k")))
     uses = drawn.select("pair_id", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("cl").alias("c")), F.struct(F.lit("right").alias("side"), F.col("cr").alias("c")))).alias("u")).select("pair_id", "u.*")
     nth = numbered_within(uses, "c", "pair_id", "side").drop("n").withColumnRenamed("pos", "use")
     ids = ranked_ids(meta, seed)
-    sized = nth.join(F.broadcast(index), "c").join(ids.select("target", "n").distinct(), "target")
+    sized = nth.join(index, "c").join(ids.select("target", "n").distinct(), "target")
     chosen = sized.withColumn("pos", F.col("use") % F.col("n")).join(ids.select("target", "pos", "object_id"), ["target", "pos"])
     side = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
     return chosen.groupBy("pair_id").agg(side("left", "object_id").alias("left_id"), side("right", "object_id").alias("right_id"), side("left", "target").alias("left_target"), side("right", "target").alias("right_target"))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.columns import column, log_loss, norm
 from cadenza.operators.curves import by_object, differences
+from cadenza.operators.lookups import before_parts, in_ranges
 
 
 def class_counts(meta: DataFrame) -> DataFrame:
@@ -24,9 +27,40 @@ def describe(table: DataFrame, value: str, *keys: str) -> DataFrame:
     )
 
 
+def percentiles(values: DataFrame, fractions: Sequence[float], *keys: str, value: str = "value") -> DataFrame:
+    """at: the exact percentiles of the fractions (linear between ranks) per group, in their order.
+
+    Equal values are counted before any shuffle, the distinct ones are placed by range partitions, and
+    only the rows at wanted ranks go on: no group is held or sorted in one task.
+    """
+    some = values.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    cut = in_ranges(some, *keys, "_v")
+    base = before_parts(cut.groupBy("_part").agg(F.sum("_c").alias("_s")), "_s")
+    # a group lies in one stretch of each range: where its first value stands follows from the stretches
+    stretches = cut.groupBy("_part", *keys).agg(F.sum("_c").alias("_s"), F.min("_nth").alias("_f"))
+    earlier = Window.partitionBy("_part").orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
+    began = stretches.withColumn("_o", F.coalesce(F.sum("_s").over(earlier), F.lit(0))).join(F.broadcast(base), "_part")
+    groups = began.groupBy(*keys).agg(F.min(F.col("_base") + F.col("_o")).alias("_began"), F.sum("_s").alias("_n"))
+    inside = F.sum("_c").over(Window.partitionBy("_part").orderBy("_nth").rowsBetween(Window.unboundedPreceding, -1))
+    placed = cut.withColumn("_in", F.coalesce(inside, F.lit(0))).join(F.broadcast(base), "_part")
+    joined = placed.join(groups, list(keys)) if keys else placed.join(F.broadcast(groups), how="cross")  # one row without keys
+    start = F.col("_base") + F.col("_in") - F.col("_began")
+    ranked = joined.select(*keys, "_v", start.alias("_from"), (start + F.col("_c")).alias("_to"), (F.col("_n") - 1).alias("_last"))
+    wanted = F.transform(F.array(*(F.lit(float(q)) for q in fractions)), lambda q, i: F.struct(i.alias("i"), (q * F.col("_last")).alias("h")))
+    here = F.filter(wanted, lambda x: (F.floor(x["h"]) < F.col("_to")) & (F.ceil(x["h"]) >= F.col("_from")))
+    hits = ranked.select(*keys, "_v", "_from", "_to", F.explode(here).alias("_x")).select(*keys, "_v", "_from", "_to", "_x.*")
+    low, high = F.floor("h"), F.ceil("h")
+    ends = hits.groupBy(*keys, "i").agg(
+        F.first("h").alias("h"), F.max(F.when((low >= F.col("_from")) & (low < F.col("_to")), F.col("_v"))).alias("_lo"), F.max(F.when((high >= F.col("_from")) & (high < F.col("_to")), F.col("_v"))).alias("_hi")
+    )
+    between = F.when(low == high, F.col("_lo")).otherwise((high - F.col("h")) * F.col("_lo") + (F.col("h") - low) * F.col("_hi"))
+    found = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", between.alias("v")))).alias("_a"))
+    return found.select(*keys, F.transform("_a", lambda x: x["v"]).alias("at"))
+
+
 def median_interval(obs: DataFrame) -> DataFrame:
     """Median of all gaps, pooled over curves and bands."""
-    return differences(by_object(obs)).agg(F.median("dt").alias("median_dt"))
+    return percentiles(differences(by_object(obs)), [0.5], value="dt").select(F.get("at", F.lit(0)).alias("median_dt"))
 
 
 def percentile_cutoffs(values: DataFrame, n: int, *keys: str, value: str = "value", extra: int = 8, exact: bool = True) -> DataFrame:
@@ -34,14 +68,17 @@ def percentile_cutoffs(values: DataFrame, n: int, *keys: str, value: str = "valu
 
     Grids of n, n + 1, ... n + extra percentiles are taken in one pass; the first with n distinct
     values gives them (its first n). If none has, the distinct values of the last are filled up with
-    its largest. exact=False uses approximate percentiles for groups of very many distinct values.
+    its largest. exact=False uses approximate percentiles.
     """
     grids = [[i / (m + 1) for i in range(1, m + 1)] for m in range(n, n + extra + 1)]
-    take = F.percentile if exact else F.percentile_approx
-    found = values.where(F.col(value).isNotNull()).groupBy(*keys).agg(*(F.array_distinct(take(value, [float(q) for q in grid])).alias(f"_g{i}") for i, grid in enumerate(grids)))
-    last = F.col(f"_g{len(grids) - 1}")
-    filled = F.slice(F.concat(last, F.array_repeat(F.element_at(last, -1), n)), 1, n)
-    chosen = F.coalesce(*(F.when(F.size(f"_g{i}") >= n, F.slice(f"_g{i}", 1, n)) for i in range(len(grids))), filled)
+    fractions = sorted({q for grid in grids for q in grid})
+    if exact:
+        found = percentiles(values, fractions, *keys, value=value)
+    else:
+        found = values.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.percentile_approx(value, fractions).alias("at"))
+    cells = [F.array_distinct(F.array(*(F.col("at")[fractions.index(q)] for q in grid))) for grid in grids]
+    filled = F.slice(F.concat(cells[-1], F.array_repeat(F.element_at(cells[-1], -1), n)), 1, n)
+    chosen = F.coalesce(*(F.when(F.size(cell) >= n, F.slice(cell, 1, n)) for cell in cells), filled)
     return found.select(*keys, chosen.alias("cutoffs"))
 
 
@@ -56,7 +93,7 @@ def histogram(table: DataFrame, value: str, bins: int, *keys: str) -> DataFrame:
     v = F.col(value)
     some = table.where(v.isNotNull())
     limits = some.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.count("*").alias("_n"))
-    joined = some.join(F.broadcast(limits), list(keys)) if keys else some.join(F.broadcast(limits), how="cross")  # limits: a row per group
+    joined = some.join(limits, list(keys)) if keys else some.join(F.broadcast(limits), how="cross")  # one row without keys
     width = (F.col("_hi") - F.col("_lo")) / bins
     place = F.when(width > 0, F.least(F.floor((v - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0)
     return joined.groupBy(*keys, place.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.first(width).alias("width"), F.first("_n").alias("_n")).select(
@@ -81,23 +118,51 @@ def density_1d(table: DataFrame, value: str, positions: Sequence[float], *keys:
     return at.groupBy(*keys, "place", "x").agg((F.sum(F.exp(-0.5 * z * z)) / F.count("*") / (bandwidth * math.sqrt(2 * math.pi))).alias("density"))
 
 
-def density_2d(table: DataFrame, a: str, b: str, n: int) -> DataFrame:
+_BOX = ("lo_a", "hi_a", "lo_b", "hi_b", "caa", "cbb", "cab", "det")
+
+
+def _kernel_sums(n: int):
+    """Sums of the kernel over a task's points, for each cell of the grid."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, n))
+        some = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            some = True
+            a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            lo_a, hi_a, lo_b, hi_b, caa, cbb, cab, det = (batch.column(2 + i)[0].as_py() for i in range(len(_BOX)))
+            if det is None or not det > 0:
+                total += np.nan
+                continue
+            xa, xb = lo_a + (hi_a - lo_a) * np.arange(n) / (n - 1), lo_b + (hi_b - lo_b) * np.arange(n) / (n - 1)
+            for at in range(0, len(a), 64):
+                da, db = xa[:, None, None] - a[at : at + 64], xb[None, :, None] - b[at : at + 64]
+                total += np.exp(-0.5 * (cbb * da * da - 2.0 * cab * da * db + caa * db * db) / det).sum(axis=2)
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n * n, dtype=np.int32)), pa.array(total.ravel(), from_pandas=True)], names=["cell", "s"])
+
+    return run
+
+
+def density_2d(table: DataFrame, a: str, b: str, n: int = 100) -> DataFrame:
     """Gaussian kernel density on an n x n grid over the data's box: ia, ib, xa, xb, density.
 
-    The kernel has the data's covariance times Scott's factor n ** (-1/6) squared.
+    The kernel has the data's covariance times Scott's factor n ** (-1/6) squared; the density is null
+    if that is singular. Every task sums its points for all cells; only these sums are shuffled.
     """
-    some = table.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
-    s = some.agg(F.count("*").alias("n"), *(f(c).alias(f"{name}_{c}") for c in "ab" for name, f in (("lo", F.min), ("hi", F.max), ("var", F.var_samp))), F.covar_samp("a", "b").alias("cov"))  # one row
-    grid = table.sparkSession.range(n * n).select((F.col("id") / n).cast("int").alias("ia"), (F.col("id") % n).cast("int").alias("ib"))
+    some = table.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    s = some.agg(F.count("*").alias("n"), *(f(c).alias(f"{name}_{c}") for c in "ab" for name, f in (("lo", F.min), ("hi", F.max), ("var", F.var_samp))), F.covar_samp("a", "b").alias("cov"))
     factor = F.pow(F.col("n").cast("double"), -1.0 / 3.0)
-    h = s.select("*", (F.col("var_a") * factor).alias("caa"), (F.col("var_b") * factor).alias("cbb"), (F.col("cov") * factor).alias("cab"))
-    h = h.withColumn("det", F.col("caa") * F.col("cbb") - F.col("cab") * F.col("cab"))
-    at = grid.join(F.broadcast(h), how="cross").withColumns({"xa": F.col("lo_a") + (F.col("hi_a") - F.col("lo_a")) * F.col("ia") / (n - 1), "xb": F.col("lo_b") + (F.col("hi_b") - F.col("lo_b")) * F.col("ib") / (n - 1)})
-    da, db = F.col("xa") - F.col("a"), F.col("xb") - F.col("b")
-    square = (F.col("cbb") * da * da - 2.0 * F.col("cab") * da * db + F.col("caa") * db * db) / F.col("det")
-    # the grid is fixed by n; every point adds to each of its cells, partial sums are made before the shuffle
-    sums = some.join(F.broadcast(at), how="cross").groupBy("ia", "ib", "xa", "xb", "det", "n").agg(F.sum(F.exp(-0.5 * square)).alias("_s"))
-    return sums.select("ia", "ib", "xa", "xb", (F.col("_s") / (F.col("n") * 2.0 * math.pi * F.sqrt("det"))).alias("density"))
+    box = s.select("*", (F.col("var_a") * factor).alias("caa"), (F.col("var_b") * factor).alias("cbb"), (F.col("cov") * factor).alias("cab"))
+    box = box.withColumn("det", F.col("caa") * F.col("cbb") - F.col("cab") * F.col("cab"))  # one row
+    sums = some.join(F.broadcast(box.select(*_BOX)), how="cross").select("a", "b", *_BOX).mapInArrow(_kernel_sums(n), "cell int, s double")
+    at = sums.groupBy("cell").agg(F.sum("s").alias("s")).join(F.broadcast(box), how="cross")
+    ia, ib = F.floor(F.col("cell") / n).cast("int"), (F.col("cell") % n).cast("int")
+    place = lambda c, i: F.col(f"lo_{c}") + (F.col(f"hi_{c}") - F.col(f"lo_{c}")) * i / (n - 1)
+    density = F.col("s") / (F.col("n") * 2.0 * math.pi * F.sqrt("det"))
+    return at.select(ia.alias("ia"), ib.alias("ib"), place("a", ia).alias("xa"), place("b", ib).alias("xb"), density.alias("density"))
 
 
 def best_period(powers: DataFrame, *keys: str) -> DataFrame:
@@ -159,7 +224,13 @@ def split_divergence(splits: DataFrame, shares: Mapping[str, float], name: str =
     return counts.agg(F.sum(p * F.log(p / F.element_at(wanted, F.col(name)))).alias("kl"), F.sum("n").alias("n"))
 
 
+def match_lists(pairs: DataFrame, left: str, right: str, *values: str) -> DataFrame:
+    """match and the values of every pair: the class of equal pairs, "mismatch" for all others. The
+    lists stay rows, since that of the mismatches is as long as the table."""
+    group = F.when(F.col(left) == F.col(right), F.col(left).cast("string")).otherwise("mismatch")
+    return pairs.select(group.alias("match"), *values)
+
+
 def match_values(pairs: DataFrame, left: str, right: str, value: str) -> DataFrame:
     """Summary of pair values by class of equal pairs, and of all others as "mismatch"."""
-    group = F.when(F.col(left) == F.col(right), F.col(left).cast("string")).otherwise("mismatch")
-    return pairs.groupBy(group.alias("match")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    return match_lists(pairs, left, right, value).groupBy("match").agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))

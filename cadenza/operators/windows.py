@@ -19,23 +19,22 @@ def padded(values: Column, n: int, left: bool) -> Column:
 def surroundings(obs: DataFrame, n: int, bias: float = 1e-8) -> DataFrame:
     """The n points before and after each one: before_time, before_flux, before_padding, after_...
 
-    Points within the bias of the centre are left out. Times of a band are taken to be distinct.
+    Points of one time (within the bias of the one before them) have the same surroundings: what lies
+    before the first and after the last of them.
     """
     back, forth = along().rowsBetween(-n, -1), along().rowsBetween(1, n)
     point = F.struct("time", "flux")
-    framed = by_object(obs).withColumns({"_before": F.collect_list(point).over(back), "_after": F.collect_list(point).over(forth)})
-    cut = framed.withColumns(
-        {
-            "_before": F.filter("_before", lambda p: p["time"] + bias < F.col("time")),
-            "_after": F.filter("_after", lambda p: p["time"] > F.col("time") + bias),
-        }
-    )
+    step = F.col("time") - F.lag("time").over(along())
+    moment = F.sum(F.when(step <= bias, 0).otherwise(1)).over(along().rowsBetween(Window.unboundedPreceding, 0))
+    framed = by_object(obs).withColumns({"_first": F.collect_list(point).over(back), "_last": F.collect_list(point).over(forth), "_moment": moment})
+    whole, place = Window.partitionBy(*KEY, "_moment"), F.struct("time", "tie")
+    shared = framed.withColumns({"_before": F.min_by("_first", place).over(whole), "_after": F.max_by("_last", place).over(whole)})
     out = {}
     for side, left in (("before", True), ("after", False)):
         for field in ("time", "flux"):
             out[f"{side}_{field}"] = padded(F.col(f"_{side}")[field], n, left)  # the field of every point
         out[f"{side}_padding"] = (F.lit(n) - F.size(f"_{side}")).cast("int")
-    return cut.withColumns(out).drop("_before", "_after")
+    return shared.withColumns(out).drop("_before", "_after", "_first", "_last", "_moment")
 
 
 def runs(obs: DataFrame, lower, upper) -> DataFrame:
@@ -46,9 +45,10 @@ def runs(obs: DataFrame, lower, upper) -> DataFrame:
     return lettered.withColumn("run", (F.row_number().over(Window.partitionBy(*KEY, "_i").orderBy("time", "tie")) - 1).cast("long")).drop("_i", "ok")
 
 
-def valid_windows(obs: DataFrame, size: int, lower, upper) -> DataFrame:
+def valid_windows(obs: DataFrame, size: int, lower, upper, missing: str = "skip") -> DataFrame:
     """Points that start a window of `size` points whose gaps all lie strictly between the bounds:
-    pos is the point's place from 0 in its band."""
+    pos is the point's place from 0 in its band. A curve without one has no rows or, with
+    missing="error", is an error of the job."""
     stepped = differences(by_object(obs)).withColumn("ok", F.when((F.col("dt") > lower) & (F.col("dt") < upper), 1).otherwise(0))
     placed = stepped.withColumns({"pos": (F.row_number().over(along()) - 1).cast("long"), "_left": F.count("*").over(along().rowsBetween(0, size - 1))})
     if size > 1:
@@ -56,7 +56,12 @@ def valid_windows(obs: DataFrame, size: int, lower, upper) -> DataFrame:
         placed = placed.withColumn("_good", good)
     else:
         placed = placed.withColumn("_good", F.lit(1))
-    return placed.where((F.col("_left") == size) & (F.col("_good") == 1)).drop("ok", "_left", "_good", "dt", "df", "slope")
+    fits = (F.col("_left") == size) & (F.col("_good") == 1)
+    if missing == "error":
+        none = F.raise_error(F.concat(F.lit("no valid window: "), F.concat_ws(" ", *(F.col(k).cast("string") for k in KEY)))).cast("boolean")
+        placed = placed.withColumn("_any", F.max(fits).over(Window.partitionBy(*KEY)))
+        fits = F.when(F.col("_any"), fits).otherwise(none)
+    return placed.where(fits).drop("ok", "_left", "_good", "_any", "dt", "df", "slope")
 
 
 def every_nth(obs: DataFrame, per_day: float = 1.6) -> DataFrame:

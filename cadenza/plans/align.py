@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.columns import moved_flux, moved_time
 from cadenza.operators.joins import pair_curves
+from cadenza.operators.lookups import numbered_within
 
 PARAMETERS = ("translate_time", "translate_flux", "dilate_time", "dilate_flux")
-ALIGNED = "pair_id long, translate_time double, translate_flux double, dilate_time double, dilate_flux double, arc_length double"
+ALIGNED = "pair_id long, translate_time double, translate_flux double, dilate_time double, dilate_flux double, arc_length double, converged boolean"
 
 
 def candidate_grid(spark, translate_time: Sequence[float] = (0.0,), translate_flux: Sequence[float] = (0.0,), dilate_time: Sequence[float] = (1.0,), dilate_flux: Sequence[float] = (1.0,)) -> DataFrame:
@@ -59,15 +60,16 @@ def merged_length(left: dict[str, np.ndarray], right: dict[str, np.ndarray], p:
     return total
 
 
-def simplex(f, start: np.ndarray, step: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
-    """Downhill simplex: a few hundred evaluations of a function of few parameters."""
+def simplex(f, start: np.ndarray, step: np.ndarray, rounds: int, tolerance: float = 1e-4) -> tuple[np.ndarray, float, bool]:
+    """Downhill simplex: the best point, its value, and whether values and points came within the
+    tolerance before the rounds were used up."""
     points = [start, *(start + np.eye(len(start))[i] * step[i] for i in range(len(start)))]
     values = [f(x) for x in points]
     for _ in range(rounds):
         order = np.argsort(values, kind="stable")
         points, values = [points[i] for i in order], [values[i] for i in order]
-        if abs(values[-1] - values[0]) <= 1e-9 * (1 + abs(values[0])):
-            break
+        if values[-1] - values[0] <= tolerance and max(np.abs(x - points[0]).max() for x in points[1:]) <= tolerance:
+            return points[0], values[0], True
         centre = np.mean(points[:-1], axis=0)
         reflected = centre + (centre - points[-1])
         fr = f(reflected)
@@ -86,7 +88,7 @@ def simplex(f, start: np.ndarray, step: np.ndarray, rounds: int) -> tuple[np.nda
                 points = [points[0], *(points[0] + 0.5 * (x - points[0]) for x in points[1:])]
                 values = [values[0], *(f(x) for x in points[1:])]
     best = int(np.argmin(values))
-    return points[best], values[best]
+    return points[best], values[best], False
 
 
 def _bands(frame: pd.DataFrame) -> dict[str, np.ndarray]:
@@ -94,55 +96,57 @@ def _bands(frame: pd.DataFrame) -> dict[str, np.ndarray]:
 
 
 STEPS = np.array([0.5, 0.5, 0.05, 0.05])
+#: Rounds after which a fit is given up; it says so.
+ROUNDS = 10_000
 
 
-def align_simplex(pairs: DataFrame, obs: DataFrame, rounds: int = 200) -> DataFrame:
+def align_simplex(pairs: DataFrame, obs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Refined alignment of each pair from the identity; never longer than the identity's."""
 
-    def fit(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         left, right = _bands(frame[frame.side == "left"]), _bands(frame[frame.side == "right"])
-        x, value = simplex(lambda p: merged_length(left, right, p), np.array([0.0, 0.0, 1.0, 1.0]), STEPS, rounds)
-        return pd.DataFrame([[key[0], *x, value]], columns=["pair_id", *PARAMETERS, "arc_length"])
+        x, value, done = simplex(lambda p: merged_length(left, right, p), np.array([0.0, 0.0, 1.0, 1.0]), STEPS, rounds)
+        return pd.DataFrame([[key[0], *x, value, done]], columns=["pair_id", *PARAMETERS, "arc_length", "converged"])
 
     points = pair_curves(pairs, obs.where("detected = 1").select("object_id", "band", "time", "flux", "tie"))
     return points.groupBy("pair_id").applyInPandas(fit, ALIGNED)
 
 
-STACKED = "target int, step int, object_id long, translate_time double, translate_flux double, dilate_time double, dilate_flux double, arc_length double"
+STACKED = "target int, stack long, step int, object_id long, translate_time double, translate_flux double, dilate_time double, dilate_flux double, arc_length double, converged boolean"
 
 
-def stack_classes(obs: DataFrame, meta: DataFrame, k: int = 5, rounds: int = 60) -> DataFrame:
-    """Fold the k smallest ids of each class onto one another: each curve is aligned to the stack of
-    those before it and merged in. Classes run side by side; one holds k curves."""
-    order = Window.partitionBy("target").orderBy("object_id")
-    chosen = meta.where("target is not null").withColumn("step", F.row_number().over(order) - 1).where(F.col("step") < k).select("target", "object_id", "step")
-    points = obs.where("detected = 1").join(chosen, "object_id").select("target", "step", "object_id", "band", "time", "flux", "tie")
+def stack_classes(obs: DataFrame, meta: DataFrame, k: int = 25, rounds: int = ROUNDS) -> DataFrame:
+    """Fold the curves of each class onto one another: each curve is aligned to the stack of those before
+    it and merged in. A stack holds k curves, in order of their ids; a class has as many stacks as its
+    curves need, so that all are folded and a task holds k of them."""
+    ids = numbered_within(meta.where("target is not null").select("target", "object_id").distinct(), "target", "object_id")
+    chosen = ids.select("target", "object_id", F.floor(F.col("pos") / k).alias("stack"), (F.col("pos") % k).cast("int").alias("step"))
+    points = obs.where("detected = 1").join(chosen, "object_id").select("target", "stack", "step", "object_id", "band", "time", "flux", "tie")
 
-    def fold(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         rows, stack = [], {}
         for (step, object_id), own in frame.groupby(["step", "object_id"]):
-            curve, x = _bands(own), np.array([0.0, 0.0, 1.0, 1.0])
+            curve, x, done = _bands(own), np.array([0.0, 0.0, 1.0, 1.0]), True
             if stack:
-                x, value = simplex(lambda p, c=curve: merged_length(stack, c, p), x, STEPS, rounds)
+                x, value, done = simplex(lambda p, c=curve: merged_length(stack, c, p), x, STEPS, rounds)
             else:
                 value = merged_length({}, curve, x)
             for band, a in curve.items():
                 moved = np.column_stack([x[2] * (a[:, 0] + x[0]), x[3] * (a[:, 1] + x[1])])
                 both = np.concatenate([stack[band], moved]) if band in stack else moved
                 stack[band] = both[np.argsort(both[:, 0], kind="stable")]
-            rows.append([key[0], step, object_id, *x, value])
-        return pd.DataFrame(rows, columns=["target", "step", "object_id", *PARAMETERS, "arc_length"])
+            rows.append([*key, step, object_id, *x, value, done])
+        return pd.DataFrame(rows, columns=["target", "stack", "step", "object_id", *PARAMETERS, "arc_length", "converged"])
 
-    return points.groupBy("target").applyInPandas(fold, STACKED)
+    return points.groupBy("target", "stack").applyInPandas(fold, STACKED)
 
 
-def alignment_matrix(meta: DataFrame, obs: DataFrame, grid: DataFrame) -> DataFrame:
-    """Best grid alignment of every ordered pair of the given objects: left_id, right_id,
-    left_target, right_target and the alignment. Meant for a chosen set of objects: its rows are
-    pairs by definition."""
+def alignment_matrix(meta: DataFrame, obs: DataFrame, grid: DataFrame, same_class: bool = False) -> DataFrame:
+    """Best grid alignment of every ordered pair of the given objects, or of those of one class:
+    left_id, right_id, left_target, right_target and the alignment. Meant for a chosen set of objects:
+    its rows are pairs by definition."""
     a = meta.select(F.col("object_id").alias("left_id"), F.col("target").alias("left_target"))
     b = meta.select(F.col("object_id").alias("right_id"), F.col("target").alias("right_target"))
-    pairs = a.join(b, F.col("left_id") != F.col("right_id")).withColumn("pair_id", F.xxhash64("left_id", "right_id"))
+    own = (F.col("left_target") == F.col("right_target")) if same_class else F.lit(True)
+    pairs = a.join(b, own & (F.col("left_id") != F.col("right_id"))).withColumn("pair_id", F.xxhash64("left_id", "right_id"))
     return pairs.join(align_grid(pairs, obs, grid), "pair_id").drop("pair_id")
-
-

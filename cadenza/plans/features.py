@@ -107,6 +107,12 @@ def per_band_long(wide: DataFrame, bands: Sequence[str], values: Sequence[str],
     return wide.select(*keys, F.explode(parts).alias("b")).select(*keys, "b.*")
 
 
+def left_right(rows: DataFrame, values: Sequence[str], *keys: str) -> DataFrame:
+    """Columns left_<value> and right_<value> per key, from rows with a side."""
+    cells = [F.max(F.when(F.col("side") == side, F.col(v))).alias(f"{side}_{v}") for v in values for side in ("left", "right")]
+    return rows.groupBy(*keys).agg(*cells)
+
+
 def join_features(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     """Two feature tables by key; a feature in both is an error."""
     shared = (set(left.columns) & set(right.columns)) - set(keys)

@@ -74,9 +74,9 @@ def subsample(points: DataFrame, seed: int, radius: float = 4.0, min_rate: float
     return marked.where(F.col("_near") | (F.col("_nth") <= F.col("_k"))).drop("_near", "_n", "_k", "_nth")
 
 
-def negative_pairs(obs: DataFrame, meta: DataFrame, n: int, seed: int) -> DataFrame:
-    """n pairs of curves of different classes with a random distinct time of each: pair_id, side,
-    object_id, target, time."""
+def negative_pairs(obs: DataFrame, meta: DataFrame, n: int | None, seed: int) -> DataFrame:
+    """n pairs (with None as many as objects) of curves of different classes with a random distinct time
+    of each: pair_id, side, object_id, target, time."""
     pairs = different_class_pairs(meta, n, seed)
     sides = pairs.select("pair_id", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{s}_id").alias("object_id"), F.col(f"{s}_target").alias("target")) for s in ("left", "right")))).alias("s")).select("pair_id", "s.*")
     times = sides.join(obs.select("object_id", "time").distinct(), "object_id")
@@ -89,7 +89,7 @@ def pair_features(points: DataFrame, requests: DataFrame, n: int, bands: Sequenc
 
     points: pair_id, side and the (transformed) observation; requests: pair_id, side, time.
     """
-    key = F.concat_ws("/", "pair_id", "side")
+    key = F.struct("pair_id", "side")
     named = points.drop("object_id").withColumn("object_id", key)
     asks = requests.select(key.alias("object_id"), F.col("time").alias("request_time"), "pair_id", "side")
     return window_features(named, asks, n, bands).drop("object_id").withColumn("label", F.lit(label))
@@ -102,7 +102,7 @@ def positive_features(obs: DataFrame, n: int, bands: Sequence[str], seed: int, s
     return pair_features(points.drop("pair_time"), requests, n, bands, 1)
 
 
-def negative_features(obs: DataFrame, meta: DataFrame, n_pairs: int, n: int, bands: Sequence[str], seed: int) -> DataFrame:
+def negative_features(obs: DataFrame, meta: DataFrame, n_pairs: int | None, n: int, bands: Sequence[str], seed: int) -> DataFrame:
     pairs = negative_pairs(obs, meta, n_pairs, seed)
     points = pairs.select("pair_id", "side", "object_id").join(obs, "object_id")
     return pair_features(points, pairs.select("pair_id", "side", "time"), n, bands, 0)
@@ -113,9 +113,8 @@ def training_set(obs: DataFrame, meta: DataFrame, n: int, bands: Sequence[str],
     split holds for both kinds; None takes all objects."""
     ids = meta.select("object_id") if split is None else meta.where(id_split(F.col("object_id")) == split).select("object_id")
     own, own_meta = obs.join(ids, "object_id", "left_semi"), meta.join(ids, "object_id", "left_semi")
-    wanted = own.select("object_id").distinct().count() if n_negatives is None else n_negatives
     positives = positive_features(own, n, bands, seed, {"min_rate": 0.7})
-    return positives.unionByName(negative_features(own, own_meta, wanted, n, bands, seed))
+    return positives.unionByName(negative_features(own, own_meta, n_negatives, n, bands, seed))
 
 
 def mixed(sources: dict[str, DataFrame], weights: dict[str, float], n: int, seed: int, key: str = "object_id") -> DataFrame:
@@ -164,14 +163,16 @@ def regular_windows(obs: DataFrame, size: int, per_day: float = 1.6) -> DataFram
     return starts.select("object_id", "band", "pos", "points")
 
 
-def window_pairs(windows: DataFrame, n: int, seed: int) -> DataFrame:
-    """n positive (two windows of one curve) and n negative pairs (windows of two curves): pair_id,
-    label, left, right (point arrays). Curves are (object, band); fewer than two give no negatives."""
+def window_pairs(windows: DataFrame, n: int | None, seed: int) -> DataFrame:
+    """n positive (two windows of one curve) and n negative pairs (windows of two curves), with None as
+    many as there are curves: pair_id, label, left, right (point arrays). Curves are (object, band);
+    fewer than two give no negatives."""
     spark = windows.sparkSession
-    curves = windows.groupBy(*KEY).agg(F.count("*").alias("n_windows"))
-    placed = numbered(curves, *KEY).withColumnRenamed("pos", "c")  # a row per curve
-    k = curves.agg(F.count("*").alias("_k"))  # one row
-    ask = spark.range(2 * n).select(F.col("id").alias("pair_id"), (F.col("id") < n).cast("int").alias("label")).join(F.broadcast(k), how="cross")
+    placed = numbered(windows.groupBy(*KEY).agg(F.count("*").alias("n_windows")), *KEY).withColumnRenamed("pos", "c")  # a row per curve
+    k = placed.agg(F.count("*").alias("_k"))  # one row
+    numbers = spark.range(n).select(F.col("id").alias("c"), F.lit(n).alias("_n")) if n is not None else placed.select("c", F.lit(None).cast("long").alias("_n"))
+    both = F.explode(F.array(F.struct(F.col("c").alias("pair_id"), F.lit(1).alias("label")), F.struct((F.col("c") + F.coalesce("_n", "_k")).alias("pair_id"), F.lit(0).alias("label"))))
+    ask = numbers.join(F.broadcast(k), how="cross").select("_k", both.alias("p")).select("_k", "p.*")
     first = integer(F.col("_k"), seed, "curve", F.col("pair_id"))
     drawn = ask.withColumn("left_c", first).withColumn("right_c", F.when(F.col("label") == 1, F.col("left_c")).otherwise(F.pmod(F.col("left_c") + 1 + integer(F.greatest(F.col("_k") - 1, F.lit(1)), seed, "other", F.col("pair_id")), F.col("_k"))))
     drawn = drawn.where((F.col("label") == 1) | (F.col("_k") > 1))

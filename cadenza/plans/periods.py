@@ -1,11 +1,17 @@
-"""Period search: a weighted floating-mean periodogram over all bands, catalogues and reports."""
+"""Period search: a weighted floating-mean periodogram over all bands, catalogues and reports.
+
+Periods are those of a list, or follow each object's time span: frequencies from one cycle in the span
+to one in the shortest period, so closely spaced that no peak is missed.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.columns import phase
@@ -23,9 +29,25 @@ def frequency_periods(shortest: float, longest: float, n: int) -> list[float]:
     return [1.0 / (low + (high - low) * i / (n - 1)) for i in range(n)]
 
 
+#: Moments of a band at a period: names and what they are the weighted mean of.
+_PRODUCTS = {"y": "y", "c": "c", "s": "s", "yy": "y*y", "cc": "c*c", "ss": "s*s", "cs": "c*s", "yc": "y*c", "ys": "y*s"}
+#: Bands whose phases or fluxes vary less than this have no power at a period.
+_LEAST_SPREAD = 1e-6
+
+
+def _powers(sums: DataFrame, *keys: str) -> DataFrame:
+    """power per keys from the weighted sums of each band: the fit of a sinusoid with floating mean,
+    bands weighted by their chi^2 about the mean."""
+    m = sums.select(*keys, "w", *((F.col(f"s_{k}") / F.col("w")).alias(k) for k in _PRODUCTS))
+    v = m.selectExpr(*keys, "w", "yy - y*y AS vyy", "cc - c*c AS vcc", "ss - s*s AS vss", "cs - c*s AS vcs", "yc - y*c AS vyc", "ys - y*s AS vys")
+    d = F.expr("vcc*vss - vcs*vcs")
+    part = F.when((d > _LEAST_SPREAD) & (F.col("vyy") > _LEAST_SPREAD), F.expr("vss*vyc*vyc + vcc*vys*vys - 2*vcs*vyc*vys") / (F.col("vyy") * d))
+    chi = F.when(part.isNotNull(), F.col("w") * F.col("vyy"))
+    return v.groupBy(*keys).agg(F.try_divide(F.sum(chi * part), F.sum(chi)).alias("power"))
+
+
 def periodogram(obs: DataFrame, grid: DataFrame) -> DataFrame:
-    """power per (object_id, period): the fit of a sinusoid with floating mean in each band, weighted
-    by 1 / err^2, and bands weighted by their chi^2 about the mean.
+    """power per (object_id, period) of a list of periods, points weighted by 1 / err^2.
 
     One row per point and period meets partial sums before any shuffle. Power is null if no band has
     three distinct phases and a varying flux.
@@ -34,19 +56,115 @@ def periodogram(obs: DataFrame, grid: DataFrame) -> DataFrame:
     angle = 2.0 * math.pi * F.col("time") / F.col("period")
     terms = obs.where(F.col("flux_err") > 0).select("object_id", "band", "time", "flux", "flux_err").join(F.broadcast(grid), how="cross")  # the grid is a literal list
     at = terms.select("object_id", "band", "period", w.alias("w"), F.col("flux").alias("y"), F.cos(angle).alias("c"), F.sin(angle).alias("s"))
-    products = {"y": "y", "c": "c", "s": "s", "yy": "y*y", "cc": "c*c", "ss": "s*s", "cs": "c*s", "yc": "y*c", "ys": "y*s"}
-    sums = at.groupBy("object_id", "period", "band").agg(F.sum("w").alias("w"), *(F.sum(F.expr(f"w*{e}")).alias(f"s_{k}") for k, e in products.items()))
-    m = sums.select("object_id", "period", "band", "w", *((F.col(f"s_{k}") / F.col("w")).alias(k) for k in products))
-    v = m.selectExpr("object_id", "period", "w", "yy - y*y AS vyy", "cc - c*c AS vcc", "ss - s*s AS vss", "cs - c*s AS vcs", "yc - y*c AS vyc", "ys - y*s AS vys")
-    d = F.expr("vcc*vss - vcs*vcs")
-    part = F.when((d > 1e-12) & (F.col("vyy") > 1e-12), F.expr("vss*vyc*vyc + vcc*vys*vys - 2*vcs*vyc*vys") / (F.col("vyy") * d))
-    chi = F.when(part.isNotNull(), F.col("w") * F.col("vyy"))
-    return v.groupBy("object_id", "period").agg(F.try_divide(F.sum(chi * part), F.sum(chi)).alias("power"))
+    sums = at.groupBy("object_id", "period", "band").agg(F.sum("w").alias("w"), *(F.sum(F.expr(f"w*{e}")).alias(f"s_{k}") for k, e in _PRODUCTS.items()))
+    return _powers(sums, "object_id", "period")
+
+
+# ---------------------------------------------------------------- grids that follow the data
+def span_grids(obs: DataFrame, shortest: float = 0.1, oversampling: float = 5.0) -> DataFrame:
+    """object_id, grid, low, step, n: n frequencies low + k step from 1 / span to 1 / shortest, with
+    `oversampling` steps to a peak's width. An object seen for no longer than `shortest` has none."""
+    spans = obs.where(F.col("flux_err") > 0).groupBy("object_id").agg((F.max("time") - F.min("time")).alias("_span")).where(F.col("_span") > shortest)
+    low, step = 1.0 / F.col("_span"), 1.0 / (oversampling * F.col("_span"))
+    return spans.select("object_id", F.lit(0).alias("grid"), low.alias("low"), step.alias("step"), (F.floor((1.0 / F.lit(shortest) - low) / step) + 1).cast("int").alias("n"))
+
+
+def _band_sums(time: np.ndarray, flux: np.ndarray, err: np.ndarray, frequency: np.ndarray) -> np.ndarray:
+    """The weight and the nine weighted sums of a band at each frequency."""
+    w = 1.0 / (err * err)
+    out = np.zeros((1 + len(_PRODUCTS), len(frequency)))
+    out[0], out[1], out[4] = w.sum(), (w * flux).sum(), (w * flux * flux).sum()
+    for at in range(0, len(time), 256):
+        part = slice(at, at + 256)
+        angle = (2.0 * math.pi * time[part])[:, None] * frequency
+        c, s, wy = np.cos(angle), np.sin(angle), w[part] * flux[part]
+        wc, ws = w[part, None] * c, w[part, None] * s
+        out[2] += wc.sum(axis=0)
+        out[3] += ws.sum(axis=0)
+        out[5] += (wc * c).sum(axis=0)
+        out[6] += (ws * s).sum(axis=0)
+        out[7] += (wc * s).sum(axis=0)
+        out[8] += (wy[:, None] * c).sum(axis=0)
+        out[9] += (wy[:, None] * s).sum(axis=0)
+    return out
+
+
+_SUMS = ("w", *(f"s_{k}" for k in _PRODUCTS))
+_AT = "object_id long, grid int, k int, period double"
+_PART = f"{_AT}, band string, " + ", ".join(f"{c} double" for c in _SUMS)
+
+
+def _grid_sums(table: pa.Table) -> tuple[dict, list[str], list[np.ndarray]]:
+    """What identifies the rows of a group, its bands, and the sums of each."""
+    one = {c: table[c][0].as_py() for c in ("object_id", "grid", "low", "step", "n")}
+    frequency = one["low"] + one["step"] * np.arange(one["n"])
+    band = np.asarray(table["band"].to_pandas())
+    time, flux, err = (table[c].to_numpy() for c in ("time", "flux", "flux_err"))
+    names = sorted(set(band.tolist()))
+    ids = {"object_id": np.full(one["n"], one["object_id"]), "grid": np.full(one["n"], one["grid"], np.int32), "k": np.arange(one["n"], dtype=np.int32), "period": 1.0 / frequency}
+    return ids, names, [_band_sums(time[band == b], flux[band == b], err[band == b], frequency) for b in names]
+
+
+def _sum_rows(table: pa.Table) -> pa.Table:
+    ids, names, sums = _grid_sums(table)
+    return pa.concat_tables([pa.table({**ids, "band": [b] * len(ids["k"]), **dict(zip(_SUMS, own, strict=True))}) for b, own in zip(names, sums, strict=True)])
+
+
+def _power_rows(table: pa.Table) -> pa.Table:
+    ids, _, sums = _grid_sums(table)
+    top, all_chi = np.zeros(len(ids["k"])), np.zeros(len(ids["k"]))
+    for own in sums:
+        y, c, s, yy, cc, ss, cs, yc, ys = own[1:] / own[0]
+        vyy, vcc, vss, vcs, vyc, vys = yy - y * y, cc - c * c, ss - s * s, cs - c * s, yc - y * c, ys - y * s
+        d = vcc * vss - vcs * vcs
+        fits = (d > _LEAST_SPREAD) & (vyy > _LEAST_SPREAD)
+        part = (vss * vyc * vyc + vcc * vys * vys - 2 * vcs * vyc * vys) / np.where(fits, vyy * d, 1.0)
+        top += np.where(fits, own[0] * vyy * part, 0.0)
+        all_chi += np.where(fits, own[0] * vyy, 0.0)
+    power = np.where(all_chi > 0, top / np.where(all_chi > 0, all_chi, 1.0), np.nan)
+    return pa.table({**ids, "power": pa.array(power, from_pandas=True)})
+
+
+def grid_powers(obs: DataFrame, grids: DataFrame, chunk: int = 50_000) -> DataFrame:
+    """object_id, grid, k, period and power of each object's own frequency grids (see span_grids).
+
+    A curve is worked on as arrays. One of more than `chunk` points is dealt to several groups, whose
+    sums are added up by Spark: no group grows with the table.
+    """
+    points = obs.where(F.col("flux_err") > 0).select("object_id", "band", "time", "flux", "flux_err", "tie")
+    counts = points.groupBy("object_id").agg(F.count("*").alias("_points"))
+    asked = points.join(grids.join(counts, "object_id"), "object_id")
+    whole = asked.where(F.col("_points") <= chunk).groupBy("object_id", "grid").applyInArrow(_power_rows, f"{_AT}, power double")
+    share = F.pmod(F.xxhash64("tie", "time", "band"), F.ceil(F.col("_points") / chunk))
+    dealt = asked.where(F.col("_points") > chunk).withColumn("_chunk", share).groupBy("object_id", "grid", "_chunk").applyInArrow(_sum_rows, _PART)
+    summed = dealt.groupBy("object_id", "grid", "k", "period", "band").agg(*(F.sum(c).alias(c) for c in _SUMS))
+    return whole.unionByName(_powers(summed, "object_id", "grid", "k", "period"))
+
+
+def span_periodogram(obs: DataFrame, shortest: float = 0.1, oversampling: float = 5.0, chunk: int = 50_000) -> DataFrame:
+    """power per (object_id, period), periods from the shortest to each object's time span."""
+    return grid_powers(obs, span_grids(obs, shortest, oversampling), chunk).select("object_id", "period", "power")
+
+
+def refined(obs: DataFrame, top: DataFrame, oversampling: float = 5.0, zoom: int = 100) -> DataFrame:
+    """object_id, rank, period and score of the peaks (as of top_periods), each searched again between
+    its neighbours of the span's grid, `zoom` times as closely. Peaks keep their rank."""
+    span = obs.where(F.col("flux_err") > 0).groupBy("object_id").agg((F.max("time") - F.min("time")).alias("_span"))
+    step = 1.0 / (oversampling * F.col("_span"))
+    grids = top.join(span, "object_id").select("object_id", F.col("rank").alias("grid"), (1.0 / F.col("period") - step).alias("low"), (step / zoom).alias("step"), F.lit(2 * zoom + 1).alias("n"))
+    found = grid_powers(obs, grids.where("low > 0")).where("power is not null")
+    best = found.groupBy("object_id", F.col("grid").alias("rank")).agg(F.max_by(F.struct("period", "power"), F.struct("power", -F.col("k"))).alias("b"))
+    joined = top.join(best, ["object_id", "rank"], "left")
+    return joined.select("object_id", "rank", F.coalesce("b.period", "period").alias("period"), F.coalesce("b.power", "score").alias("score"))
+
+
+def period_catalogue(meta: DataFrame, powers: DataFrame, k: int = 5) -> DataFrame:
+    """object_id, ddf, target, period1..k, score1..k of every object with metadata."""
+    return catalogue_of(meta, top_periods(powers, k), k)
 
 
-def period_catalogue(obs: DataFrame, meta: DataFrame, grid: DataFrame, k: int = 5) -> DataFrame:
-    """object_id, ddf, target, period1..k, score1..k of every object with metadata."""
-    top = top_periods(periodogram(obs, grid), k)
+def catalogue_of(meta: DataFrame, top: DataFrame, k: int = 5) -> DataFrame:
+    """The catalogue of given top periods."""
     cells = [F.max(F.when(F.col("rank") == i, F.col(c))).alias(f"{c}{i}") for c in ("period", "score") for i in range(1, k + 1)]
     return meta.select("object_id", "ddf", "target").join(top.groupBy("object_id").agg(*cells), "object_id")
 
@@ -70,7 +188,3 @@ def period_report(catalogue: DataFrame, bins: int = 50, positions: Sequence[floa
         report["density"] = density_1d(best, "period", positions, "target")
     return report
 
-
-def ranked(catalogue: DataFrame) -> DataFrame:
-    """Objects of each class by score, best first."""
-    return catalogue.withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score1"), "object_id")))

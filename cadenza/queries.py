@@ -12,8 +12,9 @@ from cadenza.functions.hashing import id_split, uniform
 from cadenza.operators import curves, joins, lookups, stats, windows
 from cadenza.plans import align, features, pairs, periods
 from cadenza.schemas import BandSpec
-from cadenza.sources import tables
-from cadenza.views import EVENT_BANDS, EVENT_WAVELENGTHS, META_SQL, OBS_SQL, PAIRS_SQL, line_curves, metadata, observations, read, vector_pairs
+from cadenza.sources import tables, text
+from cadenza.storage import shared_path
+from cadenza.views import EVENT_BANDS, EVENT_WAVELENGTHS, LINES_SQL, META_SQL, OBS_SQL, PAIRS_SQL, line_curves, metadata, observations, read, vector_pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -89,6 +90,110 @@ def packed_curves(spark, d):
     return back.join(p.select("object_id", "band", F.col("points")[0]["tie"].alias("first_tie")), ["object_id", "band"])
 
 
+def _raw(spark, d):
+    return observations(spark, d).select("object_id", F.col("time").alias("mjd"), "passband", "flux", "flux_err", "detected")
+
+
+_RAW_SQL = WITH(OBS_SQL) + "SELECT object_id, passband, round(time, 6) AS mjd, flux, round(flux_err, 6) AS flux_err, detected FROM obs"
+
+
+@query("observation_csv", WITH(OBS_SQL) + "SELECT object_id, band, round(time, 6) AS time, flux, round(flux_err, 6) AS flux_err, detected FROM obs")
+def observation_csv(spark, d):
+    path = shared_path(spark, "observations")
+    _raw(spark, d).write.option("header", True).csv(path)
+    found = tables.with_bands(tables.read_observations(spark, path), BandSpec("events", EVENT_BANDS))
+    return rounded(found.select("object_id", "band", "time", "flux", "flux_err", "detected"), "time", "flux_err")
+
+
+@query("observation_table", _RAW_SQL)
+def observation_table(spark, d):
+    path = shared_path(spark, "observations")
+    tables.write_table(_raw(spark, d), path)
+    return rounded(tables.open_dataset(spark, "observations", {"observations": path}), "mjd", "flux_err")
+
+
+def _tagged_lines(spark, d):
+    """The observations as lines of tagged files, one file an object, with what such files have besides."""
+    o = observations(spark, d)
+    file = F.concat(F.lit("SN_"), F.col("object_id"), F.lit(".DAT")).alias("file")
+    head = F.array(
+        F.lit("SURVEY: EVENTS"), F.lit("# a comment"), F.concat(F.lit("SNID:   "), F.col("object_id")), F.concat(F.lit("SNTYPE: "), F.col("object_id") % 7, F.lit(" (class)")),
+        F.lit("VARLIST:  MJD FLT FIELD FLUXCAL FLUXCALERR"), F.lit(""), F.lit("DETECTION: 1"), F.lit("END:"),
+    )
+    points = o.select(file, F.concat_ws(" ", F.lit("OBS: "), "time", "band", F.lit("F1"), "flux", "flux_err").alias("value"))
+    return points.unionByName(o.select("object_id").distinct().select(file, F.explode(head).alias("value")))
+
+
+def _truth_lines(spark, d):
+    ids = observations(spark, d).select("object_id").distinct()
+    named = ids.where("object_id % 2 = 0").select(F.concat(F.lit(" SN_"), F.col("object_id"), F.lit(".DAT   "), F.col("object_id") % 5 + 20).alias("value"))
+    return named.unionByName(ids.select(F.concat(F.lit("# no key "), F.col("object_id")).alias("value")))
+
+
+def _supernovae(spark, d):
+    return text.supernova_table(text.supernova_points(_tagged_lines(spark, d)), text.truth_keys(_truth_lines(spark, d)))
+
+
+_TYPE = "CAST(CASE WHEN object_id % 2 = 0 THEN object_id % 5 + 20 ELSE object_id % 7 END AS INTEGER)"
+
+
+@query("truth_keys", WITH(OBS_SQL) + "SELECT DISTINCT 'SN_' || object_id || '.DAT' AS file, CAST(object_id % 5 + 20 AS INTEGER) AS type FROM obs WHERE object_id % 2 = 0")
+def truth_keys(spark, d):
+    return text.truth_keys(_truth_lines(spark, d))
+
+
+@query("supernova_table", WITH(OBS_SQL) + f"SELECT object_id, band, round(time, 6) AS time, flux, round(flux_err, 6) AS flux_err, 1 AS detected, {_TYPE} AS type, 'SN_' || object_id || '.DAT' AS file FROM obs")
+def supernova_table(spark, d):
+    return rounded(_supernovae(spark, d).drop("tie"), "time", "flux_err")
+
+
+@query("supernova_index", WITH(OBS_SQL) + f"SELECT object_id, {_TYPE} AS type, band, CAST(sum(n) OVER (ORDER BY object_id, band) - n AS BIGINT) AS start, CAST(sum(n) OVER (ORDER BY object_id, band) AS BIGINT) AS \"end\" FROM (SELECT object_id, band, count(*) AS n FROM obs GROUP BY 1, 2)")
+def supernova_index(spark, d):
+    return text.supernova_index(_supernovae(spark, d)).drop("file")
+
+
+@query("supernova_lookup", WITH(OBS_SQL) + "SELECT band, count(*) AS n, round(min(time), 6) AS first_time, round(sum(flux), 6) AS flux FROM obs WHERE object_id = 7 GROUP BY 1")
+def supernova_lookup(spark, d):
+    own = text.supernova_lookup(_supernovae(spark, d), 7)
+    total = F.aggregate(F.transform("points", lambda p: p["flux"]), F.lit(0.0), lambda a, x: a + x)
+    return own.select("band", F.size("points").cast("long").alias("n"), F.round(F.col("points")[0]["time"], 6).alias("first_time"), F.round(total, 6).alias("flux"))
+
+
+@query("star_table", WITH(META_SQL) + "SELECT 'S-' || object_id AS \"ID\", segment AS \"Field\", CAST(target AS VARCHAR) AS \"StarID\" FROM meta")
+def star_table(spark, d):
+    path = shared_path(spark, "stars")
+    stars = metadata(spark, d).select(F.concat(F.lit("S-"), F.col("object_id")).alias("ID"), F.col("segment").alias("Field"), F.col("target").alias("StarID"))
+    stars.write.option("header", True).option("sep", "\t").csv(path)
+    return text.read_stars(spark, path)
+
+
+@query(
+    "magnitude_table",
+    WITH(OBS_SQL, META_SQL, "mags AS (SELECT object_id, band, time, 15 + flux / 100 AS mag, flux_err FROM obs WHERE band IN ('click', 'view') AND NOT (band = 'view' AND object_id % 4 = 0))")
+    + "SELECT 'S-' || object_id AS id, band, round(time, 6) AS time, round(1e23 * pow(10, -0.4 * (mag + 48.6)) * 1e6, 6) AS flux, round(flux_err / mag * 1e23 * pow(10, -0.4 * (mag + 48.6)) * 1e6, 6) AS flux_err, segment AS \"Field\" FROM mags JOIN meta USING (object_id) WHERE object_id IN (SELECT object_id FROM mags GROUP BY 1 HAVING count(DISTINCT band) = 2)",
+)
+def magnitude_table(spark, d):
+    o = observations(spark, d).where("not (band = 'view' and object_id % 4 = 0)")
+    file = F.concat(F.lit("S-"), F.col("object_id"), F.lit(".dat"))
+    lines = o.select(F.concat_ws(" ", "time", 15 + F.col("flux") / 100, "flux_err").alias("value"), file.alias("file"), F.concat(F.lit("/survey/"), F.col("band"), F.lit("/"), file).alias("path"))
+    stars = metadata(spark, d).select(F.concat(F.lit("S-"), F.col("object_id")).alias("ID"), F.col("segment").alias("Field"))
+    found = text.magnitude_table(text.magnitude_points(lines, ("click", "view")), stars, ("Field",))
+    return found.select("id", "band", F.round("time", 6).alias("time"), F.round(F.col("flux") * 1e6, 6).alias("flux"), F.round(F.col("flux_err") * 1e6, 6).alias("flux_err"), "Field")
+
+
+@query("checked_curves", WITH(LINES_SQL) + "SELECT CAST(object_id AS VARCHAR) AS name, round(time, 6) AS time, flux AS value, round(flux_err, 6) AS error FROM obs")
+def checked_curves(spark, d):
+    named = line_curves(spark, d).select(F.col("object_id").cast("string").alias("name"), "time", F.col("flux").alias("value"), F.col("flux_err").alias("error"))
+    return rounded(tables.checked_curves(named), "time", "error")
+
+
+@query("sorted_source", WITH(OBS_SQL) + "SELECT object_id AS source_id, tie, row_number() OVER (ORDER BY object_id, time) - 1 AS pos, (SELECT count(*) FROM obs b WHERE b.object_id < a.object_id) AS min_row, (SELECT count(*) - 1 FROM obs b WHERE b.object_id <= a.object_id) AS max_row FROM obs a")
+def sorted_source(spark, d):
+    rows = observations(spark, d).select(F.col("object_id").alias("source_id"), "time", "flux", F.col("flux_err").alias("flux_error"), "tie")
+    placed, index = tables.sorted_source(rows)
+    return placed.join(index, "source_id").select("source_id", "tie", "pos", "min_row", "max_row")
+
+
 # ---------------------------------------------------------------- projections and filters
 @query("mag_to_flux", WITH(OBS_SQL) + "SELECT tie, round(flux, 6) AS mag, round(1e23 * pow(10, -0.4 * (flux + 48.6)) * 1000, 6) AS flux, round(flux_err / flux * 1e23 * pow(10, -0.4 * (flux + 48.6)) * 1000, 6) AS flux_err FROM obs WHERE flux > 5")
 def mag_to_flux(spark, d):
@@ -132,9 +237,17 @@ def before_after_time(spark, d):
     return both.na.fill(0)
 
 
-@query("band_set_validation", WITH(OBS_SQL) + "SELECT object_id, array_to_string(list_sort(list(DISTINCT band)), ',') AS bands FROM obs WHERE time < 2 GROUP BY 1 HAVING count(DISTINCT band) <> 5")
+#: Every three days of an object as an object of its own, so that some lack a band.
+_STRETCHES_SQL = "(SELECT object_id * 1000 + CAST(floor(time / 3) AS BIGINT) AS object_id, band FROM obs)"
+
+
+def _stretches(spark, d):
+    return observations(spark, d).withColumn("object_id", F.col("object_id") * 1000 + F.floor(F.col("time") / 3))
+
+
+@query("band_set_validation", WITH(OBS_SQL) + "SELECT object_id, array_to_string(list_sort(list(DISTINCT band)), ',') AS bands FROM " + _STRETCHES_SQL + " GROUP BY 1 HAVING count(DISTINCT band) <> 5")
 def band_set_validation(spark, d):
-    return curves.band_mismatches(observations(spark, d).where("time < 2"), EVENT_BANDS).select("object_id", F.array_join("bands", ",").alias("bands"))
+    return curves.band_mismatches(_stretches(spark, d), EVENT_BANDS).select("object_id", F.array_join("bands", ",").alias("bands"))
 
 
 @query("duplicate_points", WITH("obs AS (SELECT l_suppkey AS object_id, l_returnflag AS band, l_shipdate FROM lineitem)") + "SELECT object_id, band, count(*) AS n_times, CAST(sum(n) AS BIGINT) AS n_points FROM (SELECT object_id, band, l_shipdate, count(*) AS n FROM obs GROUP BY 1, 2, 3 HAVING count(*) > 1) GROUP BY 1, 2")
@@ -174,6 +287,14 @@ def detected_split(spark, d):
     return o.groupBy("object_id", "band").agg(F.count_if(F.col("detected") == 1).alias("n_detected"), F.count_if(F.col("detected") == 0).alias("n_undetected"))
 
 
+@query("detected_default", WITH(OBS_SQL) + "SELECT tie, CASE WHEN tie % 3 = 0 THEN 1 ELSE detected END AS detected, 1 AS absent FROM obs")
+def detected_default(spark, d):
+    o = observations(spark, d)
+    some = curves.with_detected(o.withColumn("detected", F.when(F.col("tie") % 3 != 0, F.col("detected"))))
+    none = curves.with_detected(o.drop("detected")).select("tie", F.col("detected").alias("absent"))
+    return some.select("tie", "detected").join(none, "tie")
+
+
 @query("one_band", WITH(OBS_SQL) + "SELECT object_id, tie, round(time, 6) AS time, flux FROM obs WHERE band = 'purchase' AND detected = 1")
 def one_band(spark, d):
     return rounded(curves.detected_points(curves.one_band(observations(spark, d), "purchase")).select("object_id", "tie", "time", "flux"), "time")
@@ -182,7 +303,7 @@ def one_band(spark, d):
 # ---------------------------------------------------------------- lookups
 @query("lookup_by_id", WITH(OBS_SQL) + "SELECT object_id, band, tie, round(time, 6) AS time, flux FROM obs WHERE object_id = 7")
 def lookup_by_id(spark, d):
-    return rounded(lookups.curve(observations(spark, d), 7).select("object_id", "band", "tie", "time", "flux"), "time")
+    return rounded(lookups.curve(observations(spark, d), 7, missing="error").select("object_id", "band", "tie", "time", "flux"), "time")
 
 
 @query("lookup_by_target", WITH(OBS_SQL, META_SQL) + "SELECT object_id, band, tie, flux FROM obs WHERE object_id IN (SELECT object_id FROM meta WHERE target = 3)")
@@ -285,26 +406,26 @@ def band_region_join(spark, d):
 @query(
     "band_coverage_histogram",
     WITH(OBS_SQL, "t AS (SELECT DISTINCT object_id, time AS request_time FROM obs)")
-    + "SELECT radius, n_bands, count(*) AS n_times FROM (SELECT CAST(r AS DOUBLE) AS radius, a.object_id, a.request_time, CAST(count(DISTINCT o.band) AS INTEGER) AS n_bands FROM t a, (VALUES (1), (2), (4), (8)) AS v(r), obs o WHERE o.object_id = a.object_id AND a.request_time - r < o.time AND o.time < a.request_time + r GROUP BY 1, 2, 3) GROUP BY 1, 2",
+    + "SELECT radius, n_bands, count(*) AS n_times FROM (SELECT CAST(r AS DOUBLE) AS radius, a.object_id, a.request_time, CAST(count(DISTINCT o.band) AS INTEGER) AS n_bands FROM t a, (VALUES (1), (2), (4), (8), (16), (32), (64), (128)) AS v(r), obs o WHERE o.object_id = a.object_id AND a.request_time - r < o.time AND o.time < a.request_time + r GROUP BY 1, 2, 3) GROUP BY 1, 2",
 )
 def band_coverage_histogram(spark, d):
-    return joins.coverage(observations(spark, d), (1.0, 2.0, 4.0, 8.0))
+    return joins.coverage(observations(spark, d), [2.0**i for i in range(8)])
 
 
 _RANKED = f"""ranked AS (SELECT target, object_id, row_number() OVER (PARTITION BY target ORDER BY {U(SEED, 'object_id')}, object_id) - 1 AS pos, count(*) OVER (PARTITION BY target) AS n FROM meta WHERE target IS NOT NULL),
 classes AS (SELECT target, row_number() OVER (ORDER BY target) - 1 AS c, count(*) OVER () AS k FROM (SELECT DISTINCT target FROM ranked))"""
 
 
-def _drawn(n: int) -> str:
+def _drawn(n: str = "SELECT count(*) FROM meta") -> str:
     return f"""drawn AS (SELECT pair_id, cl, (cl + 1 + CAST(floor({U(SEED, "'r'", 'pair_id')} * (k - 1)) AS BIGINT)) % k AS cr FROM (
-  SELECT pair_id, k, CAST(floor({U(SEED, "'l'", 'pair_id')} * k) AS BIGINT) AS cl FROM range({n}) AS r(pair_id), (SELECT max(k) AS k FROM classes))),
+  SELECT pair_id, k, CAST(floor({U(SEED, "'l'", 'pair_id')} * k) AS BIGINT) AS cl FROM (SELECT unnest(range(n)) AS pair_id FROM (SELECT ({n}) AS n)), (SELECT max(k) AS k FROM classes))),
 used AS (SELECT pair_id, side, c, row_number() OVER (PARTITION BY c ORDER BY pair_id, side) - 1 AS use FROM (SELECT pair_id, 'left' AS side, cl AS c FROM drawn UNION ALL SELECT pair_id, 'right', cr FROM drawn)),
 chosen AS (SELECT u.pair_id, u.side, r.object_id, r.target FROM used u JOIN classes USING (c) JOIN ranked r ON r.target = classes.target AND r.pos = u.use % r.n)"""
 
 
-@query("negative_pairs", WITH(OBS_SQL, META_SQL, _RANKED, _drawn(500)) + "SELECT pair_id, max(object_id) FILTER (WHERE side = 'left') AS left_id, max(object_id) FILTER (WHERE side = 'right') AS right_id, max(target) FILTER (WHERE side = 'left') AS left_target, max(target) FILTER (WHERE side = 'right') AS right_target FROM chosen GROUP BY 1")
+@query("negative_pairs", WITH(OBS_SQL, META_SQL, _RANKED, _drawn()) + "SELECT pair_id, max(object_id) FILTER (WHERE side = 'left') AS left_id, max(object_id) FILTER (WHERE side = 'right') AS right_id, max(target) FILTER (WHERE side = 'left') AS left_target, max(target) FILTER (WHERE side = 'right') AS right_target FROM chosen GROUP BY 1")
 def negative_pairs(spark, d):
-    return joins.different_class_pairs(metadata(spark, d), 500, SEED)
+    return joins.different_class_pairs(metadata(spark, d), None, SEED)
 
 
 @query("same_class_pairs", WITH(META_SQL) + "SELECT a.target, a.object_id AS left_id, b.object_id AS right_id FROM meta a JOIN meta b ON a.target = b.target AND a.object_id <> b.object_id")
@@ -399,6 +520,15 @@ def cutoff_percentiles(spark, d):
     return cuts.select("band", *(F.round(F.col("cutoffs")[i], 6).alias(f"c{i}") for i in range(8)))
 
 
+@query("cutoff_file", WITH(OBS_SQL, _grid_sql(8, 8, "flux", "band", "obs"), "scales AS (SELECT band, median(step) AS median_scale FROM (SELECT band, unnest([cutoffs[i + 1] - cutoffs[i] FOR i IN range(1, 8)]) AS step FROM cuts) GROUP BY 1)") + f"SELECT band, 'flux' AS \"column\", round(median_scale, 6) AS median_scale, {_CUT_COLUMNS} FROM cuts JOIN scales USING (band)")
+def cutoff_file(spark, d):
+    cuts = stats.percentile_cutoffs(observations(spark, d), 8, "band", value="flux")
+    model = cuts.join(stats.cutoff_scales(cuts, "band"), "band").withColumn("column", F.lit("flux"))
+    path = shared_path(spark, "cutoffs")
+    tables.write_cutoffs(model, path)
+    return tables.read_cutoffs(spark, path).select("band", "column", F.round("median_scale", 6).alias("median_scale"), *(F.round(F.col("cutoffs")[i], 6).alias(f"c{i}") for i in range(8)))
+
+
 @query("cutoff_scale", WITH(OBS_SQL, _grid_sql(8, 8, "flux", "band", "obs")) + "SELECT band, round(median(step), 6) AS median_scale FROM (SELECT band, unnest([cutoffs[i + 1] - cutoffs[i] FOR i IN range(1, 8)]) AS step FROM cuts) GROUP BY 1")
 def cutoff_scale(spark, d):
     return rounded(stats.cutoff_scales(stats.percentile_cutoffs(observations(spark, d), 8, "band", value="flux"), "band"), "median_scale")
@@ -420,11 +550,11 @@ def kde_1d(spark, d):
 
 @query(
     "kde_2d",
-    WITH(OBS_SQL, "s AS (SELECT count(*) AS n, min(time) AS la, max(time) AS ha, min(flux) AS lb, max(flux) AS hb, var_samp(time) * pow(count(*), -1.0 / 3) AS caa, var_samp(flux) * pow(count(*), -1.0 / 3) AS cbb, covar_samp(time, flux) * pow(count(*), -1.0 / 3) AS cab FROM obs)", "g AS (SELECT CAST(i AS INTEGER) AS ia, CAST(j AS INTEGER) AS ib, la + (ha - la) * i / 19 AS xa, lb + (hb - lb) * j / 19 AS xb, caa, cbb, cab, n FROM range(20) AS a(i), range(20) AS b(j), s)")
+    WITH(OBS_SQL, "s AS (SELECT count(*) AS n, min(time) AS la, max(time) AS ha, min(flux) AS lb, max(flux) AS hb, var_samp(time) * pow(count(*), -1.0 / 3) AS caa, var_samp(flux) * pow(count(*), -1.0 / 3) AS cbb, covar_samp(time, flux) * pow(count(*), -1.0 / 3) AS cab FROM obs)", "g AS (SELECT CAST(i AS INTEGER) AS ia, CAST(j AS INTEGER) AS ib, la + (ha - la) * i / 99 AS xa, lb + (hb - lb) * j / 99 AS xb, caa, cbb, cab, n FROM range(100) AS a(i), range(100) AS b(j), s)")
     + "SELECT ia, ib, round(sum(exp(-0.5 * (cbb * pow(xa - time, 2) - 2 * cab * (xa - time) * (xb - flux) + caa * pow(xb - flux, 2)) / (caa * cbb - cab * cab))) / (max(n) * 2 * pi() * sqrt(max(caa * cbb - cab * cab))), 8) AS density FROM obs, g GROUP BY 1, 2",
 )
 def kde_2d(spark, d):
-    return rounded(stats.density_2d(observations(spark, d), "time", "flux", 20).drop("xa", "xb"), "density", digits=8)
+    return rounded(stats.density_2d(observations(spark, d), "time", "flux", 100).drop("xa", "xb"), "density", digits=8)
 
 
 # ---------------------------------------------------------------- pair scores
@@ -486,6 +616,11 @@ def match_values(spark, d):
     return rounded(stats.match_values(_scored(spark, d), "left_label", "right_label", "score"), "mean", "least", "most")
 
 
+@query("match_lists", WITH(PAIRS_SQL, _SCORED, "m AS (SELECT s.pair_id, s.score, l.label AS a, r.label AS b FROM scored s JOIN embeddings l ON l.vec_id = 2 * s.pair_id JOIN embeddings r ON r.vec_id = 2 * s.pair_id + 1)") + "SELECT CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE 'mismatch' END AS \"match\", pair_id, round(score, 6) AS score FROM m")
+def match_lists(spark, d):
+    return rounded(stats.match_lists(_scored(spark, d), "left_label", "right_label", "pair_id", "score"), "score")
+
+
 # ---------------------------------------------------------------- windows
 _FRAMES = f"""framed AS (SELECT *, list(time) OVER b AS bt, list(flux) OVER b AS bf, list(time) OVER a AS ta, list(flux) OVER a AS fa FROM obs
   WINDOW b AS (PARTITION BY object_id, band ORDER BY time, tie ROWS BETWEEN {N} PRECEDING AND 1 PRECEDING), a AS (PARTITION BY object_id, band ORDER BY time, tie ROWS BETWEEN 1 FOLLOWING AND {N} FOLLOWING)),
@@ -507,6 +642,19 @@ def window_before_after(spark, d):
     return windows.surroundings(observations(spark, d), N).select("tie", "before_padding", "after_padding", *_cell_columns())
 
 
+_TIED = """placed AS (SELECT *, row_number() OVER (PARTITION BY object_id, band ORDER BY time, tie) AS pos FROM obs),
+moments AS (SELECT object_id, band, time, min(pos) AS lo, max(pos) AS hi FROM placed GROUP BY 1, 2, 3),
+near_by AS (SELECT m.object_id, m.band, m.time, count(*) FILTER (WHERE p.pos < lo) AS n_before, count(*) FILTER (WHERE p.pos > hi) AS n_after, coalesce(sum(p.flux) FILTER (WHERE p.pos < lo), 0) AS before_sum, coalesce(sum(p.flux) FILTER (WHERE p.pos > hi), 0) AS after_sum
+  FROM moments m LEFT JOIN placed p ON p.object_id = m.object_id AND p.band = m.band AND (p.pos BETWEEN lo - 3 AND lo - 1 OR p.pos BETWEEN hi + 1 AND hi + 3) GROUP BY 1, 2, 3)"""
+
+
+@query("window_ties", WITH(LINES_SQL, _TIED) + "SELECT o.tie, CAST(3 - n_before AS INTEGER) AS before_padding, CAST(3 - n_after AS INTEGER) AS after_padding, round(before_sum, 4) AS before_sum, round(after_sum, 4) AS after_sum FROM obs o JOIN near_by USING (object_id, band, time)")
+def window_ties(spark, d):
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 4)
+    w = windows.surroundings(line_curves(spark, d), 3)
+    return w.select("tie", "before_padding", "after_padding", total("before_flux").alias("before_sum"), total("after_flux").alias("after_sum"))
+
+
 _DIFFS = "diffs AS (SELECT *, time - lag(time) OVER w AS dt, flux - lag(flux) OVER w AS df FROM obs WINDOW w AS (PARTITION BY object_id, band ORDER BY time, tie))"
 
 
@@ -548,12 +696,12 @@ def run_index(spark, d):
     return windows.run_index(placed, "o_orderkey")
 
 
-@query("index_slices", WITH(OBS_SQL) + "SELECT object_id, count(*) AS n FROM obs WHERE object_id < 5 GROUP BY 1")
+@query("index_slices", WITH(OBS_SQL) + "SELECT object_id, n, CAST(sum(n) OVER (ORDER BY object_id) - n AS BIGINT) AS first_pos, CAST(sum(n) OVER (ORDER BY object_id) - 1 AS BIGINT) AS last_pos FROM (SELECT object_id, count(*) AS n FROM obs GROUP BY 1)")
 def index_slices(spark, d):
     o = observations(spark, d)
-    index = windows.range_index(o, "object_id").where("object_id < 5")
     points = lookups.numbered(o.select("object_id", "tie"), "object_id", "tie").select("pos", "tie")
-    return lookups.slice_of(points, F.broadcast(index)).groupBy("object_id").agg(F.count("*").alias("n"))
+    sliced = lookups.slice_of(points, windows.range_index(o, "object_id"))
+    return sliced.groupBy("object_id").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
 def _rotation(source: str) -> str:
@@ -591,14 +739,9 @@ def class_set_algebra(spark, d):
     return joined.select("object_id", "target", (F.col("first") | F.col("second")).alias("in_any"), (F.col("first") & F.col("second")).alias("in_both"), (F.col("first") & ~F.col("second")).alias("only_first"))
 
 
-@query("ids_in_all_bands", WITH(OBS_SQL) + "SELECT object_id FROM obs WHERE time < 3 GROUP BY 1 HAVING count(DISTINCT band) = 5")
+@query("ids_in_all_bands", WITH(OBS_SQL) + "SELECT object_id FROM " + _STRETCHES_SQL + " GROUP BY 1 HAVING count(DISTINCT band) = 5")
 def ids_in_all_bands(spark, d):
-    o = observations(spark, d).where("time < 3")
-    found = None
-    for b in EVENT_BANDS:
-        one = curves.one_band(o, b).select("object_id")
-        found = one if found is None else found.intersect(one)
-    return found.distinct()
+    return lookups.ids_in_every_band(_stretches(spark, d), EVENT_BANDS)
 
 
 @query("id_split", "SELECT c_custkey AS object_id, " + _SPLIT.format(key="c_custkey") + " AS split FROM customer")
@@ -655,6 +798,12 @@ def dflux_dt(spark, d):
     return w.select("object_id", "band", F.round("request_time", 6).alias("request_time"), *(F.round(F.col("v")[i], 5).alias(f"s{i}") for i in range(2 * N)))
 
 
+@query("initial_layer", WITH(*_ALL) + "SELECT object_id, band, round(request_time, 6) AS request_time, " + ", ".join(f"round({c}[{i + 1}], 5) AS {c}_{i}" for i in (0, 2 * N - 1) for c in features.COLUMNS) + " FROM layer")
+def initial_layer(spark, d):
+    w = _windows(spark, d).withColumn("layer", C.initial_layer(F.col("dflux"), F.col("dtime")))
+    return w.select("object_id", "band", F.round("request_time", 6).alias("request_time"), *(F.round(F.col("layer")[i][j], 5).alias(f"{c}_{i}") for i in (0, 2 * N - 1) for j, c in enumerate(features.COLUMNS)))
+
+
 @query("soft_onehot", WITH(OBS_SQL) + "SELECT tie, " + ", ".join(f"round(1 / (1 + exp(-(flux - {c}.0) / 25.0)), 6) AS b{i}, round(exp(-pow((flux - {c}.0) / 25.0, 2)), 6) AS g{i}" for i, c in enumerate((0, 50, 100, 200))) + " FROM obs")
 def soft_onehot(spark, d):
     cut, scale = F.array(*(F.lit(float(x)) for x in (0, 50, 100, 200))), F.lit(25.0)
@@ -758,9 +907,9 @@ def subsample_pairs(spark, d):
 _NEGATIVE = f"negative AS (SELECT pair_id, side, object_id, target, arg_min(time, u) AS time FROM (SELECT c.*, o.time, {U(SEED, 'pair_id', 'side', 'CAST(round(o.time * 1e6) AS BIGINT)')} AS u FROM chosen c JOIN (SELECT DISTINCT object_id, time FROM obs) o USING (object_id)) GROUP BY 1, 2, 3, 4)"
 
 
-@query("negative_pair_times", WITH(OBS_SQL, META_SQL, _RANKED, _drawn(300), _NEGATIVE) + "SELECT pair_id, side, object_id, target, round(time, 6) AS time FROM negative")
+@query("negative_pair_times", WITH(OBS_SQL, META_SQL, _RANKED, _drawn(), _NEGATIVE) + "SELECT pair_id, side, object_id, target, round(time, 6) AS time FROM negative")
 def negative_pair_times(spark, d):
-    return rounded(pairs.negative_pairs(observations(spark, d), metadata(spark, d), 300, SEED), "time")
+    return rounded(pairs.negative_pairs(observations(spark, d), metadata(spark, d), None, SEED), "time")
 
 
 _PAIR_FEATURES = f"""pframed AS (SELECT p.*, list(flux) OVER b AS bf, list(flux) OVER a AS af FROM (SELECT n.pair_id, n.side, o.band, o.time, o.flux, o.tie, n.time AS request_time FROM negative n JOIN obs o USING (object_id)) p
@@ -768,24 +917,37 @@ _PAIR_FEATURES = f"""pframed AS (SELECT p.*, list(flux) OVER b AS bf, list(flux)
 pnear AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side, band ORDER BY abs(time - request_time), time, tie) AS nth FROM pframed)"""
 
 
-@query("pair_features", WITH(OBS_SQL, META_SQL, _RANKED, _drawn(300), _NEGATIVE, _PAIR_FEATURES) + f"SELECT pair_id, side, band, 0 AS label, round(time, 6) AS closest_time_in_band, flux AS closest_flux_in_band, CAST({N} - coalesce(len(bf), 0) AS INTEGER) AS before_padding, CAST({N} - coalesce(len(af), 0) AS INTEGER) AS after_padding, round(coalesce(list_sum(bf), 0), 6) AS before_sum, round(coalesce(list_sum(af), 0), 6) AS after_sum FROM pnear WHERE nth = 1")
+@query("pair_features", WITH(OBS_SQL, META_SQL, _RANKED, _drawn(), _NEGATIVE, _PAIR_FEATURES) + f"SELECT pair_id, side, band, 0 AS label, round(time, 6) AS closest_time_in_band, flux AS closest_flux_in_band, CAST({N} - coalesce(len(bf), 0) AS INTEGER) AS before_padding, CAST({N} - coalesce(len(af), 0) AS INTEGER) AS after_padding, round(coalesce(list_sum(bf), 0), 6) AS before_sum, round(coalesce(list_sum(af), 0), 6) AS after_sum FROM pnear WHERE nth = 1")
 def pair_features(spark, d):
-    f = pairs.negative_features(observations(spark, d), metadata(spark, d), 300, N, EVENT_BANDS, SEED)
+    f = pairs.negative_features(observations(spark, d), metadata(spark, d), None, N, EVENT_BANDS, SEED)
     total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 6)
     return f.where("closest_time_in_band is not null").select("pair_id", "side", "band", "label", F.round("closest_time_in_band", 6).alias("closest_time_in_band"), "closest_flux_in_band", "before_padding", "after_padding", total("before_flux").alias("before_sum"), total("after_flux").alias("after_sum"))
 
 
-@query("lr_pivot", WITH(OBS_SQL, META_SQL, _RANKED, _drawn(300), _NEGATIVE) + "SELECT pair_id, max(target) FILTER (WHERE side = 'left') AS left_target, max(target) FILTER (WHERE side = 'right') AS right_target, round(max(time) FILTER (WHERE side = 'left'), 6) AS left_time, round(max(time) FILTER (WHERE side = 'right'), 6) AS right_time FROM negative GROUP BY 1")
+@query("lr_pivot", WITH(OBS_SQL, META_SQL, _RANKED, _drawn(), _NEGATIVE) + "SELECT pair_id, max(target) FILTER (WHERE side = 'left') AS left_target, max(target) FILTER (WHERE side = 'right') AS right_target, round(max(time) FILTER (WHERE side = 'left'), 6) AS left_time, round(max(time) FILTER (WHERE side = 'right'), 6) AS right_time FROM negative GROUP BY 1")
 def lr_pivot(spark, d):
-    n = pairs.negative_pairs(observations(spark, d), metadata(spark, d), 300, SEED)
-    side = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{s}_{c}")
-    return rounded(n.groupBy("pair_id").agg(*(side(s, c) for c in ("target", "time") for s in ("left", "right"))), "left_time", "right_time")
+    n = pairs.negative_pairs(observations(spark, d), metadata(spark, d), None, SEED)
+    return rounded(features.left_right(n, ("target", "time"), "pair_id"), "left_time", "right_time")
+
 
+_TRAIN_META = META_SQL[:-1] + " AND " + _SPLIT.format(key="c_custkey") + " = 'TRAIN')"
+_BOTH_KINDS = f"""kinds AS (SELECT 0 AS label, n.pair_id, n.side, o.band, o.time, o.flux, o.tie, n.time AS request_time FROM negative n JOIN obs o USING (object_id)
+  UNION ALL SELECT 1, object_id, side, band, time, flux, tie, pair_time FROM cut WHERE (near OR nth <= k) AND object_id IN (SELECT object_id FROM meta)),
+kframed AS (SELECT *, list(flux) OVER b AS bf, list(flux) OVER a AS af FROM kinds
+  WINDOW b AS (PARTITION BY label, pair_id, side, band ORDER BY time, tie ROWS BETWEEN {N} PRECEDING AND 1 PRECEDING), a AS (PARTITION BY label, pair_id, side, band ORDER BY time, tie ROWS BETWEEN 1 FOLLOWING AND {N} FOLLOWING)),
+knear AS (SELECT *, row_number() OVER (PARTITION BY label, pair_id, side, band ORDER BY abs(time - request_time), time, tie) AS nth FROM kframed)"""
 
-@query("training_set", WITH(META_SQL, "ids AS (SELECT object_id FROM meta WHERE " + _SPLIT.format(key="object_id") + " = 'TRAIN')") + "SELECT label, side, band, count(*) AS n FROM (SELECT * FROM (VALUES (0), (1)) AS l(label), (VALUES ('left'), ('right')) AS s(side), (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) AS b(band)), ids GROUP BY 1, 2, 3")
+
+@query(
+    "training_set",
+    WITH(OBS_SQL, _TRAIN_META, _RANKED, _drawn(), _NEGATIVE, _MADE, _SAMPLED.replace("n * 0.5", "n * 0.7"), _BOTH_KINDS)
+    + f"SELECT label, side, band, count(*) AS n, CAST(sum({N} - coalesce(len(bf), 0)) AS BIGINT) AS before_padding, CAST(sum({N} - coalesce(len(af), 0)) AS BIGINT) AS after_padding, round(sum(time), 3) AS times, round(sum(flux), 3) AS fluxes, round(sum(coalesce(list_sum(bf), 0)), 3) AS before_sum, round(sum(coalesce(list_sum(af), 0)), 3) AS after_sum FROM knear WHERE nth = 1 GROUP BY 1, 2, 3",
+)
 def training_set(spark, d):
-    rows = pairs.training_set(observations(spark, d), metadata(spark, d), N, EVENT_BANDS, SEED)
-    return rows.groupBy("label", "side", "band").agg(F.count("*").alias("n"))
+    rows = pairs.training_set(observations(spark, d), metadata(spark, d), N, EVENT_BANDS, SEED).where("closest_time_in_band is not null")
+    total = lambda c: F.sum(F.aggregate(c, F.lit(0.0), lambda a, x: a + x))
+    sums = {"times": F.sum("closest_time_in_band"), "fluxes": F.sum("closest_flux_in_band"), "before_sum": total("before_flux"), "after_sum": total("after_flux")}
+    return rows.groupBy("label", "side", "band").agg(F.count("*").alias("n"), F.sum("before_padding").alias("before_padding"), F.sum("after_padding").alias("after_padding"), *(F.round(x, 3).alias(c) for c, x in sums.items()))
 
 
 _REGULAR = """gaps AS (SELECT *, time - lag(time) OVER (PARTITION BY object_id, band ORDER BY time, tie) AS dt FROM thin),
@@ -804,7 +966,7 @@ def regular_windows(spark, d):
 
 _WINDOW_PAIRS = f"""wcurves AS (SELECT object_id, band, n_windows, row_number() OVER (ORDER BY object_id, band) - 1 AS c, count(*) OVER () AS k FROM (SELECT object_id, band, count(*) AS n_windows FROM starts GROUP BY 1, 2)),
 wdrawn AS (SELECT pair_id, label, lc, CASE WHEN label = 1 THEN lc ELSE (lc + 1 + CAST(floor({U(SEED, chr(39) + 'other' + chr(39), 'pair_id')} * greatest(k - 1, 1)) AS BIGINT)) % k END AS rc FROM (
-  SELECT pair_id, CAST(pair_id < 200 AS INTEGER) AS label, k, CAST(floor({U(SEED, chr(39) + 'curve' + chr(39), 'pair_id')} * k) AS BIGINT) AS lc FROM range(400) AS r(pair_id), (SELECT max(k) AS k FROM wcurves))),
+  SELECT pair_id, CAST(pair_id < k AS INTEGER) AS label, k, CAST(floor({U(SEED, chr(39) + 'curve' + chr(39), 'pair_id')} * k) AS BIGINT) AS lc FROM (SELECT unnest(range(2 * k)) AS pair_id, k FROM (SELECT max(k) AS k FROM wcurves)))),
 wsides AS (SELECT pair_id, label, side, c.object_id, c.band, CAST(floor({U(SEED, chr(39) + 'window' + chr(39), 'pair_id', 'side')} * n_windows) AS BIGINT) AS w FROM (SELECT pair_id, label, 'left' AS side, lc AS c FROM wdrawn UNION ALL SELECT pair_id, label, 'right', rc FROM wdrawn) s JOIN wcurves c USING (c)),
 wranked AS (SELECT *, row_number() OVER (PARTITION BY object_id, band ORDER BY pos) - 1 AS w FROM starts),
 wpairs AS (SELECT s.pair_id, s.label, s.side, r.pts FROM wsides s JOIN wranked r USING (object_id, band, w)),
@@ -813,13 +975,13 @@ wslopes AS (SELECT pair_id, label, side, [coalesce((pts[i + 1].f - pts[i].f) / n
 
 @query("contiguous_window_pairs", WITH(OBS_SQL, _THIN.format(rate=_RATE), _REGULAR, _WINDOW_PAIRS) + "SELECT pair_id, label, max(pts[1].f) FILTER (WHERE side = 'left') AS left_f0, max(pts[1].f) FILTER (WHERE side = 'right') AS right_f0 FROM wpairs GROUP BY 1, 2")
 def contiguous_window_pairs(spark, d):
-    p = pairs.window_pairs(pairs.regular_windows(observations(spark, d), 3, _RATE), 200, SEED)
+    p = pairs.window_pairs(pairs.regular_windows(observations(spark, d), 3, _RATE), None, SEED)
     return p.select("pair_id", "label", F.col("left")[0]["flux"].alias("left_f0"), F.col("right")[0]["flux"].alias("right_f0"))
 
 
 @query("window_slope_similarity", WITH(OBS_SQL, _THIN.format(rate=_RATE), _REGULAR, _WINDOW_PAIRS) + "SELECT l.pair_id, l.label, round(list_dot_product(l.v, r.v) / nullif(sqrt(list_dot_product(l.v, l.v)) * sqrt(list_dot_product(r.v, r.v)), 0), 6) AS cosine FROM wslopes l JOIN wslopes r USING (pair_id) WHERE l.side = 'left' AND r.side = 'right'")
 def window_slope_similarity(spark, d):
-    return rounded(pairs.slope_similarity(pairs.window_pairs(pairs.regular_windows(observations(spark, d), 3, _RATE), 200, SEED)), "cosine")
+    return rounded(pairs.slope_similarity(pairs.window_pairs(pairs.regular_windows(observations(spark, d), 3, _RATE), None, SEED)), "cosine")
 
 
 # ---------------------------------------------------------------- alignment
@@ -851,9 +1013,8 @@ def align_grid(spark, d):
 
 @query("align_matrix", WITH(OBS_SQL, META_SQL, _GRID_SQL, _costs_sql("SELECT a.object_id * 1000000 + b.object_id AS pair_id, a.object_id AS left_id, b.object_id AS right_id, a.target AS lt, b.target AS rt FROM meta a JOIN meta b ON a.object_id <> b.object_id AND a.target = b.target")) + "SELECT left_id, right_id, lt AS target, candidate, round(arc_length, 6) AS arc_length FROM best JOIN apairs USING (pair_id)")
 def align_matrix(spark, d):
-    same = joins.same_class_pairs(metadata(spark, d)).withColumn("pair_id", F.col("left_id") * 1000000 + F.col("right_id"))
-    found = align.align_grid(same, observations(spark, d), align.candidate_grid(spark, **_GRID))
-    return rounded(same.join(found, "pair_id").select("left_id", "right_id", "target", "candidate", "arc_length"), "arc_length")
+    found = align.alignment_matrix(metadata(spark, d), observations(spark, d), align.candidate_grid(spark, **_GRID), same_class=True)
+    return rounded(found.select("left_id", "right_id", F.col("left_target").alias("target"), "candidate", "arc_length"), "arc_length")
 
 
 @query("align_simplex")
@@ -867,20 +1028,20 @@ def stack_class(spark, d):
 
 
 # ---------------------------------------------------------------- periods
-_PERIODS = periods.frequency_periods(1.5, 15.0, 40)
-_POWER = f"""grid AS (SELECT unnest([{', '.join(map(repr, _PERIODS))}]) AS period),
-sums AS (SELECT object_id, period, band, sum(w) AS w, sum(w*y)/sum(w) AS y, sum(w*c)/sum(w) AS c, sum(w*s)/sum(w) AS s, sum(w*y*y)/sum(w) AS yy, sum(w*c*c)/sum(w) AS cc, sum(w*s*s)/sum(w) AS ss, sum(w*c*s)/sum(w) AS cs, sum(w*y*c)/sum(w) AS yc, sum(w*y*s)/sum(w) AS ys
-  FROM (SELECT object_id, band, period, 1/(flux_err*flux_err) AS w, flux AS y, cos(2*pi()*time/period) AS c, sin(2*pi()*time/period) AS s FROM obs, grid) GROUP BY 1, 2, 3),
+_POWER = """grid AS (SELECT object_id, low, step, CAST(floor((1 / 0.1::DOUBLE - low) / step) AS BIGINT) + 1 AS n FROM (SELECT object_id, 1 / span AS low, 1 / (5.0::DOUBLE * span) AS step FROM (SELECT object_id, max(time) - min(time) AS span FROM obs GROUP BY 1) WHERE span > 0.1)),
+freqs AS (SELECT object_id, low + step * k AS f FROM (SELECT object_id, low, step, unnest(range(n)) AS k FROM grid)),
+sums AS (SELECT object_id, 1 / f AS period, band, sum(w) AS w, sum(w*y)/sum(w) AS y, sum(w*c)/sum(w) AS c, sum(w*s)/sum(w) AS s, sum(w*y*y)/sum(w) AS yy, sum(w*c*c)/sum(w) AS cc, sum(w*s*s)/sum(w) AS ss, sum(w*c*s)/sum(w) AS cs, sum(w*y*c)/sum(w) AS yc, sum(w*y*s)/sum(w) AS ys
+  FROM (SELECT object_id, band, f, 1/(flux_err*flux_err) AS w, flux AS y, cos(2*pi()*time*f) AS c, sin(2*pi()*time*f) AS s FROM obs JOIN freqs USING (object_id)) GROUP BY object_id, f, band),
 v AS (SELECT object_id, period, w, yy-y*y AS vyy, cc-c*c AS vcc, ss-s*s AS vss, cs-c*s AS vcs, yc-y*c AS vyc, ys-y*s AS vys FROM sums),
 p AS (SELECT *, vcc*vss-vcs*vcs AS d FROM v),
-parts AS (SELECT object_id, period, CASE WHEN d > 1e-12 AND vyy > 1e-12 THEN (vss*vyc*vyc + vcc*vys*vys - 2*vcs*vyc*vys)/(vyy*d) END AS part, w*vyy AS chi FROM p),
+parts AS (SELECT object_id, period, CASE WHEN d > 1e-6 AND vyy > 1e-6 THEN (vss*vyc*vyc + vcc*vys*vys - 2*vcs*vyc*vys)/(vyy*d) END AS part, w*vyy AS chi FROM p),
 powers AS (SELECT object_id, period, sum(chi*part) FILTER (WHERE part IS NOT NULL) / nullif(sum(chi) FILTER (WHERE part IS NOT NULL), 0) AS power FROM parts GROUP BY 1, 2)"""
 _TOP = """peaks AS (SELECT object_id, period, power, lag(power) OVER w AS l, lead(power) OVER w AS r FROM powers WHERE power IS NOT NULL WINDOW w AS (PARTITION BY object_id ORDER BY period)),
 top AS (SELECT * FROM (SELECT object_id, period, power, row_number() OVER (PARTITION BY object_id ORDER BY power DESC, period) AS nth FROM peaks WHERE (l IS NULL OR power > l) AND (r IS NULL OR power >= r)) WHERE nth <= 5)"""
 
 
 def _powers(spark, d):
-    return periods.periodogram(observations(spark, d), periods.period_grid(spark, _PERIODS))
+    return periods.span_periodogram(observations(spark, d))
 
 
 @query("periodogram", WITH(OBS_SQL, _POWER) + "SELECT object_id, round(period, 6) AS period, round(power, 6) AS power FROM powers")
@@ -903,14 +1064,44 @@ _CATALOGUE = "catalogue AS (SELECT object_id, ddf, target, " + ", ".join(f"max(p
 
 @query("period_catalogue", WITH(OBS_SQL, META_SQL, _POWER, _TOP, _CATALOGUE) + "SELECT object_id, ddf, target, " + ", ".join(f"round({c}{i}, 6) AS {c}{i}" for c in ("period", "score") for i in range(1, 6)) + " FROM catalogue")
 def period_catalogue(spark, d):
-    c = periods.period_catalogue(observations(spark, d), metadata(spark, d), periods.period_grid(spark, _PERIODS))
-    return rounded(c, *(f"{n}{i}" for n in ("period", "score") for i in range(1, 6)))
+    return rounded(_catalogue(spark, d), *(f"{n}{i}" for n in ("period", "score") for i in range(1, 6)))
+
+
+def _catalogue(spark, d):
+    return periods.period_catalogue(metadata(spark, d), _powers(spark, d))
+
+
+@query("period_file", WITH(OBS_SQL, META_SQL, _POWER, _TOP, _CATALOGUE) + "SELECT object_id, CAST(ddf AS INTEGER) AS ddf, CAST(target AS INTEGER) AS target, round(period1, 6) AS period1, round(score5, 6) AS score5 FROM catalogue")
+def period_file(spark, d):
+    path = shared_path(spark, "periods")
+    tables.write_periods(_catalogue(spark, d), path)
+    return rounded(tables.read_periods(spark, path).select("object_id", "ddf", "target", "period1", "score5"), "period1", "score5")
 
 
 @query("period_report", WITH(OBS_SQL, META_SQL, _POWER, _TOP, _CATALOGUE) + "SELECT target, count(*) AS n, round(min(period1), 6) AS least, round(max(period1), 6) AS most, round(avg(period1), 6) AS mean, round(var_samp(period1), 6) AS variance FROM catalogue GROUP BY 1")
 def period_report(spark, d):
-    c = periods.period_catalogue(observations(spark, d), metadata(spark, d), periods.period_grid(spark, _PERIODS))
-    return rounded(periods.period_report(c)["describe"].drop("skewness", "kurtosis"), "least", "most", "mean", "variance")
+    return rounded(periods.period_report(_catalogue(spark, d))["describe"].drop("skewness", "kurtosis"), "least", "most", "mean", "variance")
+
+
+@query(
+    "period_histogram",
+    WITH(OBS_SQL, META_SQL, _POWER, _TOP, _CATALOGUE, "lim AS (SELECT target, min(period1) AS lo, max(period1) AS hi, count(*) AS total FROM catalogue GROUP BY 1)")
+    + "SELECT target, bin, count(*) AS n, round(count(*) / nullif(max(total) * max((hi - lo) / 10), 0), 6) AS density FROM (SELECT c.target, CAST(CASE WHEN hi > lo THEN least(floor((period1 - lo) / ((hi - lo) / 10)), 9) ELSE 0 END AS INTEGER) AS bin, total, hi, lo FROM catalogue c JOIN lim USING (target)) GROUP BY 1, 2",
+)
+def period_histogram(spark, d):
+    return rounded(periods.period_report(_catalogue(spark, d), bins=10)["histogram"], "density")
+
+
+@query("period_density", WITH(OBS_SQL, META_SQL, _POWER, _TOP, _CATALOGUE) + "SELECT target, CAST(place AS INTEGER) AS place, round(sum(exp(-0.5 * pow(x - period1, 2))) / count(*) / sqrt(2 * pi()), 6) AS density FROM catalogue, (SELECT place, pow(10, -1 + place * (2.5 / 19)) AS x FROM range(20) AS r(place)) GROUP BY 1, 2")
+def period_density(spark, d):
+    positions = [10 ** (-1 + i * (2.5 / 19)) for i in range(20)]
+    return rounded(periods.period_report(_catalogue(spark, d), positions=positions)["density"].drop("x"), "density")
+
+
+@query("refined_periods")
+def refined_periods(spark, d):
+    o = observations(spark, d)
+    return rounded(periods.refined(o, stats.top_periods(_powers(spark, d))), "period", "score")
 
 
 @query("phase_folded_best", WITH(OBS_SQL, _POWER, _TOP) + "SELECT tie, round(period, 6) AS period_best, round(time - period * floor(time / period), 6) AS phase FROM obs JOIN top USING (object_id) WHERE nth = 1")

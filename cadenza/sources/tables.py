@@ -91,7 +91,11 @@ def read_curve_csv(spark: SparkSession, path: str, least: int = 100, most: int =
     """Head-less files time,value,error, one per curve: object named after the file. A curve with
     too few or too many rows is an error."""
     rows = spark.read.schema(CURVE_CSV).option("header", False).option("mode", "FAILFAST").csv(path)
-    named = rows.withColumn("name", F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", ""))
+    return checked_curves(rows.withColumn("name", F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")), least, most)
+
+
+def checked_curves(named: DataFrame, least: int = 100, most: int = 10**9) -> DataFrame:
+    """Rows of curves by name; a curve with too few or too many is an error of the job."""
     counts = named.groupBy("name").agg(F.count("*").alias("_n"))
     wrong = F.raise_error(F.concat(F.lit("unlikely number of rows: "), F.col("name"))).cast("boolean")
     fine = counts.where(F.when((F.col("_n") > least) & (F.col("_n") < most), F.lit(True)).otherwise(wrong)).drop("_n")

@@ -9,23 +9,31 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.columns import magnitude_flux, magnitude_flux_err
 from cadenza.operators.joins import override, strict_join
+from cadenza.operators.lookups import ids_in_every_band
+from cadenza.operators.windows import range_index
 
 #: Tags that a supernova file has exactly once, and its point columns.
 SINGLE_TAGS = ("SNTYPE", "SNID", "VARLIST")
 POINT_TAG = "OBS"
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, file (its name) and path of every line."""
     return spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"))
 
 
 def read_supernova(spark: SparkSession, path: str) -> DataFrame:
-    """Points of tagged files: id, type, file, band, time, flux, flux_err.
+    """Points of tagged files: id, type, file, band, time, flux, flux_err."""
+    return supernova_points(read_lines(spark, path))
+
+
+def supernova_points(text: DataFrame) -> DataFrame:
+    """The points in the lines (file, value) of tagged files, in any order.
 
     Lines are "TAG: values"; blank ones and comments are skipped. OBS values are named by the file's
     VARLIST. A file without exactly one SNTYPE, SNID and VARLIST is an error.
     """
-    lines = _lines(spark, path).where((F.trim("value") != "") & ~F.ltrim("value").startswith("#") & F.col("value").contains(":"))
+    lines = text.where((F.trim("value") != "") & ~F.ltrim("value").startswith("#") & F.col("value").contains(":"))
     tagged = lines.select("file", F.trim(F.split("value", ":", 2)[0]).alias("tag"), F.trim(F.split("value", ":", 2)[1]).alias("rest"))
     one = lambda tag: F.max(F.when(F.col("tag") == tag, F.col("rest")))
     heads = tagged.where(F.col("tag").isin(*SINGLE_TAGS)).groupBy("file").agg(
@@ -47,33 +55,52 @@ def read_supernova(spark: SparkSession, path: str) -> DataFrame:
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
     """file and type of the lines that name a .DAT file."""
-    parts = _lines(spark, path).where(F.col("value").contains(".DAT")).select(F.split(F.trim("value"), r"\s+").alias("p"))
+    return truth_keys(read_lines(spark, path))
+
+
+def truth_keys(text: DataFrame) -> DataFrame:
+    """file and type of those lines (value) that name a .DAT file."""
+    parts = text.where(F.col("value").contains(".DAT")).select(F.split(F.trim("value"), r"\s+").alias("p"))
     return parts.select(F.col("p")[0].alias("file"), F.col("p")[1].cast("int").alias("type"))
 
 
 def supernova_table(points: DataFrame, truth: DataFrame) -> DataFrame:
     """Long observations with the true class where it is known."""
     typed = override(points, truth, "file", "type")
-    return typed.select(F.col("id").alias("object_id"), "band", "time", "flux", "flux_err", F.lit(1).alias("detected"), F.xxhash64("flux", "flux_err").alias("tie"), "type")
+    return typed.select(F.col("id").alias("object_id"), "band", "time", "flux", "flux_err", F.lit(1).alias("detected"), F.xxhash64("flux", "flux_err").alias("tie"), "type", "file")
+
+
+def supernova_index(table: DataFrame) -> DataFrame:
+    """[start, end) of every object's bands when the points are laid out in order."""
+    return range_index(table, "object_id", "type", "file", "band")
 
 
 def supernova_lookup(table: DataFrame, object_id: int) -> DataFrame:
-    """One row per band with its points in order."""
+    """One row per band with its points in order. A band that the object has in more than one file, or
+    with more than one class, is an error of the job."""
     own = table.where(F.col("object_id") == object_id)
-    return own.groupBy("band").agg(F.array_sort(F.collect_list(F.struct("time", "tie", "flux", "flux_err"))).alias("points"))
+    found = own.groupBy("band").agg(F.array_sort(F.collect_list(F.struct("time", "tie", "flux", "flux_err"))).alias("points"), F.count_distinct("type", "file").alias("_n"))
+    several = F.raise_error(F.concat(F.lit(f"{object_id} has several curves in band "), F.col("band"))).cast("boolean")
+    return found.where(F.when(F.col("_n") <= 1, F.lit(True)).otherwise(several)).drop("_n")
 
 
 def read_magnitudes(spark: SparkSession, root: str, bands: Sequence[str]) -> DataFrame:
     """Files <root>/<band>/<id>.dat of "time mag mag_err": id, band, time, flux, flux_err. Only
-    objects that every band's directory has; an empty intersection is an error for its reader."""
-    lines = _lines(spark, f"{root.rstrip('/')}/*/*.dat")
-    parts = lines.select(
+    objects that every band's directory has; it is an error of the job if there are none."""
+    return magnitude_points(read_lines(spark, f"{root.rstrip('/')}/*/*.dat"), bands)
+
+
+def magnitude_points(text: DataFrame, bands: Sequence[str]) -> DataFrame:
+    """The points in the lines (value, file, path) of per-band files."""
+    parts = text.select(
         F.regexp_extract("file", r"^(.+)\.dat$", 1).alias("id"), F.element_at(F.split("path", "/"), -2).alias("band"), F.split(F.trim("value"), r"\s+").alias("p")
     ).where((F.col("id") != "") & (F.size("p") >= 3) & F.col("band").isin(*bands))
     number = lambda i: F.col("p")[i].cast("double")
     points = parts.select("id", "band", number(0).alias("time"), magnitude_flux(number(1)).alias("flux"), magnitude_flux_err(number(1), number(2)).alias("flux_err"))
-    everywhere = points.groupBy("id").agg(F.count_distinct("band").alias("_n")).where(F.col("_n") == len(bands)).select("id")
-    return points.join(everywhere, "id", "left_semi")
+    everywhere = ids_in_every_band(points, bands, "id")
+    none = F.raise_error(F.lit("no object is in all bands: " + ", ".join(bands))).cast("boolean")
+    checked = everywhere.agg(F.count("*").alias("_n")).where(F.when(F.col("_n") > 0, F.lit(False)).otherwise(none)).drop("_n")
+    return points.join(everywhere, "id", "left_semi").unionByName(checked, allowMissingColumns=True)
 
 
 def read_stars(spark: SparkSession, path: str) -> DataFrame:

@@ -136,6 +136,33 @@ def test_valid_windows(spark, size, starts):
     assert sorted(r.pos for r in windows.valid_windows(t, size, 0.8, 1.2).collect()) == starts
 
 
+def test_a_curve_without_a_valid_window_can_be_an_error(spark):
+    t = spark.createDataFrame([(1, "b", float(x), 0.0, 0.0, 1, i) for i, x in enumerate(GAPS)], OBS)
+    assert windows.valid_windows(t, 3, 0.8, 1.2, missing="error").count() == 5
+    with pytest.raises(Exception, match="no valid window: 1 b"):
+        windows.valid_windows(t, 9, 0.8, 1.2, missing="error").collect()
+
+
+def test_windows_at_repeated_times(spark):
+    times = [0.0, 1.0, 1.0, 1.0, 2.0, 5.0, 5.0]
+    t = spark.createDataFrame([(1, "b", x, float(i), 0.0, 1, i) for i, x in enumerate(times)], OBS)
+    got = {r.tie: (list(r.before_flux), list(r.after_flux), r.before_padding, r.after_padding) for r in windows.surroundings(t, 2).collect()}
+    for i, x in enumerate(times):
+        before, after = [float(j) for j, y in enumerate(times) if y < x][-2:], [float(j) for j, y in enumerate(times) if y > x][:2]
+        assert got[i] == ([0.0] * (2 - len(before)) + before, after + [0.0] * (2 - len(after)), 2 - len(before), 2 - len(after))
+
+
+def test_coverage_of_all_radii(spark):
+    rows = [(o, "abc"[i % 3], float(i * i % 17) + 0.1 * o, 1.0, 0.1, 1, i) for o in (1, 2) for i in range(12)]
+    got = {tuple(r) for r in joins.coverage(spark.createDataFrame(rows, OBS), [0.5, 2.0, 40.0]).collect()}
+    want = {}
+    for radius in (0.5, 2.0, 40.0):
+        for o, at in {(r[0], r[2]) for r in rows}:
+            seen = len({r[1] for r in rows if r[0] == o and abs(r[2] - at) < radius})
+            want[radius, seen] = want.get((radius, seen), 0) + 1
+    assert got == {(r, n, c) for (r, n), c in want.items()}
+
+
 def test_chunks_drop_the_incomplete_one(spark):
     got = windows.chunks(spark.range(11).withColumnRenamed("id", "step"), 3).orderBy("step").collect()
     assert [(r.step, r.chunk) for r in got] == [(i, i // 3) for i in range(9)]
@@ -188,8 +215,12 @@ def test_dense_points_need_three_columns(spark):
 
 def test_missing_id_is_an_error(spark, two_points):
     meta = spark.createDataFrame([(1, 7)], "object_id long, target int")
-    with pytest.raises(KeyError):
-        lookups.curves_of_ids(two_points, meta, lookups.id_table(spark, [1, 2]))
+    with pytest.raises(Exception, match="no points of 2"):
+        lookups.curves_of_ids(two_points, meta, lookups.id_table(spark, [1, 2])).collect()
+    assert lookups.curves_of_ids(two_points, meta, lookups.id_table(spark, [1, 2]), missing="skip").count() == 2
+    assert lookups.curve(two_points, 1, missing="error").count() == 2
+    with pytest.raises(Exception, match="no points of 5"):
+        lookups.curve(two_points, 5, missing="error").collect()
     assert lookups.curves_of_ids(two_points, meta, lookups.id_table(spark, [])).count() == 0
     assert lookups.curves_of_class(two_points, meta, 99).count() == 0
 
@@ -236,6 +267,25 @@ def test_alignment_beats_identity(spark):
     assert grid.translate_time == -0.3
 
 
+def test_stacks_hold_all_curves_of_a_class(spark):
+    rows = [(o, "b", float(i) + 0.1 * o, math.sin(i / 3.0), 0.1, 1, i) for o in range(7) for i in range(15)]
+    meta = spark.createDataFrame([(o, o % 2) for o in range(7)] + [(99, None)], "object_id long, target int")
+    got = align.stack_classes(spark.createDataFrame(rows, OBS), meta, k=3).collect()
+    assert sorted((r.target, r.stack, r.step, r.object_id) for r in got) == [(0, 0, 0, 0), (0, 0, 1, 2), (0, 0, 2, 4), (0, 1, 0, 6), (1, 0, 0, 1), (1, 0, 1, 3), (1, 0, 2, 5)]
+    assert all(r.converged for r in got)
+    short = align.align_simplex(spark.createDataFrame([(1, 1, 2)], "pair_id long, left_id long, right_id long"), spark.createDataFrame(rows, OBS), rounds=2).first()
+    assert not short.converged
+
+
+def test_matrix_of_all_pairs(spark):
+    rows = [(o, "b", float(i) + 0.1 * o, math.sin(i / 3.0 + o), 0.1, 1, i) for o in range(4) for i in range(6)]
+    obs, meta = spark.createDataFrame(rows, OBS), spark.createDataFrame([(o, o % 2) for o in range(4)], "object_id long, target int")
+    grid = align.candidate_grid(spark, translate_time=[0.0, 1.0])
+    every, own = align.alignment_matrix(meta, obs, grid).collect(), align.alignment_matrix(meta, obs, grid, same_class=True).collect()
+    assert {(r.left_id, r.right_id) for r in every} == {(a, b) for a in range(4) for b in range(4) if a != b}
+    assert {tuple(r) for r in own} == {tuple(r) for r in every if r.left_target == r.right_target}
+
+
 def test_any_partitioning_gives_the_same(spark):
     rows = [(i % 7, "ab"[i % 2], float(i * 37 % 101), float(i % 13), 0.5, int(i % 4 != 0), i) for i in range(400)]
     obs = spark.createDataFrame(rows, OBS)

@@ -62,6 +62,24 @@ def test_supernova_files(spark, tmp_path):
     assert own == {"g": [10.0, 11.0], "r": [20.0]}
 
 
+def test_supernova_bands_in_two_files_are_an_error(spark, tmp_path):
+    for name in ("A", "B"):
+        (tmp_path / f"{name}.DAT").write_text(SUPERNOVA.format(snid=7))
+    table = text.supernova_table(text.read_supernova(spark, str(tmp_path / "*.DAT")), spark.createDataFrame([], "file string, type int"))
+    with pytest.raises(Exception, match="several curves in band"):
+        text.supernova_lookup(table, 7).collect()
+    index = sorted((r.file, r.band, r.start, r.end) for r in text.supernova_index(table).collect())
+    assert index == [("A.DAT", "g", 0, 2), ("A.DAT", "r", 2, 3), ("B.DAT", "g", 3, 5), ("B.DAT", "r", 5, 6)]
+
+
+def test_magnitudes_without_a_common_object_are_an_error(spark, tmp_path):
+    for band, name in (("I", "S-1"), ("V", "S-2")):
+        (tmp_path / band).mkdir()
+        (tmp_path / band / f"{name}.dat").write_text("479.5 15.0 0.01\n")
+    with pytest.raises(Exception, match="no object is in all bands"):
+        text.read_magnitudes(spark, str(tmp_path), ["I", "V"]).collect()
+
+
 def test_supernova_file_without_id_fails(spark, tmp_path):
     (tmp_path / "bad.DAT").write_text(SUPERNOVA.format(snid=1).replace("SNID", "OTHER"))
     with pytest.raises(Exception, match="needs one each"):

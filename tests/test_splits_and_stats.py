@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.functions.hashing import id_split, integer, normal, split_bounds, uniform
-from cadenza.operators import stats
-from cadenza.plans import periods
+from cadenza.operators import lookups, stats
+from cadenza.plans import pairs, periods
 
 
 def test_known_splits(spark):
@@ -50,6 +50,39 @@ def test_percentile_cutoffs(spark):
     assert len(stats.percentile_cutoffs(few, 4).first().cutoffs) == 4
 
 
+def test_percentiles_of_groups(spark):
+    rng = np.random.default_rng(4)
+    values = {"a": rng.normal(size=3000).round(1), "b": rng.integers(0, 3, 500).astype(float), "c": np.array([7.5])}
+    t = spark.createDataFrame([(k, float(v)) for k, own in values.items() for v in own] + [("d", None)], "k string, v double").repartition(7)
+    fractions = [0.0, 0.1, 1 / 3, 0.5, 0.999, 1.0]
+    got = {r.k: r["at"] for r in stats.percentiles(t, fractions, "k", value="v").collect()}
+    assert got.keys() == values.keys()
+    for k, own in values.items():
+        assert got[k] == pytest.approx(np.quantile(own, fractions))
+    one = stats.percentiles(t, [0.5], value="v").first()["at"]
+    assert one == pytest.approx([np.median(np.concatenate(list(values.values())))])
+    assert stats.percentiles(t.limit(0), [0.5], value="v").where("size(at) > 0").count() == 0
+
+
+def test_positions_are_gapless_beyond_the_range_sample(spark):
+    """Range partitions are cut by a sample; positions must not depend on it."""
+    n = 1_000_000
+    table = spark.range(n).select((F.hash("id") % 500_000).alias("key"), "id", F.col("id").cast("string").alias("extra"), F.lit(1.5).alias("more"))
+    placed = lookups.numbered(table, "key", "id")
+    r = placed.agg(F.count_distinct("pos"), F.min("pos"), F.max("pos"), F.count("*")).first()
+    assert tuple(r) == (n, 0, n - 1, n)
+    order = placed.where("pos < 1000").orderBy("pos").collect()
+    assert [(x.key, x.id) for x in order] == sorted((x.key, x.id) for x in order)
+    within = lookups.numbered_within(table.withColumn("g", F.col("id") % 3), "g", "key", "id")
+    assert {tuple(x) for x in within.groupBy("g").agg(F.count_distinct("pos"), F.min("pos"), F.max("pos"), F.max("n")).collect()} == {(0, 333334, 0, 333333, 333334), (1, 333333, 0, 333332, 333333), (2, 333333, 0, 333332, 333333)}
+
+
+def test_mixing_gives_every_draw_once(spark):
+    sources = {"a": spark.range(1000).select(F.col("id").alias("object_id")), "b": spark.range(70_000).select((F.col("id") + 10**6).alias("object_id"))}
+    r = pairs.mixed(sources, {"a": 1, "b": 3}, 200_000, 3).agg(F.count("*"), F.count_distinct("draw"), F.avg((F.col("source") == "a").cast("int"))).first()
+    assert r[0] == r[1] == 200_000 and abs(r[2] - 0.25) < 0.01
+
+
 def test_histogram_has_unit_area(spark):
     t = spark.createDataFrame([(float(i * i),) for i in range(50)] + [(None,)], "v double")
     h = stats.histogram(t, "v", 10).collect()
@@ -99,6 +132,30 @@ def test_periodogram_finds_the_period_and_fits(spark):
     assert got[round(period, 9)] == pytest.approx(fit / chi)
 
 
+def _sinusoid(period: float, object_id: int, seed: int, n: int = 70) -> list[tuple]:
+    rng = np.random.default_rng(seed)
+    return [(object_id, "ab"[i % 2], float(x), float(5 + math.sin(2 * math.pi * x / period + i % 2) + rng.normal(0, 0.02)), 0.1, 1, i) for i, x in enumerate(np.sort(rng.uniform(0, 90, n)))]
+
+
+def test_periods_of_the_span_are_found_and_refined(spark):
+    """Short and long periods; a curve dealt to several groups has the powers of the whole one."""
+    truth = {1: 0.324499300710728, 2: 33.3, 3: 2.5}
+    rows = [r for o, p in truth.items() for r in _sinusoid(p, o, o)] + [(4, "a", 1.0, 2.0, 0.1, 1, 0)]
+    obs = spark.createDataFrame(rows, "object_id long, band string, time double, flux double, flux_err double, detected int, tie long")
+    powers = periods.span_periodogram(obs)
+    dealt = {(r.object_id, r.period): r.power for r in periods.span_periodogram(obs, chunk=20).collect()}
+    got = {(r.object_id, r.period): r.power for r in powers.collect()}
+    assert got.keys() == dealt.keys() and all(got[k] == pytest.approx(dealt[k], abs=1e-9) for k in got)
+    listed = periods.periodogram(obs.where("object_id = 3"), periods.period_grid(spark, sorted(p for o, p in got if o == 3)[::50]))
+    assert all(got[3, r.period] == pytest.approx(r.power, abs=1e-9) for r in listed.collect())
+    top = stats.top_periods(powers)
+    fine = {r.object_id: r for r in periods.refined(obs, top).where("rank = 1").collect()}
+    for o, p in truth.items():
+        assert fine[o].period == pytest.approx(p, rel=2e-3)
+        assert fine[o].score >= max(v for (i, _), v in got.items() if i == o)
+    assert abs(fine[1].period - truth[1]) < 2e-4 and 4 not in fine
+
+
 def test_flat_curves_have_no_power(spark):
     obs = spark.createDataFrame([(1, "a", float(i), 1.0, 0.1) for i in range(5)], "object_id long, band string, time double, flux double, flux_err double")
     assert periods.periodogram(obs, periods.period_grid(spark, [2.5])).first().power is None
