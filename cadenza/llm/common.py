@@ -1,4 +1,4 @@
-"""What the text operators share: shared-folder tables, row tags and word hashing over Arrow batches.
+"""What the text operators share: row tags and word hashing over Arrow batches.
 
 Words are hashed from the UTF-8 buffer of a whole slice of rows at once, so no Python object is
 made per word. Two independent 64-bit families are available; operators that must not confuse two
@@ -7,55 +7,28 @@ texts use both.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on together inside a task.
 SLICE_BYTES = 2_000_000
 #: Bits of a row's text hash that tell rows with one doc_id apart.
-TEXT_BITS = 24
+TEXT_BITS = 31
 _SPACE = bytes(range(0x09, 0x0E)) + b" "
 
 
-# ---------------------------------------------------------------- tables in the shared folder
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only in local mode without one (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spark-cadenza-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: later reads need no lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 # ---------------------------------------------------------------- rows
 def row_tag(text: Column) -> Column:
     """A hash of the text below 2**TEXT_BITS: with doc_id it names a row, even if ids repeat."""
     return F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit((1 << TEXT_BITS) - 1))
 
 
-def added(docs: DataFrame, **columns: Column) -> DataFrame:
-    """Columns of an operator replace input columns of the same name."""
-    return docs.withColumns(columns)
-
-
 # ---------------------------------------------------------------- words of a slice of rows
 @dataclass(frozen=True)
 class Alphabet:

@@ -2,28 +2,26 @@
 
 A document is its set of distinct k-word shingles. Each tree of the forest sorts the documents by
 another signature order (eight 16-bit MinHash values); documents that share at least `DEPTH` leading
-values form a region. A sparse region is compared as a whole. In a dense one the depth adapts: its
-rows stream in sorted order through a window, so a document meets the neighbours with which it has
-the longest common prefixes. Candidates are estimated on 64 MinHash bytes; those that may reach the
-threshold are confirmed on the full sets, and links are closed to components.
+values form a region, whose rows are neighbours in the order. Candidates are rows of a region that agree
+in enough of 128 MinHash bits; they are confirmed on the full sets, and links are closed to components.
 
 Equal sets are found by their 128-bit set hash beforehand and linked to the smallest doc_id, so
 copies never meet in the forest.
 
-Of a document's look-alikes in a region the first round carries on only the smallest and the most
-similar ones if they are many: that ties groups of near copies together without listing their pairs.
-The documents for which some were left out, and all documents of regions of more than OVERLAP rows
-(the window may not have compared those), are then settled by an exact join. Every set is put into one
-order of all shingles, rare ones first; two sets at the threshold share a shingle among their first few,
-and the first they share leaves enough of either set to reach it. Such documents of different components
-meet at that shingle, in blocks of bounded size, and are compared on full sets inside the task.
+First round: every pair of a region of up to `REGION` rows is compared. A row with many look-alikes
+carries on only the first and the nearest of them, which ties groups of near copies together without
+listing their pairs. Second round: documents for which look-alikes were left out meet once more, now
+only with those of other components; few are listed, and where they are many the documents go on to an
+exact join (set_join). So do all documents of a denser region: there the order is deep, rows stream
+through a window of the nearest prefixes to tie what is close, and the exact join finds the rest.
 
 Chance of missing a link at similarity s outside the exact join: (1 - s**DEPTH)**TREES, below 2e-5 at 0.8
-and 1e-9 at 0.9, and below 2e-6 at 0.8 by the estimate.
+and 1e-9 at 0.9, and below 2e-6 at 0.8 by the estimate from bits.
 
 Defined cases: texts with fewer than k words have the whole sequence as one shingle; without words
 (or null) the set is empty and linked with nothing; a row without doc_id is never linked and has no
-component; rows that repeat a doc_id are one document with the links of each of its texts.
+component; rows that repeat a doc_id are one document with the links of each of its texts; columns named
+like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -36,22 +34,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.common import FOLDED, Words, lists, mix, row_tag, sequence_hashes, slices, stored, words_of
+from cadenza.llm.common import FOLDED, Words, lists, mix, sequence_hashes, slices, words_of
 from cadenza.llm.components import connected_components
+from cadenza.llm.set_join import exact_links
+from cadenza.storage import dropped, stored
 
-TREES, VALUES, DEPTH, SKETCH = 16, 8, 3, 64
+TREES, VALUES, DEPTH = 16, 8, 3
+#: Bits of the sketch: one of each MinHash value.
+SKETCH = TREES * VALUES
 #: Rows of a region that are compared with one another; overlap of the window in a denser one.
-REGION, OVERLAP = 2048, 512
+REGION, OVERLAP = 16_384, 512
 #: Standard deviations by which an estimate may fall short of the threshold.
 SLACK = 5.0
-#: Up to so many look-alikes in a region the first round keeps all; else so many of the nearest.
-FEW, NEAREST = 8, 3
-#: Rows of either side that are compared together in the exact join; classes of its order of shingles.
-BLOCK, CLASSES = 1000, 1 << 20
+#: Up to so many earlier look-alikes of a row in a region are listed; else so many of the nearest.
+FEW, NEAREST = 8, 2
 
-_MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, TREES * VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+# ---------------------------------------------------------------- signatures
 def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first): the distinct shingles of row i are hashes[first[i]:first[i+1]], sorted."""
     codes = w.hashes()
@@ -70,15 +71,21 @@ def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _signatures(k: int):
+_SIGNED = "_cz_doc long, _cz_n long, _cz_s1 long, _cz_s2 long, _cz_keys binary, _cz_bits binary"
+
+
+def _signatures(k: int, own: list[str]):
+    """The columns to keep, and a row's set size, set hash, forest keys and bits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, data, bounds in slices(batch.column(1)):
+            column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
+            for at, to, data, bounds in slices(column("_cz_text")):
                 hashes, first = shingle_sets(words_of(data, bounds, FOLDED), k)
                 n = np.diff(first)
                 rows, filled = to - at, np.flatnonzero(n)
                 sums = np.zeros((2, rows), np.uint64)
-                values = np.zeros((rows, TREES * VALUES), np.uint64)
+                values = np.zeros((rows, SKETCH), np.uint64)
                 if len(filled):
                     where = first[:-1][filled]
                     sums[0, filled] = np.add.reduceat(hashes, where)
@@ -87,11 +94,10 @@ def _signatures(k: int):
                         values[filled, j] = np.minimum.reduceat(hashes * a, where)
                 values = mix(values)
                 keys = (values >> np.uint64(48)).astype(">u2").reshape(rows, TREES, VALUES)
-                sketch = (values[:, -SKETCH:] & np.uint64(255)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, rows), batch.column(2).slice(at, rows), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), _binary(keys), _binary(sketch)],
-                    names=["doc", "row", "n_shingles", "s1", "s2", "keys", "sketch"],
-                )
+                bits = np.packbits((values & np.uint64(1)).astype(bool), axis=1)
+                made = [pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), _binary(keys), _binary(bits)]
+                kept = [column(c).slice(at, rows) for c in (*own, "_cz_doc")]
+                yield pa.RecordBatch.from_arrays([*kept, *made], names=[*own, *(x.split()[0] for x in _SIGNED.split(", "))])
 
     return run
 
@@ -109,21 +115,38 @@ def _bytes(column: pa.Array, size: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[begin : begin + len(column) * size].reshape(len(column), size)
 
 
+#: Bytes of a key (tree and values), and of its head, which names the region.
+_KEY, _HEAD = 1 + 2 * VALUES, 1 + 2 * DEPTH
+_TREE = "key binary, doc long, bits binary, part long"
+
+
 def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row (key, doc, sketch) per document and tree; the key leads with the tree."""
+    """One row (key, doc, bits, part) per document and tree; the key leads with the tree."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         keys = _bytes(batch.column(1), TREES * VALUES * 2).reshape(n, TREES, VALUES * 2)
         tree = np.broadcast_to(np.arange(TREES, dtype=np.uint8)[None, :, None], (n, TREES, 1))
-        index = np.repeat(np.arange(n), TREES)
-        yield pa.RecordBatch.from_arrays([_binary(np.concatenate([tree, keys], axis=2).reshape(n * TREES, -1)), batch.column(0).take(pa.array(index)), batch.column(2).take(pa.array(index))], names=["key", "doc", "sketch"])
+        index = pa.array(np.repeat(np.arange(n), TREES))
+        rows = [_binary(np.concatenate([tree, keys], axis=2).reshape(n * TREES, -1)), *(batch.column(i).take(index) for i in (0, 2, 3))]
+        yield pa.RecordBatch.from_arrays(rows, names=["key", "doc", "bits", "part"])
 
 
-_KEY, _HEAD = 1 + 2 * VALUES, 1 + 2 * DEPTH
-PAIR, EDGE, MORE, SIZE = 0, 1, 2, 3
-_SEEN = "kind tinyint, a long, b long, alike int, key binary, sketch binary"
+# ---------------------------------------------------------------- regions of a sorted tree
+#: Kinds of rows that a pass emits: a candidate pair, a row of a region that may go on in another partition,
+#: a document with look-alikes left out, one for the exact join, and the head of a dense region.
+PAIR, EDGE, MORE, CROWD, DENSE = range(5)
+_SEEN = "kind tinyint, a long, b long, alike int, key binary, bits binary, part long"
+_NAMES = [x.split()[0] for x in _SEEN.split(", ")]
+
+
+def _emit(kind: int, a=None, b=None, alike=None, key=None, bits=None, part=None) -> pa.RecordBatch:
+    n = len(next(x for x in (a, key) if x is not None))
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
+    given = (a, b, alike, key, bits, part)
+    full = [pa.nulls(n, t) if x is None else _binary(x) if t == pa.binary() else pa.array(x, t) for x, t in zip(given, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), *full], names=_NAMES)
 
 
 def _heads(keys: np.ndarray) -> np.ndarray:
@@ -134,114 +157,209 @@ def _heads(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _compare(docs: np.ndarray, sketches: np.ndarray, fresh: int, least: int) -> tuple[np.ndarray, ...]:
-    """Candidate pairs (a < b, equal bytes) of which one row at least comes from `fresh` on, and the
-    docs of pairs left out because b had many."""
-    a, b, alike, more = [docs[:0]], [docs[:0]], [np.zeros(0, np.int16)], [docs[:0]]
-    m = len(docs)
-    step = max(1, 8_000_000 // (m * SKETCH))
-    for i in range(0, m, step):
-        same = (sketches[i : i + step, None, :] == sketches[None, :, :]).sum(axis=2, dtype=np.int16)
-        ok = (same >= least) & (docs[None, :] < docs[i : i + step, None])
-        if i < fresh:
-            ok[: fresh - i, :fresh] = False
+def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits rows of a agree with rows of b (each two words of 64 bits)."""
+    return SKETCH - (np.bitwise_count(a[..., 0] ^ b[..., 0]) + np.bitwise_count(a[..., 1] ^ b[..., 1]))
+
+
+class _Rows:
+    """Rows of a tree, as arrays. own: what must differ in a pair (the document, later its part)."""
+
+    def __init__(self, key, doc, bits, own):
+        self.key, self.doc, self.bits, self.own = key, doc, bits, own
+
+    @staticmethod
+    def of(batch: pa.RecordBatch, second: bool) -> _Rows:
+        doc = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False)
+        bits = np.ascontiguousarray(_bytes(batch.column(2), SKETCH // 8)).view(np.uint64)
+        return _Rows(_bytes(batch.column(0), _KEY), doc, bits, batch.column(3).to_numpy(zero_copy_only=False) if second else doc)
+
+    @staticmethod
+    def joined(parts: list[_Rows]) -> _Rows:
+        return parts[0] if len(parts) == 1 else _Rows(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("key", "doc", "bits", "own")))
+
+    def cut(self, start: int, stop: int | None = None) -> _Rows:
+        return _Rows(*(x[start:stop] for x in (self.key, self.doc, self.bits, self.own)))
+
+    def taken(self, where: np.ndarray) -> _Rows:
+        return _Rows(*(x[where] for x in (self.key, self.doc, self.bits, self.own)))
+
+    def __len__(self) -> int:
+        return len(self.doc)
+
+
+def _few_pairs(rows: _Rows, size: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+    """All candidates of regions of at most FEW + 1 rows; size: of each row's region, rows in order."""
+    place = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
+    left = np.repeat(size, size) - place
+    for step in range(1, FEW + 1):
+        i = np.flatnonzero(left > step)
+        if not len(i):
+            return
+        alike = _agreeing(rows.bits[i], rows.bits[i + step])
+        ok = (alike >= least) & (rows.own[i] != rows.own[i + step])
+        if ok.any():
+            yield _pairs(rows.doc[i[ok]], rows.doc[i[ok] + step], alike[ok])
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, alike: np.ndarray) -> pa.RecordBatch:
+    return _emit(PAIR, np.minimum(a, b), np.maximum(a, b), alike)
+
+
+def _all_pairs(rows: _Rows, fresh: int, least: int, second: bool) -> Iterator[pa.RecordBatch]:
+    """Candidates of a block of which the later row is at `fresh` or beyond. A row with more than FEW
+    earlier ones lists the first and the nearest, or, in the second round, goes to the exact join."""
+    m = len(rows)
+    _, own = np.unique(rows.own, return_inverse=True)
+    own = own.astype(np.int32)
+    step = max(1, 4_000_000 // max(1, m))
+    for i in range(fresh, m, step):
+        stop = min(m, i + step)
+        alike = _agreeing(rows.bits[i:stop, None], rows.bits[None, :stop])
+        ok = (alike >= least) & (np.arange(stop) < np.arange(i, stop)[:, None])
+        if not ok.any():
+            continue
+        ok &= own[None, :stop] != own[i:stop, None]
         n = ok.sum(axis=1)
         r, c = np.nonzero(ok & (n <= FEW)[:, None])
-        a.append(docs[c]), b.append(docs[i + r]), alike.append(same[r, c])
-        for r in np.flatnonzero(n > FEW).tolist():
-            c = np.flatnonzero(ok[r])
-            near = c[np.argsort(-same[r, c], kind="stable")[:NEAREST]]
-            more += [docs[c], docs[i + r : i + r + 1]]
-            c = np.unique(np.append(near, c[np.argmin(docs[c])]))
-            a.append(docs[c]), b.append(np.full(len(c), docs[i + r])), alike.append(same[r, c])
-    return np.concatenate(a), np.concatenate(b), np.concatenate(alike), np.unique(np.concatenate(more))
-
-
-def _neighbours(least: int, edges: bool):
-    """Streams sorted (key, doc, sketch) rows; emits candidate pairs and, with `edges`, the rows at
-    either end of the partition, whose region may go on beyond it, and the sizes (a: head, b: rows) of
-    the regions that are large or lie at an end."""
-    names = ["kind", "a", "b", "alike", "key", "sketch"]
-
-    def pairs(docs, sketches, fresh):
-        a, b, alike, more = _compare(docs, sketches, fresh, least)
-        n, m = len(a), len(a) + len(more)
-        kind = np.where(np.arange(m) < n, PAIR, MORE).astype(np.int8)
-        none = pa.nulls(len(more), pa.int64())
-        columns = [pa.array(kind), pa.array(np.concatenate([a, more])), pa.concat_arrays([pa.array(b), none]), pa.concat_arrays([pa.array(alike, pa.int32()), none.cast(pa.int32())])]
-        return pa.RecordBatch.from_arrays([*columns, pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=names)
-
-    def margin(docs, keys, sketches):
-        n = len(docs)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, EDGE, np.int8)), pa.array(docs), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), _binary(keys), _binary(sketches)], names=names)
-
-    def sizes(found):
-        n = len(found)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, SIZE, np.int8)), *(pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
+        if len(r):
+            yield _pairs(rows.doc[c], rows.doc[i + r], alike[r, c])
+        many = np.flatnonzero(n > FEW)
+        if not len(many):
+            continue
+        ok, alike = ok[many], np.where(ok[many], alike[many], 0).astype(np.uint8)
+        yield _emit(CROWD if second else MORE, np.unique(np.concatenate([rows.doc[:stop][ok.any(axis=0)], rows.doc[i + many]])))
+        if second:
+            continue
+        line = np.arange(len(many))
+        chosen = [ok.argmax(axis=1)]
+        value = [alike[line, chosen[0]]]
+        for _ in range(NEAREST):
+            near = alike.argmax(axis=1)
+            chosen.append(near)
+            value.append(alike[line, near])
+            alike[line, near] = 0
+        c, alike = np.concatenate(chosen), np.concatenate(value)
+        b = np.tile(rows.doc[i + many], len(chosen))
+        yield _pairs(rows.doc[c][alike > 0], b[alike > 0], alike[alike > 0])
+
+
+class _Region:
+    """A region while its rows stream by. first: it may have begun in an earlier partition."""
+
+    def __init__(self, head: int, first: bool = False):
+        self.head, self.first = head, first
+        self.parts: list[_Rows] = []
+        self.n, self.fresh, self.dense = 0, 0, False
+
+    def add(self, rows: _Rows, least: int) -> Iterator[pa.RecordBatch]:
+        self.parts.append(rows)
+        self.n += len(rows)
+        while self.n > REGION:  # dense: a window of rows with the longest common prefixes
+            self.dense = True
+            held = _Rows.joined(self.parts)
+            yield from self._window(held.cut(0, REGION), least)
+            self.parts = [held.cut(REGION - OVERLAP)]
+            self.n, self.fresh = self.n - REGION + OVERLAP, OVERLAP
+
+    def _window(self, rows: _Rows, least: int) -> Iterator[pa.RecordBatch]:
+        yield from _all_pairs(rows, self.fresh, least, False)
+        yield _emit(CROWD, rows.doc[self.fresh :])
+
+    def closed(self, least: int, second: bool, edge: bool) -> Iterator[pa.RecordBatch]:
+        rows = _Rows.joined(self.parts) if self.parts else None
+        if self.dense:
+            if rows is not None and len(rows) > self.fresh:
+                yield from self._window(rows, least)
+            mark = np.array([*self.head.to_bytes(_HEAD, "big"), *bytes(_KEY - _HEAD)], np.uint8)[None]
+            yield _emit(DENSE, key=mark, bits=np.zeros((1, SKETCH // 8), np.uint8))
+        elif edge:
+            yield _emit(EDGE, rows.doc, key=rows.key, bits=rows.bits)
+        elif len(rows) > 1:
+            yield from _all_pairs(rows, 0, least, second)
+
+
+def _neighbours(least: int, edges: bool = False, second: bool = False):
+    """Streams sorted tree rows, region by region. With `edges` the first and the last region of the
+    partition are passed on, as they may go on beyond it. A row without doc says that its region is
+    dense elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs = np.zeros(0, np.int64)
-        keys, sketches = np.zeros((0, _KEY), np.uint8), np.zeros((0, SKETCH), np.uint8)
-        fresh, opening = 0, True  # rows before `fresh` have been compared with one another
-        large, at, rows, first = [], None, 0, True
+        now: _Region | None = None
+        begun = False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            came = _bytes(batch.column(0), _KEY)
-            docs = np.concatenate([docs, batch.column(1).to_numpy(zero_copy_only=False)])
-            keys = np.concatenate([keys, came])
-            sketches = np.concatenate([sketches, _bytes(batch.column(2), SKETCH)])
-            heads = _heads(came)
+            rows, marks = _Rows.of(batch, second), np.asarray(batch.column(1).is_null())
+            heads = _heads(rows.key)
             cuts = np.concatenate([[0], np.flatnonzero(heads[1:] != heads[:-1]) + 1, [len(heads)]])
-            for head, n in zip(heads[cuts[:-1]].tolist(), np.diff(cuts).tolist(), strict=True):
-                if at is not None and head != at:
-                    if first or rows > OVERLAP:
-                        large.append((at, rows))
-                    first, rows = False, 0
-                at, rows = head, rows + n
-            if opening and edges:
-                head = np.flatnonzero((keys[:OVERLAP, :_HEAD] == keys[0, :_HEAD]).all(axis=1))
-                yield margin(docs[head], keys[head], sketches[head])
-                opening = False
-            bounds = [0, *(np.flatnonzero((keys[1:, :_HEAD] != keys[:-1, :_HEAD]).any(axis=1)) + 1).tolist()]
-            for start, stop in zip(bounds[:-1], bounds[1:], strict=True):
-                yield from _region(docs, sketches, start, stop, fresh if start == 0 else 0, pairs)
-            start = bounds[-1]
-            fresh = fresh if start == 0 else 0
-            if len(docs) - start > REGION:
-                yield from _region(docs, sketches, start, len(docs), fresh, pairs)
-                start, fresh = len(docs) - OVERLAP, OVERLAP
-            docs, keys, sketches = (x[start:] for x in (docs, keys, sketches))
-        yield from _region(docs, sketches, 0, len(docs), fresh, pairs)
-        if edges and len(docs):
-            yield margin(*(x[-OVERLAP:] for x in (docs, keys, sketches)))
-            yield sizes([*large, (at, rows)])
+            k, at = len(cuts) - 1, 0
+            marked = np.add.reduceat(marks.astype(np.int64), cuts[:-1]) > 0
+            if now is not None and now.head != heads[0]:
+                yield from now.closed(least, second, edges and now.first)
+                now = None
+
+            def grown(region: _Region, run: int) -> Iterator[pa.RecordBatch]:
+                own = rows.cut(cuts[run], cuts[run + 1])  # noqa: B023
+                if marked[run]:  # noqa: B023
+                    region.dense = True
+                    own = own.taken(~marks[cuts[run] : cuts[run + 1]])  # noqa: B023
+                yield from region.add(own, least)
+
+            if now is None and not begun:
+                now, begun = _Region(int(heads[0]), True), True
+            if now is not None:
+                yield from grown(now, 0)
+                if k == 1:
+                    continue
+                yield from now.closed(least, second, edges and now.first)
+                at = 1
+            size = np.diff(cuts)[at : k - 1]
+            small = (size > 1) & (size <= FEW + 1) & ~marked[at : k - 1]
+            if small.any():
+                own = rows.cut(cuts[at], cuts[k - 1]).taken(np.repeat(small, size))
+                yield from _few_pairs(own, size[small], least)
+            for run in (at + np.flatnonzero((size > 1) & ~small | marked[at : k - 1])).tolist():
+                region = _Region(int(heads[cuts[run]]))
+                yield from grown(region, run)
+                yield from region.closed(least, second, False)
+            now = _Region(int(heads[cuts[k - 1]]))
+            yield from grown(now, k - 1)
+        if now is not None:
+            yield from now.closed(least, second, edges)
 
     return run
 
 
-def _region(docs, sketches, start, stop, fresh, pairs):
-    """A region as a whole, or by a window with overlap if it is dense."""
-    while stop - start > 1 and stop - start > fresh:
-        end = min(stop, start + REGION)
-        yield pairs(docs[start:end], sketches[start:end], fresh)
-        if end == stop:
-            return
-        start, fresh = end - OVERLAP, OVERLAP
+# ---------------------------------------------------------------- rounds
+def least_bits(similarity: float) -> int:
+    """Bits in which a pair at the similarity agrees, but for SLACK standard deviations: values agree by
+    being equal, or in half of the other cases."""
+    agree = 0.5 + similarity / 2
+    return int(np.floor(SKETCH * agree - SLACK * np.sqrt(SKETCH * agree * (1 - agree))))
 
 
-def _within_heads(dense: np.ndarray):
-    """The documents with a row in one of the regions `dense`."""
+def _trees(signatures: DataFrame, part: str) -> DataFrame:
+    return signatures.select("doc", "keys", "bits", F.col(part).alias("part")).mapInArrow(_tree_rows, _TREE)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if n:
-                keys = _bytes(batch.column(1), TREES * VALUES * 2).reshape(n, TREES, VALUES * 2)
-                own = [np.isin(_heads(np.concatenate([np.full((n, 1), t, np.uint8), keys[:, t]], axis=1)), dense) for t in range(TREES)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(np.any(own, axis=0)))], names=["doc"])
 
-    return run
+def first_round(signatures: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """What the passes over all trees emit: over the partitions, and over regions across their bounds.
+    signatures: doc, keys, bits."""
+    ordered = _trees(signatures, "doc").repartitionByRange("key", "doc").sortWithinPartitions("key", "doc")
+    seen = stored(ordered.mapInArrow(_neighbours(least, edges=True), _SEEN), "neighbours")
+    margins = seen.where(F.col("kind").isin(EDGE, DENSE)).select("key", F.col("a").alias("doc"), "bits", F.col("a").alias("part"))
+    dealt = margins.repartition(F.substring("key", 1, _HEAD)).sortWithinPartitions("key", "doc")
+    return seen, stored(dealt.mapInArrow(_neighbours(least), _SEEN), "margins")
+
+
+def second_round(signatures: DataFrame, dense: DataFrame, least: int) -> DataFrame:
+    """The same over documents with a part, for pairs of different parts; dense regions are left out, so
+    that none is larger than REGION. signatures: doc, keys, bits, part."""
+    head = F.substring("key", 1, _HEAD)
+    rows = _trees(signatures, "part").withColumn("head", head).join(dense.select(head.alias("head")).distinct(), "head", "left_anti")
+    dealt = rows.select("key", "doc", "bits", "part", "head").repartition("head").sortWithinPartitions("key", "doc").drop("head")
+    return stored(dealt.mapInArrow(_neighbours(least, second=True), _SEEN), "again")
 
 
 def _sets(k: int):
@@ -249,220 +367,82 @@ def _sets(k: int):
         for batch in batches:
             for at, to, data, bounds in slices(batch.column(1)):
                 hashes, first = shingle_sets(words_of(data, bounds, FOLDED), k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), lists(pa.array(hashes.view(np.int64)), np.diff(first))], names=["doc", "shingles"])
+                shingles = lists(pa.array(hashes.view(np.int64)), np.diff(first))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), shingles], names=["doc", "shingles"])
 
     return run
 
 
-def candidates(signatures: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(a, b, alike): pairs a < b whose estimate may reach the similarity, from all trees, and (doc): the
-    documents of which not all such pairs are listed. signatures: doc, keys, sketch."""
-    least = int(np.floor(SKETCH * (similarity - SLACK * np.sqrt(similarity * (1 - similarity) / SKETCH))))
-    rows = signatures.select("doc", "keys", "sketch").mapInArrow(_tree_rows, "key binary, doc long, sketch binary")
-    ordered = rows.repartitionByRange("key", "doc").sortWithinPartitions("key", "doc")
-    seen = stored(ordered.mapInArrow(_neighbours(least, True), _SEEN), "neighbours")
-    margins = seen.where(F.col("kind") == EDGE).select("key", F.col("a").alias("doc"), "sketch").distinct()
-    across = margins.repartition(F.substring("key", 1, _HEAD)).sortWithinPartitions("key", "doc").mapInArrow(_neighbours(least, False), _SEEN)
-    both = seen.where(F.col("kind").isin(PAIR, MORE)).unionByName(across)
-    pairs = stored(both.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.max("alike").alias("alike")), "pairs")
-    # a region counts TREES / OVERLAP times a document at most: 0.25 bytes a document reach the driver
-    dense = seen.where(F.col("kind") == SIZE).groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") > OVERLAP).select("a").toArrow()["a"].to_numpy()
-    more = both.where(F.col("kind") == MORE).select(F.col("a").alias("doc"))
-    if len(dense):
-        more = more.unionByName(signatures.select("doc", "keys").mapInArrow(_within_heads(np.sort(dense)), "doc long"))
-    return pairs, more.distinct()
-
-
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach percent / 100 of Jaccard similarity."""
     one = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
-
-
-def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many shingles fall into each class."""
-    total = np.zeros(CLASSES, np.int64)
-    for batch in batches:
-        total += np.bincount(batch.column(0).flatten().to_numpy() & (CLASSES - 1), minlength=CLASSES)
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["class", "n"])
-
-
-def _leading(load: np.ndarray, percent: int):
-    """The first shingles of each set in the order (load of the class, hash). Sets at the threshold share
-    one of them; the first they share is `short` in the smaller set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = np.asarray(batch.column(3).value_lengths()).astype(np.int64)
-            h = batch.column(3).flatten().to_numpy()
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.lexsort((h, load[h & (CLASSES - 1)], row))
-            n = sizes[row]
-            place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            kept = np.flatnonzero(place <= n + (-percent * n) // 100)
-            short = place <= n + (-2 * percent * n) // (100 + percent)
-            index = pa.array(row[kept])
-            yield pa.RecordBatch.from_arrays([pa.array(h[order][kept]), *(batch.column(i).take(index) for i in (0, 1, 2, 4)), pa.array(n[kept]), pa.array(place[kept]), pa.array(short[kept])], names=["h", "doc", "part", "mass", "tag", "n", "place", "short"])
-
-    return run
-
-
-def _met(left: tuple, right: tuple, percent: int) -> list[tuple[int, int]]:
-    """Links between rows (doc, part, n, place, values, first) of one shingle that join different parts."""
-    docs, parts, n, place, values, first = right
-    out, parts = [], parts.copy()
-    own_parts = left[1].copy()
-    for i, (doc, size, at) in enumerate(zip(left[0].tolist(), left[2].tolist(), left[3].tolist(), strict=True)):
-        need = -((-percent * (n + size)) // (100 + percent))
-        asked = np.flatnonzero((parts != own_parts[i]) & (np.minimum(n - place, size - at) >= need))
-        if not len(asked):
-            continue
-        own = np.sort(left[4][left[5][i] : left[5][i + 1]])
-        lengths = n[asked]
-        ends = np.cumsum(lengths)
-        theirs = values[np.arange(ends[-1]) + np.repeat(first[asked] - (ends - lengths), lengths)]
-        held = own[np.minimum(np.searchsorted(own, theirs), size - 1)] == theirs
-        shared = np.add.reduceat(held, ends - lengths, dtype=np.int64)
-        for j in asked[100 * shared >= percent * (lengths + size - shared)].tolist():
-            if parts[j] != own_parts[i]:  # one link joins the parts
-                out.append((int(docs[j]), doc))
-                old = parts[j]
-                parts[parts == old] = own_parts[i]
-                own_parts[own_parts == old] = own_parts[i]
-    return out
-
-
-def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[int, int, int]]]]:
-    """Rows (h, s, r, own, ...) sorted so that own rows lead a block, in tables of whole blocks, with
-    (start, end of the own rows, stop) of each block that has both sides."""
-
-    def cut(waiting: list[pa.RecordBatch]) -> tuple[pa.Table, list[tuple[int, int, int]]]:
-        table = pa.Table.from_batches(waiting).combine_chunks()
-        block = np.stack([table[c].to_numpy() for c in ("h", "s", "r")])
-        cuts = np.concatenate([[0], np.flatnonzero((block[:, 1:] != block[:, :-1]).any(axis=0)) + 1, [table.num_rows]])
-        middle = cuts[:-1] + np.add.reduceat(table["own"].to_numpy(), cuts[:-1], dtype=np.int64)
-        some = (middle > cuts[:-1]) & (middle < cuts[1:])
-        return table, list(zip(cuts[:-1][some].tolist(), middle[some].tolist(), cuts[1:][some].tolist(), strict=True))
-
-    waiting: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        block = np.stack([batch.column(i).to_numpy() for i in range(3)])
-        change = np.flatnonzero((block[:, 1:] != block[:, :-1]).any(axis=0)) + 1
-        same = waiting and tuple(waiting[-1].column(i)[-1].as_py() for i in range(3)) == tuple(block[:, 0].tolist())
-        at = int(change[-1]) if len(change) else 0
-        if at or (waiting and not same):  # all blocks but the last are complete
-            yield cut([*waiting, batch.slice(0, at)])
-            waiting = [batch.slice(at)]
-        else:
-            waiting.append(batch)
-    if waiting:
-        yield cut(waiting)
-
-
-_ROW = "h long, s int, r int, own boolean, doc long, part long, tag long, n long, place long"
-
-
-def _partnered(percent: int):
-    """The rows of a block for which a row of another part and the other side leaves room for a link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, blocks in _by_block(batches):
-            part, n, place = (table[c].to_numpy() for c in ("part", "n", "place"))
-            kept = np.zeros(table.num_rows, bool)
-            for a, m, b in blocks:
-                need = -((-percent * (n[a:m, None] + n[None, m:b])) // (100 + percent))
-                ok = (part[a:m, None] != part[None, m:b]) & ((n - place)[a:m, None] >= need) & ((n - place)[None, m:b] >= need)
-                kept[a:m], kept[m:b] = ok.any(axis=1), ok.any(axis=0)
-            yield from table.filter(pa.array(kept)).combine_chunks().to_batches()
-
-    return run
-
-
-def _block_links(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, blocks in _by_block(batches):
-            columns = [table[c].to_numpy() for c in ("doc", "part", "n", "place")]
-            held = table["shingles"].combine_chunks()
-            values, first = held.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.asarray(held.value_lengths()).astype(np.int64))])
-            found = []
-            for a, m, b in blocks:
-                found += _met((*(c[a:m] for c in columns), values, first[a : m + 1]), (*(c[m:b] for c in columns), values, first[m : b + 1]), percent)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    return run
-
-
-def exact_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join all parts with sets at the threshold. sets: doc, part, mass, shingles."""
-    loads = sets.select("shingles").mapInArrow(_loads, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
-    load = np.zeros(CLASSES, np.uint32)
-    load[loads["class"].to_numpy()] = np.minimum(loads["n"].to_numpy(), 2**32 - 1)
-    # with doc the tag names a set, even if ids repeat
-    sets = sets.select("doc", "part", "mass", "shingles", F.xxhash64("shingles").alias("tag"))
-    rows = sets.mapInArrow(_leading(load, percent), "h long, doc long, part long, mass long, tag long, n long, place long, short boolean")
-    rows = stored(rows, "leading")
-    # shingles at which parts differ; each pair has a short row and one outside the main part
-    grouped = rows.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max_by("part", F.struct("mass", "part")).alias("main"), F.max("short").alias("any"))
-    shared = stored(grouped.where("any and low <> high").select("h", "main"), "shared")
-    met = stored(rows.join(shared, "h").drop("mass"), "met")
-    other = F.col("part") != F.col("main")
-    load_of = met.groupBy("h").agg(F.count("*").alias("all"), F.count_if(other).alias("others"), F.count_if("short").alias("shorts"))
-    sizes = stored(load_of.select("h", (F.col("shorts") <= F.col("others")).alias("by_short"), F.ceil(F.least("shorts", "others") / BLOCK).cast("int").alias("ns"), F.ceil(F.col("all") / BLOCK).cast("int").alias("nr")), "sizes")
-    slot = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    placed = met.join(sizes, "h")
-    kept = ("h", "doc", "part", "tag", "n", "place")
-    left = placed.where(F.when(F.col("by_short"), F.col("short")).otherwise(other)).select(*kept, slot(F.col("ns")).alias("s"), every("nr").alias("r"), F.lit(True).alias("own"))
-    right = placed.select(*kept, every("ns").alias("s"), slot(F.col("nr")).alias("r"), F.lit(False).alias("own"))
-    dealt = lambda rows: rows.repartition("h", "s", "r").sortWithinPartitions("h", "s", "r", F.desc("own"))
-    names = [x.split()[0] for x in _ROW.split(", ")]
-    both = dealt(left.select(*names).unionByName(right.select(*names)))
-    asked = stored(both.mapInArrow(_partnered(percent), _ROW), "asked")
-    held = asked.join(sets.select("doc", "tag", "shingles").hint("merge"), ["doc", "tag"]).select(*names, "shingles")
-    return dealt(held).mapInArrow(_block_links(percent), "a long, b long").distinct()
+    enough = 100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)
+    return pairs.select("a", "b").join(one, "a").join(two, "b").where(enough).select("a", "b").distinct()
+
+
+def links_of(forest: DataFrame, texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b) links that join what is linked, and the tables they are read from. forest: doc, keys, bits of
+    different sets; texts: doc, text."""
+    least = least_bits(percent / 100)
+    seen, margins = first_round(forest, least)
+    both = seen.unionByName(margins)
+    of_kind = lambda rows, *kinds: rows.where(F.col("kind").isin(*kinds))
+    pairs = stored(of_kind(both, PAIR).groupBy("a", "b").agg(F.max("alike").alias("alike")), "pairs")
+    more = stored(of_kind(both, MORE, CROWD).select(F.col("a").alias("doc")).distinct(), "more")
+    members = pairs.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(more).distinct()
+    # members grow with the documents: the same merge join at every size, never a broadcast
+    sets = stored(texts.join(members.hint("merge"), "doc", "left_semi").select("doc", "text").mapInArrow(_sets(k), "doc long, shingles array<bigint>"), "sets")
+    nearest, lowest = F.max_by("a", F.struct("alike", -F.col("a"))), F.min("a")
+    best = pairs.groupBy("b").agg(F.array_distinct(F.array(nearest, lowest)).alias("best")).select(F.explode("best").alias("a"), "b")
+    first = stored(confirmed(best, sets, percent), "links")
+    found = stored(connected_components(first), "found")
+    of = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+    apart = lambda rows: rows.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
+    left = apart(pairs).join(best, ["a", "b"], "left_anti")
+    tables = [seen, margins, pairs, more, sets, first, found]
+    crowd = of_kind(both, CROWD)
+    if not more.isEmpty():
+        parts = more.join(of("doc"), "doc", "left").select("doc", F.coalesce("of_doc", "doc").alias("part"))
+        again = second_round(forest.join(parts, "doc"), of_kind(both, DENSE), least)
+        tables.append(again)
+        left = left.unionByName(of_kind(again, PAIR).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")).distinct()
+        crowd = crowd.unionByName(of_kind(again, CROWD))
+    links = found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(confirmed(left, sets, percent))
+    dense = stored(crowd.select(F.col("a").alias("doc")).distinct(), "crowd")
+    tables.append(dense)
+    if not dense.isEmpty():
+        mass = found.groupBy(F.col("component").alias("part")).agg((F.count("*") + 1).alias("mass"))
+        joined = sets.join(dense, "doc", "left_semi").join(of("doc"), "doc", "left").withColumn("part", F.coalesce("of_doc", "doc"))
+        placed = stored(joined.join(mass, "part", "left").select("doc", "part", F.coalesce("mass", F.lit(1)).cast("long").alias("mass"), "shingles"), "placed")
+        exact = exact_links(placed, percent)
+        tables += [placed, exact]
+        links = links.unionByName(exact)
+    return links, tables
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without the text, with n_shingles, component_id and kept (doc_id = component_id)."""
     own = [c for c in docs.columns if c not in ("n_shingles", "component_id", "kept", "text")]
     doc = F.col("doc_id").cast("long")
-    texts = docs.select(doc.alias("doc"), row_tag(F.col("text")).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = texts.select("doc", "text", "row").mapInArrow(_signatures(k), "doc long, row long, n_shingles long, s1 long, s2 long, keys binary, sketch binary")
-    base = stored(signed, "signatures")
-    linked = base.where("doc is not null and n_shingles > 0")
-    # stored, so that the join of copies reads plain shuffles and a very frequent set can be split
-    lowest = stored(linked.groupBy("s1", "s2", "n_shingles").agg(F.min("doc").alias("lowest")), "lowest")
-    placed = linked.join(lowest, ["s1", "s2", "n_shingles"])
-    copies = stored(placed.where("doc <> lowest").select(F.col("lowest").alias("a"), F.col("doc").alias("b")).distinct(), "copies")
-    signatures = stored(placed.where("doc = lowest").select("doc", "keys", "sketch"), "forest")
-    pairs, more = candidates(signatures, percent / 100)
-    more = stored(more, "more")
-    members = pairs.select(F.explode(F.array("a", "b")).alias("doc")).unionByName(more).distinct()
-    # members grow with the documents: the same merge join at every size, never a broadcast
-    sets = stored(texts.where("doc is not null").select("doc", "text").join(members.hint("merge"), "doc", "left_semi").mapInArrow(_sets(k), "doc long, shingles array<bigint>"), "sets")
-    best = pairs.groupBy("b").agg(F.array_distinct(F.array(F.max_by("a", F.struct("alike", -F.col("a"))), F.min("a"))).alias("best")).select(F.explode("best").alias("a"), "b")
-    first = stored(confirmed(best, sets, percent), "links")
-    found = stored(connected_components(first), "found")
-    of = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
-    mass = found.groupBy(F.col("component").alias("part")).agg((F.count("*") + 1).alias("mass"))
-    parts = stored(sets.select("doc").distinct().join(of("doc"), "doc", "left").select("doc", F.coalesce("of_doc", "doc").alias("part")), "parts")
-    crowd = sets.join(more, "doc", "left_semi").join(parts, "doc").join(mass, "part", "left").withColumn("mass", F.coalesce("mass", F.lit(1).cast("long")))
-    left = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b").join(best, ["a", "b"], "left_anti")
-    second = confirmed(left, sets, percent).unionByName(exact_links(stored(crowd, "crowd"), percent))
-    # the first round's components stand for its links
-    links = found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(second).unionByName(copies)
-    components = connected_components(links)
-    result = base.select("doc", "row", "n_shingles").distinct().join(components.withColumnRenamed("node", "doc"), "doc", "left")
-    marks = result.select(F.col("doc").alias("_cz_doc"), F.col("row").alias("_cz_row"), "n_shingles", F.coalesce("component", "doc").alias("component_id"))
-    left = docs.select(*own, doc.alias("_cz_doc"), row_tag(F.col("text")).alias("_cz_row"))
-    same = left["_cz_doc"].eqNullSafe(marks["_cz_doc"]) & (left["_cz_row"] == marks["_cz_row"])
-    joined = left.join(marks, same).select(*(left[c] for c in own), "n_shingles", "component_id", left["_cz_doc"])
-    return joined.select(*own, "n_shingles", "component_id", F.coalesce(F.col("_cz_doc") == F.col("component_id"), F.lit(True)).alias("kept"))
+    schema = T.StructType([docs.schema[c] for c in own] + list(T._parse_datatype_string(_SIGNED)))
+    read = docs.select(*own, doc.alias("_cz_doc"), F.coalesce("text", F.lit("")).alias("_cz_text"))
+    base = stored(read.mapInArrow(_signatures(k, own), schema), "signatures")
+    rows = base.where("_cz_doc is not null and _cz_n > 0")
+    # one row for each set; equal sets have equal keys and bits
+    sets = ("_cz_s1", "_cz_s2", "_cz_n")
+    grouped = rows.groupBy(*sets).agg(F.min("_cz_doc").alias("doc"), F.first("_cz_keys").alias("keys"), F.first("_cz_bits").alias("bits"))
+    forest = stored(grouped, "forest")
+    texts = docs.where(doc.isNotNull()).select(doc.alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    links, tables = links_of(forest.select("doc", "keys", "bits"), texts, k, percent)
+    copies = rows.select(*sets, "_cz_doc").join(forest.select(*sets, "doc"), list(sets)).where("_cz_doc <> doc")
+    components = connected_components(links.unionByName(copies.select(F.col("doc").alias("a"), F.col("_cz_doc").alias("b"))))
+    dropped(*tables, forest)
+    joined = base.select(*own, "_cz_doc", "_cz_n").join(components, F.col("_cz_doc") == F.col("node"), "left")
+    component = F.coalesce("component", "_cz_doc")
+    kept = F.coalesce(F.col("_cz_doc") == component, F.lit(True))
+    return joined.select(*own, F.col("_cz_n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cadenza.llm import bpe, decontaminate, holders, html_extract, licenses, line_dedup, lsh_forest, packing, preference, quality, queries, substring_dedup, token_counts
+from cadenza.llm import bpe, decontaminate, holders, html_extract, licenses, line_dedup, lsh_forest, packing, preference, quality, queries, set_join, substring_dedup, token_counts
 from cadenza.llm.common import ALNUM, FOLDED, PLAIN, slices, words_of
 from cadenza.llm.components import connected_components
 
@@ -409,17 +409,29 @@ def test_near_duplicates_in_a_large_group(spark):
     same(got, brute.near(docs))
 
 
-def test_dense_regions_use_the_window(spark, monkeypatch):
-    """The window over a dense region loses no group even when it is narrow."""
-    monkeypatch.setattr(lsh_forest, "REGION", 40)
-    monkeypatch.setattr(lsh_forest, "OVERLAP", 10)
-    rng = np.random.default_rng(0)
-    docs = np.arange(200, dtype=np.int64)
-    sketch = np.repeat(rng.integers(0, 255, (1, lsh_forest.SKETCH), dtype=np.uint8), 200, axis=0)
-    keys = np.zeros((200, lsh_forest._KEY), np.uint8)
-    batches = [pa.RecordBatch.from_arrays([lsh_forest._binary(keys[i : i + 37]), pa.array(docs[i : i + 37]), lsh_forest._binary(sketch[i : i + 37]), pa.array(docs[i : i + 37]), pa.array(np.ones(len(docs[i : i + 37]), np.int64))], names=["key", "doc", "sketch", "part", "mass"]) for i in range(0, 200, 37)]
-    pairs = [(a, b) for out in lsh_forest._neighbours(40, False)(iter(batches)) for kind, a, b in zip(*(out.column(i).to_pylist() for i in range(3)), strict=True) if kind == lsh_forest.PAIR]
-    parent = list(range(200))
+def _tree(n_docs, regions, seed=0, like=0.9):
+    """Sorted rows of one tree: docs of a region agree in most bits."""
+    rng = np.random.default_rng(seed)
+    region = np.sort(rng.integers(0, regions, n_docs))
+    keys = np.zeros((n_docs, lsh_forest._KEY), np.uint8)
+    keys[:, lsh_forest._HEAD - 1] = region
+    bits = rng.random((regions, lsh_forest.SKETCH))[region] < 0.5
+    bits ^= rng.random(bits.shape) > like
+    docs = np.arange(n_docs, dtype=np.int64) * 7 % n_docs
+    order = np.lexsort((docs, region))
+    return keys, docs[order], np.packbits(bits, axis=1), region
+
+
+def _batches(keys, docs, bits, size):
+    return [pa.RecordBatch.from_arrays([lsh_forest._binary(keys[i : i + size]), pa.array(docs[i : i + size]), lsh_forest._binary(bits[i : i + size]), pa.array(docs[i : i + size])], names=["key", "doc", "bits", "part"]) for i in range(0, len(docs), size)]
+
+
+def _seen(out, kind):
+    return [(a, b) for batch in out for k, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) if k == kind]
+
+
+def _groups(pairs, docs):
+    parent = {int(d): int(d) for d in docs}
 
     def root(x):
         while parent[x] != x:
@@ -428,8 +440,59 @@ def test_dense_regions_use_the_window(spark, monkeypatch):
 
     for a, b in pairs:
         parent[root(b)] = root(a)
-    assert len({root(x) for x in range(200)}) == 1
-    assert len(pairs) < 200 * 12
+    return {d: root(d) for d in parent}
+
+
+@pytest.mark.parametrize("size", [1, 3, 17, 1000])
+def test_regions_over_any_batches(size):
+    """Every pair of a small region, and enough of a larger one to tie it together; left-out ones are named."""
+    keys, docs, bits, region = _tree(300, 60)
+    least = lsh_forest.least_bits(0.5)
+    out = list(lsh_forest._neighbours(least)(iter(_batches(keys, docs, bits, size))))
+    words = bits.view(np.uint64)
+    alike = [(i, j) for i in range(300) for j in range(i) if region[i] == region[j] and lsh_forest._agreeing(words[i], words[j]) >= least]
+    pairs = set(_seen(out, lsh_forest.PAIR))
+    assert pairs <= {(min(docs[i], docs[j]), max(docs[i], docs[j])) for i, j in alike}
+    left = {a for a, _ in _seen(out, lsh_forest.MORE)}
+    assert all((min(docs[i], docs[j]), max(docs[i], docs[j])) in pairs or {docs[i], docs[j]} <= left for i, j in alike)
+    few = Counter(i for i, _ in alike)
+    assert all((min(docs[i], docs[j]), max(docs[i], docs[j])) in pairs for i, j in alike if few[i] <= lsh_forest.FEW)
+    second = list(lsh_forest._neighbours(least, second=True)(iter(_batches(keys, docs, bits, size))))
+    listed, crowd = set(_seen(second, lsh_forest.PAIR)), {a for a, _ in _seen(second, lsh_forest.CROWD)}
+    assert all((min(docs[i], docs[j]), max(docs[i], docs[j])) in listed or {docs[i], docs[j]} <= crowd for i, j in alike)
+
+
+@pytest.mark.parametrize("cuts", [[], [10], [100, 150], [40, 41, 199]])
+def test_regions_across_partitions(monkeypatch, cuts):
+    """Regions cut by a partition bound are compared as a whole; dense ones are named with all their documents."""
+    monkeypatch.setattr(lsh_forest, "REGION", 40)
+    monkeypatch.setattr(lsh_forest, "OVERLAP", 10)
+    for regions, dense in ((1, True), (12, False)):
+        keys, docs, bits, region = _tree(200, regions, seed=regions, like=0.97)
+        least, bounds = lsh_forest.least_bits(0.6), [0, *cuts, 200]
+        seen = [x for a, b in zip(bounds, bounds[1:], strict=False) for x in lsh_forest._neighbours(least, edges=True)(iter(_batches(keys[a:b], docs[a:b], bits[a:b], 13)))]
+        edge = pa.Table.from_batches(seen).to_pandas()
+        edge = edge[edge.kind.isin([lsh_forest.EDGE, lsh_forest.DENSE])].sort_values(["key", "a"], na_position="first")
+        batch = pa.RecordBatch.from_arrays([pa.array(edge.key, pa.binary()), pa.array(edge.a, pa.int64(), from_pandas=True), pa.array(edge["bits"], pa.binary()), pa.array(edge.a, pa.int64(), from_pandas=True)], names=["key", "doc", "bits", "part"])
+        out = seen + list(lsh_forest._neighbours(least)(iter([batch])))
+        crowd = {a for a, _ in _seen(out, lsh_forest.CROWD)}
+        assert crowd == (set(docs.tolist()) if dense else set())
+        assert bool(_seen(out, lsh_forest.DENSE)) == dense
+        found = _groups(_seen(out, lsh_forest.PAIR), docs)
+        assert regions <= len({found[d] for d in docs.tolist()}) <= (len(bounds) - 1 if dense else regions)
+        assert len(set(_seen(out, lsh_forest.PAIR))) < 200 * 12
+
+
+def test_dense_regions_lose_no_link(spark, monkeypatch):
+    """A crowd at 0.55 with pairs planted just above 0.8, most of it in regions that are too dense to compare."""
+    monkeypatch.setattr(lsh_forest, "REGION", 64)
+    monkeypatch.setattr(lsh_forest, "OVERLAP", 16)
+    base = [f"w{i}" for i in range(80)]
+    docs = [(i, " ".join(base + [f"x{i}_{j}" for j in range(34)])) for i in range(600)]
+    docs += [(600 + i, " ".join(base + [f"x{i}_{j}" for j in range(23)] + [f"y{i}_{j}" for j in range(11)])) for i in range(300)]
+    got = lsh_forest.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), k=2)
+    same(got, brute.near(docs))
+    assert got.where("kept").count() == 600
 
 
 def test_links_far_apart_in_a_dense_region(spark):
@@ -443,13 +506,13 @@ def test_links_far_apart_in_a_dense_region(spark):
 
 @pytest.mark.parametrize("percent", [50, 80, 95])
 def test_exact_links_join_what_brute_force_joins(spark, percent, monkeypatch):
-    monkeypatch.setattr(lsh_forest, "BLOCK", 7)
+    monkeypatch.setattr(set_join, "BLOCK", 7)
     rng = random.Random(percent)
     sets = []
     for i in range(150):
         n = rng.randint(1, 40)
         sets.append((i, i // 2 * 2 if i < 40 else i, 1, rng.sample(range(60), n) if i % 3 else sorted(set(range(30)) - set(rng.sample(range(30), 3)))))
-    got = {tuple(r) for r in lsh_forest.exact_links(spark.createDataFrame(sets, "doc long, part long, mass long, shingles array<long>"), percent).collect()}
+    got = {tuple(r) for r in set_join.exact_links(spark.createDataFrame(sets, "doc long, part long, mass long, shingles array<long>"), percent).collect()}
     want = {(a[0], b[0]) for a in sets for b in sets if a[0] < b[0] and a[1] != b[1] and 100 * len(set(a[3]) & set(b[3])) >= percent * len(set(a[3]) | set(b[3]))}
     assert {(min(x), max(x)) for x in got} <= want
 
@@ -474,6 +537,13 @@ def test_near_duplicate_cases(odd, nothing):
     assert lsh_forest.near_duplicates(nothing).count() == 0
 
 
+def test_many_rows_without_an_id_stay_as_many(spark):
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", F.lit("text of"), "id").alias("text"), F.lit(1).alias("_n"))
+    table = rows.unionByName(spark.createDataFrame([(5, "text of 5", 0), (5, "other text", 0)], "doc_id long, text string, _n int"))
+    got = lsh_forest.near_duplicates(table, k=2)
+    assert got.count() == 20_002 and got.where("kept and component_id is null").count() == 20_000
+
+
 # ---------------------------------------------------------------- 10 token counts
 @pytest.mark.parametrize("rule", ["first", "most"])
 def test_section_tokens(spark, corpus, documents, rule):
