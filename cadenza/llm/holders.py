@@ -4,6 +4,9 @@ Rows (k1, k2, doc, tag) are range-partitioned and sorted by all four, so that Sp
 very frequent key into several partitions. A task streams its rows with a state of one run. What a
 task can't know - whether its first run began in an earlier partition - is settled afterwards
 against one row per partition (the last run of each), which is all that is broadcast.
+
+The partitions are blocks of an index of everything that is held: for each later row the block also
+names a reference, the row of a smaller doc that holds the key first.
 """
 
 from __future__ import annotations
@@ -19,20 +22,20 @@ from cadenza.storage import stored
 
 #: Kinds of rows that the pass emits.
 LATER, PENDING, EDGE, BRANCH = 0, 1, 2, 3
-SCHEMA = "kind tinyint, k1 long, k2 long, doc long, tag long"
-_ARROW = pa.schema([("kind", pa.int8()), ("k1", pa.int64()), ("k2", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64())])
+SCHEMA = "kind tinyint, k1 long, k2 long, doc long, tag long, ref_doc long, ref_tag long"
+_COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
-def _batch(kind: int, k1, k2, doc, tag) -> pa.RecordBatch:
+def _batch(kind: int, k1, k2, doc, tag, ref_doc=None, ref_tag=None) -> pa.RecordBatch:
     n = len(doc)
-    full = lambda x: pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), full(k1), full(k2), full(doc), full(tag)], schema=_ARROW)
+    full = [pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (k1, k2, doc, tag, ref_doc, ref_tag)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), *full], names=_COLUMNS)
 
 
-def _stream(batches: Iterator[pa.RecordBatch], branches: bool) -> Iterator[pa.RecordBatch]:
+def _stream(batches: Iterator[pa.RecordBatch], branches: bool, refs: bool) -> Iterator[pa.RecordBatch]:
     """LATER: held by a smaller doc in this partition. PENDING: first holders of the partition's
     first run. EDGE: the last run. BRANCH: first holders of a (k1, k2) whose k1 has another k2."""
-    last: tuple[int, int, int] | None = None  # k1, k2 and first doc of the open run
+    last: tuple[int, int, int, int] | None = None  # k1, k2, first doc and its tag of the open run
     opening = True  # still in the partition's first run
     for batch in batches:
         if not batch.num_rows:
@@ -47,13 +50,15 @@ def _stream(batches: Iterator[pa.RecordBatch], branches: bool) -> Iterator[pa.Re
             new[0] = new1[0] or last[1] != k2[0]
         at = np.maximum.accumulate(np.where(new, np.arange(n), -1))
         first = np.where(at >= 0, doc[at], last[2] if last is not None else 0)
+        first_tag = np.where(at >= 0, tag[at], last[3] if last is not None else 0)
         later = doc > first
         if last is None:
             new[0] = False  # the first run isn't known to begin here
         in_first = (np.cumsum(new) == 0) if opening else np.zeros(n, bool)
         opening = opening and bool(in_first.all())
         if later.any():
-            yield _batch(LATER, None, None, doc[later], tag[later])
+            reference = (first[later], first_tag[later]) if refs else ()
+            yield _batch(LATER, None, None, doc[later], tag[later], *reference)
         wait = ~later & in_first
         if wait.any():
             yield _batch(PENDING, k1[wait], k2[wait], doc[wait], tag[wait])
@@ -66,26 +71,30 @@ def _stream(batches: Iterator[pa.RecordBatch], branches: bool) -> Iterator[pa.Re
             out = ~later & ~in_first & several[group]
             if out.any():
                 yield _batch(BRANCH, k1[out], k2[out], doc[out], tag[out])
-        last = (int(k1[-1]), int(k2[-1]), int(first[-1]))
+        last = (int(k1[-1]), int(k2[-1]), int(first[-1]), int(first_tag[-1]))
     if last is not None:
-        yield _batch(EDGE, [last[0]], [last[1]], [last[2]], [0])
+        yield _batch(EDGE, [last[0]], [last[1]], [last[2]], [last[3]])
 
 
-def first_holders(rows: DataFrame, branches: bool = False, name: str = "holders") -> tuple[DataFrame, DataFrame | None]:
+def first_holders(rows: DataFrame, branches: bool = False, refs: bool = False, name: str = "holders") -> tuple[DataFrame, DataFrame | None]:
     """rows: k1, k2, doc, tag (longs, no nulls).
 
-    Returns (doc, tag) of all rows whose (k1, k2) a smaller doc holds too, and, with `branches`,
-    (k1, k2, doc, tag) of first holders in groups of one k1 with several k2 (a few others may be
-    among them: groups at the edge of an Arrow batch or partition).
+    Returns (doc, tag) of all rows whose (k1, k2) a smaller doc holds too, with `refs` also (ref_doc,
+    ref_tag) of a row of a smaller doc that holds it; and, with `branches`, (k1, k2, doc, tag) of first
+    holders in groups of one k1 with several k2 (a few others may be among them: groups at the edge of
+    an Arrow batch or partition).
     """
     keys = ["k1", "k2", "doc", "tag"]
     ordered = rows.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    seen = stored(ordered.mapInArrow(lambda it: _stream(it, branches), SCHEMA), name)
-    edges = seen.where(F.col("kind") == EDGE).groupBy("k1", "k2").agg(F.min("doc").alias("began"))
+    seen = stored(ordered.mapInArrow(lambda it: _stream(it, branches, refs), SCHEMA), name)
+    began = F.min(F.struct("doc", "tag")).alias("began")
+    edges = seen.where(F.col("kind") == EDGE).groupBy("k1", "k2").agg(began)
     # one row per partition at most: bounded by the partitioning, not by the rows
-    waiting = seen.where(F.col("kind") == PENDING).join(F.broadcast(edges), ["k1", "k2"], "left")
-    settled = F.coalesce(F.col("began") < F.col("doc"), F.lit(False))
-    later = seen.where(F.col("kind") == LATER).select("doc", "tag").unionByName(waiting.where(settled).select("doc", "tag"))
+    waiting = seen.where(F.col("kind") == PENDING).drop("ref_doc", "ref_tag").join(F.broadcast(edges), ["k1", "k2"], "left")
+    settled = F.coalesce(F.col("began.doc") < F.col("doc"), F.lit(False))
+    named = ("doc", "tag", "ref_doc", "ref_tag") if refs else ("doc", "tag")
+    late = waiting.where(settled).select("doc", "tag", F.col("began.doc").alias("ref_doc"), F.col("began.tag").alias("ref_tag"))
+    later = seen.where(F.col("kind") == LATER).select(*named).unionByName(late.select(*named))
     if not branches:
         return later, None
     first = seen.where(F.col("kind") == BRANCH).select(*keys).unionByName(waiting.where(~settled).select(*keys))

@@ -77,8 +77,10 @@ def test_first_holders_over_any_batches(spark, size):
     data = [(rng.randint(0, 9) if rng.random() < 0.6 else 5, rng.randint(0, 2), rng.randint(0, 20), i) for i in range(600)]
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
-    later, first = holders.first_holders(spark.createDataFrame(data, "k1 long, k2 long, doc long, tag long").repartition(3), branches=True)
-    got, branching = set(map(tuple, later.collect())), set(map(tuple, first.collect()))
+    later, first = holders.first_holders(spark.createDataFrame(data, "k1 long, k2 long, doc long, tag long").repartition(3), branches=True, refs=True)
+    found, branching = later.collect(), set(map(tuple, first.collect()))
+    got, key = {(r.doc, r.tag) for r in found}, {(doc, tag): (k1, k2) for k1, k2, doc, tag in data}
+    assert all(r.ref_doc < r.doc and key[r.ref_doc, r.ref_tag] == key[r.doc, r.tag] for r in found)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     least, kinds = {}, defaultdict(set)
     for k1, k2, doc, _ in data:
@@ -213,6 +215,22 @@ def test_substring_dedup_on_few_words(spark, seed):
     assert sorted((r.doc_id, r.n_words, r.n_removed, brute.sha(r.text)) for r in got.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("few", [False, True])
+def test_factors_are_copies_that_cover_what_is_removed(spark, corpus, documents, few):
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 50)))) for i in range(30)] if few else corpus
+    words = {i: brute.plain_words(t) for i, t in docs}
+    covered = defaultdict(set)
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3) if few else documents
+    for r in substring_dedup.factors(table).collect():
+        assert r.length >= 13 and r.ref_doc < r.doc_id and r.start + r.length <= len(words[r.doc_id])
+        assert words[r.doc_id][r.start : r.start + r.length] == words[r.ref_doc][r.ref_start : r.ref_start + r.length]
+        covered[r.doc_id].update(range(r.start, r.start + r.length))
+    assert {d: len(x) for d, x in covered.items()} == {d: n for d, _, n, _ in brute.substrings(docs) if n}
+    long = [r for r in substring_dedup.factors(documents).collect() if r.length > 30] if not few else [1]
+    assert long  # a copied passage of forty words is one factor, not many
+
+
 def test_substring_dedup_cases(odd, nothing):
     got = {(str(r.doc_id), r.n_words, r.n_removed) for r in substring_dedup.dedup_substrings(odd).collect()}
     assert ("2", 25, 20) in got and ("1", 24, 0) in got and ("None", 24, 0) in got and ("None", 0, 0) in got
