@@ -6,8 +6,12 @@ capacity. Neighbouring blocks and blocks of one container are tied by smoothness
 the closer they are in the document tree. The maximum flow separates content from boilerplate.
 
 Blocks keep page order; white space inside a block is one space; blocks are joined by an empty line.
-Scripts, styles, comments and widgets never become blocks; formulas (<math>) are text. Line breaks
-(<br>) count as white space.
+Scripts, styles, comments, widgets and hidden elements never become blocks; formulas (<math>) are text.
+Line breaks (<br>) count as white space. What an element says about the blocks in it is carried down as it
+opens, so that a page takes time in proportion to its length, however deeply it is nested.
+
+A class name or id speaks against a block only as a whole: all its parts must be words of page
+furniture ("cookie-notice", "relatedPosts", "sidebar-2"), not just one ("related-work", "legal-analysis").
 
 Defined cases: a null, empty or tag-only page has an empty text; unclosed elements close with their
 container; an unclosed comment, script, style, textarea or title runs to the end of the page; a widget
@@ -20,6 +24,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,27 +43,80 @@ TOKEN = re.compile(r"""<!--(.*?)(?:-->|\Z)|<([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 
 #: Weights of the block classifier (log odds of content).
-WEIGHTS = {"article": 3.0, "main": 2.0, "heading": 0.5, "away": -9.0, "named_away": -9.0, "named_main": 1.5, "links": -4.0, "long": 1.5, "sentence": 0.7, "short": -0.8, "base": 0.4, "hidden": -9.0, "masthead": -7.0}
+WEIGHTS = {
+    "base": 0.4, "article": 3.0, "main": 2.0, "heading": 0.5, "named_main": 1.5, "away": -9.0, "named_away": -9.0, "masthead": -7.0,
+    "links": -4.0, "long": 1.5, "sentence": 0.7, "short": -0.8,
+}
 AWAY = frozenset("nav footer aside form menu dialog fieldset".split())
-NAMED_AWAY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|foot|masthead|topbar|cookies?|consent|notice|notices|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widget|comments?|commentlist|disqus|respond|replies|toolbar|pagination|pager|skip|legal|copyright|disclaimer|alert)(?:$|[\s_-])",
-    re.I,
-)
-NAMED_HEAD = re.compile(r"(?:^|[\s_-])(?:header|head)(?:$|[\s_-])", re.I)
-NAMED_MAIN = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|body|main|text)(?:$|[\s_-])", re.I)
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+#: Words of class names and ids: for furniture, for mastheads, for the main text, and those that say nothing.
+AWAY_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsors sponsored promo promos promoted promotion promotions banner banners sidebar sidebars side menu menus submenu nav navs navbar navigation breadcrumb breadcrumbs footer footers foot topbar cookie cookies consent notice notices gdpr privacy popup popups modal overlay newsletter newsletters subscribe subscription signup signin login register share shares sharing social follow related recommended recommendations widget widgets comment comments commentlist disqus respond reply replies toolbar pagination pager skip legal copyright disclaimer alert alerts search".split()
+)
+HEAD_WORDS = frozenset("header headers head masthead".split())
+MAIN_WORDS = frozenset("article content post entry story body main text".split())
+PLAIN_WORDS = frozenset(
+    "a about and area bar block blocks bottom box boxes btn button buttons by card cards cell center class col column columns container desktop div element fixed for form global group holder id in inner item items js large layer layout left level line link links list lists media message messages middle mini mobile module modules more my new news of on outer page pages panel panels part post posts articles stories entries primary reader readers right row rows secondary section sections share site slot small sticky strip tab table tabs the thread title to top ui ul unit us user users view website wide wrap wrapper you your zone".split()
+)
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\d_A-Z]+")
 ADJACENT, CONTAINER = 0.6, 0.8
 
 
-@dataclass
+def name_kind(name: str) -> str:
+    """What a class or id attribute says: away, head, main or nothing."""
+    kind = ""
+    for token in name.split():
+        parts = {x.lower() for x in _PARTS.findall(token)}
+        rest = parts - PLAIN_WORDS - MAIN_WORDS
+        if parts & AWAY_WORDS and not rest - AWAY_WORDS - HEAD_WORDS:
+            return "away"
+        if parts & HEAD_WORDS and not rest - HEAD_WORDS:
+            kind = "head"
+        elif parts & MAIN_WORDS:
+            kind = kind or "main"
+    return kind
+
+
 class Element:
-    tag: str
-    parent: Element | None
-    name: str = ""
-    role: str = ""
-    hidden: bool = False
-    depth: int = 0
-    silent: bool = False
+    """An open element and what it says, with those around it, about the blocks in it."""
+
+    __slots__ = ("tag", "parent", "depth", "silent", "holder", "odds", "article", "away", "masthead", "main", "heading")
+
+    def __init__(self, tag: str, parent: Element | None, attributes: str = "", silent: bool = False):
+        self.tag, self.parent = tag, parent
+        self.depth = parent.depth + 1 if parent else 0
+        self.silent = silent or (parent is not None and parent.silent)
+        self.holder = parent.holder if parent is not None and tag in INLINE else self
+        self.odds = parent.odds if parent else 0.0
+        self.article = tag == "article" or (parent is not None and parent.article)
+        self.main = tag == "main" or (parent is not None and parent.main)
+        self.away = tag in AWAY or (parent is not None and parent.away)
+        self.masthead = tag == "header" or (parent is not None and parent.masthead)
+        self.heading = tag in HEADINGS or (parent is not None and parent.heading)
+        for key, value in ATTRIBUTE.findall(attributes):
+            key, value = key.lower(), value.strip("\"'")
+            if key in ("class", "id"):
+                self._named(value)
+            elif key == "role":
+                role = value.lower()
+                self.away |= role in AWAY_ROLES
+                self.article |= role == "article"
+                self.main |= role == "main"
+            elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and HIDDEN_STYLE.search(value):
+                self.silent = True
+
+    def _named(self, name: str) -> None:
+        kind = name_kind(name)
+        if kind == "head" and self.tag not in ("html", "body"):
+            self.masthead = True
+        elif kind in ("away", "main") and self.tag not in ("html", "body", "article", "main"):
+            self.odds += WEIGHTS["named_away" if kind == "away" else "named_main"]
+
+
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_STOPS = frozenset(("ul", "ol", "table", "dl", "article", "section", "div", "body", "html", "td", "th", *SILENT))
+_ROW_STOPS = frozenset(("table", "body", "html", *SILENT))
 
 
 @dataclass
@@ -69,92 +127,108 @@ class Block:
     text: str = ""
 
 
-def blocks(page: str) -> list[Block]:
-    """Text blocks in page order."""
-    root = Element("html", None)
-    here, block, out = root, None, []
-    links, at, n = 0, 0, len(page)
-    last_end: dict[str, int] = {}
-
-    def close():
-        nonlocal block
-        if block is not None:
-            block.text = " ".join(html.unescape("".join(block.parts)).split())
-            if block.text:
-                out.append(block)
-        block = None
-
-    def put(text: str):
-        nonlocal block
-        if here.silent:
+class _Reader:
+    """Reads a page into blocks."""
+
+    def __init__(self, page: str):
+        self.page, self.here = page, Element("html", None)
+        self.open: Counter[str] = Counter()
+        self.block: Block | None = None
+        self.out: list[Block] = []
+        self.last_end: dict[str, int] = {}
+
+    def close(self) -> None:
+        """The block ends."""
+        if self.block is not None:
+            self.block.text = " ".join(html.unescape("".join(self.block.parts)).split())
+            if self.block.text:
+                self.out.append(self.block)
+        self.block = None
+
+    def put(self, text: str) -> None:
+        if self.here.silent:
             return
-        if block is None:
+        if self.block is None:
             if not text.strip():
                 return
-            holder = here
-            while holder.tag in INLINE and holder.parent is not None:
-                holder = holder.parent
-            block = Block(holder)
-        block.parts.append(text)
-        if links:
-            block.linked += len(text.strip())
+            self.block = Block(self.here.holder)
+        self.block.parts.append(text)
+        if self.open["a"]:
+            self.block.linked += len(text.strip())
+
+    def enter(self, element: Element) -> None:
+        self.here = element
+        self.open[element.tag] += 1
+
+    def leave(self, element: Element) -> None:
+        """Close all that is open up to an element, itself included."""
+        parent = element.parent
+        while self.here is not parent:
+            self.open[self.here.tag] -= 1
+            self.here = self.here.parent
+
+    def implied(self, tag: str, stops: frozenset[str]) -> None:
+        """An element that a new one closes, if it is open in the same container."""
+        walk: Element | None = self.here if self.open[tag] else None
+        while walk is not None and walk.tag not in stops:
+            if walk.tag == tag:
+                self.leave(walk)
+                return
+            walk = walk.parent
+
+    def start(self, tag: str, attributes: str, at: int) -> int:
+        """An opening tag; returns where to read on."""
+        if tag == "br":
+            self.put(" ")
+            return at
+        if tag not in INLINE:
+            self.close()
+        if tag in VOID:
+            return at
+        if tag in RAW or tag == "head":
+            return _past(self.page, at, tag)
+        closed = attributes.rstrip().endswith("/")
+        if tag in SILENT:
+            if tag not in self.last_end:
+                self.last_end[tag] = max((x.start() for x in re.finditer(rf"</{tag}\b", self.page, re.I)), default=-1)
+            if self.last_end[tag] >= at and not closed:
+                self.enter(Element(tag, self.here, silent=True))
+            return at
+        if tag in CLOSES or tag not in INLINE:
+            for old in CLOSES.get(tag, ("p",)):
+                self.implied(old, _ROW_STOPS if old == "tr" else _STOPS)
+        if not closed or tag in INLINE:
+            self.enter(Element(tag, self.here, attributes))
+        return at
+
+    def end(self, tag: str) -> None:
+        """A closing tag; one without an open element closes nothing."""
+        if tag not in INLINE:
+            self.close()
+        if self.open[tag]:
+            walk = self.here
+            while walk.tag != tag:
+                walk = walk.parent
+            self.leave(walk)
 
+
+def blocks(page: str) -> list[Block]:
+    """Text blocks in page order."""
+    reader, at, n = _Reader(page), 0, len(page)
     while at < n:
         found = TOKEN.search(page, at)
         if found is None:
-            put(page[at:])
+            reader.put(page[at:])
             break
         if found.start() > at:
-            put(page[at : found.start()])
+            reader.put(page[at : found.start()])
         at = found.end()
-        tag = (found[2] or "").lower()
-        if tag:
-            if tag == "br":
-                put(" ")
-                continue
-            if tag not in INLINE:
-                close()
-            if tag in VOID:
-                continue
-            if tag in RAW or tag == "head":
-                at = _past(page, at, tag)
-                continue
-            if tag in SILENT:
-                if tag not in last_end:
-                    last_end[tag] = max((x.start() for x in re.finditer(rf"</{tag}\b", page, re.I)), default=-1)
-                if last_end[tag] >= at and not (found[3] or "").rstrip().endswith("/"):
-                    here = Element(tag, here, depth=here.depth + 1, silent=True)
-                continue
-            if tag in CLOSES or tag not in INLINE:
-                for old in CLOSES.get(tag, ("p",)):
-                    here = _closed(here, old, stop=("ul", "ol", "table", "dl", "article", "section", "div", "body", "html", "td", "th", *SILENT) if old != "tr" else ("table", "body", "html", *SILENT))
-            new = Element(tag, here, depth=here.depth + 1, silent=here.silent)
-            for key, value in ATTRIBUTE.findall(found[3] or ""):
-                key, value = key.lower(), value.strip("\"'")
-                if key in ("class", "id"):
-                    new.name += " " + value
-                elif key == "role":
-                    new.role = value.lower()
-                elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
-                    new.hidden = True
-            if found[3] and found[3].rstrip().endswith("/") and tag not in INLINE:
-                continue
-            here = new
-            links += tag == "a"
+        if found[2]:
+            at = reader.start(found[2].lower(), found[3] or "", at)
         elif found[4]:
-            tag = found[4].lower()
-            if tag == "p" and not _open(here, "p"):
-                close()
-            if tag == "a" and links:
-                links -= 1
-            if tag not in INLINE:
-                close()
-            if _open(here, tag):
-                while here.tag != tag:
-                    here = here.parent
-                here = here.parent or root
-    close()
-    return out
+            reader.end(found[4].lower())
+    reader.close()
+    return reader.out
 
 
 def _past(page: str, at: int, tag: str) -> int:
@@ -164,53 +238,19 @@ def _past(page: str, at: int, tag: str) -> int:
     return end.end()
 
 
-def _open(here: Element | None, tag: str) -> bool:
-    while here is not None:
-        if here.tag == tag:
-            return True
-        here = here.parent
-    return False
-
-
-def _closed(here: Element, tag: str, stop: tuple[str, ...]) -> Element:
-    walk: Element | None = here
-    while walk is not None and walk.tag not in stop:
-        if walk.tag == tag:
-            return walk.parent or walk
-        walk = walk.parent
-    return here
-
-
 def score(block: Block) -> float:
     """Log odds that a block is content."""
-    w = WEIGHTS
-    total, article, away, masthead = w["base"], False, False, False
-    tags = set()
-    element: Element | None = block.at
-    while element is not None:
-        tags.add(element.tag)
-        if element.hidden:
-            total += w["hidden"]
-        if element.tag in AWAY or element.role in AWAY_ROLES:
-            away = True
-        if element.name and element.tag not in ("html", "body", "article", "main"):
-            if NAMED_AWAY.search(element.name):
-                total += w["named_away"]
-            elif NAMED_MAIN.search(element.name):
-                total += w["named_main"]
-        if (element.tag == "header" or NAMED_HEAD.search(element.name)) and element.tag not in ("html", "body"):
-            masthead = True
-        article = article or element.tag == "article" or element.role == "article"
-        element = element.parent
-    if article:
+    w, at = WEIGHTS, block.at
+    total = w["base"] + at.odds
+    if at.article:
         total += w["article"]
-    elif masthead:
+    elif at.masthead:
         total += w["masthead"]
-    if "main" in tags:
+    if at.main:
         total += w["main"]
-    if away:
+    if at.away:
         total += w["away"]
-    if tags & {"h1", "h2", "h3", "h4", "h5", "h6"}:
+    if at.heading:
         total += w["heading"]
     length = len(block.text)
     total += w["links"] * min(1.0, block.linked / max(1, length))
@@ -314,6 +354,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(page.as_py()) for page in batch.column(batch.schema.get_field_index("html"))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in own), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=[*own, "text", "n_chars"])
+            made = [pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in own), *made], names=[*own, "text", "n_chars"])
 
     return pages.select(*own, "html").mapInArrow(run, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -374,6 +375,36 @@ def test_widgets_take_no_text_along(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("name", "kind"),
+    [("related-work", ""), ("legal-analysis", ""), ("side-effects", ""), ("head-injury", ""), ("article-body", "main"), ("entry-content", "main"), ("social-sciences", ""), ("alertness", ""), ("cookie-notice", "away"), ("relatedPosts", "away"), ("sidebar-2", "away"), ("site-footer", "away"), ("page-header", "head"), ("ad", "away"), ("post comments", "away"), ("comment_list", "away"), ("", "")],
+)
+def test_names_speak_as_a_whole(name, kind):
+    assert html_extract.name_kind(name) == kind
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><section class="related-work"><p>Others have done this before us, in many ways.</p></section></article>', "Others have done this before us, in many ways."),
+        ('<article><div id="legal-analysis"><p>The court has found that this is so.</p></div></article>', "The court has found that this is so."),
+        ('<article><p>Shown <span aria-hidden="true">not</span><span hidden>nor</span><i style="color:red; display: none">this</i> text.</p></article>', "Shown text."),
+        ('<article><p>One.</p><div class="cookieNotice"><p>We use cookies to make this site better, and ask you to accept.</p></div><p>Two.</p></article>', "One.\n\nTwo."),
+    ],
+)
+def test_names_and_hidden_elements(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def test_deep_nesting_takes_linear_time():
+    deep = "<article>" + "".join(f"<div>Text number {i} is here, and it is long enough." for i in range(8000))
+    began = time.thread_time()
+    assert html_extract.main_text(deep).count("\n\n") == 7999
+    assert html_extract.main_text("<article>" + "<b>x" * 8000).count("x") == 8000
+    assert html_extract.main_text("<article>" + "<any>word " * 8000).count("word") == 8000
+    assert time.thread_time() - began < 5
+
+
 def test_cut_is_minimal():
     rng = random.Random(5)
     for _ in range(60):
