@@ -3,7 +3,7 @@
 A document's tokens (its ids and one end id) are cut at multiples of the capacity; full pieces are
 sequences of their own, the rest of each document is an item. Items are counted in classes of
 `STEP` tokens. A linear program over filling patterns of these classes is solved by column
-generation: a knapsack dynamic program prices the next pattern from the dual values. Rounded-down
+generation: a knapsack dynamic program prices the next patterns from the dual values, one for each class a round, until the value is within GAP of the bound that they give. Rounded-down
 patterns are dealt out to the items by their rank in the class; the few items that rounding leaves
 are packed first-fit by size.
 
@@ -51,27 +51,75 @@ def _pieces(path: str, capacity: int, end: int):
     return run
 
 
-def best_pattern(value: np.ndarray, demand: np.ndarray, size: int) -> tuple[np.ndarray, float]:
-    """Knapsack by dynamic program: counts of classes 1..size of most value within size units."""
+#: The linear program ends when its value is this near to the bound that the dual values give.
+GAP = 1e-4
+#: Share of the best dual values so far in those that are priced.
+SMOOTH = 0.9
+
+
+def best_patterns(value: np.ndarray, demand: np.ndarray, size: int) -> tuple[list[np.ndarray], float]:
+    """Knapsack by dynamic program: for each class the counts of classes 1..size of most value within size
+    units that hold it, the best first, and the value of the best."""
     classes = np.flatnonzero((value > 1e-12) & (demand > 0)) + 1
     worth = value[classes - 1]
     best, taken = np.zeros(size + 1), np.zeros(size + 1, np.int64)
-    for c in range(1, size + 1):
+    if not len(classes):
+        return [], 0.0
+    upto = np.searchsorted(classes, np.arange(size + 1), side="right").tolist()
+    for c in range(int(classes[0]), size + 1):
+        n = upto[c]
+        sums = worth[:n] + best[c - classes[:n]]
+        j = int(sums.argmax())
         best[c] = best[c - 1]
-        n = np.searchsorted(classes, c, side="right")
-        if n:
-            sums = worth[:n] + best[c - classes[:n]]
-            j = int(np.argmax(sums))
-            if sums[j] > best[c]:
-                best[c], taken[c] = sums[j], classes[j]
-    counts, c = np.zeros(size, np.int64), size
-    while c > 0:
-        if taken[c]:
-            counts[taken[c] - 1] += 1
-            c -= taken[c]
-        else:
-            c -= 1
-    return counts, float(best[size])
+        if sums[j] > best[c]:
+            best[c], taken[c] = sums[j], classes[j]
+    out, steps = [], taken.tolist()
+    totals = worth + best[size - classes]
+    for first in classes[np.argsort(-totals, kind="stable")].tolist():
+        counts, c = np.zeros(size, np.int64), size - first
+        counts[first - 1] = 1
+        while c > 0:
+            if steps[c]:
+                counts[steps[c] - 1] += 1
+                c -= steps[c]
+            else:
+                c -= 1
+        out.append(counts)
+    return out, float(best[size])
+
+
+def _inverse(basis: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row exchanges. Plain sums: a BLAS that starts threads has no place in a driver."""
+    n = len(basis)
+    both = np.concatenate([basis.astype(float), np.eye(n)], axis=1)
+    for i in range(n):
+        j = i + int(np.abs(both[i:, i]).argmax())
+        both[[i, j]] = both[[j, i]]
+        both[i] /= both[i, i]
+        factor = both[:, i].copy()
+        factor[i] = 0
+        both -= factor[:, None] * both[i]
+    return both[:, n:]
+
+
+def _greedy(rows: np.ndarray, wanted: np.ndarray, size: int) -> list[np.ndarray]:
+    """A pattern for each class to begin with, filled up with smaller classes while they last: used as often
+    as the larger ones leave of the class, they hold just what is wanted."""
+    left = np.zeros(size)
+    left[rows] = wanted
+    patterns = []
+    for r in rows[::-1].tolist():
+        counts = np.zeros(size, np.int64)
+        counts[r] = size // (r + 1)
+        room, used = size - (r + 1) * int(counts[r]), left[r] / counts[r]
+        for c in range(min(room, r), 0, -1):
+            k = min(room // c, int(left[c - 1] / used) if used > 0 else 0)
+            if k > 0:
+                counts[c - 1] = k
+                left[c - 1] -= k * used
+                room -= k * c
+        patterns.append(counts)
+    return patterns[::-1]
 
 
 def solve(demand: np.ndarray) -> list[tuple[np.ndarray, float]]:
@@ -80,37 +128,53 @@ def solve(demand: np.ndarray) -> list[tuple[np.ndarray, float]]:
     rows = np.flatnonzero(demand)
     if not len(rows):
         return []
-    patterns = []
-    for r in rows:
-        counts = np.zeros(size, np.int64)
-        counts[r] = size // (r + 1)
-        patterns.append(counts)
-    # products are plain sums: a BLAS that starts threads has no place in a driver
-    inverse = np.diag([1 / p[r] for p, r in zip(patterns, rows, strict=True)])
-    used = (inverse * demand[rows]).sum(axis=1)
-    for step in range(50 * len(rows) + 1000):  # ends when no pattern prices out
-        dual = inverse.sum(axis=0)
+    # a little more of each class, of each another share: so that no two ratios tie
+    wanted = demand[rows] * (1 + 1e-5 * (1 + (rows * 0.6180339887) % 1))
+    patterns = _greedy(rows, wanted, size)
+    basis = lambda: np.array([p[rows] for p in patterns]).T
+    inverse = _inverse(basis())
+    used = (inverse * wanted).sum(axis=1)
+    pivots, idle, bound, centre, share = 0, 0, 0.0, None, SMOOTH
+    while idle < 300:  # the value falls to the bound, or neither moves any more
+        dual, total = inverse.sum(axis=0), float(used.sum())
+        asked = dual if centre is None else share * centre + (1 - share) * dual
         value = np.zeros(size)
-        value[rows] = dual
-        counts, worth = best_pattern(value, demand, size)
-        if worth <= 1 + 1e-7:
+        value[rows] = asked
+        columns, worth = best_patterns(value, demand, size)
+        under = float((asked * wanted).sum()) / max(1.0, worth)
+        idle = 0 if under > bound * (1 + 1e-6) else idle + 1
+        if under > bound:  # the best dual values so far: later ones are drawn towards them
+            bound, centre = under, asked / max(1.0, worth)
+        if total - bound <= max(0.5, GAP * total):
             break
-        column = (inverse * counts[rows]).sum(axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where(column > 1e-9, used / column, np.inf)
-        out = int(np.argmin(ratio))
-        patterns[out] = counts
-        amount = ratio[out]
-        used = np.maximum(used - amount * column, 0)
-        used[out] = amount
-        inverse[out] /= column[out]
-        other = np.arange(len(rows)) != out
-        inverse[other] -= np.outer(column[other], inverse[out])
-        if step % 200 == 199:  # against rounding: one Newton step towards the inverse
-            basis = np.array([p[rows] for p in patterns], float).T
-            rest = 2 * np.eye(len(rows)) - np.einsum("ij,jk->ik", basis, inverse)
-            inverse = np.einsum("ij,jk->ik", inverse, rest)
-            used = np.maximum((inverse * demand[rows]).sum(axis=1), 0)
+        moved = False
+        for counts in columns:
+            own = counts[rows]
+            gain = float((dual * own).sum()) - 1
+            if gain <= 1e-6:
+                continue  # no longer of use after the columns before it
+            moved = True
+            column = (inverse * own).sum(axis=1)
+            ratio = np.divide(used, column, out=np.full(len(rows), np.inf), where=column > 1e-7)
+            near = np.flatnonzero(ratio <= ratio.min() * (1 + 1e-9))
+            out = int(near[column[near].argmax()])
+            amount = ratio[out]
+            if not np.isfinite(amount):
+                continue
+            patterns[out] = counts
+            used = np.maximum(used - amount * column, 0)
+            used[out] = amount
+            line = inverse[out] / column[out]
+            inverse -= column[:, None] * line
+            inverse[out] = line
+            dual = dual - gain * line
+            pivots += 1
+            if pivots % 100 == 0:  # against rounding
+                inverse = _inverse(basis())
+                used, dual = np.maximum((inverse * wanted).sum(axis=1), 0), inverse.sum(axis=0)
+        if not moved and (centre is None or share == 0.0):
+            break  # no pattern prices out at the dual values themselves
+        share = SMOOTH if moved else 0.0
     return list(zip(patterns, used.tolist(), strict=True))
 
 
@@ -153,31 +217,45 @@ def slots(patterns: list[tuple[np.ndarray, int]]) -> list[tuple[int, int, int, i
     return out
 
 
+_PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot long"
+
+
+def _placed(uses: np.ndarray, most: int):
+    """The sequence and the slot of each ranked piece. uses: rows of slots(), `most` above all ranks. Its use
+    is found by the class and the rank where uses end."""
+    uses = uses[np.lexsort((uses[:, 2], uses[:, 0]))]
+    ends = uses[:, 0] * most + uses[:, 2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, rank = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (5, 6))
+            _, begin, _, k, sequence, slot = uses[np.searchsorted(ends, size * most + rank, side="right")].T
+            nth = rank - begin
+            made = [pa.array(sequence + nth // np.maximum(k, 1)), pa.array(slot + nth % np.maximum(k, 1))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), *made], names=[x.split()[0] for x in _PLACED.split(", ")])
+
+    return run
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocab: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     if capacity % STEP:
         raise ValueError(f"capacity: a multiple of {STEP}")
-    spark = docs.sparkSession
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(vocab or vocabulary(), capacity, end), PIECES)
     size = F.ceil(F.col("length") / STEP).cast("int")
     pieces = stored(cut.withColumn("size", size), "pieces")
     counts = {r["size"]: r["n"] for r in pieces.groupBy("size").agg(F.count("*").alias("n")).collect()}  # capacity / STEP rows at most
     demand = np.array([counts.get(c, 0) for c in range(1, capacity // STEP + 1)], np.int64)
-    schema = "size int, begin long, stop long, k long, sequence long, slot long"
-    uses = spark.createDataFrame([tuple(map(int, x)) for x in slots(plan(demand))], schema)
+    uses = np.array(slots(plan(demand)), np.int64).reshape(-1, 6)
     # rank in the class: chunks are numbered by their counts, items within their chunk
     chunks = max(1, int(demand.sum()) // CHUNK)
     dealt = pieces.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(chunks)))
     before = Window.partitionBy("size").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("size", "chunk").agg(F.count("*").alias("n")).select("size", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("size", "chunk").orderBy("doc_id", "start", "ids_crc32")
-    ranked = dealt.withColumn("nth", F.row_number().over(inside) - 1).join(offsets, ["size", "chunk"]).withColumn("rank", F.col("base") + F.col("nth"))
-    # bounded: patterns of the linear program and of what rounding leaves
-    placed = ranked.join(F.broadcast(uses), "size").where("rank >= begin and rank < stop")
-    there = placed.select(
-        *("doc_id", "start", "length", "ids_crc32", "doc_tokens"),
-        (F.col("sequence") + F.floor((F.col("rank") - F.col("begin")) / F.col("k"))).cast("long").alias("sequence_id"),
-        (F.col("slot") + (F.col("rank") - F.col("begin")) % F.col("k")).alias("slot"),
-    )
+    ranked = dealt.withColumn("nth", F.row_number().over(inside) - 1).join(offsets, ["size", "chunk"])
+    given = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "size", (F.col("base") + F.col("nth")).alias("rank"))
+    # patterns of the linear program and of what rounding leaves: bounded by the classes
+    there = given.mapInArrow(_placed(uses, int(demand.sum()) + 1), _PLACED)
     along = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     return there.withColumn("offset", F.coalesce(F.sum("length").over(along), F.lit(0))).drop("slot")

@@ -179,8 +179,21 @@ def test_decontamination_by_join_is_the_same(spark, sf_dir, documents):
     one = decontaminate.find_contamination(documents, bench)
     two = decontaminate.find_contamination(documents, bench, broadcast_bytes=0)
     assert one.columns == two.columns and rows(one) == rows(two)
+    assert decontaminate.find_contamination(documents, bench.limit(0), broadcast_bytes=-1).where("n_hit > 0").count() == 0
 
 
+def test_windows_that_many_items_share():
+    """Equal windows are held once with all their items; the arrays stay within what was reckoned."""
+    items = [(i, "The shared words of all these many items are the same ones, but for " + str(i % 7)) for i in range(200)] + [(500, "a b"), (501, "A  B!")]
+    w = decontaminate._Windows(items, 10)
+    assert sorted(w.by_length) == [2, 10]
+    hashes, at, first, item = w.by_length[2]
+    assert w.items_of(2, hashes[0], 0, b"a b").tolist() == [500, 501] and not len(w.items_of(2, hashes[0], 0, b"a c"))
+    hashes, at, first, item = w.by_length[10]
+    assert len(set(hashes.tolist())) == len(hashes) < 40 and len(item) == first[-1]
+    held = sum(x.nbytes for own in w.by_length.values() for x in own) + len(w.words) + w.starts.nbytes
+    assert held <= sum(2 * len(t) + decontaminate.WINDOW_BYTES * len(brute.ALNUM.findall(t)) for _, t in items)
+
 def test_removal_of_spans_and_documents(spark, sf_dir, documents):
     bench = spark.read.parquet(f"{sf_dir[0]}/benchmark.parquet")
     bad = decontaminate.find_contamination(documents, bench).where("n_hit > 0").count()
@@ -272,6 +285,20 @@ def test_packing_plan_is_near_the_bound():
     assert sum(n for _, n in plan) <= np.ceil((demand * np.arange(1, 257)).sum() / 256) + 2
 
 
+@pytest.mark.parametrize("kind", ["flat", "steep", "few", "large"])
+def test_packing_plan_is_quick(kind):
+    """A driver's work: seconds at most for any histogram, and near the bound of the linear program."""
+    rng = np.random.default_rng(8)
+    demand = {"flat": np.full(256, 1000), "steep": np.round(10**6 * 0.97 ** np.arange(256)).astype(int), "few": np.bincount([3, 90, 90, 100, 200, 255], minlength=256), "large": rng.integers(0, 10**7, 256)}[kind].astype(np.int64)
+    began = time.thread_time()
+    plan = packing.plan(demand)
+    assert time.thread_time() - began < 6
+    assert (sum(c * n for c, n in plan) == demand).all() and all((c * np.arange(1, 257)).sum() <= 256 for c, _ in plan)
+    least = (demand * np.arange(1, 257)).sum() / 256
+    lone = demand[128:].sum()  # of these no two fit
+    assert sum(n for _, n in plan) <= max(least, lone) * 1.005 + 130
+
+
 def test_packing_cases(odd, nothing):
     assert packing.pack(nothing).count() == 0
     got = packing.pack(odd).collect()
