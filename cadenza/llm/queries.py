@@ -95,25 +95,28 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sql() -> str:
+    bigrams, sizes = template_values()
     return rf"""
-WITH template_bigrams(name, bigram) AS (VALUES {template_values()}),
-templates AS (SELECT name, list(bigram) AS t, count(*) AS nt FROM template_bigrams GROUP BY name),
-segments AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS seg FROM documents
-  UNION ALL SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\n[ \t\r\v\f]*\n')) FROM documents
-  UNION ALL SELECT doc_id, coalesce(text, '') FROM documents),
+WITH template_bigrams(name, bigram) AS (VALUES {bigrams}),
+sizes(name, nt, least_shared, longest) AS (VALUES {sizes}),
+templates AS (SELECT name, list(bigram) AS t FROM template_bigrams GROUP BY name),
 words AS (
-  SELECT doc_id, regexp_extract_all(translate(seg, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM segments),
-sets AS (
-  SELECT doc_id, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS s FROM words WHERE len(w) > 1),
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+grams AS (SELECT doc_id, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] AS b FROM words WHERE len(w) > 1),
+hits AS (
+  SELECT doc_id, name, pos, bigram FROM (SELECT doc_id, unnest(b) AS bigram, unnest(range(1, len(b) + 1)) AS pos FROM grams) JOIN template_bigrams USING (bigram)),
+held AS (SELECT doc_id, name FROM hits JOIN sizes USING (name) GROUP BY doc_id, name, least_shared HAVING count(DISTINCT bigram) >= least_shared),
+windows AS (
+  SELECT h.doc_id, h.name, list_distinct(b[i.pos:j.pos]) AS s
+  FROM held h JOIN hits i ON i.doc_id = h.doc_id AND i.name = h.name JOIN hits j ON j.doc_id = h.doc_id AND j.name = h.name
+  JOIN sizes z ON z.name = h.name JOIN grams g ON g.doc_id = h.doc_id
+  WHERE j.pos >= i.pos AND j.pos - i.pos < longest),
 scored AS (
   SELECT doc_id, name, max(2.0 * len(list_intersect(s, t)) / (len(s) + nt)) AS score
-  FROM sets JOIN templates ON len(s) >= {THRESHOLD} / (2 - {THRESHOLD}) * nt AND len(s) <= (2 - {THRESHOLD}) / {THRESHOLD} * nt
-  WHERE 2.0 * len(list_intersect(s, t)) / (len(s) + nt) >= {THRESHOLD}
-  GROUP BY doc_id, name),
+  FROM windows JOIN templates USING (name) JOIN sizes USING (name) GROUP BY doc_id, name),
 found AS (
   SELECT doc_id, count(*) AS n_licenses, string_agg(name, ',' ORDER BY name) AS licenses, first(name ORDER BY score DESC, name) AS best_license, max(score) AS best_score
-  FROM scored GROUP BY doc_id)
+  FROM scored WHERE score >= {THRESHOLD} GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS licenses, best_license, round(CAST(best_score AS DOUBLE), 6) AS best_score
 FROM documents d LEFT JOIN found f USING (doc_id)
 """
