@@ -138,12 +138,44 @@ def test_quality_measures(spark, corpus, documents):
 
 
 def test_quality_bands(spark, documents):
-    none = quality.quality(documents, bands={"en": quality.Band(99, 100, 0, 1)}).where("lang = 'en' and kept").count()
+    none = quality.quality(documents, bands={"en": quality.Band(99, 100, 0, 1)}).where("lang = 'en' and script = 'latin' and kept").count()
     assert none == 0
-    kept = quality.quality(documents, bands={}, default=quality.Band(0, 1e9, 1, 0, 1))
+    wide = quality.Band(0, 1e9, 1, 0, 0, 1e9, 1)
+    kept = quality.quality(documents, bands={}, script_bands={}, default=wide)
     assert kept.where("kept").count() == kept.where("not base_failed").count() > 0
 
 
+def test_quality_verdicts_against_plain_python(documents):
+    """kept is what the base rules and the band of the language or script say."""
+    for r in quality.quality(documents).collect():
+        band = quality.BANDS.get(r.lang) if r.script == "latin" else None
+        b = band or quality.SCRIPT_BANDS.get(r.script, quality.DEFAULT)
+        inside = r.n_tokens > 0 and b.least <= r.chars_per_token <= b.most and b.multi_least <= r.multi_chars_per_token <= b.multi_most
+        inside = inside and r.fragment_share <= b.fragments and r.token_entropy >= b.entropy and r.sign_share <= b.signs
+        assert r.kept == (not r.base_failed and inside)
+
+
+def test_scripts_of_letters():
+    texts = ["Plain wörds", "ελληνικά words", "слово за словом", "שלום", "हिन्दी में", "中文 字 かな", "한국어", "123 !?", ""]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    bounds = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    assert quality.scripts(data, bounds) == ["latin", "greek", "cyrillic", "semitic", "indic", "cjk", "hangul", None, None]
+
+
+def test_a_language_in_another_script_takes_the_scripts_band(spark):
+    rows = [(1, "слово за словом " * 2 + "и так далее до конца строки", "en"), (2, "слово за словом " * 2 + "и так далее до конца строки", "ru"), (3, "слово за словом " * 2 + "и так далее до конца строки", None)]
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), script_bands={"cyrillic": quality.Band(0, 9, 1, 0, 0, 9, 1)}, default=quality.Band(9, 9, 0, 1))
+    assert got.where("kept").count() == 3
+
+
+def test_fitted_bands_hold_good_documents(documents):
+    measured = quality.quality(documents)
+    fitted = quality.fit_bands(measured.where("kept"))
+    assert set(fitted) == {"en", "fr"}
+    again = quality.quality(documents.where("lang is not null"), bands=fitted)
+    assert again.where("kept").count() >= measured.where("kept and lang is not null").count()
+
+
 def test_quality_cases(odd, nothing):
     got = quality.quality(odd)
     assert got.count() == 7 and got.where("text is null and not kept and chars_per_token is null").count() == 2
