@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from cadenza.llm.common import row_tag
 from cadenza.llm.holders import first_holders
+from cadenza.storage import dropped, stored
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,7 +52,10 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def line_keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """(doc, row, keep) of the documents that lose lines. keep: zlib of packed bits, one per line,
     1 to keep; lines past its end are kept. row: hash of the text, for repeated doc_ids."""
-    later, _ = first_holders(line_rows(docs, min_chars), name="lines")
+    # stored: cutting ranges reads the rows twice, and they are far narrower than the texts
+    rows = stored(line_rows(docs, min_chars), "line_keys")
+    later, _ = first_holders(rows, name="lines")
+    dropped(rows)
     by_row = later.groupBy("doc", F.shiftright("tag", 32).alias("row")).agg(F.collect_list(F.col("tag").bitwiseAND(F.lit(0xFFFFFFFF))).alias("places"))
     return by_row.mapInArrow(_bitmaps, "doc long, row long, keep binary")
 
@@ -74,7 +78,8 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_dropped.append(dropped)
         rest = [batch.column(i) for i, name in enumerate(batch.schema.names) if not name.startswith("_cz_")]
         names = [name for name in batch.schema.names if not name.startswith("_cz_")]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "text", "n_lines", "n_dropped"])
+        made = [pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*rest, *made], names=[*names, "text", "n_lines", "n_dropped"])
 
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
