@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import math
 import re
-from collections import defaultdict
+import unicodedata
+from collections import Counter, defaultdict
+from functools import lru_cache
 
 BLANK = " \t\n\x0b\x0c\r"
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -121,3 +125,48 @@ def quality_base(docs):
         n = len(words)
         out.append((doc, n, sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(rep), n < 10 or 100 * len(rep) > 20 * n))
     return out
+
+
+@lru_cache
+def encodings():
+    """The two public vocabularies by their own libraries."""
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    return library, tiktoken.Encoding("multi", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def quality_kept(docs, bands, script_bands, default):
+    """doc_ids of (doc, text, lang) that the base rules and the bands keep."""
+    library, multi = encodings()
+    failed = {doc for doc, *_, bad in quality_base([(d, t) for d, t, _ in docs]) if bad}
+    out = []
+    for doc, text, lang in docs:
+        if doc in failed:
+            continue
+        ids = library.encode(text, add_special_tokens=False).ids
+        tokens, n = [library.decode([i]) for i in ids], len(ids)
+        letters = Counter(unicodedata.name(c, "?").split()[0].lower() for c in text if unicodedata.category(c)[0] == "L")
+        script = letters.most_common(1)[0][0] if letters else None
+        b = bands.get(lang) if script == "latin" else None
+        b = b or script_bands.get(script, default)
+        entropy = -sum(c / n * math.log2(c / n) for c in Counter(ids).values()) / math.log2(n)
+        signs = sum(t.isascii() and bool(t.strip()) and not any(c.isalnum() for c in t) for t in tokens)
+        inside = b.least <= len(text) / n <= b.most and b.multi_least <= len(text) / len(multi.encode_ordinary(text)) <= b.multi_most
+        if inside and sum("\ufffd" in t for t in tokens) / n <= b.fragments and entropy >= b.entropy and signs / n <= b.signs:
+            out.append(doc)
+    return out
+
+
+def deduped_lines(docs):
+    """(doc, text) without the lines that lines() counts as dropped."""
+    first, key = {}, lambda line: line.strip(BLANK).translate(FOLD)
+    for doc, text in docs:
+        for line in (text or "").split("\n"):
+            first[key(line)] = min(first.get(key(line), doc), doc)
+    return [(doc, "\n".join(x for x in (text or "").split("\n") if len(key(x)) < 10 or first[key(x)] >= doc)) for doc, text in docs]
