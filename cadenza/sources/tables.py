@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,24 +48,24 @@ def with_bands(obs: DataFrame, spec: BandSpec) -> DataFrame:
 
 
 def narrowed(table: DataFrame) -> DataFrame:
-    """double to float, long to int, flags to byte; values out of range are an error. The limits of
-    all columns are taken in one pass."""
-    kinds: dict[str, tuple[str, float]] = {}
+    """double to float, long to int, flags to byte; a value out of range is an error of the job."""
+    out = []
     for field in table.schema.fields:
+        value = F.col(field.name)
+        if isinstance(field.dataType, T.BooleanType):
+            value = value.cast("int")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            kinds[field.name] = ("float", FLOAT_LIMIT)
+            kind, limit = "float", FLOAT_LIMIT
         elif field.name == "detected" or isinstance(field.dataType, (T.BooleanType, T.ByteType)):
-            kinds[field.name] = ("tinyint", BYTE_LIMIT)
+            kind, limit = "tinyint", BYTE_LIMIT
         elif isinstance(field.dataType, (T.LongType, T.IntegerType, T.ShortType)):
-            kinds[field.name] = ("int", INT_LIMIT)
+            kind, limit = "int", INT_LIMIT
         else:
             raise TypeError(f"{field.name}: {field.dataType.simpleString()} has no narrow form")
-    wide: dict[str, Column] = {c: F.col(c).cast("int") if isinstance(table.schema[c].dataType, T.BooleanType) else F.col(c) for c in kinds}
-    most = table.agg(*(F.max(F.abs(wide[c].cast("double"))).alias(c) for c in kinds)).first()
-    for c, (kind, limit) in kinds.items():
-        if most[c] is not None and not most[c] < limit:
-            raise ValueError(f"{c}: {most[c]} doesn't fit {kind}")
-    return table.select(*(wide[c].cast(kind).alias(c) for c, (kind, _) in kinds.items()))
+        wrong = F.raise_error(F.concat(F.lit(f"{field.name} doesn't fit {kind}: "), value.cast("string"))).cast(kind)
+        fits = value.isNull() | (F.abs(value.cast("double")) < limit)
+        out.append(F.when(fits, value.cast(kind)).otherwise(wrong).alias(field.name))
+    return table.select(*out)
 
 
 def write_table(obs: DataFrame, path: str, *order: str) -> None:

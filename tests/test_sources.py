@@ -36,8 +36,11 @@ def test_observation_files(spark, tmp_path):
 
 
 def test_narrowing_refuses_large_values(spark):
-    with pytest.raises(ValueError):
-        tables.narrowed(spark.createDataFrame([(3 * 10**9,)], "x long"))
+    with pytest.raises(Exception, match="x doesn't fit int: 3000000000"):
+        tables.narrowed(spark.createDataFrame([(3 * 10**9,)], "x long")).collect()
+    with pytest.raises(Exception, match="x doesn't fit float"):
+        tables.narrowed(spark.createDataFrame([(float("nan"),), (1e38,)], "x double")).collect()
+    assert tables.narrowed(spark.createDataFrame([(None, True), (5, None)], "x long, f boolean")).collect() == [(None, 1), (5, None)]
     with pytest.raises(TypeError):
         tables.narrowed(spark.createDataFrame([("a",)], "x string"))
 
