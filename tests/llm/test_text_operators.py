@@ -677,6 +677,29 @@ def test_many_rows_without_an_id_stay_as_many(spark):
     assert got.count() == 20_002 and got.where("kept and component_id is null").count() == 20_000
 
 
+# ---------------------------------------------------------------- very long texts
+def test_very_long_texts(spark):
+    """Texts well beyond a slice, one of them a single word, among short ones."""
+    rng = random.Random(12)
+    words = [f"w{rng.randint(0, 9999)}" + ("\n" if i % 40 == 0 else "") for i in range(500_000)]
+    passage = " ".join(words[250_000:250_060])
+    docs = [(0, " ".join(words)), (1, f"before {passage} after"), (2, "x" * 3_000_000), (3, "a short text"), (4, " ".join(words) + " tail"), (5, " ".join(words[:100_000]))]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    same(line_dedup.dedup_lines(table).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256)), brute.lines(docs))
+    same(substring_dedup.dedup_substrings(table).select("doc_id", "n_words", "n_removed", F.sha2("text", 256)), brute.substrings(docs))
+    same(lsh_forest.near_duplicates(table, k=2), brute.near(docs))
+    item = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    for size in (128 << 20, 0):
+        got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.find_contamination(table, item, broadcast_bytes=size, keep_text=False).collect()}
+        assert got == {i: (n, hit, [1] if bad else []) for i, n, hit, _, _, bad in brute.contamination(docs, [(1, passage)])}
+    measured = {r.doc_id: r for r in quality.quality(table, keep_text=False).collect()}
+    assert [(i, measured[i].n_words, measured[i].word_chars) for i, *_ in docs] == [x[:3] for x in brute.quality_base(docs)]
+    tokens = {r.doc_id: r.n for r in token_counts.section_tokens(table).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
+    packed = {r.doc_id: r.n for r in packing.pack(table).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert all(tokens[i] == measured[i].n_tokens == packed[i] - 1 for i, _ in docs)
+    assert licenses.scan_licenses(table).where("n_licenses = 0").count() == len(docs)
+
+
 # ---------------------------------------------------------------- 10 token counts
 @pytest.mark.parametrize("rule", ["first", "most"])
 def test_section_tokens(spark, corpus, documents, rule):
