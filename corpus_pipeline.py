@@ -14,7 +14,7 @@ from cadenza.llm.line_dedup import dedup_lines
 from cadenza.llm.lsh_forest import drop_near_duplicates
 from cadenza.llm.packing import pack
 from cadenza.llm.quality import quality
-from cadenza.storage import stored
+from cadenza.storage import dropped, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -57,7 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        dropped(last)  # what the stage has read isn't read again
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
