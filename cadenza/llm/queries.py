@@ -13,6 +13,7 @@ from cadenza.llm.licenses import THRESHOLD, scan_licenses, template_values
 from cadenza.llm.line_dedup import dedup_lines
 from cadenza.llm.lsh_forest import near_duplicates
 from cadenza.llm.packing import pack
+from cadenza.llm.periodic_runs import periodic_runs
 from cadenza.llm.preference import preference_pairs
 from cadenza.llm.quality import quality
 from cadenza.llm.substring_dedup import dedup_substrings
@@ -180,6 +181,36 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_tokens(table(spark, sf_dir, "documents"), rule="most")
 
 
+WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in documents whose crc32 is divisible by 10 the words from a place on repeat a
+    stretch of the text, so that there are runs of many periods. No lambda: words are split once."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words, g = F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)), F.floor(F.col("_h") / 10)
+    split = docs.select("doc_id", "text", h.alias("_h")).withColumn("_w", F.when(F.col("_h") % 10 == 0, words)).withColumn("_n", F.size("_w"))
+    placed = split.withColumn("_a", F.when(F.col("_n") > 0, (g % F.col("_n")).cast("int")))
+    period = (1 + F.floor((F.col("_n") - F.col("_a")) / (3 + g % 8))).cast("int")
+    cut = placed.withColumn("_p", period).withColumn("_times", F.ceil((F.col("_n") - F.col("_a")) / F.col("_p")).cast("int"))
+    tail = F.flatten(F.array_repeat(F.slice("_w", F.col("_a") + 1, F.col("_p")), F.col("_times")))
+    made = F.array_join(F.slice(F.concat(F.slice("_w", F.lit(1), F.col("_a")), tail), F.lit(1), F.col("_n")), " ")
+    return cut.select("doc_id", F.coalesce(made, "text").alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text", "n_words")
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))))
+    top = found.withColumn("_top", longest)
+    return top.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_top.start")).alias("start"), F.col("_top.length").alias("length"), (-F.col("_top.period")).alias("period"),
+        F.floor(1000 * F.col("_top.length") / -F.col("_top.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fertility": op1_fertility,
@@ -192,6 +223,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extract": op8_html_extract,
         "op9_minhash": op9_minhash,
         "op10_token_counts": op10_token_counts,
+        "op12_periodic_runs": op12_periodic_runs,
     }
 
 

@@ -7,6 +7,7 @@ import hashlib
 import math
 import re
 import unicodedata
+import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
 
@@ -170,3 +171,45 @@ def deduped_lines(docs):
         for line in (text or "").split("\n"):
             first[key(line)] = min(first.get(key(line), doc), doc)
     return [(doc, "\n".join(x for x in (text or "").split("\n") if len(key(x)) < 10 or first[key(x)] >= doc)) for doc, text in docs]
+
+
+def with_periods(doc, text):
+    h = None if doc is None else zlib.crc32(str(doc).encode())
+    words = plain_words(text)
+    if h is None or h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+
+
+def all_runs(words):
+    """Every (start, length, period) by trying each period."""
+    n, out = len(words), []
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j - i + q >= max(6, 4 * q) and not any(all(words[x] == words[x + d] for x in range(i, j + q - d)) for d in range(1, q)):
+                out.append((i, j - i + q, q))
+            i = j + 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def collapsed(words, runs):
+    gone = {i for start, length, q in runs for i in range(start + q, start + length)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def periodic_runs(docs):
+    out = []
+    for doc, text in docs:
+        words = with_periods(doc, text)
+        runs = all_runs(words)
+        top = min(runs, key=lambda r: (-r[1], r[0], r[2]), default=(None, None, None))
+        share = 1000 * top[1] // top[2] if runs else None
+        out.append((doc, len(runs), *top, share, sha("".join(f"{s},{n},{q}\n" for s, n, q in runs)), sha(collapsed(words, runs))))
+    return out
