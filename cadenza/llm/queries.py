@@ -16,6 +16,7 @@ from cadenza.llm.packing import pack
 from cadenza.llm.periodic_runs import periodic_runs
 from cadenza.llm.preference import preference_pairs
 from cadenza.llm.quality import quality
+from cadenza.llm.spelling import letter_runs, spelling_variants, word_counts
 from cadenza.llm.substring_dedup import dedup_substrings
 from cadenza.llm.token_counts import section_tokens
 
@@ -181,6 +182,49 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_tokens(table(spark, sf_dir, "documents"), rule="most")
 
 
+def noisy_words(docs: DataFrame) -> DataFrame:
+    """word: the letter runs of the texts, with a code point gone where 31 divides the crc32 of doc_id and run."""
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run")).cast("binary"))
+    at = (F.col("_h") % F.char_length("run")).cast("int")
+    cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.char_length("run")))
+    return letter_runs(docs, 7).withColumn("_h", h).select(F.when(F.col("_h") % 31 == 0, cut).otherwise(F.col("run")).alias("word"))
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = word_counts(noisy_words(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+OP11_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN (c & 1) = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+runs AS (
+  SELECT doc_id, translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{7,}')) AS u FROM documents)),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY doc_id, run),
+bytes AS (
+  SELECT run, n, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [CAST(unicode(ch) AS BIGINT)] ELSE [192 | (unicode(ch) >> 6), 128 | (unicode(ch) & 63)] END)) AS b
+  FROM counted),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8))) AS h FROM bytes, crc_table),
+noisy AS (
+  SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM noisy WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+gaps AS (SELECT word, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM gaps a JOIN gaps b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT g.word, w.word FROM gaps g JOIN words w ON g.rest = w.word
+  UNION SELECT w.word, g.word FROM gaps g JOIN words w ON g.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS other_n FROM near JOIN (SELECT word AS other, n FROM words) USING (other) GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form, CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+follow AS (SELECT word, coalesce(form, word) AS at FROM forms UNION SELECT f.word, g.form FROM follow f JOIN forms g ON f.at = g.word WHERE g.form IS NOT NULL),
+roots AS (SELECT f.word, f.at AS root FROM follow f JOIN forms g ON f.at = g.word WHERE g.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
+
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -223,9 +267,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extract": op8_html_extract,
         "op9_minhash": op9_minhash,
         "op10_token_counts": op10_token_counts,
+        "op11_spelling": op11_spelling,
         "op12_periodic_runs": op12_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op9_minhash": OP9_SQL, "op6_license_scan": op6_sql(), "op7_preference": OP7_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op9_minhash": OP9_SQL, "op6_license_scan": op6_sql(), "op7_preference": OP7_SQL, "op11_spelling": OP11_SQL}

@@ -213,3 +213,41 @@ def periodic_runs(docs):
         share = 1000 * top[1] // top[2] if runs else None
         out.append((doc, len(runs), *top, share, sha("".join(f"{s},{n},{q}\n" for s, n, q in runs)), sha(collapsed(words, runs))))
     return out
+
+
+def one_edit(a, b):
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) > len(b):
+        a, b = b, a
+    i = 0
+    while i < len(a) and a[i] == b[i]:
+        i += 1
+    return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
+
+
+def noisy_words(docs):
+    """Words of at least 7 letters found twice or more, with their counts."""
+    n = Counter()
+    for doc, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(FOLD)
+            h = 1 if doc is None else zlib.crc32(f"{doc}:{run}".encode())
+            at = h % len(run)
+            n[run if h % 31 else run[:at] + run[at + 1 :]] += 1
+    return {w: c for w, c in n.items() if len(w) >= 7 and c >= 2}
+
+
+def variants(words, factor=10):
+    near = {w: [x for x in words if one_edit(w, x)] for w in words}
+    form = {}
+    for w, found in near.items():
+        best = min(found, key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best is not None and words[best] >= factor * words[w] else None
+    out = []
+    for w in words:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, words[w], len(near[w]), words.get(form[w])))
+    return out
