@@ -16,6 +16,7 @@ from cadenza.llm.packing import pack
 from cadenza.llm.periodic_runs import periodic_runs
 from cadenza.llm.preference import preference_pairs
 from cadenza.llm.quality import quality
+from cadenza.llm.quality_net import quality_scores
 from cadenza.llm.spelling import letter_runs, spelling_variants, word_counts
 from cadenza.llm.substring_dedup import dedup_substrings
 from cadenza.llm.token_counts import section_tokens
@@ -255,6 +256,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_scores(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fertility": op1_fertility,
@@ -269,6 +275,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_token_counts": op10_token_counts,
         "op11_spelling": op11_spelling,
         "op12_periodic_runs": op12_periodic_runs,
+        "op13_quality_net": op13_quality_net,
     }
 
 
