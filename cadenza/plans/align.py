@@ -1,18 +1,19 @@
-"""Alignment of curves by arc length: grids in columns, refinement by a small simplex per pair."""
+"""Alignment of curves by arc length: grids in columns, simplexes of many pairs at once, merge trees of classes."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.columns import moved_flux, moved_time
 from cadenza.operators.joins import pair_curves
 from cadenza.operators.lookups import numbered_within
+from cadenza.storage import dropped, stored
 
 PARAMETERS = ("translate_time", "translate_flux", "dilate_time", "dilate_flux")
 ALIGNED = "pair_id long, translate_time double, translate_flux double, dilate_time double, dilate_flux double, arc_length double, converged boolean"
@@ -42,103 +43,284 @@ def align_grid(pairs: DataFrame, obs: DataFrame, grid: DataFrame) -> DataFrame:
     return best.join(F.broadcast(grid), "candidate").select("pair_id", "candidate", *PARAMETERS, "arc_length")
 
 
-def merged_length(left: dict[str, np.ndarray], right: dict[str, np.ndarray], p: np.ndarray) -> float:
-    """Arc length over bands of left merged with right under (tt, tf, dt, df)."""
-    if p[2] <= 0 or p[3] <= 0:
-        return float("inf")
-    total = 0.0
-    for band in left.keys() | right.keys():
-        parts = [left[band]] if band in left else []
-        if band in right:
-            moved = right[band].copy()
-            moved[:, 0] = p[2] * (moved[:, 0] + p[0])
-            moved[:, 1] = p[3] * (moved[:, 1] + p[1])
-            parts.append(moved)
-        both = np.concatenate(parts)
-        both = both[np.argsort(both[:, 0], kind="stable")]
-        total += float(np.sqrt((np.diff(both, axis=0) ** 2).sum(axis=1)).sum())
-    return total
-
-
-def simplex(f, start: np.ndarray, step: np.ndarray, rounds: int, tolerance: float = 1e-4) -> tuple[np.ndarray, float, bool]:
-    """Downhill simplex: the best point, its value, and whether values and points came within the
-    tolerance before the rounds were used up."""
-    points = [start, *(start + np.eye(len(start))[i] * step[i] for i in range(len(start)))]
-    values = [f(x) for x in points]
+# ---------------------------------------------------------------- many pairs at once
+class Curves:
+    """The curves of many pairs as flat arrays, pairs one after another; `right` points are those that move.
+    Rows are kept by pair, band and side, each side in order of time."""
+
+    def __init__(self, counts: np.ndarray, band: np.ndarray, time: np.ndarray, flux: np.ndarray, right: np.ndarray):
+        self.counts, self.first = counts, np.cumsum(counts) - counts
+        self.row = np.lexsort((time, right, band, np.repeat(np.arange(len(counts)), counts)))  # as given
+        self.band, self.bands = band[self.row].astype(np.int64), int(band.max(initial=0)) + 1
+        self.time, self.flux, self.right = time[self.row], flux[self.row], right[self.row]
+        of = np.repeat(np.arange(len(counts)), counts)
+        new = np.append(True, (of[1:] != of[:-1]) | (self.band[1:] != self.band[:-1])) if len(of) else np.zeros(0, bool)
+        group = np.cumsum(new) - 1
+        self.begin = np.flatnonzero(new)[group]  # of each row's band: its left rows, then its right ones
+        self.lefts = np.bincount(group, ~self.right).astype(np.int64)[group] if len(of) else group
+        self.known: tuple | None = None
+
+    def _layout(self, pairs: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Where the rows of the given pairs stand, one pair after another; kept for the next call."""
+        if self.known is not None and self.known[0] is pairs:
+            return self.known[1]
+        counts = self.counts[pairs]
+        of = np.repeat(np.arange(len(pairs)), counts)
+        shift = np.repeat((np.cumsum(counts) - counts) - self.first[pairs], counts)
+        rows = np.arange(len(of)) - shift
+        is_right, band = self.right[rows], self.band[rows]
+        right = np.flatnonzero(is_right)
+        at = rows[right]
+        begin, lefts = self.begin[at] + shift[right], self.lefts[at]
+        same = np.flatnonzero((of[1:] == of[:-1]) & (band[1:] == band[:-1]))
+        found = of, rows, band, right, np.flatnonzero(~is_right), of[right], begin, begin + lefts, right - begin - lefts, int(lefts.max(initial=0)).bit_length(), same, of[1:][same]
+        self.known = pairs, found
+        return found
+
+    def moved(self, pairs: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order of the rows of the given pairs by pair, band and time (left ones first on ties) under their
+        parameters, and the times and fluxes in that order. Both sides stay in order if stretched by more than
+        0, so they are merged: each right point is placed among the left ones by halving."""
+        of, rows, _, right, left, right_of, begin, end, nth, halvings, _, _ = self._layout(pairs)
+        time, flux, q = self.time[rows], self.flux[rows], p[right_of]
+        own = np.where(q[:, 2] > 0, q[:, 2], 1.0) * (time[right] + q[:, 0])
+        low, high, most = begin, end, len(time) - 1
+        for _ in range(halvings):
+            middle = (low + high) >> 1
+            after = (middle < high) & (time[np.minimum(middle, most)] <= own)
+            low, high = np.where(after, middle + 1, low), np.where(after, high, middle)
+        time[right], flux[right] = own, q[:, 3] * (flux[right] + q[:, 1])
+        to = low + nth
+        order, free = np.empty(len(of), np.int64), np.ones(len(of), bool)
+        order[to], free[to] = right, False
+        order[free] = left
+        return order, time[order], flux[order]
+
+    def lengths(self, pairs: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Arc length over bands of each pair merged under its parameters; infinite for stretches that
+        aren't positive. A pair's sum doesn't depend on what else is in the batch."""
+        _, time, flux = self.moved(pairs, p)
+        *_, same, of = self._layout(pairs)
+        dt, df = (time[1:] - time[:-1])[same], (flux[1:] - flux[:-1])[same]
+        total = np.bincount(of, np.sqrt(dt * dt + df * df), len(pairs))
+        return np.where((p[:, 2] > 0) & (p[:, 3] > 0), total, np.inf)
+
+    def merged(self, pairs: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The merged points: which of the pairs, row as given, band, time, flux."""
+        order, time, flux = self.moved(pairs, p)
+        of, rows, band, *_ = self._layout(pairs)
+        return of, self.row[rows[order]], band, time, flux
+
+
+def simplexes(f, start: np.ndarray, step: np.ndarray, rounds: int, tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Downhill simplexes of many problems that step together; those that have converged leave.
+
+    f(problems, points) gives the values of points of the problems named. Returns of each problem the best
+    point, its value, and whether values and points came within the tolerance before the rounds were used up.
+    """
+    n, d = start.shape
+    points = start[:, None, :] + np.concatenate([np.zeros((1, d)), np.diag(step)])
+    values = np.stack([f(np.arange(n), points[:, i]) for i in range(d + 1)], axis=1)
+    best, least, done = start.copy(), np.full(n, np.inf), np.zeros(n, bool)
+    active = np.arange(n)
     for _ in range(rounds):
-        order = np.argsort(values, kind="stable")
-        points, values = [points[i] for i in order], [values[i] for i in order]
-        if values[-1] - values[0] <= tolerance and max(np.abs(x - points[0]).max() for x in points[1:]) <= tolerance:
-            return points[0], values[0], True
-        centre = np.mean(points[:-1], axis=0)
-        reflected = centre + (centre - points[-1])
-        fr = f(reflected)
-        if fr < values[0]:
-            further = centre + 2 * (centre - points[-1])
-            fe = f(further)
-            points[-1], values[-1] = (further, fe) if fe < fr else (reflected, fr)
-        elif fr < values[-2]:
-            points[-1], values[-1] = reflected, fr
-        else:
-            inner = centre + 0.5 * ((reflected if fr < values[-1] else points[-1]) - centre)
-            fi = f(inner)
-            if fi < min(fr, values[-1]):
-                points[-1], values[-1] = inner, fi
-            else:
-                points = [points[0], *(points[0] + 0.5 * (x - points[0]) for x in points[1:])]
-                values = [values[0], *(f(x) for x in points[1:])]
-    best = int(np.argmin(values))
-    return points[best], values[best], False
-
-
-def _bands(frame: pd.DataFrame) -> dict[str, np.ndarray]:
-    return {b: g.sort_values(["time", "tie"])[["time", "flux"]].to_numpy(float) for b, g in frame.groupby("band")}
+        order = np.argsort(values, axis=1, kind="stable")
+        points, values = np.take_along_axis(points, order[:, :, None], 1), np.take_along_axis(values, order, 1)
+        near = (values[:, -1] - values[:, 0] <= tolerance) & (np.abs(points[:, 1:] - points[:, :1]).max(axis=(1, 2)) <= tolerance)
+        if near.any():
+            best[active[near]], least[active[near]], done[active[near]] = points[near, 0], values[near, 0], True
+            active, points, values = active[~near], points[~near], values[~near]
+        if not len(active):
+            break
+        worst, centre = points[:, -1].copy(), points[:, :-1].mean(axis=1)
+        mirrored = centre + (centre - worst)
+        at_mirrored = f(active, mirrored)
+        taken, at_taken = mirrored.copy(), at_mirrored.copy()
+        top = at_mirrored < values[:, 0]
+        if top.any():
+            further = centre[top] + 2.0 * (centre[top] - worst[top])
+            at_further = f(active[top], further)
+            more = at_further < at_mirrored[top]
+            taken[np.flatnonzero(top)[more]], at_taken[np.flatnonzero(top)[more]] = further[more], at_further[more]
+        poor = np.flatnonzero(~top & ~(at_mirrored < values[:, -2]))
+        shrunk = poor[:0]
+        if len(poor):
+            outside = at_mirrored[poor] < values[poor, -1]
+            inner = centre[poor] + 0.5 * (np.where(outside[:, None], mirrored[poor], worst[poor]) - centre[poor])
+            at_inner = f(active[poor], inner)
+            good = at_inner < np.minimum(at_mirrored[poor], values[poor, -1])
+            taken[poor[good]], at_taken[poor[good]] = inner[good], at_inner[good]
+            shrunk = poor[~good]
+        replaced = np.ones(len(active), bool)
+        replaced[shrunk] = False
+        points[replaced, -1], values[replaced, -1] = taken[replaced], at_taken[replaced]
+        if len(shrunk):
+            points[shrunk, 1:] = points[shrunk, :1] + 0.5 * (points[shrunk, 1:] - points[shrunk, :1])
+            for i in range(1, d + 1):
+                values[shrunk, i] = f(active[shrunk], points[shrunk, i])
+    if len(active):
+        low = np.argmin(values, axis=1)
+        best[active], least[active] = points[np.arange(len(active)), low], values[np.arange(len(active)), low]
+    return best, least, done
 
 
 STEPS = np.array([0.5, 0.5, 0.05, 0.05])
-#: Rounds after which a fit is given up; it says so.
-ROUNDS = 10_000
+#: Rounds after which a fit is given up; it says so. Points of the pairs that are worked on together.
+ROUNDS, BATCH_POINTS = 10_000, 50_000
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int, least: int = BATCH_POINTS) -> Iterator[pa.Table]:
+    """Rows sorted by their first `keys` columns, in tables of some `least` rows that cut no group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < least:
+            continue
+        table = pa.Table.from_batches(held)
+        starts = _group_starts(table, keys)
+        if len(starts) > 1:
+            yield table.slice(0, starts[-1])
+        held = table.slice(starts[-1] if len(starts) > 1 else 0).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _group_starts(table: pa.Table, keys: int) -> np.ndarray:
+    new = np.ones(table.num_rows, bool)
+    changed = np.zeros(max(table.num_rows - 1, 0), bool)
+    for i in range(keys):
+        column = table.column(i).to_numpy()
+        changed |= column[1:] != column[:-1]
+    new[1:] = changed
+    return np.flatnonzero(new)
+
+
+def _fitted(table: pa.Table, starts: np.ndarray, rounds: int) -> tuple[np.ndarray, Curves, np.ndarray, np.ndarray, np.ndarray]:
+    """The bands and curves of a table's groups (band, time, flux and side, "right" moves) and their alignments."""
+    names, band = np.unique(table["band"].to_numpy().astype(str), return_inverse=True)
+    right = table["side"].to_numpy().astype(str) == "right"
+    curves = Curves(np.diff(np.append(starts, table.num_rows)), band, table["time"].to_numpy(), table["flux"].to_numpy(), right)
+    start = np.tile([0.0, 0.0, 1.0, 1.0], (len(starts), 1))
+    return names, curves, *simplexes(curves.lengths, start, STEPS, rounds)
+
+
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows by keys, in the session's number of partitions however few bytes they are: fits cost time, not bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def align_simplex(pairs: DataFrame, obs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Refined alignment of each pair from the identity; never longer than the identity's."""
+    """Refined alignment of each pair from the identity; never longer than the identity's.
 
-    def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = _bands(frame[frame.side == "left"]), _bands(frame[frame.side == "right"])
-        x, value, done = simplex(lambda p: merged_length(left, right, p), np.array([0.0, 0.0, 1.0, 1.0]), STEPS, rounds)
-        return pd.DataFrame([[key[0], *x, value, done]], columns=["pair_id", *PARAMETERS, "arc_length", "converged"])
+    The pairs of a stretch of a partition are fitted together; a pair's alignment is the same in any batch.
+    """
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, 1):
+            starts = _group_starts(table, 1)
+            _, _, best, least, done = _fitted(table, starts, rounds)
+            columns = [table["pair_id"].to_numpy()[starts], *best.T, least, done]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["pair_id", *PARAMETERS, "arc_length", "converged"])
 
     points = pair_curves(pairs, obs.where("detected = 1").select("object_id", "band", "time", "flux", "tie"))
-    return points.groupBy("pair_id").applyInPandas(fit, ALIGNED)
-
-
-STACKED = "target int, stack long, step int, object_id long, translate_time double, translate_flux double, dilate_time double, dilate_flux double, arc_length double, converged boolean"
-
-
-def stack_classes(obs: DataFrame, meta: DataFrame, k: int = 25, rounds: int = ROUNDS) -> DataFrame:
-    """Fold the curves of each class onto one another: each curve is aligned to the stack of those before
-    it and merged in. A stack holds k curves, in order of their ids; a class has as many stacks as its
-    curves need, so that all are folded and a task holds k of them."""
-    ids = numbered_within(meta.where("target is not null").select("target", "object_id").distinct(), "target", "object_id")
-    chosen = ids.select("target", "object_id", F.floor(F.col("pos") / k).alias("stack"), (F.col("pos") % k).cast("int").alias("step"))
-    points = obs.where("detected = 1").join(chosen, "object_id").select("target", "stack", "step", "object_id", "band", "time", "flux", "tie")
-
-    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        rows, stack = [], {}
-        for (step, object_id), own in frame.groupby(["step", "object_id"]):
-            curve, x, done = _bands(own), np.array([0.0, 0.0, 1.0, 1.0]), True
-            if stack:
-                x, value, done = simplex(lambda p, c=curve: merged_length(stack, c, p), x, STEPS, rounds)
-            else:
-                value = merged_length({}, curve, x)
-            for band, a in curve.items():
-                moved = np.column_stack([x[2] * (a[:, 0] + x[0]), x[3] * (a[:, 1] + x[1])])
-                both = np.concatenate([stack[band], moved]) if band in stack else moved
-                stack[band] = both[np.argsort(both[:, 0], kind="stable")]
-            rows.append([*key, step, object_id, *x, value, done])
-        return pd.DataFrame(rows, columns=["target", "stack", "step", "object_id", *PARAMETERS, "arc_length", "converged"])
-
-    return points.groupBy("target", "stack").applyInPandas(fold, STACKED)
+    named = points.select(F.col("pair_id").cast("long").alias("pair_id"), F.col("side"), F.col("band").cast("string").alias("band"), F.col("time").cast("double").alias("time"), F.col("flux").cast("double").alias("flux"), "tie")
+    return _dealt(named, "pair_id").sortWithinPartitions("pair_id", "side", "band", "time", "tie").drop("tie").mapInArrow(fit, ALIGNED)
+
+
+# ---------------------------------------------------------------- one stack for each class
+_PROFILE = "band string, time double, flux double, n long"
+_MERGED = f"target long, stack long, kind int, {_PROFILE}, " + ", ".join(f"{p} double" for p in PARAMETERS) + ", arc_length double, converged boolean"
+_POINT, _MERGE = 0, 1
+
+
+def _condensed(of: np.ndarray, band: np.ndarray, time: np.ndarray, flux: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """Points sorted by stack, band and time, neighbours averaged (by the points they stand for) where a
+    band holds more than `most`."""
+    new = np.append(True, (of[1:] != of[:-1]) | (band[1:] != band[:-1]))
+    group = np.cumsum(new) - 1
+    size = np.bincount(group)
+    nth = np.arange(len(of)) - np.flatnonzero(new)[group]
+    run = nth // -(-size // most)[group]
+    heads = np.flatnonzero(new | np.append(True, run[1:] != run[:-1]))
+    total = np.add.reduceat(n, heads)
+    mean = lambda v: np.add.reduceat(v * n, heads) / total
+    return of[heads], band[heads], mean(time), mean(flux), total
+
+
+def _merge_level(rounds: int, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, 2):
+            starts = _group_starts(table, 2)
+            names, curves, best, least, done = _fitted(table, starts, rounds)
+            every = np.arange(len(starts))
+            of, rows, band, time, flux = curves.merged(every, best)
+            of, band, time, flux, n = _condensed(of, band, time, flux, table["n"].to_numpy()[rows], most)
+            target, pair = table["target"].to_numpy()[starts], table["pair"].to_numpy()[starts]
+            void = [pa.nulls(len(of), pa.float64())] * 5 + [pa.nulls(len(of), pa.bool_())]
+            columns = [pa.array(target[of]), pa.array(pair[of]), pa.array(np.zeros(len(of), np.int32)), pa.array(names[band]), pa.array(time), pa.array(flux), pa.array(n), *void]
+            yield pa.RecordBatch.from_arrays(columns, names=_MERGED_NAMES)
+            two = np.flatnonzero(np.add.reduceat(curves.right, starts) > 0)  # a stack without partner is the left one
+            void = [pa.nulls(len(two), t) for t in (pa.string(), pa.float64(), pa.float64(), pa.int64())]
+            columns = [pa.array(target[two]), pa.array(2 * pair[two] + 1), pa.array(np.full(len(two), _MERGE, np.int32)), *void, *(pa.array(c[two]) for c in (*best.T, least, done))]
+            yield pa.RecordBatch.from_arrays(columns, names=_MERGED_NAMES)
+
+    return run
+
+
+_MERGED_NAMES = [x.split()[0] for x in _MERGED.split(", ")]
+
+
+def merge_tree(obs: DataFrame, meta: DataFrame, most: int = 256, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """One stack for each class: its curves, in order of their ids, are merged two and two, level by level.
+
+    Returns (members, stacks). members: target, object_id, the transform that carries the curve into the
+    stack (time t to dilate_time * (t + translate_time), flux likewise), and of the merge its curve moved in
+    first (null for a class's first curve): level, arc_length, converged. stacks: target, band, time, flux
+    and n, the points of the merged curve, where n points of curves are averaged.
+
+    A task holds two stacks at a time, and a stack at most `most` points a band: where there are more,
+    neighbours are averaged, so every point counts at every level. Each level is stored; its merges (half as
+    many as the level before) carry the transforms down again in as many joins.
+    """
+    chosen = meta.where("target is not null").select(F.col("target").cast("long").alias("target"), "object_id").distinct()
+    seen = obs.where("detected = 1")
+    ids = stored(numbered_within(chosen.join(seen.select("object_id").distinct(), "object_id", "left_semi"), "target", "object_id").select("target", "object_id", F.col("pos").alias("stack")), "stack-ids")
+    points = seen.join(ids, "object_id").select(
+        "target", "stack", F.lit(_POINT).alias("kind"), F.col("band").cast("string").alias("band"), F.col("time").cast("double").alias("time"), F.col("flux").cast("double").alias("flux"), F.lit(1).cast("long").alias("n"), "tie"
+    )
+    largest = ids.agg(F.max("stack")).first()[0]
+    depth = 0 if largest is None else int(largest).bit_length()
+    level, merges, last = points, [], None
+    for _ in range(depth):
+        side = F.when(F.col("stack") % 2 == 1, "right").otherwise("left").alias("side")
+        paired = level.select("target", F.floor(F.col("stack") / 2).alias("pair"), side, "band", "time", "flux", "n", "tie")
+        ordered = _dealt(paired, "target", "pair").sortWithinPartitions("target", "pair", "side", "band", "time", "tie", "flux").drop("tie")
+        made = stored(ordered.mapInArrow(_merge_level(rounds, most), _MERGED), "stack-level")
+        merges.append(stored(made.where(F.col("kind") == _MERGE).select("target", "stack", *PARAMETERS, "arc_length", "converged"), "stack-merges"))
+        level = made.where(F.col("kind") == _POINT).select("target", "stack", "kind", "band", "time", "flux", "n", F.lit(0).cast("long").alias("tie"))
+        dropped(last)
+        last = made
+    none = [F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0)]
+    down = ids.select("target").distinct().select("target", F.lit(0).cast("long").alias("stack"), *(v.alias(p) for v, p in zip(none, PARAMETERS, strict=True)), F.lit(None).cast("int").alias("level"), F.lit(None).cast("double").alias("arc_length"), F.lit(None).cast("boolean").alias("converged"))
+    for depth_now in range(len(merges) - 1, -1, -1):
+        own = merges[depth_now].select("target", F.floor(F.col("stack") / 2).alias("stack"), *(F.col(p).alias(f"_{p}") for p in PARAMETERS), F.col("arc_length").alias("_length"), F.col("converged").alias("_done"))
+        both = down.join(own, ["target", "stack"], "left")  # what a stack got on its way up, and its right half before that
+        left = F.struct((2 * F.col("stack")).alias("stack"), *(F.col(p) for p in PARAMETERS), "level", "arc_length", "converged")
+        chain = {f"translate_{c}": F.col(f"_translate_{c}") + F.col(f"translate_{c}") / F.col(f"_dilate_{c}") for c in ("time", "flux")} | {f"dilate_{c}": F.col(f"_dilate_{c}") * F.col(f"dilate_{c}") for c in ("time", "flux")}
+        right = F.when(
+            F.col("_dilate_time").isNotNull(),
+            F.struct((2 * F.col("stack") + 1).alias("stack"), *(chain[p].alias(p) for p in PARAMETERS), F.lit(depth_now).alias("level"), F.col("_length").alias("arc_length"), F.col("_done").alias("converged")),
+        )
+        down = both.select("target", F.explode(F.array_compact(F.array(left, right))).alias("s")).select("target", "s.*")
+    members = ids.join(down, ["target", "stack"]).select("target", "object_id", *PARAMETERS, "level", "arc_length", "converged")
+    return members, level.select("target", "band", "time", "flux", "n")
+
+
+def stack_classes(obs: DataFrame, meta: DataFrame, most: int = 256, rounds: int = ROUNDS) -> DataFrame:
+    """The members of each class's one stack and their transforms (see merge_tree)."""
+    return merge_tree(obs, meta, most, rounds)[0]
 
 
 def alignment_matrix(meta: DataFrame, obs: DataFrame, grid: DataFrame, same_class: bool = False) -> DataFrame:

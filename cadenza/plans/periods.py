@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -69,23 +70,74 @@ def span_grids(obs: DataFrame, shortest: float = 0.1, oversampling: float = 5.0)
     return spans.select("object_id", F.lit(0).alias("grid"), low.alias("low"), step.alias("step"), (F.floor((1.0 / F.lit(shortest) - low) / step) + 1).cast("int").alias("n"))
 
 
-def _band_sums(time: np.ndarray, flux: np.ndarray, err: np.ndarray, frequency: np.ndarray) -> np.ndarray:
-    """The weight and the nine weighted sums of a band at each frequency."""
+#: Points of a band up to which its sums are taken term by term, which is cheaper and exact; more are
+#: transformed. Frequencies that are worked on together, and of one group.
+DIRECT, FREQUENCIES, GRID_BLOCK = 48, 8192, 65_536
+#: Grid places that a point is spread over, and the shape of its kernel (about 13 digits at twofold sampling).
+_WIDTH, _BETA = 14, 2.3 * 14
+
+
+def _kernel(x: np.ndarray) -> np.ndarray:
+    """What a point at 0 gives to the grid place x."""
+    inside = 1.0 - (2.0 * x / _WIDTH) ** 2
+    return np.where(inside > 0, np.exp(_BETA * (np.sqrt(np.maximum(inside, 0.0)) - 1.0)), 0.0)
+
+
+@lru_cache(maxsize=16)
+def _correction(size: int) -> np.ndarray:
+    """1 / the kernel's own transform at the size's frequencies, from -size / 2 on a grid twice as fine."""
+    node, weight = np.polynomial.legendre.leggauss(80)
+    x = (node + 1.0) * _WIDTH / 4.0  # one half of the kernel
+    at = np.arange(-size // 2, size // 2) / (2.0 * size)
+    return 1.0 / (np.cos(2.0 * math.pi * at[:, None] * x) @ (weight * _kernel(x)) * _WIDTH / 2.0)
+
+
+def transform(cycles: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
+    """sum_j weights[:, j] exp(2 pi i k cycles[j]) for k = 0 to size - 1 (size a power of two), irregular
+    places: points are spread over a grid twice as fine, the grid is transformed at once, and the kernel's
+    own transform is divided out. Points x width + size log size steps, whatever the frequencies."""
+    fine = 2 * size
+    place = (cycles % 1.0) * fine
+    nearest = np.ceil(place - _WIDTH / 2).astype(np.int64)
+    to = nearest[:, None] + np.arange(_WIDTH)
+    share = _kernel(to - place[:, None])
+    to = (to % fine).ravel()
+    centred = weights * np.exp(2j * math.pi * (cycles * (size // 2) % 1.0))
+    out = np.empty((len(weights), size), complex)
+    for i, own in enumerate(centred):
+        spread = own[:, None] * share
+        grid = np.bincount(to, spread.real.ravel(), fine) + 1j * np.bincount(to, spread.imag.ravel(), fine)
+        found = np.fft.ifft(grid) * fine
+        out[i] = np.concatenate([found[-(size // 2) :], found[: size - size // 2]]) * _correction(size)
+    return out
+
+
+def _waves(time: np.ndarray, low: float, step: float, n: int) -> np.ndarray:
+    """exp(2 pi i time (low + k step)) for k = 0 to n - 1, as products of two short lists."""
+    short = min(64, n)
+    fine = np.exp(2j * math.pi * (step * time)[:, None] * np.arange(short))
+    coarse = np.exp(2j * math.pi * time[:, None] * (low + step * short * np.arange(-(-n // short))))
+    return (coarse[:, :, None] * fine[:, None, :]).reshape(len(time), -1)[:, :n]
+
+
+def band_sums(time: np.ndarray, flux: np.ndarray, err: np.ndarray, low: float, step: float, n: int, direct: int = DIRECT) -> np.ndarray:
+    """The weight and the nine weighted sums of a band at each of n frequencies low + k step, by blocks of
+    frequencies. Squares and products of the waves are sums at twice the frequency."""
     w = 1.0 / (err * err)
-    out = np.zeros((1 + len(_PRODUCTS), len(frequency)))
+    both = np.stack([w, w * flux])
+    out = np.empty((1 + len(_PRODUCTS), n))
     out[0], out[1], out[4] = w.sum(), (w * flux).sum(), (w * flux * flux).sum()
-    for at in range(0, len(time), 256):
-        part = slice(at, at + 256)
-        angle = (2.0 * math.pi * time[part])[:, None] * frequency
-        c, s, wy = np.cos(angle), np.sin(angle), w[part] * flux[part]
-        wc, ws = w[part, None] * c, w[part, None] * s
-        out[2] += wc.sum(axis=0)
-        out[3] += ws.sum(axis=0)
-        out[5] += (wc * c).sum(axis=0)
-        out[6] += (ws * s).sum(axis=0)
-        out[7] += (wc * s).sum(axis=0)
-        out[8] += (wy[:, None] * c).sum(axis=0)
-        out[9] += (wy[:, None] * s).sum(axis=0)
+    for at in range(0, n, FREQUENCIES):
+        part, size, start = slice(at, min(n, at + FREQUENCIES)), min(n - at, FREQUENCIES), low + step * at
+        if len(time) <= direct:
+            waves = _waves(time, start, step, size)
+            once, twice = both @ waves, w @ (waves * waves)
+        else:
+            whole = max(2, 1 << (size - 1).bit_length())
+            once = transform(step * time, both * np.exp(2j * math.pi * (start * time % 1.0)), whole)[:, :size]
+            twice = transform(2.0 * step * time, (w * np.exp(2j * math.pi * (2.0 * start * time % 1.0)))[None], whole)[0, :size]
+        out[2, part], out[3, part], out[8, part], out[9, part] = once[0].real, once[0].imag, once[1].real, once[1].imag
+        out[5, part], out[6, part], out[7, part] = (out[0, 0] + twice.real) / 2, (out[0, 0] - twice.real) / 2, twice.imag / 2
     return out
 
 
@@ -96,13 +148,15 @@ _PART = f"{_AT}, band string, " + ", ".join(f"{c} double" for c in _SUMS)
 
 def _grid_sums(table: pa.Table) -> tuple[dict, list[str], list[np.ndarray]]:
     """What identifies the rows of a group, its bands, and the sums of each."""
-    one = {c: table[c][0].as_py() for c in ("object_id", "grid", "low", "step", "n")}
-    frequency = one["low"] + one["step"] * np.arange(one["n"])
-    band = np.asarray(table["band"].to_pandas())
+    one = {c: table[c][0].as_py() for c in ("object_id", "grid", "low", "step", "first", "n")}
+    n = one["n"]
+    k = one["first"] + np.arange(n)
+    band = table["band"].to_numpy()
     time, flux, err = (table[c].to_numpy() for c in ("time", "flux", "flux_err"))
     names = sorted(set(band.tolist()))
-    ids = {"object_id": np.full(one["n"], one["object_id"]), "grid": np.full(one["n"], one["grid"], np.int32), "k": np.arange(one["n"], dtype=np.int32), "period": 1.0 / frequency}
-    return ids, names, [_band_sums(time[band == b], flux[band == b], err[band == b], frequency) for b in names]
+    low = one["low"] + one["step"] * one["first"]
+    ids = {"object_id": np.full(n, one["object_id"]), "grid": np.full(n, one["grid"], np.int32), "k": k.astype(np.int32), "period": 1.0 / (one["low"] + one["step"] * k)}
+    return ids, names, [band_sums(time[band == b], flux[band == b], err[band == b], low, one["step"], n) for b in names]
 
 
 def _sum_rows(table: pa.Table) -> pa.Table:
@@ -125,18 +179,26 @@ def _power_rows(table: pa.Table) -> pa.Table:
     return pa.table({**ids, "power": pa.array(power, from_pandas=True)})
 
 
+def _blocks(grids: DataFrame) -> DataFrame:
+    """A row for each block of a grid's frequencies: first and n are of the block."""
+    count = F.ceil(F.col("n") / GRID_BLOCK).cast("int")
+    each = grids.where("n > 0").select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("_block"))
+    first = (F.col("_block") * GRID_BLOCK).cast("int")
+    return each.select("object_id", "grid", "low", "step", first.alias("first"), F.least(F.col("n") - first, F.lit(GRID_BLOCK)).cast("int").alias("n"))
+
+
 def grid_powers(obs: DataFrame, grids: DataFrame, chunk: int = 50_000) -> DataFrame:
     """object_id, grid, k, period and power of each object's own frequency grids (see span_grids).
 
-    A curve is worked on as arrays. One of more than `chunk` points is dealt to several groups, whose
-    sums are added up by Spark: no group grows with the table.
+    A curve meets GRID_BLOCK frequencies at a time, as arrays. One of more than `chunk` points is dealt to
+    several groups, whose sums are added up by Spark: no group grows with the table or with the time span.
     """
     points = obs.where(F.col("flux_err") > 0).select("object_id", "band", "time", "flux", "flux_err", "tie")
     counts = points.groupBy("object_id").agg(F.count("*").alias("_points"))
-    asked = points.join(grids.join(counts, "object_id"), "object_id")
-    whole = asked.where(F.col("_points") <= chunk).groupBy("object_id", "grid").applyInArrow(_power_rows, f"{_AT}, power double")
+    asked = points.join(_blocks(grids).join(counts, "object_id"), "object_id")
+    whole = asked.where(F.col("_points") <= chunk).groupBy("object_id", "grid", "first").applyInArrow(_power_rows, f"{_AT}, power double")
     share = F.pmod(F.xxhash64("tie", "time", "band"), F.ceil(F.col("_points") / chunk))
-    dealt = asked.where(F.col("_points") > chunk).withColumn("_chunk", share).groupBy("object_id", "grid", "_chunk").applyInArrow(_sum_rows, _PART)
+    dealt = asked.where(F.col("_points") > chunk).withColumn("_chunk", share).groupBy("object_id", "grid", "first", "_chunk").applyInArrow(_sum_rows, _PART)
     summed = dealt.groupBy("object_id", "grid", "k", "period", "band").agg(*(F.sum(c).alias(c) for c in _SUMS))
     return whole.unionByName(_powers(summed, "object_id", "grid", "k", "period"))
 

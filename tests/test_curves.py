@@ -270,9 +270,9 @@ def test_alignment_beats_identity(spark):
 def test_stacks_hold_all_curves_of_a_class(spark):
     rows = [(o, "b", float(i) + 0.1 * o, math.sin(i / 3.0), 0.1, 1, i) for o in range(7) for i in range(15)]
     meta = spark.createDataFrame([(o, o % 2) for o in range(7)] + [(99, None)], "object_id long, target int")
-    got = align.stack_classes(spark.createDataFrame(rows, OBS), meta, k=3).collect()
-    assert sorted((r.target, r.stack, r.step, r.object_id) for r in got) == [(0, 0, 0, 0), (0, 0, 1, 2), (0, 0, 2, 4), (0, 1, 0, 6), (1, 0, 0, 1), (1, 0, 1, 3), (1, 0, 2, 5)]
-    assert all(r.converged for r in got)
+    got = align.stack_classes(spark.createDataFrame(rows, OBS), meta).collect()
+    assert sorted((r.target, r.object_id, r.level) for r in got) == [(0, 0, None), (0, 2, 0), (0, 4, 1), (0, 6, 0), (1, 1, None), (1, 3, 0), (1, 5, 1)]
+    assert all(r.converged for r in got if r.level is not None)
     short = align.align_simplex(spark.createDataFrame([(1, 1, 2)], "pair_id long, left_id long, right_id long"), spark.createDataFrame(rows, OBS), rounds=2).first()
     assert not short.converged
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -156,6 +158,49 @@ def test_periods_of_the_span_are_found_and_refined(spark):
     assert abs(fine[1].period - truth[1]) < 2e-4 and 4 not in fine
 
 
+def _terms(t, y, err, frequency):
+    w, angle = 1 / err**2, 2 * math.pi * t[:, None] * frequency
+    c, s = np.cos(angle), np.sin(angle)
+    return np.stack([(w[:, None] * v).sum(axis=0) for v in (1 + 0 * c, y[:, None] + 0 * c, c, s, (y**2)[:, None] + 0 * c, c * c, s * s, c * s, y[:, None] * c, y[:, None] * s)])
+
+
+@pytest.mark.parametrize(("n", "span"), [(3, 20.0), (60, 30.0), (700, 400.0)])
+def test_sums_by_transform_equal_sums_of_terms(n, span, monkeypatch):
+    """Term by term and by fast transform, in one block of frequencies and in several."""
+    rng = np.random.default_rng(n)
+    t, y, err = np.sort(rng.uniform(0, span, n)), rng.normal(5, 2, n), rng.uniform(0.1, 0.5, n)
+    low, step, count = 1 / span, 1 / (5 * span), 3000
+    want = _terms(t, y, err, low + step * np.arange(count))
+    for block in (256, 8192):
+        monkeypatch.setattr(periods, "FREQUENCIES", block)
+        for direct in (0, 10**9):
+            got = periods.band_sums(t, y, err, low, step, count, direct)
+            assert np.abs(got - want).max() <= 1e-9 * np.abs(want).max()
+
+
+def test_long_spans_take_little_time_and_memory():
+    """300 points over 1,100 days, 55,000 frequencies: by blocks, in well under a second."""
+    rng = np.random.default_rng(5)
+    t, y, err = np.sort(rng.uniform(0, 1100, 300)), rng.normal(5, 2, 300), rng.uniform(0.1, 0.5, 300)
+    n = int((10 - 1 / 1100) * 5 * 1100) + 1
+    periods.band_sums(t, y, err, 1 / 1100, 1 / 5500, 100)
+    tracemalloc.start()
+    begun = time.perf_counter()
+    got = periods.band_sums(t, y, err, 1 / 1100, 1 / 5500, n)
+    took, peak = time.perf_counter() - begun, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.shape == (10, n) and took < 1 and peak < 50e6
+
+
+def test_blocks_of_a_grid_are_one_grid(spark, monkeypatch):
+    obs = spark.createDataFrame(_sinusoid(2.5, 1, 1) + _sinusoid(0.7, 2, 2), "object_id long, band string, time double, flux double, flux_err double, detected int, tie long")
+    want = sorted(map(tuple, periods.grid_powers(obs, periods.span_grids(obs)).collect()))
+    monkeypatch.setattr(periods, "GRID_BLOCK", 500)
+    got = sorted(map(tuple, periods.grid_powers(obs, periods.span_grids(obs)).collect()))
+    assert [r[:3] for r in got] == [r[:3] for r in want] and len(want) > 5000
+    assert all(a[3:] == pytest.approx(b[3:], abs=1e-9) for a, b in zip(got, want, strict=True))
+
+
 def test_flat_curves_have_no_power(spark):
     obs = spark.createDataFrame([(1, "a", float(i), 1.0, 0.1) for i in range(5)], "object_id long, band string, time double, flux double, flux_err double")
     assert periods.periodogram(obs, periods.period_grid(spark, [2.5])).first().power is None
