@@ -30,8 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
-    return drop_near_duplicates(docs).select(*COLUMNS)
+    """One document of each group of near-duplicates (two-word shingles, similarity 0.8, as op9_minhash)."""
+    return drop_near_duplicates(docs, k=2, percent=80).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
