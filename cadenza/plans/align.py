@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.columns import moved_flux, moved_time
+from cadenza.operators.batches import whole_groups
 from cadenza.operators.joins import pair_curves
 from cadenza.operators.lookups import numbered_within
 from cadenza.storage import dropped, stored
@@ -169,34 +170,6 @@ STEPS = np.array([0.5, 0.5, 0.05, 0.05])
 ROUNDS, BATCH_POINTS = 10_000, 50_000
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int, least: int = BATCH_POINTS) -> Iterator[pa.Table]:
-    """Rows sorted by their first `keys` columns, in tables of some `least` rows that cut no group."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        if sum(b.num_rows for b in held) < least:
-            continue
-        table = pa.Table.from_batches(held)
-        starts = _group_starts(table, keys)
-        if len(starts) > 1:
-            yield table.slice(0, starts[-1])
-        held = table.slice(starts[-1] if len(starts) > 1 else 0).combine_chunks().to_batches()
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _group_starts(table: pa.Table, keys: int) -> np.ndarray:
-    new = np.ones(table.num_rows, bool)
-    changed = np.zeros(max(table.num_rows - 1, 0), bool)
-    for i in range(keys):
-        column = table.column(i).to_numpy()
-        changed |= column[1:] != column[:-1]
-    new[1:] = changed
-    return np.flatnonzero(new)
-
-
 def _fitted(table: pa.Table, starts: np.ndarray, rounds: int) -> tuple[np.ndarray, Curves, np.ndarray, np.ndarray, np.ndarray]:
     """The bands and curves of a table's groups (band, time, flux and side, "right" moves) and their alignments."""
     names, band = np.unique(table["band"].to_numpy().astype(str), return_inverse=True)
@@ -218,8 +191,7 @@ def align_simplex(pairs: DataFrame, obs: DataFrame, rounds: int = ROUNDS) -> Dat
     """
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, 1):
-            starts = _group_starts(table, 1)
+        for table, starts in whole_groups(batches, ("pair_id",), BATCH_POINTS):
             _, _, best, least, done = _fitted(table, starts, rounds)
             columns = [table["pair_id"].to_numpy()[starts], *best.T, least, done]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["pair_id", *PARAMETERS, "arc_length", "converged"])
@@ -251,8 +223,7 @@ def _condensed(of: np.ndarray, band: np.ndarray, time: np.ndarray, flux: np.ndar
 
 def _merge_level(rounds: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, 2):
-            starts = _group_starts(table, 2)
+        for table, starts in whole_groups(batches, ("target", "pair"), BATCH_POINTS):
             names, curves, best, least, done = _fitted(table, starts, rounds)
             every = np.arange(len(starts))
             of, rows, band, time, flux = curves.merged(every, best)

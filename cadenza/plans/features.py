@@ -8,27 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions import columns as C
-from cadenza.operators.joins import closest_points
+from cadenza.operators.asof import nearest_windows
 from cadenza.operators.stats import cutoff_scales, percentile_cutoffs
-from cadenza.operators.windows import surroundings
 
 COLUMNS = ("dflux_dt", "dflux", "dtime")
-_SIDES = ("before_time", "before_flux", "after_time", "after_flux")
-
-
-def window_features(obs: DataFrame, requests: DataFrame, n: int, bands: Sequence[str], bias: float = 1e-8) -> DataFrame:
-    """For each request (object_id, request_time) and band: the closest point and the n points before
-    and after it. Bands without points have full padding and null closest fields."""
-    carry = ("time", "flux", *_SIDES, "before_padding", "after_padding")
-    near = closest_points(surroundings(obs, n, bias), requests, bands, carry)
-    empty = F.array_repeat(F.lit(0.0), n)
-    extra = [c for c in requests.columns if c not in ("object_id", "request_time", "band")]
-    return near.select(
-        "object_id", F.col("request_time"), "band", *extra,
-        *(F.coalesce(f"closest_{c}", empty).alias(c) for c in _SIDES),
-        *(F.coalesce(f"closest_{c}", F.lit(n)).alias(c) for c in ("before_padding", "after_padding")),
-        F.col("closest_time").alias("closest_time_in_band"), F.col("closest_flux").alias("closest_flux_in_band"), "closest_time_diff",
-    )
+
+
+def window_features(obs: DataFrame, requests: DataFrame, n: int, bands: Sequence[str], bias: float = 1e-8, keys: Sequence[str] = ("object_id",)) -> DataFrame:
+    """For each request (object_id or other keys, request_time) and band: the closest point and the n points
+    before and after it. Bands without points have full padding and null closest fields."""
+    return nearest_windows(obs, requests, n, bands, bias, keys)
 
 
 def point_features(obs: DataFrame, n: int, bands: Sequence[str]) -> DataFrame:

@@ -89,10 +89,8 @@ def pair_features(points: DataFrame, requests: DataFrame, n: int, bands: Sequenc
 
     points: pair_id, side and the (transformed) observation; requests: pair_id, side, time.
     """
-    key = F.struct("pair_id", "side")
-    named = points.drop("object_id").withColumn("object_id", key)
-    asks = requests.select(key.alias("object_id"), F.col("time").alias("request_time"), "pair_id", "side")
-    return window_features(named, asks, n, bands).drop("object_id").withColumn("label", F.lit(label))
+    asks = requests.select("pair_id", "side", F.col("time").alias("request_time"))
+    return window_features(points, asks, n, bands, keys=("pair_id", "side")).withColumn("label", F.lit(label))
 
 
 def positive_features(obs: DataFrame, n: int, bands: Sequence[str], seed: int, sample: dict | None = None, **options) -> DataFrame:
@@ -103,9 +101,10 @@ def positive_features(obs: DataFrame, n: int, bands: Sequence[str], seed: int, s
 
 
 def negative_features(obs: DataFrame, meta: DataFrame, n_pairs: int | None, n: int, bands: Sequence[str], seed: int) -> DataFrame:
-    pairs = negative_pairs(obs, meta, n_pairs, seed)
-    points = pairs.select("pair_id", "side", "object_id").join(obs, "object_id")
-    return pair_features(points, pairs.select("pair_id", "side", "time"), n, bands, 0)
+    """Pair features of curves of different classes, label 0. Each side asks at its curve, so that curves meet
+    requests of a few columns and are not copied for every pair they are in."""
+    asks = negative_pairs(obs, meta, n_pairs, seed).select("object_id", F.col("time").alias("request_time"), "pair_id", "side")
+    return window_features(obs, asks, n, bands).drop("object_id").withColumn("label", F.lit(0))
 
 
 def training_set(obs: DataFrame, meta: DataFrame, n: int, bands: Sequence[str], seed: int, split: str | None = "TRAIN", n_negatives: int | None = None) -> DataFrame:
