@@ -9,10 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from cadenza.functions.columns import column, log_loss, norm
 from cadenza.operators.curves import by_object, differences
 from cadenza.operators.lookups import before_parts, in_ranges
+from cadenza.operators.ranks import narrowed_percentiles
 
 
 def class_counts(meta: DataFrame) -> DataFrame:
@@ -28,7 +30,22 @@ def describe(table: DataFrame, value: str, *keys: str) -> DataFrame:
 
 
 def percentiles(values: DataFrame, fractions: Sequence[float], *keys: str, value: str = "value") -> DataFrame:
-    """at: the exact percentiles of the fractions (linear between ranks) per group, in their order.
+    """at: the exact percentiles of the fractions (linear between ranks) per group, in their order. `value` may
+    be an array, whose values all count.
+
+    Brackets around the wanted ranks are narrowed in a few passes over the values, of which nothing is
+    shuffled but counts (see ranks). Groups too many for that are ranked by ranges.
+    """
+    found = narrowed_percentiles(values, fractions, *keys, value=value)
+    if found is not None:
+        return found
+    if isinstance(values.schema[value].dataType, ArrayType):
+        values = values.select(*keys, F.explode(value).alias(value))
+    return percentiles_by_ranges(values, fractions, *keys, value=value)
+
+
+def percentiles_by_ranges(values: DataFrame, fractions: Sequence[float], *keys: str, value: str = "value") -> DataFrame:
+    """The same for any number of groups.
 
     Equal values are counted before any shuffle, the distinct ones are placed by range partitions, and
     only the rows at wanted ranks go on: no group is held or sorted in one task.
@@ -75,7 +92,8 @@ def percentile_cutoffs(values: DataFrame, n: int, *keys: str, value: str = "valu
     if exact:
         found = percentiles(values, fractions, *keys, value=value)
     else:
-        found = values.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.percentile_approx(value, fractions).alias("at"))
+        single = values.select(*keys, F.explode(value).alias(value)) if isinstance(values.schema[value].dataType, ArrayType) else values
+        found = single.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.percentile_approx(value, fractions).alias("at"))
     cells = [F.array_distinct(F.array(*(F.col("at")[fractions.index(q)] for q in grid))) for grid in grids]
     filled = F.slice(F.concat(cells[-1], F.array_repeat(F.element_at(cells[-1], -1), n)), 1, n)
     chosen = F.coalesce(*(F.when(F.size(cell) >= n, F.slice(cell, 1, n)) for cell in cells), filled)

@@ -40,12 +40,12 @@ def maximum_scores(features: DataFrame, n: int, epsilon: float) -> DataFrame:
 
 
 def layer_values(windows: DataFrame, include_padding: bool = True) -> DataFrame:
-    """band, column, value of the slots of in-window points. Padded slots count as 0 (as they enter
-    the model) unless include_padding is off."""
-    value = lambda c: C.masked(F.col(c), F.col("mask"), 0.0)
-    rows = windows.where("in_window").select("band", F.explode(F.arrays_zip(F.col("mask"), *(value(c).alias(c) for c in COLUMNS))).alias("s"))
-    kept = rows if include_padding else rows.where("s.mask")
-    return kept.select("band", F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"s.{c}").alias("value")) for c in COLUMNS))).alias("v")).select("band", "v.*")
+    """band, column, value (an array) of the slots of in-window points. Padded slots count as 0 (as they
+    enter the model) or, with include_padding off, are null."""
+    other = 0.0 if include_padding else None
+    value = lambda c: F.zip_with(F.col("mask"), F.col(c), lambda m, v: F.when(m, F.coalesce(v, F.lit(0.0))).otherwise(F.lit(other)))
+    columns = F.array(*(F.struct(F.lit(c).alias("column"), value(c).alias("value")) for c in COLUMNS))
+    return windows.where("in_window").select("band", F.explode(columns).alias("v")).select("band", "v.*")
 
 
 def learn_cutoffs(obs: DataFrame, n: int, bands: Sequence[str], cutoffs: int, band_time_diff: float = 4.0, include_padding: bool = True, exact: bool = True) -> DataFrame:
