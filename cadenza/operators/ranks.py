@@ -21,8 +21,8 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 #: Cells of all groups together, rows of cells that a task holds, and values inside brackets that are counted singly.
 CELLS, HELD, SINGLE = 1 << 20, 1 << 18, 1 << 18
-#: Leading bits of the first pass: sign, exponent and four bits more.
-LEADING = 16
+#: Leading bits of the first pass: sign, exponent and eight bits more.
+LEADING = 20
 
 
 def in_order(values: np.ndarray) -> np.ndarray:
@@ -195,7 +195,7 @@ class _Ranks:
 def narrowed_percentiles(values: DataFrame, fractions: Sequence[float], *keys: str, value: str = "value", cells: int = CELLS, single: int = SINGLE) -> DataFrame | None:
     """at: the exact percentiles of the fractions (linear between ranks) per group, in their order; nulls are
     left out. `value` may be an array, whose values all count. None if the groups' cells are too many for
-    the driver (some thousand groups), however many values there are."""
+    the driver (some hundred groups of values of many sizes), however many values there are."""
     kind = ArrayType(DoubleType()) if isinstance(values.schema[value].dataType, ArrayType) else DoubleType()
     read = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast(kind).alias("_v"))
     found = _cells(read, keys, None, cells)

@@ -51,16 +51,27 @@ def random_times(obs: DataFrame, seed: int, *keys: str) -> DataFrame:
     return times.groupBy(*keys).agg(F.min_by("time", F.struct(uniform(seed, *map(F.col, keys), F.round(F.col("time") * 1e6).cast("long")), "time")).alias("time"))
 
 
+def _moments(obs: DataFrame, seed: int, **options) -> DataFrame:
+    """object_id, its random transform and pair_time, one of its times."""
+    return transforms(obs.select("object_id").distinct(), seed, **options).join(random_times(obs, seed), "object_id").withColumnRenamed("time", "pair_time")
+
+
 def positive_pairs(obs: DataFrame, seed: int, **options) -> DataFrame:
     """Points of both sides of a curve and its transformed copy: object_id, side, pair_time and the
     observation. pair_time is the side's time of the same moment."""
-    made = transforms(obs.select("object_id").distinct(), seed, **options).join(random_times(obs, seed), "object_id").withColumnRenamed("time", "pair_time")
-    joined = obs.join(made, "object_id")
+    joined = obs.join(_moments(obs, seed, **options), "object_id")
     left = joined.withColumn("side", F.lit("left")).drop(*PARAMETERS)
     right = linear_transform(joined, *PARAMETERS).withColumn("pair_time", C.moved_time("pair_time", "translate_time", "dilate_time")).withColumn("side", F.lit("right")).drop(*PARAMETERS)
     return left.unionByName(right)
 
 
+def positive_requests(obs: DataFrame, seed: int, **options) -> DataFrame:
+    """object_id, side and pair_time of positive_pairs, without their points."""
+    moved = C.moved_time("pair_time", "translate_time", "dilate_time")
+    sides = F.array(*(F.struct(F.lit(side).alias("side"), time.alias("pair_time")) for side, time in (("left", F.col("pair_time")), ("right", moved))))
+    return _moments(obs, seed, **options).select("object_id", F.explode(sides).alias("s")).select("object_id", "s.*")
+
+
 def subsample(points: DataFrame, seed: int, radius: float = 4.0, min_rate: float = 0.5, max_rate: float = 1.0, keys: Sequence[str] = ("object_id", "side", "band")) -> DataFrame:
     """Keep all points within the radius of pair_time and k of the others, by hash; k is drawn from
     [max(min(2, n), floor(min_rate n)), ceil(max_rate n)), its lower end if that is empty."""
@@ -96,7 +107,7 @@ def pair_features(points: DataFrame, requests: DataFrame, n: int, bands: Sequenc
 def positive_features(obs: DataFrame, n: int, bands: Sequence[str], seed: int, sample: dict | None = None, **options) -> DataFrame:
     """Pair features of every curve with its transformed copy, label 1; pair_id is the object."""
     points = subsample(positive_pairs(obs, seed, **options), seed, **(sample or {})).withColumn("pair_id", F.col("object_id"))
-    requests = points.select("pair_id", "side", F.col("pair_time").alias("time")).distinct()
+    requests = positive_requests(obs, seed, **options).select(F.col("object_id").alias("pair_id"), "side", F.col("pair_time").alias("time"))
     return pair_features(points.drop("pair_time"), requests, n, bands, 1)
 
 
