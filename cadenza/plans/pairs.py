@@ -16,6 +16,7 @@ from cadenza.operators.joins import different_class_pairs
 from cadenza.operators.lookups import numbered, numbered_within
 from cadenza.operators.windows import every_nth, valid_windows
 from cadenza.plans.features import window_features
+from cadenza.storage import stored
 
 PARAMETERS = ("translate_time", "translate_flux", "dilate_time", "dilate_flux")
 
@@ -224,9 +225,39 @@ def fit_pair_classifier(vectors: DataFrame, iterations: int = 20):
     return LogisticRegression(maxIter=iterations, regParam=0.01, standardization=True).fit(data)
 
 
-def classify_pairs(model, vectors: DataFrame) -> DataFrame:
-    """label, pair_id and score of pair vectors."""
+def classify_pairs(model, vectors: DataFrame, *keys: str) -> DataFrame:
+    """The keys, label, pair_id and score of pair vectors."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     scored = model.transform(vectors.withColumn("features", array_to_vector("x")))
-    return scored.select(F.col("label").cast("int").alias("label"), "pair_id", vector_to_array("probability")[1].alias("score"))
+    return scored.select(*keys, F.col("label").cast("int").alias("label"), "pair_id", vector_to_array("probability")[1].alias("score"))
+
+
+def pair_metrics(scored: DataFrame, *keys: str, threshold: float = 0.5) -> DataFrame:
+    """n, positives, loss, accuracy, precision and recall of labelled scores, per group (null where undefined)."""
+    said, true = F.col("score") > threshold, F.col("label") == 1
+    return scored.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.count_if(true).alias("positives"), F.avg(C.log_loss("label", "score")).alias("loss"),
+        F.avg((said == true).cast("double")).alias("accuracy"),
+        F.try_divide(F.count_if(said & true), F.count_if(said)).alias("precision"), F.try_divide(F.count_if(said & true), F.count_if(true)).alias("recall"),
+    )
+
+
+def held_out_scores(obs: DataFrame, meta: DataFrame, n: int, bands: Sequence[str], seed: int, train: str = "TRAIN", test: str = "TUNE", iterations: int = 20) -> DataFrame:
+    """split, label, pair_id and score of the pairs of both splits, by a classifier fitted on the training split.
+
+    Objects are split, not pairs: a pair is made within a split, so both its objects are on one side and no
+    object of a scored pair has been trained on. The vectors are stored once; fitting reads them many times.
+    """
+    made = None
+    for split in dict.fromkeys((train, test)):
+        own = pair_vectors(training_set(obs, meta, n, bands, seed, split), bands, n).withColumn("split", F.lit(split))
+        made = own if made is None else made.unionByName(own)
+    vectors = stored(made, "pair-vectors")
+    model = fit_pair_classifier(vectors.where(F.col("split") == train), iterations)
+    return classify_pairs(model, vectors, "split")
+
+
+def held_out_report(obs: DataFrame, meta: DataFrame, n: int, bands: Sequence[str], seed: int, **options) -> DataFrame:
+    """The metrics of each split (see held_out_scores and pair_metrics)."""
+    return pair_metrics(held_out_scores(obs, meta, n, bands, seed, **options), "split")

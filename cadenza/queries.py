@@ -1112,10 +1112,23 @@ def phase_folded_best(spark, d):
 
 @query("pair_classifier")
 def pair_classifier(spark, d):
-    rows = pairs.training_set(observations(spark, d), metadata(spark, d), N, EVENT_BANDS, SEED)
-    vectors = pairs.pair_vectors(rows, EVENT_BANDS, N)
-    scored = pairs.classify_pairs(pairs.fit_pair_classifier(vectors), vectors)
-    return scored.agg(F.count("*").alias("n"), F.avg(C.log_loss("label", "score")).alias("loss"), F.avg(((F.col("score") > 0.5).cast("int") == F.col("label")).cast("double")).alias("accuracy"))
+    """Scores within each split by a classifier that has seen the training split's objects only."""
+    return pairs.held_out_report(observations(spark, d), metadata(spark, d), N, EVENT_BANDS, SEED)
+
+
+_SCORED = """scored AS (SELECT label, 1 / (1 + exp(-list_dot_product("left", "right") / sqrt(list_dot_product("left", "left") * list_dot_product("right", "right")))) AS score FROM pairs)"""
+
+
+@query(
+    "pair_metrics",
+    WITH(PAIRS_SQL, _SCORED) + """SELECT CAST(label AS INTEGER) AS kind, count(*) AS n, count(*) FILTER (WHERE label = 1) AS positives, round(avg(-label * ln(score + 1e-5) - (1 - label) * ln(1 - score + 1e-5)), 6) AS loss,
+  round(avg(CAST((score > 0.5) = (label = 1) AS DOUBLE)), 6) AS accuracy, round(count(*) FILTER (WHERE score > 0.5 AND label = 1) / nullif(count(*) FILTER (WHERE score > 0.5), 0), 6) AS precision,
+  round(count(*) FILTER (WHERE score > 0.5 AND label = 1) / nullif(count(*) FILTER (WHERE label = 1), 0), 6) AS recall FROM scored GROUP BY GROUPING SETS ((), (label))""",
+)
+def pair_metrics(spark, d):
+    p = vector_pairs(spark, d)
+    scored = p.select("label", (1.0 / (1.0 + F.exp(-C.cosine("left", "right")))).alias("score"), F.explode(F.array(F.col("label"), F.lit(None).cast("int"))).alias("kind"))
+    return rounded(pairs.pair_metrics(scored, "kind"), "loss", "accuracy", "precision", "recall")
 
 
 @query("uniform_hash", f"SELECT c_custkey AS object_id, {U(SEED, 'c_custkey')} AS u FROM customer")
