@@ -121,7 +121,7 @@ def _with(batch: pa.RecordBatch, found: pa.Array, drop: set[str]) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), found], names=[*(batch.schema.names[i] for i in keep), "_cz_found"])
 
 
-_WINDOW = "key long, k int, h1 long, h2 long, place int"
+_WINDOW = "k int, h1 long, h2 long, place int"
 
 
 def _windows_of(n: int, words: bool = False):
@@ -132,7 +132,7 @@ def _windows_of(n: int, words: bool = False):
             for at, to, data, bounds in slices(batch.column(1)):
                 w = words_of(data, bounds, ALNUM)
                 one, two = w.hashes(0), w.hashes(1)
-                key = np.asarray(batch.column(0).slice(at, to - at).to_numpy(zero_copy_only=False))
+                key = batch.column(0).slice(at, to - at)
                 lengths = batch.column(2)[0].as_py() if batch.num_columns > 2 else None
                 for k in lengths or sorted({min(n, int(c)) for c in w.counts if c}):
                     h1, h2, whole = sequence_hashes(one, k), sequence_hashes(two, k, 1), w.whole(k)
@@ -142,10 +142,10 @@ def _windows_of(n: int, words: bool = False):
                         whole &= w.counts[w.row[: len(whole)]] >= k
                     i = np.flatnonzero(whole)
                     place = (i - w.first[w.row[i]]).astype(np.int32)
-                    made = [key[w.row[i]], np.full(len(i), k, np.int32), h1[i].view(np.int64), h2[i].view(np.int64), place]
+                    made = [key.take(pa.array(w.row[i])), np.full(len(i), k, np.int32), h1[i].view(np.int64), h2[i].view(np.int64), place]
                     made += [pa.array([_sequence(w, x, k) for x in i.tolist()], pa.binary())] if words else []
                     names = ["key", "k", "h1", "h2", "place", *(("words",) if words else ())]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=names)
+                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in made], names=names)
 
     return run
 
@@ -173,16 +173,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, broad
     return found.select(*own, *(F.col(f"_cz_found.{c}").alias(c) for c in out))
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hits (key, window, place, k) of each text whose words are those of the window."""
+def _words_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each text at its hits (window, place, k)."""
     for batch in batches:
         found: list[tuple] = []
         for key, text, hits in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             data = np.frombuffer((text or "").encode(), np.uint8)
             w = words_of(data, np.array([0, len(data)]), ALNUM)
-            found += [(key, x["window"], x["place"], x["k"]) for x in hits if _sequence(w, x["place"], x["k"]) == x["words"]]
-        columns = list(zip(*found, strict=True)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "window", "place", "k"])
+            found += [(key, x["window"], x["place"], x["k"], _sequence(w, x["place"], x["k"])) for x in hits]
+        columns = list(zip(*found, strict=True)) or [[], [], [], [], []]
+        kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["key", "window", "place", "k", "words"])
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,20 +208,26 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_join(docs: DataFrame, tests: DataFrame, n: int, own: list[str]) -> DataFrame:
-    """The same by a shuffled join on 128 bits of window hash; nothing is broadcast."""
-    held = tests.select("item_id", "text").mapInArrow(_windows_of(n, words=True), f"{_WINDOW}, words binary")
-    window = F.xxhash64("k", "words").alias("window")
+    """The same by a shuffled join on 128 bits of window hash; nothing is broadcast.
+
+    Equal texts are looked at once; a text is known by its SHA-256, which tells all texts apart. Hits carry the
+    number of their window; a text's own words at its hits then meet the window's words, row by row, so that no
+    group holds more than a few numbers for each word of one text.
+    """
+    held = tests.select(F.col("item_id").alias("key"), "text").mapInArrow(_windows_of(n, words=True), f"key long, {_WINDOW}, words binary")
+    window = F.unhex(F.md5("words")).alias("window")
     by_words = held.select("k", "h1", "h2", "words", window, F.col("key").alias("item"))
     windows = by_words.select("k", "h1", "h2", "words", "window").distinct()
     lengths = sorted(r.k for r in held.select("k").distinct().collect())  # n at most
-    row = F.xxhash64(F.coalesce("text", F.lit("")))
+    row = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
     texts = docs.select(row.alias("row"), F.col("text")).where(F.col("text").isNotNull()).dropDuplicates(["row"])
     given = F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")
-    seen = texts.select("row", "text", given.alias("lengths")).mapInArrow(_windows_of(n), _WINDOW)
-    hit = F.struct("window", "place", "k", "words")
-    hits = seen.join(windows, ["k", "h1", "h2"]).groupBy("key").agg(F.collect_set(hit).alias("hits"))
+    seen = texts.select("row", "text", given.alias("lengths")).mapInArrow(_windows_of(n), f"key binary, {_WINDOW}")
+    hit = F.struct("window", "place", "k")
+    hits = seen.join(windows.select("k", "h1", "h2", "window"), ["k", "h1", "h2"]).groupBy("key").agg(F.collect_set(hit).alias("hits"))
     checked = texts.join(hits, F.col("row") == F.col("key")).select("key", "text", "hits")
-    true = stored(checked.mapInArrow(_verified, "key long, window long, place int, k int"), "hits")
+    there = checked.mapInArrow(_words_at, "key binary, window binary, place int, k int, words binary")
+    true = stored(there.join(windows.select("window", "words"), ["window", "words"], "left_semi").drop("words"), "hits")
     # the items of a window are told apart from its occurrences: a frequent one is listed once a text
     items = true.select("key", "window").distinct().join(by_words.select("window", "item").distinct(), "window").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     places = true.groupBy("key").agg(F.collect_set(F.struct("place", "k")).alias("_cz_at")).join(items, "key").withColumnRenamed("key", "_cz_key")

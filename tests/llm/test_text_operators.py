@@ -214,6 +214,14 @@ def test_decontamination_by_join_is_the_same(spark, sf_dir, documents):
     assert decontaminate.find_contamination(documents, bench.limit(0), broadcast_bytes=-1).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_by_join_tells_texts_of_one_hash_apart(spark, sf_dir, documents, monkeypatch):
+    """As if all texts and windows had one 64-bit hash: each keeps its own hits."""
+    bench = spark.read.parquet(f"{sf_dir[0]}/benchmark.parquet")
+    want = rows(decontaminate.find_contamination(documents, bench))
+    monkeypatch.setattr(F, "xxhash64", lambda *columns: F.lit(7).cast("long"))
+    assert rows(decontaminate.find_contamination(documents, bench, broadcast_bytes=0)) == want
+
+
 def test_windows_that_many_items_share():
     """Equal windows are held once with all their items; the arrays stay within what was reckoned."""
     items = [(i, "The shared words of all these many items are the same ones, but for " + str(i % 7)) for i in range(200)] + [(500, "a b"), (501, "A  B!")]
