@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.hashing import uniform
+from cadenza.operators.ranks import value_at
 from cadenza.storage import stored
 
 OBS_ORDER = ("object_id", "band", "time", "tie")
@@ -99,8 +100,15 @@ def outside(ids: DataFrame, others: DataFrame, key: str = "object_id") -> DataFr
 
 
 def row_at(table: DataFrame, position: int, order: str = "object_id") -> DataFrame:
-    """The row at a place of the order."""
-    return numbered(table, order).where(F.col("pos") == position).drop("pos")
+    """The row at a place of the order (a numeric column without nulls; rows of one value in order of their
+    other columns). Its value is found by counting, and only rows that have it are read: nothing is written or
+    sorted. For many places of one table see sources.placed."""
+    found = value_at(table, order, position)
+    if found is None:
+        return table.limit(0)
+    value, smaller = found
+    rest = [c for c in table.columns if c != order]
+    return table.where(F.col(order) == F.lit(value)).orderBy(*rest).offset(position - smaller).limit(1)
 
 
 def sample(ids: DataFrame, n: int, seed: int, key: str = "object_id") -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegralType, LongType, StructField, StructType
 
 #: Cells of all groups together, rows of cells that a task holds, and values inside brackets that are counted singly.
 CELLS, HELD, SINGLE = 1 << 20, 1 << 18, 1 << 18
@@ -60,7 +60,7 @@ def _counted(group, bracket, cell, n, low, high) -> list[np.ndarray]:
     return [group[at], bracket[at], cell[at], np.add.reduceat(n[order], at), np.minimum.reduceat(low[order], at), np.maximum.reduceat(high[order], at)]
 
 
-def _names(batch: pa.RecordBatch, keys: int) -> tuple[np.ndarray, list[tuple]]:
+def group_codes(batch: pa.RecordBatch, keys: int) -> tuple[np.ndarray, list[tuple]]:
     """A number for the keys of each row, and what it stands for."""
     if not keys:
         return np.zeros(batch.num_rows, np.int64), [()]
@@ -81,20 +81,21 @@ def _names(batch: pa.RecordBatch, keys: int) -> tuple[np.ndarray, list[tuple]]:
 
 
 def _count(keys: int, brackets: dict[tuple, _Brackets] | None, types: list[pa.DataType], names: list[str]):
-    """Counts of cells of a task's values; brackets None: by leading bits."""
+    """Counts of cells of a task's values (doubles or whole numbers); brackets None: by leading bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers: dict[tuple, int] = {}
         held: list[list[np.ndarray]] = []
         for batch in batches:
-            code, groups = _names(batch, keys)
+            code, groups = group_codes(batch, keys)
             values = batch.column(keys)
             if pa.types.is_list(values.type):
                 code, values = code[pc.list_parent_indices(values).to_numpy()], pc.list_flatten(values)
             if values.null_count:
                 some = values.is_valid().to_numpy(zero_copy_only=False)
                 code, values = code[some], values.drop_null()
-            key = in_order(values.to_numpy(zero_copy_only=False))
+            given = values.to_numpy(zero_copy_only=False)
+            key = given if given.dtype == np.int64 else in_order(given)
             order = np.lexsort((key, code))
             key, code = key[order], code[order]
             starts = np.searchsorted(code, np.arange(len(groups) + 1))
@@ -140,7 +141,7 @@ def _cells(values: DataFrame, keys: Sequence[str], brackets: dict[tuple, _Bracke
     table = summed.limit(most + 1).toArrow()
     if table.num_rows > most:
         return None
-    code, names = _names(table.combine_chunks().to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], table.schema), len(keys))
+    code, names = group_codes(table.combine_chunks().to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], table.schema), len(keys))
     columns = [table[c].to_numpy() for c in _CELL]
     out = {}
     for g, name in enumerate(names if table.num_rows else []):
@@ -160,9 +161,9 @@ class _Ranks:
     """The wanted ranks of a group, and of each the cell it is known to lie in: its least and largest value and
     how many values lie below it."""
 
-    def __init__(self, n: int, fractions: Sequence[float]):
+    def __init__(self, n: int, fractions: Sequence[float], wanted: np.ndarray | None = None):
         self.at = [q * (n - 1) for q in fractions]
-        self.wanted = np.unique(np.array([[np.floor(h), np.ceil(h)] for h in self.at], np.int64).ravel())
+        self.wanted = wanted if wanted is not None else np.unique(np.array([[np.floor(h), np.ceil(h)] for h in self.at], np.int64).ravel())
 
     def place(self, under: np.ndarray, low: np.ndarray, high: np.ndarray, n: np.ndarray) -> None:
         to = np.searchsorted(under, self.wanted, "right") - 1
@@ -192,6 +193,32 @@ class _Ranks:
         return out
 
 
+def _settled(read: DataFrame, keys: Sequence[str], found: dict[tuple, list[np.ndarray]], wanted, cells: int, single: int) -> dict[tuple, _Ranks]:
+    """Narrow the cells of the first pass until every wanted rank has its value. wanted(n): the ranks of a group."""
+    ranks: dict[tuple, _Ranks] = {}
+    for name, (bracket, _, n, low, high) in found.items():
+        ranks[name] = wanted(int(n.sum()))
+        ranks[name].place(_under(bracket, n, np.zeros(1, np.int64)), low, high, n)
+    while open_ := {name: r for name, r in ranks.items() if len(r.open)}:
+        brackets, inside = sum(len(r.open) for r in open_.values()), sum(int(r.n[r.open].sum()) for r in open_.values())
+        bits = 64 if inside <= single else max(4, (cells // brackets).bit_length() - 1)
+        for name, (bracket, _, n, low, high) in _cells(read, keys, {name: r.brackets(bits) for name, r in open_.items()}, max(cells, single, brackets << 4)).items():
+            ranks[name].narrow(bracket, n, low, high)
+    return ranks
+
+
+def value_at(table: DataFrame, column: str, position: int, cells: int = 1 << 14) -> tuple[float | int, int] | None:
+    """The value at a place (from 0) of a numeric column in order, nulls left out, and how many are smaller;
+    None if there are fewer. Counted as the percentiles are: nothing is sorted, shuffled or stored."""
+    whole = isinstance(table.schema[column].dataType, IntegralType)
+    read = table.where(F.col(column).isNotNull()).select(F.col(column).cast("long" if whole else "double").alias("_v"))
+    found = _cells(read, (), None, CELLS)
+    if not found or not 0 <= position < int(found[()][2].sum()):
+        return None
+    r = _settled(read, (), found, lambda n: _Ranks(n, (), np.array([position])), cells, cells)[()]
+    return (int(r.low[0]) if whole else float(as_doubles(r.low)[0])), int(r.under[0])
+
+
 def narrowed_percentiles(values: DataFrame, fractions: Sequence[float], *keys: str, value: str = "value", cells: int = CELLS, single: int = SINGLE) -> DataFrame | None:
     """at: the exact percentiles of the fractions (linear between ranks) per group, in their order; nulls are
     left out. `value` may be an array, whose values all count. None if the groups' cells are too many for
@@ -201,14 +228,6 @@ def narrowed_percentiles(values: DataFrame, fractions: Sequence[float], *keys: s
     found = _cells(read, keys, None, cells)
     if found is None:
         return None
-    ranks: dict[tuple, _Ranks] = {}
-    for name, (bracket, _, n, low, high) in found.items():
-        ranks[name] = _Ranks(int(n.sum()), fractions)
-        ranks[name].place(_under(bracket, n, np.zeros(1, np.int64)), low, high, n)
-    while open_ := {name: r for name, r in ranks.items() if len(r.open)}:
-        brackets, inside = sum(len(r.open) for r in open_.values()), sum(int(r.n[r.open].sum()) for r in open_.values())
-        bits = 64 if inside <= single else max(4, (cells // brackets).bit_length() - 1)
-        for name, (bracket, _, n, low, high) in _cells(read, keys, {name: r.brackets(bits) for name, r in open_.items()}, max(cells, single, brackets << 4)).items():
-            ranks[name].narrow(bracket, n, low, high)
+    ranks = _settled(read, keys, found, lambda n: _Ranks(n, fractions), cells, single)
     schema = StructType([*(values.schema[k] for k in keys), StructField("at", ArrayType(DoubleType()))])
     return values.sparkSession.createDataFrame([(*name, r.values()) for name, r in ranks.items()], schema)

@@ -9,12 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, StructType
 
 from cadenza.functions.columns import column, log_loss, norm
 from cadenza.operators.curves import by_object, differences
 from cadenza.operators.lookups import before_parts, in_ranges
-from cadenza.operators.ranks import narrowed_percentiles
+from cadenza.operators.ranks import group_codes, narrowed_percentiles
 
 
 def class_counts(meta: DataFrame) -> DataFrame:
@@ -119,21 +120,42 @@ def histogram(table: DataFrame, value: str, bins: int, *keys: str) -> DataFrame:
     )
 
 
-def _positions(spark, positions: Sequence[float]) -> DataFrame:
-    return F.broadcast(spark.createDataFrame([(i, float(x)) for i, x in enumerate(positions)], "place int, x double"))
-
-
 def log_positions(low: float, high: float, n: int) -> list[float]:
     step = (math.log10(high) - math.log10(low)) / (n - 1)
     return [10 ** (math.log10(low) + i * step) for i in range(n)]
 
 
+def _line_sums(keys: int, x: np.ndarray, bandwidth: float, types: list[pa.DataType], names: list[str]):
+    """Kernel sums of a task's values at the positions, by group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            code, groups = group_codes(batch, keys)
+            values = batch.column(keys).to_numpy(zero_copy_only=False)
+            for g, name in enumerate(groups if batch.num_rows else ()):
+                own, total = values[code == g], sums.setdefault(name, np.zeros(len(x) + 1))
+                for at in range(0, len(own), 1024):
+                    z = (x[:, None] - own[at : at + 1024]) / bandwidth
+                    total[:-1] += np.exp(-0.5 * z * z).sum(axis=1)
+                total[-1] += len(own)
+        for name, total in sums.items():
+            own = [pa.array([v] * len(x), t) for v, t in zip(name, types, strict=True)]
+            columns = [*own, pa.array(np.arange(len(x), dtype=np.int32)), pa.array(total[:-1]), pa.array(np.full(len(x), int(total[-1])))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
 def density_1d(table: DataFrame, value: str, positions: Sequence[float], *keys: str, bandwidth: float = 1.0) -> DataFrame:
-    """Gaussian kernel density at fixed positions (a list in the plan, not data)."""
-    some = table.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    z = (F.col("x") - F.col("_v")) / bandwidth
-    at = some.join(_positions(table.sparkSession, positions), how="cross")
-    return at.groupBy(*keys, "place", "x").agg((F.sum(F.exp(-0.5 * z * z)) / F.count("*") / (bandwidth * math.sqrt(2 * math.pi))).alias("density"))
+    """Gaussian kernel density at fixed positions: the keys, place, x, density. Every task sums its values for
+    all positions; only these sums are shuffled."""
+    x = np.array(positions, float)
+    some = table.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    schema = StructType([*(some.schema[k] for k in keys), *StructType.fromDDL("place int, _s double, _n long")])
+    summed = some.mapInArrow(_line_sums(len(keys), x, bandwidth, [to_arrow_type(some.schema[k].dataType) for k in keys], schema.names), schema)
+    at = summed.groupBy(*keys, "place").agg((F.sum("_s") / F.sum("_n") / (bandwidth * math.sqrt(2 * math.pi))).alias("density"))
+    return at.select(*keys, "place", F.get(F.array(*map(F.lit, x.tolist())), F.col("place")).alias("x"), "density")
 
 
 _BOX = ("lo_a", "hi_a", "lo_b", "hi_b", "caa", "cbb", "cab", "det")

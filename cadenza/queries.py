@@ -12,7 +12,7 @@ from cadenza.functions.hashing import id_split, uniform
 from cadenza.operators import curves, joins, lookups, stats, windows
 from cadenza.plans import align, features, pairs, periods
 from cadenza.schemas import BandSpec
-from cadenza.sources import tables, text
+from cadenza.sources import placed, tables, text
 from cadenza.storage import shared_path
 from cadenza.views import EVENT_BANDS, EVENT_WAVELENGTHS, LINES_SQL, META_SQL, OBS_SQL, PAIRS_SQL, line_curves, metadata, observations, read, vector_pairs
 
@@ -332,6 +332,25 @@ def row_by_position(spark, d):
     return lookups.row_at(c, 100)
 
 
+@query("placed_slice", WITH(OBS_SQL) + "SELECT object_id, band, tie, pos FROM (SELECT *, row_number() OVER (ORDER BY object_id, band, time, tie) - 1 AS pos FROM obs) WHERE pos >= 700 AND pos < 950")
+def placed_slice(spark, d):
+    path = shared_path(spark, "placed")
+    placed.write_placed(observations(spark, d), path, "object_id", "band", "time", "tie")
+    return placed.placed_slice(spark, path, 700, 950).select("object_id", "band", "tie", "pos")
+
+
+@query("bucketed_join", WITH(OBS_SQL, META_SQL) + "SELECT object_id, target, segment, count(*) AS n, round(sum(flux), 6) AS flux FROM obs JOIN meta USING (object_id) GROUP BY 1, 2, 3")
+def bucketed_join(spark, d):
+    names = [shared_path(spark, x) for x in ("curves", "objects")]
+    o, m = (tables.write_bucketed(t, p.rsplit("/", 1)[-1].replace("-", "_"), p, 8, "object_id") for t, p in zip((observations(spark, d), metadata(spark, d)), names, strict=True))
+    return lookups.with_metadata(o, m).groupBy("object_id", "target", "segment").agg(F.count("*").alias("n"), F.round(F.sum("flux"), 6).alias("flux"))
+
+
+@query("magnitude_lookup", "SELECT c_name AS id, c_custkey FROM customer WHERE c_name = 'Customer#000000101'")
+def magnitude_lookup(spark, d):
+    return text.magnitude_lookup(read(spark, d, "customer").select(F.col("c_name").alias("id"), "c_custkey"), "Customer#000000101", "Customer")
+
+
 @query("random_sample", f"SELECT c_custkey AS object_id FROM customer ORDER BY {U(SEED, 'c_custkey')}, c_custkey LIMIT 20")
 def random_sample(spark, d):
     return lookups.sample(read(spark, d, "customer").select(F.col("c_custkey").alias("object_id")), 20, SEED)
@@ -1011,9 +1030,9 @@ def align_grid(spark, d):
     return rounded(found.select("pair_id", "candidate", "arc_length"), "arc_length")
 
 
-@query("align_matrix", WITH(OBS_SQL, META_SQL, _GRID_SQL, _costs_sql("SELECT a.object_id * 1000000 + b.object_id AS pair_id, a.object_id AS left_id, b.object_id AS right_id, a.target AS lt, b.target AS rt FROM meta a JOIN meta b ON a.object_id <> b.object_id AND a.target = b.target")) + "SELECT left_id, right_id, lt AS target, candidate, round(arc_length, 6) AS arc_length FROM best JOIN apairs USING (pair_id)")
+@query("align_matrix", WITH(OBS_SQL, META_SQL, _GRID_SQL, _costs_sql("SELECT a.object_id * 1000000 + b.object_id AS pair_id, a.object_id AS left_id, b.object_id AS right_id, a.target AS lt, b.target AS rt FROM meta a JOIN meta b ON a.object_id <> b.object_id")) + "SELECT left_id, right_id, lt AS target, candidate, round(arc_length, 6) AS arc_length FROM best JOIN apairs USING (pair_id)")
 def align_matrix(spark, d):
-    found = align.alignment_matrix(metadata(spark, d), observations(spark, d), align.candidate_grid(spark, **_GRID), same_class=True)
+    found = align.alignment_matrix(metadata(spark, d), observations(spark, d), align.candidate_grid(spark, **_GRID))
     return rounded(found.select("left_id", "right_id", F.col("left_target").alias("target"), "candidate", "arc_length"), "arc_length")
 
 
@@ -1078,9 +1097,16 @@ def period_file(spark, d):
     return rounded(tables.read_periods(spark, path).select("object_id", "ddf", "target", "period1", "score5"), "period1", "score5")
 
 
-@query("period_report", WITH(OBS_SQL, META_SQL, _POWER, _TOP, _CATALOGUE) + "SELECT target, count(*) AS n, round(min(period1), 6) AS least, round(max(period1), 6) AS most, round(avg(period1), 6) AS mean, round(var_samp(period1), 6) AS variance FROM catalogue GROUP BY 1")
+@query(
+    "period_report",
+    WITH(OBS_SQL, META_SQL, _POWER, _TOP, _CATALOGUE, "about AS (SELECT *, avg(period1) OVER (PARTITION BY target) AS mid FROM catalogue)")
+    + """SELECT target, count(*) AS n, round(min(period1), 6) AS least, round(max(period1), 6) AS most, round(avg(period1), 6) AS mean, round(var_samp(period1), 6) AS variance,
+  round(sqrt(count(*)) * sum(pow(period1 - mid, 3)) / nullif(pow(sum(pow(period1 - mid, 2)), 1.5), 0), 5) AS skewness,
+  round(count(*) * sum(pow(period1 - mid, 4)) / nullif(pow(sum(pow(period1 - mid, 2)), 2), 0) - 3, 5) AS kurtosis FROM about GROUP BY 1""",
+)
 def period_report(spark, d):
-    return rounded(periods.period_report(_catalogue(spark, d))["describe"].drop("skewness", "kurtosis"), "least", "most", "mean", "variance")
+    report = rounded(periods.period_report(_catalogue(spark, d))["describe"], "least", "most", "mean", "variance")
+    return rounded(report, "skewness", "kurtosis", digits=5)
 
 
 @query(
