@@ -7,12 +7,16 @@ don't matter. Size bounds prune: a window can reach the threshold t only with t
 template's bigrams in it, and a window of more than (2 - t) / t times as many bigrams is not tried. Only
 texts that hold so many of a template's bigrams at all are searched for its windows.
 
-The templates are a fixed list of notices, headers and texts, bounded by themselves; they go along with
-the task.
+Each template stands for a licence. Where the best windows of templates overlap in a text, only the best
+stays (the higher score, then the larger template, then the first in the alphabet): a header that differs
+from another licence's in a few words names one licence, and two licences apart in a text name two.
+
+The templates are a fixed list of notices, headers, tags and texts, bounded by themselves; they go along
+with the task.
 
 Defined cases: a null or empty text, or one without a bigram, matches nothing; rows are scanned each
-by itself, so repeated or null ids are kept; columns named like an output column are replaced; of
-equal scores the template first in the alphabet is named best.
+by itself, so repeated or null ids are kept; columns named like an output column are replaced; of a
+template's windows of one score the first and then the shortest counts.
 """
 
 from __future__ import annotations
@@ -57,10 +61,22 @@ TEMPLATES = {
     "unlicense": 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <http://unlicense.org/>',
     "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
 }
+#: Licences as tags name them.
+TAGS = (
+    "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only",
+    "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+)
+TEMPLATES |= {f"{tag.lower()}-tag": f"SPDX-License-Identifier: {tag}" for tag in TAGS} | {"mit-title": "The MIT License (MIT)"}
+_SHORT = {"bsd-notice": "bsd", "cc-by-notice": "cc-by-4.0", "cc-by-sa-notice": "cc-by-sa-4.0"}
 THRESHOLD = 0.8
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def license_of(template: str) -> str:
+    """The licence that a template stands for."""
+    return _SHORT.get(template) or re.sub(r"(-only|-or-later)?-(header|text|long|tag|title|notice)$", "", template)
+
+
 def bigrams(text: str) -> list[str]:
     """The distinct bigrams of a normalised text, sorted."""
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(_UPPER))
@@ -90,25 +106,28 @@ def bounds_of(size: int, threshold: float) -> tuple[int, int]:
     return int(np.ceil(threshold / (2 - threshold) * size - 1e-9)), int(np.floor((2 - threshold) / threshold * size + 1e-9))
 
 
-def _best_window(codes: np.ndarray, own: np.ndarray, size: int, threshold: float) -> float:
-    """The best Dice of all windows of a text. codes: its bigrams; own: which are the template's."""
+def _best_window(codes: np.ndarray, own: np.ndarray, size: int, threshold: float) -> tuple[float, int, int]:
+    """The best Dice of all windows of a text, and the window's first and last bigram: of equal ones the first
+    and then the shortest. codes: the text's bigrams; own: which are the template's."""
     least, most = bounds_of(size, threshold)
     at = np.flatnonzero(own)
     reach = np.searchsorted(at, at + most) - np.arange(len(at))  # own bigrams within a window from each
-    best = 0.0
+    best = (0.0, 0, 0)
     for i in at[reach >= least].tolist():  # the best window begins and ends with one
         part = codes[i : i + most]
         new = np.zeros(len(part), bool)
         new[np.unique(part, return_index=True)[1]] = True
-        distinct, shared = np.cumsum(new), np.cumsum(new & own[i : i + most])
-        best = max(best, float((2 * shared / (distinct + size)).max()))
+        scores = 2 * np.cumsum(new & own[i : i + most]) / (np.cumsum(new) + size)
+        to = int(scores.argmax())
+        if scores[to] > best[0]:
+            best = (float(scores[to]), i, i + to)
     return best
 
 
-def _scan(templates: _Templates, data: np.ndarray, bounds: np.ndarray, threshold: float) -> list[dict[int, float]]:
-    """For each row, the best score of each matching template."""
+def _scan(templates: _Templates, data: np.ndarray, bounds: np.ndarray, threshold: float) -> list[dict[int, tuple[float, int, int]]]:
+    """For each row, the best window of each matching template: score, first and last bigram."""
     rows = len(bounds) - 1
-    out: list[dict[int, float]] = [{} for _ in range(rows)]
+    out: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(rows)]
     w = words_of(data, bounds, ALNUM)
     h, whole = sequence_hashes(w.hashes(), 2), w.whole(2)
     hits = np.flatnonzero(whole & _within(h, templates.all)) if len(h) else np.zeros(0, np.int64)
@@ -121,13 +140,24 @@ def _scan(templates: _Templates, data: np.ndarray, bounds: np.ndarray, threshold
         for r in np.flatnonzero(held >= bounds_of(len(own), threshold)[0]).tolist():
             codes = h[w.first[r] : w.first[r + 1] - 1]
             best = _best_window(codes, _within(codes, own), len(own), threshold)
-            if best >= threshold:
+            if best[0] >= threshold:
                 out[r][t] = best
     return out
 
 
+def _standing(templates: _Templates, found: dict[int, tuple[float, int, int]]) -> list[tuple[str, float]]:
+    """The licence and score of the windows that no better one overlaps, best first."""
+    ranked = sorted(found, key=lambda t: (-found[t][0], -len(templates.sets[t]), templates.names[t]))
+    out = []
+    for i, t in enumerate(ranked):
+        score, first, last = found[t]
+        if not any(found[u][1] <= last and first <= found[u][2] for u in ranked[:i]):
+            out.append((license_of(templates.names[t]), score))
+    return out
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the text, with n_licenses, licenses (sorted names), best_license and best_score."""
+    """docs without the text, with n_licenses, licenses (sorted), best_license and best_score."""
     made = ("n_licenses", "licenses", "best_license", "best_score")
     own = [c for c in docs.columns if c not in made and c != "text"]
     held = _Templates(TEMPLATES if templates is None else templates)
@@ -135,22 +165,21 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x for _, _, data, bounds in slices(batch.column(batch.schema.get_field_index("text"))) for x in _scan(held, data, bounds, threshold)]
-            best = [max(x, key=lambda t: (x[t], -t)) if x else None for x in found]
+            rows = [x for _, _, data, bounds in slices(batch.column(batch.schema.get_field_index("text"))) for x in _scan(held, data, bounds, threshold)]
+            found = [_standing(held, x) for x in rows]
+            names = [sorted({license for license, _ in x}) for x in found]
             columns = [
-                pa.array([len(x) for x in found], pa.int64()),
-                pa.array([[held.names[t] for t in sorted(x)] for x in found], pa.list_(pa.string())),
-                pa.array([None if t is None else held.names[t] for t in best], pa.string()),
-                as_double(np.array([np.nan if t is None else x[t] for x, t in zip(found, best, strict=True)], float)),
-            ]
+                pa.array([len(x) for x in names], pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array([x[0][0] if x else None for x in found], pa.string()),
+                as_double(np.array([x[0][1] if x else np.nan for x in found], float)),
+            ]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in own), *columns], names=[*own, *made])
 
     return docs.select(*own, "text").mapInArrow(run, schema)
 
 
 def template_values() -> tuple[str, str]:
-    """The templates' bigrams as SQL rows (name, bigram), and (name, size, least, most) of each."""
+    """The templates' bigrams as SQL rows (name, bigram), and (name, licence, size, least, most) of each."""
     quoted = lambda x: x.replace("'", "''")
     sets = {name: bigrams(text) for name, text in sorted(TEMPLATES.items())}
-    sizes = (f"('{name}', {len(own)}, {', '.join(map(str, bounds_of(len(own), THRESHOLD)))})" for name, own in sets.items())
+    sizes = (f"('{name}', '{license_of(name)}', {len(own)}, {', '.join(map(str, bounds_of(len(own), THRESHOLD)))})" for name, own in sets.items())
     return ", ".join(f"('{name}', '{quoted(b)}')" for name, own in sets.items() for b in own), ", ".join(sizes)

@@ -101,7 +101,7 @@ def op6_sql() -> str:
     bigrams, sizes = template_values()
     return rf"""
 WITH template_bigrams(name, bigram) AS (VALUES {bigrams}),
-sizes(name, nt, least_shared, longest) AS (VALUES {sizes}),
+sizes(name, licence, nt, least_shared, longest) AS (VALUES {sizes}),
 templates AS (SELECT name, list(bigram) AS t FROM template_bigrams GROUP BY name),
 words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -110,16 +110,19 @@ hits AS (
   SELECT doc_id, name, pos, bigram FROM (SELECT doc_id, unnest(b) AS bigram, unnest(range(1, len(b) + 1)) AS pos FROM grams) JOIN template_bigrams USING (bigram)),
 held AS (SELECT doc_id, name FROM hits JOIN sizes USING (name) GROUP BY doc_id, name, least_shared HAVING count(DISTINCT bigram) >= least_shared),
 windows AS (
-  SELECT h.doc_id, h.name, list_distinct(b[i.pos:j.pos]) AS s
+  SELECT h.doc_id, h.name, i.pos AS a, j.pos AS z, list_distinct(b[i.pos:j.pos]) AS s
   FROM held h JOIN hits i ON i.doc_id = h.doc_id AND i.name = h.name JOIN hits j ON j.doc_id = h.doc_id AND j.name = h.name
   JOIN sizes z ON z.name = h.name JOIN grams g ON g.doc_id = h.doc_id
   WHERE j.pos >= i.pos AND j.pos - i.pos < longest),
-scored AS (
-  SELECT doc_id, name, max(2.0 * len(list_intersect(s, t)) / (len(s) + nt)) AS score
-  FROM windows JOIN templates USING (name) JOIN sizes USING (name) GROUP BY doc_id, name),
+scored AS (SELECT doc_id, name, licence, nt, a, z, 2.0 * len(list_intersect(s, t)) / (len(s) + nt) AS score FROM windows JOIN templates USING (name) JOIN sizes USING (name)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY score DESC, a, z) AS nth FROM scored) WHERE nth = 1 AND score >= {THRESHOLD}),
+stays AS (
+  SELECT * FROM best x WHERE NOT EXISTS (
+    SELECT 1 FROM best y WHERE y.doc_id = x.doc_id AND y.name <> x.name AND y.a <= x.z AND x.a <= y.z
+    AND (y.score > x.score OR y.score = x.score AND (y.nt > x.nt OR y.nt = x.nt AND y.name < x.name)))),
 found AS (
-  SELECT doc_id, count(*) AS n_licenses, string_agg(name, ',' ORDER BY name) AS licenses, first(name ORDER BY score DESC, name) AS best_license, max(score) AS best_score
-  FROM scored WHERE score >= {THRESHOLD} GROUP BY doc_id)
+  SELECT doc_id, count(DISTINCT licence) AS n_licenses, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licenses, first(licence ORDER BY score DESC, nt DESC, name) AS best_license, max(score) AS best_score
+  FROM stays GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS licenses, best_license, round(CAST(best_score AS DOUBLE), 6) AS best_score
 FROM documents d LEFT JOIN found f USING (doc_id)
 """
