@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import columns as C
 from cadenza.functions.hashing import id_split, uniform
 from cadenza.operators import curves, joins, lookups, stats, windows
-from cadenza.plans import align, features, pairs, periods
+from cadenza.plans import align, features, pairs, partners, periods
 from cadenza.schemas import BandSpec
 from cadenza.sources import placed, tables, text
 from cadenza.storage import shared_path
@@ -1036,6 +1036,19 @@ def align_matrix(spark, d):
     return rounded(found.select("left_id", "right_id", F.col("left_target").alias("target"), "candidate", "arc_length"), "arc_length")
 
 
+_EVERY = "SELECT a.object_id * 1000000 + b.object_id AS pair_id, a.object_id AS left_id, b.object_id AS right_id FROM meta a JOIN meta b ON a.object_id <> b.object_id"
+
+
+@query(
+    "nearest_partners",
+    WITH(OBS_SQL, META_SQL, _GRID_SQL, _costs_sql(_EVERY))
+    + "SELECT left_id, CAST(rank AS INTEGER) AS rank, right_id, candidate, round(arc_length, 6) AS arc_length FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY round(arc_length, 6), right_id) AS rank FROM best JOIN apairs USING (pair_id)) WHERE rank <= 3",
+)
+def nearest_partners(spark, d):
+    own = observations(spark, d).join(metadata(spark, d).select("object_id"), "object_id", "left_semi")
+    return partners.nearest_partners(own, align.candidate_grid(spark, **_GRID), 3)[0]
+
+
 @query("align_simplex")
 def align_simplex(spark, d):
     return align.align_simplex(_next_pairs(spark, d), observations(spark, d))
