@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 
 from cadenza.llm.common import PLAIN, range_hashes, row_tag, sequence_hashes, slices, words_of
 from cadenza.llm.holders import first_holders
+from cadenza.storage import dropped, stored
 
 SEED = 6
 _KEYS = "k1 long, k2 long, doc long, tag long"
@@ -171,12 +172,17 @@ def _copies(docs: DataFrame, window: int) -> DataFrame:
         raise ValueError(f"window: {SEED + 1} to 64 words")
     doc, row = F.col("doc_id").cast("long"), row_tag(F.col("text"))
     texts = docs.where(F.col("doc_id").isNotNull()).select(doc.alias("doc"), row.alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    later, first = first_holders(texts.mapInArrow(_segment_rows(window), _KEYS), branches=True, refs=True, name="segments")
+    # stored, as a range exchange reads its rows twice: each text is split and hashed once
+    rows = stored(texts.mapInArrow(_segment_rows(window), _KEYS), "segment-rows")
+    later, first = first_holders(rows, branches=True, refs=True, name="segments")
+    dropped(rows)
     low = lambda tag: F.col(tag).bitwiseAND(F.lit(0xFFFFFFFF))
     # what stands at a boundary: segments that share a seed with others
     listed = first.groupBy("doc", F.shiftright("tag", 32).alias("row")).agg(F.collect_set(low("tag")).alias("places"))
     cut = texts.join(listed, ["doc", "row"]).select("doc", "row", "text", "places").dropDuplicates(["doc", "row"])
-    windows, _ = first_holders(cut.mapInArrow(_window_rows(window), _KEYS), refs=True, name="windows")
+    single = stored(cut.mapInArrow(_window_rows(window), _KEYS), "window-rows")
+    windows, _ = first_holders(single, refs=True, name="windows")
+    dropped(single)
     copy = F.struct(low("tag").alias("place"), "ref_doc", F.shiftright(low("ref_tag"), 6).alias("ref_start"))
     return later.unionByName(windows).groupBy("doc", F.shiftright("tag", 32).alias("row")).agg(F.collect_set(copy).alias("copies"))
 
