@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths made inside each open owned() block, the innermost last.
+_OWNED: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one only in local mode without one (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,7 +27,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for paths in _OWNED[-1:]:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[list[str]]:
+    """An owner of what is stored inside the block: at its end every table and file that library calls have put
+    into the shared folder is deleted. Results that are to outlive the block are written or collected in it."""
+    paths: list[str] = []
+    _OWNED.append(paths)
+    try:
+        yield paths
+    finally:
+        _OWNED.remove(paths)
+        for path in paths:
+            _delete(spark, path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -36,7 +59,10 @@ def dropped(*tables: DataFrame | None) -> None:
     for table in tables:
         if table is None:
             continue
-        spark = table.sparkSession
         for path in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
-            found = spark._jvm.org.apache.hadoop.fs.Path(path)
-            found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+            _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
