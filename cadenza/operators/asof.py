@@ -106,7 +106,8 @@ def nearest_windows(obs: DataFrame, requests: DataFrame, n: int, bands: Sequence
     points = obs.where(band.isin(list(bands)) & F.col("time").isNotNull()).select(
         *keys, F.lit(0).alias("_ask"), band.alias("_band"), F.col("time").cast("double").alias("_at"), F.col("tie").alias("_tie"), F.col("flux").cast("double").alias("_flux")
     )
-    asks = requests.where("request_time is not null").select(*keys, F.lit(1).alias("_ask"), F.lit(None).cast("string").alias("_band"), F.col("request_time").cast("double").alias("_at"), *extra)
+    asks = requests.where("request_time is not null").select(*keys, F.lit(1).alias("_ask"), F.lit(None).cast("string").alias("_band"),
+        F.col("request_time").cast("double").alias("_at"), *extra)
     both = points.unionByName(asks, allowMissingColumns=True).repartition(*keys)
     ordered = both.sortWithinPartitions(*keys, "_ask", "_band", "_at", "_tie").drop("_tie")
     schema = StructType([*(both.schema[c] for c in (*keys, *extra)), *_OUT])
@@ -127,7 +128,8 @@ def nearest_windows(obs: DataFrame, requests: DataFrame, n: int, bands: Sequence
                 part = np.repeat(ask[i : i + ASKS], len(bands))
                 codes = np.tile([names.index(b) for b in bands], len(part) // len(bands))
                 carried = table.select([*keys, *extra]).take(pa.array(part))
-                made = [*(c.combine_chunks() for c in carried.columns), pa.array(time[part]), pa.array(np.array(names, object)[codes], pa.string()), *_windows(known, group[part] * len(names) + codes, time[part], n)]
+                made = [*(c.combine_chunks() for c in carried.columns), pa.array(time[part]), pa.array(np.array(names, object)[codes], pa.string()),
+                    *_windows(known, group[part] * len(names) + codes, time[part], n)]
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(made, arrow, strict=True)], schema=arrow)
 
     return ordered.mapInArrow(run, schema)

@@ -40,7 +40,8 @@ def linear_transform(obs: DataFrame, translate_time=0.0, translate_flux=0.0, dil
     )
 
 
-def transform_columns(obs: DataFrame, time: Callable[[Column], Column] | None = None, flux: Callable[[Column], Column] | None = None, flux_err: Callable[[Column], Column] | None = None) -> DataFrame:
+def transform_columns(obs: DataFrame, time: Callable[[Column], Column] | None = None, flux: Callable[[Column], Column] | None = None,
+    flux_err: Callable[[Column], Column] | None = None) -> DataFrame:
     """Any function of each column; detection flags stay."""
     given = {"time": time, "flux": flux, "flux_err": flux_err}
     return obs.withColumns({c: f(F.col(c)) for c, f in given.items() if f})
@@ -108,7 +109,8 @@ def from_arrays(rows: DataFrame, points: str = "points") -> DataFrame:
     """Rows (object_id, band, points: array of [time, flux, flux_err]) as observations."""
     exploded = rows.select("object_id", "band", F.posexplode(points).alias("tie", "p"))
     three = F.when(F.size("p") == 3, F.col("p")).otherwise(F.raise_error(F.lit("points need 3 columns")).cast("array<double>"))
-    return exploded.withColumn("p", three).select("object_id", "band", F.col("p")[0].alias("time"), F.col("p")[1].alias("flux"), F.col("p")[2].alias("flux_err"), F.lit(1).alias("detected"), F.col("tie").cast("long").alias("tie"))
+    return exploded.withColumn("p", three).select("object_id", "band", F.col("p")[0].alias("time"), F.col("p")[1].alias("flux"),
+        F.col("p")[2].alias("flux_err"), F.lit(1).alias("detected"), F.col("tie").cast("long").alias("tie"))
 
 
 def display_names(objects: DataFrame) -> DataFrame:

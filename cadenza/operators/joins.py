@@ -49,7 +49,8 @@ def closest_points(obs: DataFrame, requests: DataFrame, bands: Sequence[str] | N
     found = both.withColumn("_b", F.last("_p", ignorenulls=True).over(upward)).withColumn("_a", F.last("_p", ignorenulls=True).over(downward)).where("_ask = 1")
     near = F.when(F.col("_a").isNull() | (F.col("_at") - F.col("_b.time") <= F.col("_a.time") - F.col("_at")), F.col("_b")).otherwise(F.col("_a"))
     return found.withColumn("_n", near).select(
-        "object_id", "band", F.col("_at").alias("request_time"), *extra, *(F.col(f"_n.{c}").alias(f"closest_{c}") for c in dict.fromkeys(["time", *carry])), F.abs(F.col("_n.time") - F.col("_at")).alias("closest_time_diff")
+        "object_id", "band", F.col("_at").alias("request_time"), *extra, *(F.col(f"_n.{c}").alias(f"closest_{c}") for c in dict.fromkeys(["time",
+            *carry])), F.abs(F.col("_n.time") - F.col("_at")).alias("closest_time_diff")
     )
 
 
@@ -97,17 +98,20 @@ def different_class_pairs(meta: DataFrame, n: int | None, seed: int) -> DataFram
     classes = known.select("target").distinct()
     index = classes.select("target", (F.row_number().over(Window.orderBy("target")) - 1).alias("c"))  # one row per class
     k = classes.agg(F.count("*").alias("k"))
-    numbers = meta.sparkSession.range(n).select(F.col("id").alias("pair_id")) if n is not None else numbered(known.select("object_id").distinct(), "object_id").select(F.col("pos").alias("pair_id"))
+    numbers = meta.sparkSession.range(n).select(F.col("id").alias("pair_id")) if n is not None else numbered(known.select("object_id").distinct(),
+        "object_id").select(F.col("pos").alias("pair_id"))
     ask = numbers.join(F.broadcast(k), how="cross").where("k > 1")  # k: one row
     first = integer(F.col("k"), seed, "l", F.col("pair_id"))
     drawn = ask.withColumn("cl", first).withColumn("cr", F.pmod(F.col("cl") + 1 + integer(F.col("k") - 1, seed, "r", F.col("pair_id")), F.col("k")))
-    uses = drawn.select("pair_id", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("cl").alias("c")), F.struct(F.lit("right").alias("side"), F.col("cr").alias("c")))).alias("u")).select("pair_id", "u.*")
+    uses = drawn.select("pair_id", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("cl").alias("c")),
+        F.struct(F.lit("right").alias("side"), F.col("cr").alias("c")))).alias("u")).select("pair_id", "u.*")
     nth = numbered_within(uses, "c", "pair_id", "side").drop("n").withColumnRenamed("pos", "use")
     ids = ranked_ids(meta, seed)
     sized = nth.join(index, "c").join(ids.select("target", "n").distinct(), "target")
     chosen = sized.withColumn("pos", F.col("use") % F.col("n")).join(ids.select("target", "pos", "object_id"), ["target", "pos"])
     side = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
-    return chosen.groupBy("pair_id").agg(side("left", "object_id").alias("left_id"), side("right", "object_id").alias("right_id"), side("left", "target").alias("left_target"), side("right", "target").alias("right_target"))
+    return chosen.groupBy("pair_id").agg(side("left", "object_id").alias("left_id"), side("right", "object_id").alias("right_id"), side("left",
+        "target").alias("left_target"), side("right", "target").alias("right_target"))
 
 
 def same_class_pairs(meta: DataFrame) -> DataFrame:
@@ -119,5 +123,6 @@ def same_class_pairs(meta: DataFrame) -> DataFrame:
 
 def pair_curves(pairs: DataFrame, obs: DataFrame) -> DataFrame:
     """The points of both sides of each pair: pair_id, side and the observation. One join for both."""
-    sides = pairs.select("pair_id", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("left_id").alias("object_id")), F.struct(F.lit("right").alias("side"), F.col("right_id").alias("object_id")))).alias("s")).select("pair_id", "s.*")
+    sides = pairs.select("pair_id", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("left_id").alias("object_id")),
+        F.struct(F.lit("right").alias("side"), F.col("right_id").alias("object_id")))).alias("s")).select("pair_id", "s.*")
     return sides.join(obs, "object_id")

@@ -26,7 +26,8 @@ def describe(table: DataFrame, value: str, *keys: str) -> DataFrame:
     """n, least, most, mean, variance (n - 1), skewness and excess kurtosis (population)."""
     v = F.col(value)
     return table.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"), F.var_samp(v).alias("variance"), F.skewness(v).alias("skewness"), F.kurtosis(v).alias("kurtosis")
+        F.count("*").alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"), F.var_samp(v).alias("variance"),
+            F.skewness(v).alias("skewness"), F.kurtosis(v).alias("kurtosis")
     )
 
 
@@ -69,7 +70,8 @@ def percentiles_by_ranges(values: DataFrame, fractions: Sequence[float], *keys:
     hits = ranked.select(*keys, "_v", "_from", "_to", F.explode(here).alias("_x")).select(*keys, "_v", "_from", "_to", "_x.*")
     low, high = F.floor("h"), F.ceil("h")
     ends = hits.groupBy(*keys, "i").agg(
-        F.first("h").alias("h"), F.max(F.when((low >= F.col("_from")) & (low < F.col("_to")), F.col("_v"))).alias("_lo"), F.max(F.when((high >= F.col("_from")) & (high < F.col("_to")), F.col("_v"))).alias("_hi")
+        F.first("h").alias("h"), F.max(F.when((low >= F.col("_from")) & (low < F.col("_to")), F.col("_v"))).alias("_lo"),
+            F.max(F.when((high >= F.col("_from")) & (high < F.col("_to")), F.col("_v"))).alias("_hi")
     )
     between = F.when(low == high, F.col("_lo")).otherwise((high - F.col("h")) * F.col("_lo") + (F.col("h") - low) * F.col("_hi"))
     found = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", between.alias("v")))).alias("_a"))
@@ -103,7 +105,8 @@ def percentile_cutoffs(values: DataFrame, n: int, *keys: str, value: str = "valu
 
 def cutoff_scales(cutoffs: DataFrame, *keys: str) -> DataFrame:
     """median_scale: median of the steps between consecutive cutoffs."""
-    steps = cutoffs.select(*keys, "cutoffs", F.explode(F.zip_with(F.slice("cutoffs", 2, F.greatest(F.lit(0), F.size("cutoffs") - 1)), F.slice("cutoffs", 1, F.greatest(F.lit(0), F.size("cutoffs") - 1)), lambda b, a: b - a)).alias("_d"))
+    steps = cutoffs.select(*keys, "cutoffs", F.explode(F.zip_with(F.slice("cutoffs", 2, F.greatest(F.lit(0), F.size("cutoffs") - 1)),
+        F.slice("cutoffs", 1, F.greatest(F.lit(0), F.size("cutoffs") - 1)), lambda b, a: b - a)).alias("_d"))
     return steps.groupBy(*keys).agg(F.median("_d").alias("median_scale"))
 
 
@@ -193,7 +196,8 @@ def density_2d(table: DataFrame, a: str, b: str, n: int = 100) -> DataFrame:
     if that is singular. Every task sums its points for all cells; only these sums are shuffled.
     """
     some = table.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
-    s = some.agg(F.count("*").alias("n"), *(f(c).alias(f"{name}_{c}") for c in "ab" for name, f in (("lo", F.min), ("hi", F.max), ("var", F.var_samp))), F.covar_samp("a", "b").alias("cov"))
+    s = some.agg(F.count("*").alias("n"), *(f(c).alias(f"{name}_{c}") for c in "ab" for name, f in (("lo", F.min), ("hi", F.max), ("var",
+        F.var_samp))), F.covar_samp("a", "b").alias("cov"))
     factor = F.pow(F.col("n").cast("double"), -1.0 / 3.0)
     box = s.select("*", (F.col("var_a") * factor).alias("caa"), (F.col("var_b") * factor).alias("cbb"), (F.col("cov") * factor).alias("cab"))
     box = box.withColumn("det", F.col("caa") * F.col("cbb") - F.col("cab") * F.col("cab"))  # one row

@@ -20,7 +20,8 @@ PARAMETERS = ("translate_time", "translate_flux", "dilate_time", "dilate_flux")
 ALIGNED = "pair_id long, translate_time double, translate_flux double, dilate_time double, dilate_flux double, arc_length double, converged boolean"
 
 
-def candidate_grid(spark, translate_time: Sequence[float] = (0.0,), translate_flux: Sequence[float] = (0.0,), dilate_time: Sequence[float] = (1.0,), dilate_flux: Sequence[float] = (1.0,)) -> DataFrame:
+def candidate_grid(spark, translate_time: Sequence[float] = (0.0,), translate_flux: Sequence[float] = (0.0,), dilate_time: Sequence[float] = (1.0,),
+    dilate_flux: Sequence[float] = (1.0,)) -> DataFrame:
     """candidate and its four parameters, for every combination (a list in the plan)."""
     rows = [(i, *map(float, x)) for i, x in enumerate(product(translate_time, translate_flux, dilate_time, dilate_flux))]
     return spark.createDataFrame(rows, "candidate int, " + ", ".join(f"{p} double" for p in PARAMETERS))
@@ -31,7 +32,8 @@ def grid_costs(pairs: DataFrame, obs: DataFrame, grid: DataFrame) -> DataFrame:
     points = pair_curves(pairs, obs.where("detected = 1").select("object_id", "band", "time", "flux", "tie"))
     tried = points.join(F.broadcast(grid), how="cross")  # the grid is a literal list
     right = F.col("side") == "right"
-    moved = tried.withColumns({"time": F.when(right, moved_time("time", "translate_time", "dilate_time")).otherwise(F.col("time")), "flux": F.when(right, moved_flux("flux", "translate_flux", "dilate_flux")).otherwise(F.col("flux"))})
+    moved = tried.withColumns({"time": F.when(right, moved_time("time", "translate_time", "dilate_time")).otherwise(F.col("time")),
+        "flux": F.when(right, moved_flux("flux", "translate_flux", "dilate_flux")).otherwise(F.col("flux"))})
     w = Window.partitionBy("pair_id", "candidate", "band").orderBy("time", "side", "tie")
     step = F.sqrt(F.pow(F.col("time") - F.lag("time").over(w), 2) + F.pow(F.col("flux") - F.lag("flux").over(w), 2))
     return moved.repartition("pair_id", "candidate").withColumn("_s", step).groupBy("pair_id", "candidate").agg(F.coalesce(F.sum("_s"), F.lit(0.0)).alias("arc_length"))
@@ -197,7 +199,8 @@ def align_simplex(pairs: DataFrame, obs: DataFrame, rounds: int = ROUNDS) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["pair_id", *PARAMETERS, "arc_length", "converged"])
 
     points = pair_curves(pairs, obs.where("detected = 1").select("object_id", "band", "time", "flux", "tie"))
-    named = points.select(F.col("pair_id").cast("long").alias("pair_id"), F.col("side"), F.col("band").cast("string").alias("band"), F.col("time").cast("double").alias("time"), F.col("flux").cast("double").alias("flux"), "tie")
+    named = points.select(F.col("pair_id").cast("long").alias("pair_id"), F.col("side"), F.col("band").cast("string").alias("band"),
+        F.col("time").cast("double").alias("time"), F.col("flux").cast("double").alias("flux"), "tie")
     return _dealt(named, "pair_id").sortWithinPartitions("pair_id", "side", "band", "time", "tie").drop("tie").mapInArrow(fit, ALIGNED)
 
 
@@ -234,7 +237,8 @@ def _merge_level(rounds: int, most: int):
             yield pa.RecordBatch.from_arrays(columns, names=_MERGED_NAMES)
             two = np.flatnonzero(np.add.reduceat(curves.right, starts) > 0)  # a stack without partner is the left one
             void = [pa.nulls(len(two), t) for t in (pa.string(), pa.float64(), pa.float64(), pa.int64())]
-            columns = [pa.array(target[two]), pa.array(2 * pair[two] + 1), pa.array(np.full(len(two), _MERGE, np.int32)), *void, *(pa.array(c[two]) for c in (*best.T, least, done))]
+            columns = [pa.array(target[two]), pa.array(2 * pair[two] + 1), pa.array(np.full(len(two), _MERGE, np.int32)), *void,
+                *(pa.array(c[two]) for c in (*best.T, least, done))]
             yield pa.RecordBatch.from_arrays(columns, names=_MERGED_NAMES)
 
     return run
@@ -257,9 +261,11 @@ def merge_tree(obs: DataFrame, meta: DataFrame, most: int = 256, rounds: int = R
     """
     chosen = meta.where("target is not null").select(F.col("target").cast("long").alias("target"), "object_id").distinct()
     seen = obs.where("detected = 1")
-    ids = stored(numbered_within(chosen.join(seen.select("object_id").distinct(), "object_id", "left_semi"), "target", "object_id").select("target", "object_id", F.col("pos").alias("stack")), "stack-ids")
+    ids = stored(numbered_within(chosen.join(seen.select("object_id").distinct(), "object_id", "left_semi"), "target", "object_id").select("target",
+        "object_id", F.col("pos").alias("stack")), "stack-ids")
     points = seen.join(ids, "object_id").select(
-        "target", "stack", F.lit(_POINT).alias("kind"), F.col("band").cast("string").alias("band"), F.col("time").cast("double").alias("time"), F.col("flux").cast("double").alias("flux"), F.lit(1).cast("long").alias("n"), "tie"
+        "target", "stack", F.lit(_POINT).alias("kind"), F.col("band").cast("string").alias("band"), F.col("time").cast("double").alias("time"),
+            F.col("flux").cast("double").alias("flux"), F.lit(1).cast("long").alias("n"), "tie"
     )
     largest = ids.agg(F.max("stack")).first()[0]
     depth = 0 if largest is None else int(largest).bit_length()
@@ -274,15 +280,20 @@ def merge_tree(obs: DataFrame, meta: DataFrame, most: int = 256, rounds: int = R
         dropped(last)
         last = made
     none = [F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0)]
-    down = ids.select("target").distinct().select("target", F.lit(0).cast("long").alias("stack"), *(v.alias(p) for v, p in zip(none, PARAMETERS, strict=True)), F.lit(None).cast("int").alias("level"), F.lit(None).cast("double").alias("arc_length"), F.lit(None).cast("boolean").alias("converged"))
+    down = ids.select("target").distinct().select("target", F.lit(0).cast("long").alias("stack"), *(v.alias(p) for v, p in zip(none, PARAMETERS,
+        strict=True)), F.lit(None).cast("int").alias("level"), F.lit(None).cast("double").alias("arc_length"),
+        F.lit(None).cast("boolean").alias("converged"))
     for depth_now in range(len(merges) - 1, -1, -1):
-        own = merges[depth_now].select("target", F.floor(F.col("stack") / 2).alias("stack"), *(F.col(p).alias(f"_{p}") for p in PARAMETERS), F.col("arc_length").alias("_length"), F.col("converged").alias("_done"))
+        own = merges[depth_now].select("target", F.floor(F.col("stack") / 2).alias("stack"), *(F.col(p).alias(f"_{p}") for p in PARAMETERS),
+            F.col("arc_length").alias("_length"), F.col("converged").alias("_done"))
         both = down.join(own, ["target", "stack"], "left")  # what a stack got on its way up, and its right half before that
         left = F.struct((2 * F.col("stack")).alias("stack"), *(F.col(p) for p in PARAMETERS), "level", "arc_length", "converged")
-        chain = {f"translate_{c}": F.col(f"_translate_{c}") + F.col(f"translate_{c}") / F.col(f"_dilate_{c}") for c in ("time", "flux")} | {f"dilate_{c}": F.col(f"_dilate_{c}") * F.col(f"dilate_{c}") for c in ("time", "flux")}
+        chain = {f"translate_{c}": F.col(f"_translate_{c}") + F.col(f"translate_{c}") / F.col(f"_dilate_{c}") for c in ("time",
+            "flux")} | {f"dilate_{c}": F.col(f"_dilate_{c}") * F.col(f"dilate_{c}") for c in ("time", "flux")}
         right = F.when(
             F.col("_dilate_time").isNotNull(),
-            F.struct((2 * F.col("stack") + 1).alias("stack"), *(chain[p].alias(p) for p in PARAMETERS), F.lit(depth_now).alias("level"), F.col("_length").alias("arc_length"), F.col("_done").alias("converged")),
+            F.struct((2 * F.col("stack") + 1).alias("stack"), *(chain[p].alias(p) for p in PARAMETERS), F.lit(depth_now).alias("level"),
+                F.col("_length").alias("arc_length"), F.col("_done").alias("converged")),
         )
         down = both.select("target", F.explode(F.array_compact(F.array(left, right))).alias("s")).select("target", "s.*")
     members = ids.join(down, ["target", "stack"]).select("target", "object_id", *PARAMETERS, "level", "arc_length", "converged")

@@ -21,7 +21,8 @@ from cadenza.storage import stored
 PARAMETERS = ("translate_time", "translate_flux", "dilate_time", "dilate_flux")
 
 
-def transforms(ids: DataFrame, seed: int, time_sd: float = 1.0, flux_sd: float = 0.01, time_factor: float = 1.1, flux_factor: float = 1.5, most_time: float = 6.0, most_flux: float = 16.0, true_limits: bool = False) -> DataFrame:
+def transforms(ids: DataFrame, seed: int, time_sd: float = 1.0, flux_sd: float = 0.01, time_factor: float = 1.1, flux_factor: float = 1.5,
+    most_time: float = 6.0, most_flux: float = 16.0, true_limits: bool = False) -> DataFrame:
     """Random transforms per object: normal shifts, truncated log-normal stretches.
 
     The truncation is in standard units (log most - log factor), which bounds stretches by
@@ -62,7 +63,8 @@ def positive_pairs(obs: DataFrame, seed: int, **options) -> DataFrame:
     observation. pair_time is the side's time of the same moment."""
     joined = obs.join(_moments(obs, seed, **options), "object_id")
     left = joined.withColumn("side", F.lit("left")).drop(*PARAMETERS)
-    right = linear_transform(joined, *PARAMETERS).withColumn("pair_time", C.moved_time("pair_time", "translate_time", "dilate_time")).withColumn("side", F.lit("right")).drop(*PARAMETERS)
+    right = linear_transform(joined, *PARAMETERS).withColumn("pair_time", C.moved_time("pair_time", "translate_time",
+        "dilate_time")).withColumn("side", F.lit("right")).drop(*PARAMETERS)
     return left.unionByName(right)
 
 
@@ -90,7 +92,8 @@ def negative_pairs(obs: DataFrame, meta: DataFrame, n: int | None, seed: int) ->
     """n pairs (with None as many as objects) of curves of different classes with a random distinct time
     of each: pair_id, side, object_id, target, time."""
     pairs = different_class_pairs(meta, n, seed)
-    sides = pairs.select("pair_id", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{s}_id").alias("object_id"), F.col(f"{s}_target").alias("target")) for s in ("left", "right")))).alias("s")).select("pair_id", "s.*")
+    sides = pairs.select("pair_id", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{s}_id").alias("object_id"),
+        F.col(f"{s}_target").alias("target")) for s in ("left", "right")))).alias("s")).select("pair_id", "s.*")
     times = sides.join(obs.select("object_id", "time").distinct(), "object_id")
     order = F.struct(uniform(seed, F.col("pair_id"), F.col("side"), F.round(F.col("time") * 1e6).cast("long")), "time")
     return times.groupBy("pair_id", "side", "object_id", "target").agg(F.min_by("time", order).alias("time"))
@@ -158,7 +161,8 @@ def similarity_report(pairs: DataFrame, normalise: bool = True) -> DataFrame:
     """n, loss, accuracy and aux_loss of labelled vector pairs, and their total, in one pass."""
     scored = pairs.withColumn("score", C.pair_score("left", "right", normalise))
     aux = (F.pow(C.norm("left") - 1.0, 2) + F.pow(C.norm("right") - 1.0, 2)) / 2.0 if normalise else F.lit(0.0)
-    report = scored.agg(F.count("*").alias("n"), F.avg(C.log_loss("label", "score")).alias("loss"), F.avg(((F.col("score") > 0.5).cast("int") == F.col("label")).cast("double")).alias("accuracy"), F.avg(aux).alias("aux_loss"))
+    report = scored.agg(F.count("*").alias("n"), F.avg(C.log_loss("label", "score")).alias("loss"),
+        F.avg(((F.col("score") > 0.5).cast("int") == F.col("label")).cast("double")).alias("accuracy"), F.avg(aux).alias("aux_loss"))
     return report.withColumn("total_loss", F.col("loss") + 0.1 * F.col("aux_loss"))
 
 
@@ -182,12 +186,16 @@ def window_pairs(windows: DataFrame, n: int | None, seed: int) -> DataFrame:
     placed = numbered(windows.groupBy(*KEY).agg(F.count("*").alias("n_windows")), *KEY).withColumnRenamed("pos", "c")  # a row per curve
     k = placed.agg(F.count("*").alias("_k"))  # one row
     numbers = spark.range(n).select(F.col("id").alias("c"), F.lit(n).alias("_n")) if n is not None else placed.select("c", F.lit(None).cast("long").alias("_n"))
-    both = F.explode(F.array(F.struct(F.col("c").alias("pair_id"), F.lit(1).alias("label")), F.struct((F.col("c") + F.coalesce("_n", "_k")).alias("pair_id"), F.lit(0).alias("label"))))
+    both = F.explode(F.array(F.struct(F.col("c").alias("pair_id"), F.lit(1).alias("label")), F.struct((F.col("c") + F.coalesce("_n",
+        "_k")).alias("pair_id"), F.lit(0).alias("label"))))
     ask = numbers.join(F.broadcast(k), how="cross").select("_k", both.alias("p")).select("_k", "p.*")
     first = integer(F.col("_k"), seed, "curve", F.col("pair_id"))
-    drawn = ask.withColumn("left_c", first).withColumn("right_c", F.when(F.col("label") == 1, F.col("left_c")).otherwise(F.pmod(F.col("left_c") + 1 + integer(F.greatest(F.col("_k") - 1, F.lit(1)), seed, "other", F.col("pair_id")), F.col("_k"))))
+    drawn = ask.withColumn("left_c", first).withColumn("right_c", F.when(F.col("label") == 1,
+        F.col("left_c")).otherwise(F.pmod(F.col("left_c") + 1 + integer(F.greatest(F.col("_k") - 1, F.lit(1)), seed, "other", F.col("pair_id")),
+        F.col("_k"))))
     drawn = drawn.where((F.col("label") == 1) | (F.col("_k") > 1))
-    sides = drawn.select("pair_id", "label", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{s}_c").alias("c")) for s in ("left", "right")))).alias("s")).select("pair_id", "label", "s.*")
+    sides = drawn.select("pair_id", "label", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{s}_c").alias("c")) for s in ("left",
+        "right")))).alias("s")).select("pair_id", "label", "s.*")
     nth = sides.join(placed, "c").withColumn("w", integer(F.col("n_windows"), seed, "window", F.col("pair_id"), F.col("side")))
     ranked = windows.withColumn("w", F.row_number().over(Window.partitionBy(*KEY).orderBy("pos")) - 1)
     chosen = nth.join(ranked.select(*KEY, "w", "points"), [*KEY, "w"])
@@ -208,7 +216,8 @@ def slope_similarity(pairs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- classifier
 def pair_vectors(features: DataFrame, bands: Sequence[str], n: int) -> DataFrame:
     """One row per pair: label and the differences of its sides' window values."""
-    windows = features.withColumn("v", F.concat(C.deltas("before_flux", "after_flux", F.coalesce("closest_flux_in_band", F.lit(0.0))), C.deltas("before_time", "after_time", F.coalesce("closest_time_in_band", F.lit(0.0)))))
+    windows = features.withColumn("v", F.concat(C.deltas("before_flux", "after_flux", F.coalesce("closest_flux_in_band", F.lit(0.0))),
+        C.deltas("before_time", "after_time", F.coalesce("closest_time_in_band", F.lit(0.0)))))
     by_side = lambda s, b: F.max(F.when((F.col("side") == s) & (F.col("band") == b), F.col("v")))
     zero = F.array_repeat(F.lit(0.0), 4 * n)
     sides = windows.groupBy("label", "pair_id").agg(*(F.coalesce(by_side(s, b), zero).alias(f"{s}_{b}") for s in ("left", "right") for b in bands))

@@ -97,7 +97,8 @@ def _met(curves: DataFrame, left: DataFrame, right: DataFrame, grid: np.ndarray,
                 if n:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_NAMES)
                 elif pairs:  # nothing was worth trying
-                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.float64())), pa.array([tried]), pa.array([pairs])], names=_NAMES)
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.float64())), pa.array([tried]),
+                        pa.array([pairs])], names=_NAMES)
 
     return ordered.mapInArrow(run, _FOUND)
 
@@ -114,7 +115,8 @@ def nearest_partners(obs: DataFrame, grid: DataFrame, k: int, tile: int = TILE)
     Only detected points count; an object without them is no curve.
     """
     parameters = np.array([tuple(r)[1:] for r in grid.orderBy("candidate").select("candidate", *PARAMETERS).collect()], float)
-    seen = obs.where("detected = 1").select(F.col("object_id").cast("long").alias("object_id"), F.col("band").cast("string").alias("band"), F.col("time").cast("double").alias("time"), F.col("flux").cast("double").alias("flux"), "tie")
+    seen = obs.where("detected = 1").select(F.col("object_id").cast("long").alias("object_id"), F.col("band").cast("string").alias("band"),
+        F.col("time").cast("double").alias("time"), F.col("flux").cast("double").alias("flux"), "tie")
     curves = stored(seen.join(_lengths(seen, parameters), ["object_id", "band"]), "partner-curves")
     bands = curves.select("object_id", "band", "own", "least").distinct()
     totals = bands.groupBy("object_id").agg(F.sum("least").alias("total"))
@@ -126,7 +128,8 @@ def nearest_partners(obs: DataFrame, grid: DataFrame, k: int, tile: int = TILE)
     short = tiles.join(F.broadcast(first), how="cross").select("object_id", "tile", F.lit(-1).cast("long").alias("other"))
     begun = stored(_met(curves, left, short, parameters, k), "partners")
     order = Window.partitionBy("left_id").orderBy("arc_length", "right_id")
-    bound = begun.where("left_id is not null").withColumn("_n", F.row_number().over(order)).where(F.col("_n") == k).select(F.col("left_id").alias("object_id"), F.col("arc_length").alias("bound"))
+    bound = begun.where("left_id is not null").withColumn("_n", F.row_number().over(order)).where(F.col("_n") == k).select(F.col("left_id").alias("object_id"),
+        F.col("arc_length").alias("bound"))
     bounded = placed.join(bound, "object_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
     # tiles that can hold a better one: sum over bands of the larger of both tiles' least lengths
     of_tile = bands.join(bounded, "object_id").groupBy("tile", "band").agg(F.count("*").alias("_n"), F.min("own").alias("_own"), F.min("least").alias("_least"))

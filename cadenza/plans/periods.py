@@ -213,7 +213,8 @@ def refined(obs: DataFrame, top: DataFrame, oversampling: float = 5.0, zoom: int
     its neighbours of the span's grid, `zoom` times as closely. Peaks keep their rank."""
     span = obs.where(F.col("flux_err") > 0).groupBy("object_id").agg((F.max("time") - F.min("time")).alias("_span"))
     step = 1.0 / (oversampling * F.col("_span"))
-    grids = top.join(span, "object_id").select("object_id", F.col("rank").alias("grid"), (1.0 / F.col("period") - step).alias("low"), (step / zoom).alias("step"), F.lit(2 * zoom + 1).alias("n"))
+    grids = top.join(span, "object_id").select("object_id", F.col("rank").alias("grid"), (1.0 / F.col("period") - step).alias("low"),
+        (step / zoom).alias("step"), F.lit(2 * zoom + 1).alias("n"))
     found = grid_powers(obs, grids.where("low > 0")).where("power is not null")
     best = found.groupBy("object_id", F.col("grid").alias("rank")).agg(F.max_by(F.struct("period", "power"), F.struct("power", -F.col("k"))).alias("b"))
     joined = top.join(best, ["object_id", "rank"], "left")

@@ -56,7 +56,8 @@ def WITH(*parts: str) -> str:
 
 
 # ---------------------------------------------------------------- sources
-@query("scan_narrow_types", WITH(OBS_SQL) + "SELECT CAST(object_id AS INTEGER) AS object_id, CAST(time AS FLOAT) AS mjd, CAST(passband AS INTEGER) AS passband, CAST(flux AS FLOAT) AS flux, CAST(flux_err AS FLOAT) AS flux_err, CAST(detected AS TINYINT) AS detected FROM obs")
+@query("scan_narrow_types", WITH(OBS_SQL) + "SELECT CAST(object_id AS INTEGER) AS object_id, CAST(time AS FLOAT) AS mjd, CAST(passband AS INTEGER) "
+    "AS passband, CAST(flux AS FLOAT) AS flux, CAST(flux_err AS FLOAT) AS flux_err, CAST(detected AS TINYINT) AS detected FROM obs")
 def scan_narrow_types(spark, d):
     raw = observations(spark, d).select("object_id", F.col("time").alias("mjd"), "passband", "flux", "flux_err", "detected")
     return tables.narrowed(raw)
@@ -83,7 +84,8 @@ def passband_names(spark, d):
     return tables.with_bands(raw, BandSpec("events", EVENT_BANDS)).groupBy("object_id", "band").agg(F.count("*").alias("n"))
 
 
-@query("packed_curves", WITH(OBS_SQL) + "SELECT object_id, band, len(list(tie)) AS n, round(list_sum(list(flux)), 6) AS flux_sum, first(tie ORDER BY time, tie) AS first_tie FROM obs GROUP BY 1, 2")
+@query("packed_curves", WITH(OBS_SQL) + "SELECT object_id, band, len(list(tie)) AS n, round(list_sum(list(flux)), 6) AS flux_sum, first(tie ORDER BY "
+    "time, tie) AS first_tie FROM obs GROUP BY 1, 2")
 def packed_curves(spark, d):
     p = tables.packed(observations(spark, d))
     back = tables.unpacked(p).groupBy("object_id", "band").agg(F.count("*").alias("n"), F.round(F.sum("flux"), 6).alias("flux_sum"))
@@ -169,16 +171,21 @@ def star_table(spark, d):
 
 @query(
     "magnitude_table",
-    WITH(OBS_SQL, META_SQL, "mags AS (SELECT object_id, band, time, 15 + flux / 100 AS mag, flux_err FROM obs WHERE band IN ('click', 'view') AND NOT (band = 'view' AND object_id % 4 = 0))")
-    + "SELECT 'S-' || object_id AS id, band, round(time, 6) AS time, round(1e23 * pow(10, -0.4 * (mag + 48.6)) * 1e6, 6) AS flux, round(flux_err / mag * 1e23 * pow(10, -0.4 * (mag + 48.6)) * 1e6, 6) AS flux_err, segment AS \"Field\" FROM mags JOIN meta USING (object_id) WHERE object_id IN (SELECT object_id FROM mags GROUP BY 1 HAVING count(DISTINCT band) = 2)",
+    WITH(OBS_SQL, META_SQL, "mags AS (SELECT object_id, band, time, 15 + flux / 100 AS mag, flux_err FROM obs WHERE band IN ('click', 'view') AND "
+        "NOT (band = 'view' AND object_id % 4 = 0))")
+    + "SELECT 'S-' || object_id AS id, band, round(time, 6) AS time, round(1e23 * pow(10, -0.4 * (mag + 48.6)) * 1e6, 6) AS flux, round(flux_err / "
+        "mag * 1e23 * pow(10, -0.4 * (mag + 48.6)) * 1e6, 6) AS flux_err, segment AS \"Field\" FROM mags JOIN meta USING (object_id) WHERE object_id "
+        "IN (SELECT object_id FROM mags GROUP BY 1 HAVING count(DISTINCT band) = 2)",
 )
 def magnitude_table(spark, d):
     o = observations(spark, d).where("not (band = 'view' and object_id % 4 = 0)")
     file = F.concat(F.lit("S-"), F.col("object_id"), F.lit(".dat"))
-    lines = o.select(F.concat_ws(" ", "time", 15 + F.col("flux") / 100, "flux_err").alias("value"), file.alias("file"), F.concat(F.lit("/survey/"), F.col("band"), F.lit("/"), file).alias("path"))
+    lines = o.select(F.concat_ws(" ", "time", 15 + F.col("flux") / 100, "flux_err").alias("value"), file.alias("file"), F.concat(F.lit("/survey/"),
+        F.col("band"), F.lit("/"), file).alias("path"))
     stars = metadata(spark, d).select(F.concat(F.lit("S-"), F.col("object_id")).alias("ID"), F.col("segment").alias("Field"))
     found = text.magnitude_table(text.magnitude_points(lines, ("click", "view")), stars, ("Field",))
-    return found.select("id", "band", F.round("time", 6).alias("time"), F.round(F.col("flux") * 1e6, 6).alias("flux"), F.round(F.col("flux_err") * 1e6, 6).alias("flux_err"), "Field")
+    return found.select("id", "band", F.round("time", 6).alias("time"), F.round(F.col("flux") * 1e6, 6).alias("flux"), F.round(F.col("flux_err") * 1e6,
+        6).alias("flux_err"), "Field")
 
 
 @query("checked_curves", WITH(LINES_SQL) + "SELECT CAST(object_id AS VARCHAR) AS name, round(time, 6) AS time, flux AS value, round(flux_err, 6) AS error FROM obs")
@@ -187,7 +194,9 @@ def checked_curves(spark, d):
     return rounded(tables.checked_curves(named), "time", "error")
 
 
-@query("sorted_source", WITH(OBS_SQL) + "SELECT object_id AS source_id, tie, row_number() OVER (ORDER BY object_id, time) - 1 AS pos, (SELECT count(*) FROM obs b WHERE b.object_id < a.object_id) AS min_row, (SELECT count(*) - 1 FROM obs b WHERE b.object_id <= a.object_id) AS max_row FROM obs a")
+@query("sorted_source", WITH(OBS_SQL) + "SELECT object_id AS source_id, tie, row_number() OVER (ORDER BY object_id, time) - 1 AS pos, (SELECT "
+    "count(*) FROM obs b WHERE b.object_id < a.object_id) AS min_row, (SELECT count(*) - 1 FROM obs b WHERE b.object_id <= a.object_id) AS max_row "
+    "FROM obs a")
 def sorted_source(spark, d):
     rows = observations(spark, d).select(F.col("object_id").alias("source_id"), "time", "flux", F.col("flux_err").alias("flux_error"), "tie")
     placed, index = tables.sorted_source(rows)
@@ -195,13 +204,16 @@ def sorted_source(spark, d):
 
 
 # ---------------------------------------------------------------- projections and filters
-@query("mag_to_flux", WITH(OBS_SQL) + "SELECT tie, round(flux, 6) AS mag, round(1e23 * pow(10, -0.4 * (flux + 48.6)) * 1000, 6) AS flux, round(flux_err / flux * 1e23 * pow(10, -0.4 * (flux + 48.6)) * 1000, 6) AS flux_err FROM obs WHERE flux > 5")
+@query("mag_to_flux", WITH(OBS_SQL) + "SELECT tie, round(flux, 6) AS mag, round(1e23 * pow(10, -0.4 * (flux + 48.6)) * 1000, 6) AS flux, "
+    "round(flux_err / flux * 1e23 * pow(10, -0.4 * (flux + 48.6)) * 1000, 6) AS flux_err FROM obs WHERE flux > 5")
 def mag_to_flux(spark, d):
     o = observations(spark, d).where("flux > 5")
-    return o.select("tie", F.round("flux", 6).alias("mag"), F.round(C.magnitude_flux("flux") * 1000, 6).alias("flux"), F.round(C.magnitude_flux_err("flux", "flux_err") * 1000, 6).alias("flux_err"))
+    return o.select("tie", F.round("flux", 6).alias("mag"), F.round(C.magnitude_flux("flux") * 1000, 6).alias("flux"),
+        F.round(C.magnitude_flux_err("flux", "flux_err") * 1000, 6).alias("flux_err"))
 
 
-@query("linear_xform", WITH(OBS_SQL) + "SELECT object_id, band, tie, round(3 * (time + 1), 6) AS time, round(4 * (flux + 2), 6) AS flux, round(sqrt(4.0) * flux_err, 6) AS flux_err FROM obs")
+@query("linear_xform", WITH(OBS_SQL) + "SELECT object_id, band, tie, round(3 * (time + 1), 6) AS time, round(4 * (flux + 2), 6) AS flux, "
+    "round(sqrt(4.0) * flux_err, 6) AS flux_err FROM obs")
 def linear_xform(spark, d):
     o = curves.linear_transform(observations(spark, d), 1.0, 2.0, 3.0, 4.0)
     return rounded(o.select("object_id", "band", "tie", "time", "flux", "flux_err"), "time", "flux", "flux_err")
@@ -216,7 +228,8 @@ def column_xform(spark, d):
 _BAND_XF = "x(band, tt, tf, dt, df) AS (VALUES ('click', 0.1, 1.0, 1.0, 2.0), ('error', 0.2, 2.0, 1.5, 1.0), ('purchase', 0.3, 3.0, 2.0, 0.5), ('signup', 0.4, 4.0, 2.5, 4.0), ('view', 0.5, 5.0, 3.0, 1.0))"
 
 
-@query("independent_band_xform", WITH(OBS_SQL, _BAND_XF) + "SELECT tie, band, round(dt * (time + tt), 6) AS time, round(df * (flux + tf), 6) AS flux, round(sqrt(df) * flux_err, 6) AS flux_err FROM obs JOIN x USING (band)")
+@query("independent_band_xform", WITH(OBS_SQL, _BAND_XF) + "SELECT tie, band, round(dt * (time + tt), 6) AS time, round(df * (flux + tf), 6) AS "
+    "flux, round(sqrt(df) * flux_err, 6) AS flux_err FROM obs JOIN x USING (band)")
 def independent_band_xform(spark, d):
     rows = [("click", 0.1, 1.0, 1.0, 2.0), ("error", 0.2, 2.0, 1.5, 1.0), ("purchase", 0.3, 3.0, 2.0, 0.5), ("signup", 0.4, 4.0, 2.5, 4.0), ("view", 0.5, 5.0, 3.0, 1.0)]
     x = spark.createDataFrame(rows, "band string, translate_time double, translate_flux double, dilate_time double, dilate_flux double")
@@ -228,7 +241,8 @@ def same_xform_label(spark, d):
     return curves.transform_all(observations(spark, d), 1.0, 0.5, 2.0, 1.0).select("object_id", "last_transform").distinct()
 
 
-@query("before_after_time", WITH(OBS_SQL) + "SELECT object_id, count(*) FILTER (WHERE time + 1e-8 < 10) AS n_before, count(*) FILTER (WHERE time > 20 + 1e-8) AS n_after FROM obs GROUP BY 1")
+@query("before_after_time", WITH(OBS_SQL) + "SELECT object_id, count(*) FILTER (WHERE time + 1e-8 < 10) AS n_before, count(*) FILTER (WHERE time > "
+    "20 + 1e-8) AS n_after FROM obs GROUP BY 1")
 def before_after_time(spark, d):
     o = observations(spark, d)
     before = curves.before_time(o, 10.0).groupBy("object_id").agg(F.count("*").alias("n_before"))
@@ -250,7 +264,9 @@ def band_set_validation(spark, d):
     return curves.band_mismatches(_stretches(spark, d), EVENT_BANDS).select("object_id", F.array_join("bands", ",").alias("bands"))
 
 
-@query("duplicate_points", WITH("obs AS (SELECT l_suppkey AS object_id, l_returnflag AS band, l_shipdate FROM lineitem)") + "SELECT object_id, band, count(*) AS n_times, CAST(sum(n) AS BIGINT) AS n_points FROM (SELECT object_id, band, l_shipdate, count(*) AS n FROM obs GROUP BY 1, 2, 3 HAVING count(*) > 1) GROUP BY 1, 2")
+@query("duplicate_points", WITH("obs AS (SELECT l_suppkey AS object_id, l_returnflag AS band, l_shipdate FROM lineitem)") + "SELECT object_id, band, count(*) AS "
+    "n_times, CAST(sum(n) AS BIGINT) AS n_points FROM (SELECT object_id, band, l_shipdate, count(*) AS n FROM obs GROUP BY 1, 2, 3 HAVING count(*) > "
+    "1) GROUP BY 1, 2")
 def duplicate_points(spark, d):
     return curves.duplicate_points(line_curves(spark, d)).groupBy("object_id", "band").agg(F.count("*").alias("n_times"), F.sum("n").alias("n_points"))
 
@@ -261,13 +277,16 @@ _PWAV = "CASE band WHEN 'click' THEN 368.55 WHEN 'error' THEN 484.45 WHEN 'purch
 @query("lc2d_pwav", WITH(OBS_SQL) + f"SELECT tie, CAST({_PWAV} AS DOUBLE) AS pwav, round(time, 6) AS time, flux, round(flux_err, 6) AS flux_err, detected FROM obs")
 def lc2d_pwav(spark, d):
     two = curves.two_dimensional(curves.wavelengths(observations(spark, d), EVENT_WAVELENGTHS, EVENT_BANDS))
-    return two.select("tie", F.col("invars")[0].alias("pwav"), F.round(F.col("invars")[1], 6).alias("time"), F.col("outvars")[0].alias("flux"), F.round(F.col("outvars")[1], 6).alias("flux_err"), "detected")
+    return two.select("tie", F.col("invars")[0].alias("pwav"), F.round(F.col("invars")[1], 6).alias("time"), F.col("outvars")[0].alias("flux"),
+        F.round(F.col("outvars")[1], 6).alias("flux_err"), "detected")
 
 
-@query("dense_array_points", WITH(OBS_SQL) + "SELECT object_id, band, count(*) AS n, round(sum(time), 6) AS time_sum, round(sum(flux), 6) AS flux_sum, round(sum(flux_err), 6) AS err_sum FROM obs GROUP BY 1, 2")
+@query("dense_array_points", WITH(OBS_SQL) + "SELECT object_id, band, count(*) AS n, round(sum(time), 6) AS time_sum, round(sum(flux), 6) AS "
+    "flux_sum, round(sum(flux_err), 6) AS err_sum FROM obs GROUP BY 1, 2")
 def dense_array_points(spark, d):
     dense = observations(spark, d).groupBy("object_id", "band").agg(F.collect_list(F.array("time", "flux", "flux_err")).alias("points"))
-    return curves.from_arrays(dense).groupBy("object_id", "band").agg(F.count("*").alias("n"), F.round(F.sum("time"), 6).alias("time_sum"), F.round(F.sum("flux"), 6).alias("flux_sum"), F.round(F.sum("flux_err"), 6).alias("err_sum"))
+    return curves.from_arrays(dense).groupBy("object_id", "band").agg(F.count("*").alias("n"), F.round(F.sum("time"), 6).alias("time_sum"),
+        F.round(F.sum("flux"), 6).alias("flux_sum"), F.round(F.sum("flux_err"), 6).alias("err_sum"))
 
 
 @query("phase_fold", WITH(OBS_SQL) + "SELECT tie, round(time - 2.5 * floor(time / 2.5), 6) AS phase FROM obs")
@@ -281,7 +300,8 @@ def display_name(spark, d):
     return curves.display_names(m).select("object_id", "name")
 
 
-@query("detected_split", WITH(OBS_SQL) + "SELECT object_id, band, count(*) FILTER (WHERE detected = 1) AS n_detected, count(*) FILTER (WHERE detected = 0) AS n_undetected FROM obs GROUP BY 1, 2")
+@query("detected_split", WITH(OBS_SQL) + "SELECT object_id, band, count(*) FILTER (WHERE detected = 1) AS n_detected, count(*) FILTER (WHERE "
+    "detected = 0) AS n_undetected FROM obs GROUP BY 1, 2")
 def detected_split(spark, d):
     o = curves.with_detected(observations(spark, d))
     return o.groupBy("object_id", "band").agg(F.count_if(F.col("detected") == 1).alias("n_detected"), F.count_if(F.col("detected") == 0).alias("n_undetected"))
@@ -316,9 +336,11 @@ def lookup_by_id_list(spark, d):
     return lookups.curves_of_ids(observations(spark, d), metadata(spark, d), lookups.id_table(spark, [1, 5, 9, 5])).select("object_id", "band", "tie", "flux", "target")
 
 
-@query("curves_with_metadata", WITH(OBS_SQL, META_SQL) + "SELECT object_id, target, segment, count(*) AS n, round(sum(flux), 6) AS flux FROM obs JOIN meta USING (object_id) GROUP BY 1, 2, 3")
+@query("curves_with_metadata", WITH(OBS_SQL, META_SQL) + "SELECT object_id, target, segment, count(*) AS n, round(sum(flux), 6) AS flux FROM obs "
+    "JOIN meta USING (object_id) GROUP BY 1, 2, 3")
 def curves_with_metadata(spark, d):
-    return lookups.with_metadata(observations(spark, d), metadata(spark, d)).groupBy("object_id", "target", "segment").agg(F.count("*").alias("n"), F.round(F.sum("flux"), 6).alias("flux"))
+    return lookups.with_metadata(observations(spark, d), metadata(spark, d)).groupBy("object_id", "target", "segment").agg(F.count("*").alias("n"),
+        F.round(F.sum("flux"), 6).alias("flux"))
 
 
 @query("all_object_ids", WITH(OBS_SQL) + "SELECT DISTINCT object_id FROM obs")
@@ -326,20 +348,23 @@ def all_object_ids(spark, d):
     return lookups.object_ids(observations(spark, d))
 
 
-@query("row_by_position", "SELECT object_id, target FROM (SELECT c_custkey AS object_id, c_nationkey AS target, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer) WHERE pos = 100")
+@query("row_by_position", "SELECT object_id, target FROM (SELECT c_custkey AS object_id, c_nationkey AS target, row_number() OVER (ORDER BY "
+    "c_custkey) - 1 AS pos FROM customer) WHERE pos = 100")
 def row_by_position(spark, d):
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("object_id"), F.col("c_nationkey").alias("target"))
     return lookups.row_at(c, 100)
 
 
-@query("placed_slice", WITH(OBS_SQL) + "SELECT object_id, band, tie, pos FROM (SELECT *, row_number() OVER (ORDER BY object_id, band, time, tie) - 1 AS pos FROM obs) WHERE pos >= 700 AND pos < 950")
+@query("placed_slice", WITH(OBS_SQL) + "SELECT object_id, band, tie, pos FROM (SELECT *, row_number() OVER (ORDER BY object_id, band, time, tie) - 1 "
+    "AS pos FROM obs) WHERE pos >= 700 AND pos < 950")
 def placed_slice(spark, d):
     path = shared_path(spark, "placed")
     placed.write_placed(observations(spark, d), path, "object_id", "band", "time", "tie")
     return placed.placed_slice(spark, path, 700, 950).select("object_id", "band", "tie", "pos")
 
 
-@query("bucketed_join", WITH(OBS_SQL, META_SQL) + "SELECT object_id, target, segment, count(*) AS n, round(sum(flux), 6) AS flux FROM obs JOIN meta USING (object_id) GROUP BY 1, 2, 3")
+@query("bucketed_join", WITH(OBS_SQL, META_SQL) + "SELECT object_id, target, segment, count(*) AS n, round(sum(flux), 6) AS flux FROM obs JOIN meta "
+    "USING (object_id) GROUP BY 1, 2, 3")
 def bucketed_join(spark, d):
     names = [shared_path(spark, x) for x in ("curves", "objects")]
     o, m = (tables.write_bucketed(t, p.rsplit("/", 1)[-1].replace("-", "_"), p, 8, "object_id") for t, p in zip((observations(spark, d), metadata(spark, d)), names, strict=True))
@@ -403,20 +428,23 @@ def requests(obs: DataFrame, times=(0.0, 7.3, 15.0, 29.9)) -> DataFrame:
     return obs.select("object_id").distinct().withColumn("request_time", F.explode(F.array(*map(F.lit, times))))
 
 
-@query("closest_point", WITH(OBS_SQL, _ASKS, _NEAR) + "SELECT object_id, band, request_time, round(time, 6) AS closest_time, flux AS closest_flux, detected AS closest_detected, round(diff, 6) AS closest_time_diff FROM near WHERE nth = 1")
+@query("closest_point", WITH(OBS_SQL, _ASKS, _NEAR) + "SELECT object_id, band, request_time, round(time, 6) AS closest_time, flux AS closest_flux, "
+    "detected AS closest_detected, round(diff, 6) AS closest_time_diff FROM near WHERE nth = 1")
 def closest_point(spark, d):
     o = observations(spark, d)
     near = joins.closest_points(o, requests(o), carry=("time", "flux", "detected"))
     return rounded(near, "closest_time", "closest_time_diff")
 
 
-@query("densify_bands", WITH(OBS_SQL, "asks AS (SELECT DISTINCT object_id, time AS request_time FROM obs WHERE band = 'click')", _NEAR) + "SELECT object_id, round(request_time, 6) AS time, " + ", ".join(f"max(flux) FILTER (WHERE band = '{b}') AS flux_{b}" for b in EVENT_BANDS) + " FROM near WHERE nth = 1 GROUP BY object_id, request_time")
+@query("densify_bands", WITH(OBS_SQL, "asks AS (SELECT DISTINCT object_id, time AS request_time FROM obs WHERE band = 'click')",
+    _NEAR) + "SELECT object_id, round(request_time, 6) AS time, " + ", ".join(f"max(flux) FILTER (WHERE band = '{b}') AS flux_{b}" for b in EVENT_BANDS) + " FROM near WHERE nth = 1 GROUP BY object_id, request_time")
 def densify_bands(spark, d):
     dense = joins.densify(observations(spark, d), EVENT_BANDS)
     return rounded(dense.select("object_id", "time", *(f"flux_{b}" for b in EVENT_BANDS)), "time")
 
 
-@query("band_region_join", WITH(OBS_SQL, _ASKS) + "SELECT a.object_id, a.request_time, array_to_string(list_sort(list(DISTINCT o.band)), ',') AS bands FROM asks a JOIN obs o ON o.object_id = a.object_id AND a.request_time - 1.5 < o.time AND o.time < a.request_time + 1.5 GROUP BY 1, 2")
+@query("band_region_join", WITH(OBS_SQL, _ASKS) + "SELECT a.object_id, a.request_time, array_to_string(list_sort(list(DISTINCT o.band)), ',') AS "
+    "bands FROM asks a JOIN obs o ON o.object_id = a.object_id AND a.request_time - 1.5 < o.time AND o.time < a.request_time + 1.5 GROUP BY 1, 2")
 def band_region_join(spark, d):
     o = observations(spark, d)
     return joins.region_bands(o, requests(o), 1.5).select("object_id", "request_time", F.array_join("bands", ",").alias("bands"))
@@ -425,7 +453,9 @@ def band_region_join(spark, d):
 @query(
     "band_coverage_histogram",
     WITH(OBS_SQL, "t AS (SELECT DISTINCT object_id, time AS request_time FROM obs)")
-    + "SELECT radius, n_bands, count(*) AS n_times FROM (SELECT CAST(r AS DOUBLE) AS radius, a.object_id, a.request_time, CAST(count(DISTINCT o.band) AS INTEGER) AS n_bands FROM t a, (VALUES (1), (2), (4), (8), (16), (32), (64), (128)) AS v(r), obs o WHERE o.object_id = a.object_id AND a.request_time - r < o.time AND o.time < a.request_time + r GROUP BY 1, 2, 3) GROUP BY 1, 2",
+    + "SELECT radius, n_bands, count(*) AS n_times FROM (SELECT CAST(r AS DOUBLE) AS radius, a.object_id, a.request_time, CAST(count(DISTINCT "
+        "o.band) AS INTEGER) AS n_bands FROM t a, (VALUES (1), (2), (4), (8), (16), (32), (64), (128)) AS v(r), obs o WHERE o.object_id = "
+        "a.object_id AND a.request_time - r < o.time AND o.time < a.request_time + r GROUP BY 1, 2, 3) GROUP BY 1, 2",
 )
 def band_coverage_histogram(spark, d):
     return joins.coverage(observations(spark, d), [2.0**i for i in range(8)])
@@ -442,17 +472,22 @@ used AS (SELECT pair_id, side, c, row_number() OVER (PARTITION BY c ORDER BY pai
 chosen AS (SELECT u.pair_id, u.side, r.object_id, r.target FROM used u JOIN classes USING (c) JOIN ranked r ON r.target = classes.target AND r.pos = u.use % r.n)"""
 
 
-@query("negative_pairs", WITH(OBS_SQL, META_SQL, _RANKED, _drawn()) + "SELECT pair_id, max(object_id) FILTER (WHERE side = 'left') AS left_id, max(object_id) FILTER (WHERE side = 'right') AS right_id, max(target) FILTER (WHERE side = 'left') AS left_target, max(target) FILTER (WHERE side = 'right') AS right_target FROM chosen GROUP BY 1")
+@query("negative_pairs", WITH(OBS_SQL, META_SQL, _RANKED, _drawn()) + "SELECT pair_id, max(object_id) FILTER (WHERE side = 'left') AS left_id, "
+    "max(object_id) FILTER (WHERE side = 'right') AS right_id, max(target) FILTER (WHERE side = 'left') AS left_target, max(target) FILTER (WHERE "
+    "side = 'right') AS right_target FROM chosen GROUP BY 1")
 def negative_pairs(spark, d):
     return joins.different_class_pairs(metadata(spark, d), None, SEED)
 
 
-@query("same_class_pairs", WITH(META_SQL) + "SELECT a.target, a.object_id AS left_id, b.object_id AS right_id FROM meta a JOIN meta b ON a.target = b.target AND a.object_id <> b.object_id")
+@query("same_class_pairs", WITH(META_SQL) + "SELECT a.target, a.object_id AS left_id, b.object_id AS right_id FROM meta a JOIN meta b ON a.target = "
+    "b.target AND a.object_id <> b.object_id")
 def same_class_pairs(spark, d):
     return joins.same_class_pairs(metadata(spark, d))
 
 
-@query("pair_curves", WITH(OBS_SQL, META_SQL) + "SELECT a.object_id * 100000 + b.object_id AS pair_id, o.object_id = a.object_id AS is_left, count(*) AS n FROM meta a JOIN meta b ON a.target = b.target AND a.object_id < b.object_id JOIN obs o ON o.object_id IN (a.object_id, b.object_id) GROUP BY 1, 2")
+@query("pair_curves", WITH(OBS_SQL, META_SQL) + "SELECT a.object_id * 100000 + b.object_id AS pair_id, o.object_id = a.object_id AS is_left, "
+    "count(*) AS n FROM meta a JOIN meta b ON a.target = b.target AND a.object_id < b.object_id JOIN obs o ON o.object_id IN (a.object_id, "
+    "b.object_id) GROUP BY 1, 2")
 def pair_curves(spark, d):
     p = joins.same_class_pairs(metadata(spark, d)).where("left_id < right_id").withColumn("pair_id", F.col("left_id") * 100000 + F.col("right_id"))
     return joins.pair_curves(p, observations(spark, d)).groupBy("pair_id", (F.col("side") == "left").alias("is_left")).agg(F.count("*").alias("n"))
@@ -473,7 +508,8 @@ def arc_length_object(spark, d):
     return rounded(curves.arc_lengths(observations(spark, d)), "arc_length")
 
 
-@query("arc_length_by_class", WITH(OBS_SQL, META_SQL, _STEPS) + "SELECT target, count(*) AS n_objects, round(avg(arc_length), 6) AS mean_arc_length FROM (SELECT object_id, sum(arc_length) AS arc_length FROM band_arcs GROUP BY 1) JOIN meta USING (object_id) GROUP BY 1")
+@query("arc_length_by_class", WITH(OBS_SQL, META_SQL, _STEPS) + "SELECT target, count(*) AS n_objects, round(avg(arc_length), 6) AS mean_arc_length "
+    "FROM (SELECT object_id, sum(arc_length) AS arc_length FROM band_arcs GROUP BY 1) JOIN meta USING (object_id) GROUP BY 1")
 def arc_length_by_class(spark, d):
     arcs = lookups.with_metadata(curves.arc_lengths(observations(spark, d)), metadata(spark, d))
     return arcs.groupBy("target").agg(F.count("*").alias("n_objects"), F.round(F.avg("arc_length"), 6).alias("mean_arc_length"))
@@ -484,14 +520,17 @@ def point_counts(spark, d):
     return curves.point_counts(observations(spark, d))
 
 
-@query("is_sane", WITH(OBS_SQL) + "SELECT object_id, bool_and(coalesce(time > prev, true)) AS is_sane FROM (SELECT object_id, time, lag(time) OVER (PARTITION BY object_id, band ORDER BY (tie * 7919) % 10007, tie) AS prev FROM (SELECT *, tie AS t FROM obs WHERE object_id % 2 = 1 ) UNION ALL SELECT object_id, time, lag(time) OVER (PARTITION BY object_id, band ORDER BY tie) FROM obs WHERE object_id % 2 = 0) GROUP BY 1")
+@query("is_sane", WITH(OBS_SQL) + "SELECT object_id, bool_and(coalesce(time > prev, true)) AS is_sane FROM (SELECT object_id, time, lag(time) OVER "
+    "(PARTITION BY object_id, band ORDER BY (tie * 7919) % 10007, tie) AS prev FROM (SELECT *, tie AS t FROM obs WHERE object_id % 2 = 1 ) UNION ALL "
+    "SELECT object_id, time, lag(time) OVER (PARTITION BY object_id, band ORDER BY tie) FROM obs WHERE object_id % 2 = 0) GROUP BY 1")
 def is_sane(spark, d):
     o = observations(spark, d)
     arrival = F.when(F.col("object_id") % 2 == 1, (F.col("tie") * 7919) % 10007).otherwise(F.col("tie"))
     return curves.sanity(o.withColumn("arrival", F.struct(arrival.alias("a"), F.col("tie").alias("b"))), "arrival")
 
 
-@query("all_times_unique", WITH(OBS_SQL) + "SELECT object_id, count(DISTINCT time) AS n_times, round(min(time), 6) AS first_time, round(max(time), 6) AS last_time FROM obs GROUP BY 1")
+@query("all_times_unique", WITH(OBS_SQL) + "SELECT object_id, count(DISTINCT time) AS n_times, round(min(time), 6) AS first_time, round(max(time), "
+    "6) AS last_time FROM obs GROUP BY 1")
 def all_times_unique(spark, d):
     t = curves.distinct_times(observations(spark, d))
     return t.groupBy("object_id").agg(F.count("*").alias("n_times"), F.round(F.min("time"), 6).alias("first_time"), F.round(F.max("time"), 6).alias("last_time"))
@@ -516,7 +555,8 @@ def describe(spark, d):
     return rounded(rounded(t, "mean", "variance"), "skewness", "kurtosis", digits=5)
 
 
-@query("median_dt", WITH(OBS_SQL) + "SELECT round(quantile_cont(dt, 0.5), 6) AS median_dt FROM (SELECT time - lag(time) OVER (PARTITION BY object_id, band ORDER BY time, tie) AS dt FROM obs)")
+@query("median_dt", WITH(OBS_SQL) + "SELECT round(quantile_cont(dt, 0.5), 6) AS median_dt FROM (SELECT time - lag(time) OVER (PARTITION BY "
+    "object_id, band ORDER BY time, tie) AS dt FROM obs)")
 def median_dt(spark, d):
     return rounded(stats.median_interval(observations(spark, d)), "median_dt")
 
@@ -539,16 +579,19 @@ def cutoff_percentiles(spark, d):
     return cuts.select("band", *(F.round(F.col("cutoffs")[i], 6).alias(f"c{i}") for i in range(8)))
 
 
-@query("cutoff_file", WITH(OBS_SQL, _grid_sql(8, 8, "flux", "band", "obs"), "scales AS (SELECT band, median(step) AS median_scale FROM (SELECT band, unnest([cutoffs[i + 1] - cutoffs[i] FOR i IN range(1, 8)]) AS step FROM cuts) GROUP BY 1)") + f"SELECT band, 'flux' AS \"column\", round(median_scale, 6) AS median_scale, {_CUT_COLUMNS} FROM cuts JOIN scales USING (band)")
+@query("cutoff_file", WITH(OBS_SQL, _grid_sql(8, 8, "flux", "band", "obs"), "scales AS (SELECT band, median(step) AS median_scale FROM (SELECT band, "
+    "unnest([cutoffs[i + 1] - cutoffs[i] FOR i IN range(1, 8)]) AS step FROM cuts) GROUP BY 1)") + f"SELECT band, 'flux' AS \"column\", round(median_scale, 6) AS median_scale, {_CUT_COLUMNS} FROM cuts JOIN scales USING (band)")
 def cutoff_file(spark, d):
     cuts = stats.percentile_cutoffs(observations(spark, d), 8, "band", value="flux")
     model = cuts.join(stats.cutoff_scales(cuts, "band"), "band").withColumn("column", F.lit("flux"))
     path = shared_path(spark, "cutoffs")
     tables.write_cutoffs(model, path)
-    return tables.read_cutoffs(spark, path).select("band", "column", F.round("median_scale", 6).alias("median_scale"), *(F.round(F.col("cutoffs")[i], 6).alias(f"c{i}") for i in range(8)))
+    return tables.read_cutoffs(spark, path).select("band", "column", F.round("median_scale", 6).alias("median_scale"), *(F.round(F.col("cutoffs")[i],
+        6).alias(f"c{i}") for i in range(8)))
 
 
-@query("cutoff_scale", WITH(OBS_SQL, _grid_sql(8, 8, "flux", "band", "obs")) + "SELECT band, round(median(step), 6) AS median_scale FROM (SELECT band, unnest([cutoffs[i + 1] - cutoffs[i] FOR i IN range(1, 8)]) AS step FROM cuts) GROUP BY 1")
+@query("cutoff_scale", WITH(OBS_SQL, _grid_sql(8, 8, "flux", "band", "obs")) + "SELECT band, round(median(step), 6) AS median_scale FROM (SELECT "
+    "band, unnest([cutoffs[i + 1] - cutoffs[i] FOR i IN range(1, 8)]) AS step FROM cuts) GROUP BY 1")
 def cutoff_scale(spark, d):
     return rounded(stats.cutoff_scales(stats.percentile_cutoffs(observations(spark, d), 8, "band", value="flux"), "band"), "median_scale")
 
@@ -556,21 +599,28 @@ def cutoff_scale(spark, d):
 @query(
     "histogram_density",
     WITH(OBS_SQL, "lim AS (SELECT band, min(flux) AS lo, max(flux) AS hi, count(*) AS total FROM obs GROUP BY 1)")
-    + "SELECT band, bin, count(*) AS n, round(count(*) / (max(total) * max((hi - lo) / 50)), 6) AS density FROM (SELECT o.band, CAST(CASE WHEN hi > lo THEN least(floor((flux - lo) / ((hi - lo) / 50)), 49) ELSE 0 END AS INTEGER) AS bin, total, hi, lo FROM obs o JOIN lim USING (band)) GROUP BY 1, 2",
+    + "SELECT band, bin, count(*) AS n, round(count(*) / (max(total) * max((hi - lo) / 50)), 6) AS density FROM (SELECT o.band, CAST(CASE WHEN hi > "
+        "lo THEN least(floor((flux - lo) / ((hi - lo) / 50)), 49) ELSE 0 END AS INTEGER) AS bin, total, hi, lo FROM obs o JOIN lim USING (band)) "
+        "GROUP BY 1, 2",
 )
 def histogram_density(spark, d):
     return rounded(stats.histogram(observations(spark, d), "flux", 50, "band"), "density")
 
 
-@query("kde_1d", WITH(OBS_SQL) + "SELECT band, CAST(place AS INTEGER) AS place, round(sum(exp(-0.5 * pow(x - flux, 2))) / count(*) / sqrt(2 * pi()), 6) AS density FROM obs, (SELECT place, pow(10, -1 + place * (4.0 / 49)) AS x FROM range(50) AS r(place)) GROUP BY 1, 2")
+@query("kde_1d", WITH(OBS_SQL) + "SELECT band, CAST(place AS INTEGER) AS place, round(sum(exp(-0.5 * pow(x - flux, 2))) / count(*) / sqrt(2 * pi()), "
+    "6) AS density FROM obs, (SELECT place, pow(10, -1 + place * (4.0 / 49)) AS x FROM range(50) AS r(place)) GROUP BY 1, 2")
 def kde_1d(spark, d):
     return rounded(stats.density_1d(observations(spark, d), "flux", stats.log_positions(0.1, 1000.0, 50), "band").drop("x"), "density")
 
 
 @query(
     "kde_2d",
-    WITH(OBS_SQL, "s AS (SELECT count(*) AS n, min(time) AS la, max(time) AS ha, min(flux) AS lb, max(flux) AS hb, var_samp(time) * pow(count(*), -1.0 / 3) AS caa, var_samp(flux) * pow(count(*), -1.0 / 3) AS cbb, covar_samp(time, flux) * pow(count(*), -1.0 / 3) AS cab FROM obs)", "g AS (SELECT CAST(i AS INTEGER) AS ia, CAST(j AS INTEGER) AS ib, la + (ha - la) * i / 99 AS xa, lb + (hb - lb) * j / 99 AS xb, caa, cbb, cab, n FROM range(100) AS a(i), range(100) AS b(j), s)")
-    + "SELECT ia, ib, round(sum(exp(-0.5 * (cbb * pow(xa - time, 2) - 2 * cab * (xa - time) * (xb - flux) + caa * pow(xb - flux, 2)) / (caa * cbb - cab * cab))) / (max(n) * 2 * pi() * sqrt(max(caa * cbb - cab * cab))), 8) AS density FROM obs, g GROUP BY 1, 2",
+    WITH(OBS_SQL, "s AS (SELECT count(*) AS n, min(time) AS la, max(time) AS ha, min(flux) AS lb, max(flux) AS hb, var_samp(time) * pow(count(*), "
+        "-1.0 / 3) AS caa, var_samp(flux) * pow(count(*), -1.0 / 3) AS cbb, covar_samp(time, flux) * pow(count(*), -1.0 / 3) AS cab FROM obs)",
+        "g AS (SELECT CAST(i AS INTEGER) AS ia, CAST(j AS INTEGER) AS ib, la + (ha - la) * i / 99 AS xa, lb + (hb - lb) * j / 99 AS xb, caa, cbb, "
+        "cab, n FROM range(100) AS a(i), range(100) AS b(j), s)")
+    + "SELECT ia, ib, round(sum(exp(-0.5 * (cbb * pow(xa - time, 2) - 2 * cab * (xa - time) * (xb - flux) + caa * pow(xb - flux, 2)) / (caa * cbb - "
+        "cab * cab))) / (max(n) * 2 * pi() * sqrt(max(caa * cbb - cab * cab))), 8) AS density FROM obs, g GROUP BY 1, 2",
 )
 def kde_2d(spark, d):
     return rounded(stats.density_2d(observations(spark, d), "time", "flux", 100).drop("xa", "xb"), "density", digits=8)
@@ -610,12 +660,16 @@ def pair_mse(spark, d):
     return rounded(stats.squared_error(vector_pairs(spark, d).withColumn("cos", C.cosine("left", "right")), "label", "cos"), "mse")
 
 
-@query("similarity_report", WITH(PAIRS_SQL, _SCORED, "r AS (SELECT count(*) AS n, avg(-label * ln(score + 1e-5) - (1 - label) * ln(1 - score + 1e-5)) AS loss, avg(CAST(CAST(score > 0.5 AS INTEGER) = label AS INTEGER)) AS accuracy, avg((pow(nl - 1, 2) + pow(nr - 1, 2)) / 2) AS aux FROM scored)") + "SELECT n, round(loss, 6) AS loss, round(accuracy, 6) AS accuracy, round(aux, 6) AS aux_loss, round(loss + 0.1 * aux, 6) AS total_loss FROM r")
+@query("similarity_report", WITH(PAIRS_SQL, _SCORED, "r AS (SELECT count(*) AS n, avg(-label * ln(score + 1e-5) - (1 - label) * ln(1 - score + "
+    "1e-5)) AS loss, avg(CAST(CAST(score > 0.5 AS INTEGER) = label AS INTEGER)) AS accuracy, avg((pow(nl - 1, 2) + pow(nr - 1, 2)) / 2) AS aux FROM "
+    "scored)") + "SELECT n, round(loss, 6) AS loss, round(accuracy, 6) AS accuracy, round(aux, 6) AS aux_loss, round(loss + 0.1 * aux, 6) AS "
+    "total_loss FROM r")
 def similarity_report(spark, d):
     return rounded(pairs.similarity_report(vector_pairs(spark, d)), "loss", "accuracy", "aux_loss", "total_loss")
 
 
-@query("dataset_weights", "SELECT dataset, n, round(n / sum(n) OVER (), 6) AS weight FROM (SELECT 'train' AS dataset, count(*) AS n FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT 'test', count(*) FROM customer WHERE c_custkey % 4 <> 0)")
+@query("dataset_weights", "SELECT dataset, n, round(n / sum(n) OVER (), 6) AS weight FROM (SELECT 'train' AS dataset, count(*) AS n FROM customer "
+    "WHERE c_custkey % 4 = 0 UNION ALL SELECT 'test', count(*) FROM customer WHERE c_custkey % 4 <> 0)")
 def dataset_weights(spark, d):
     c = read(spark, d, "customer")
     return rounded(stats.mixing_weights({"train": c.where("c_custkey % 4 = 0"), "test": c.where("c_custkey % 4 <> 0")}), "weight")
@@ -624,18 +678,23 @@ def dataset_weights(spark, d):
 _SPLIT = "CASE WHEN CAST(('0x' || substr(sha1('train_tune_20181210' || {key}), 1, 12)) AS BIGINT) <= 253327479039589 THEN 'TRAIN' ELSE 'TUNE' END"
 
 
-@query("split_kl", "SELECT round(sum(n / t * ln((n / t) / CASE split WHEN 'TRAIN' THEN 0.9 ELSE 0.1 END)), 6) AS kl, CAST(sum(n) AS BIGINT) AS n FROM (SELECT split, count(*) AS n, sum(count(*)) OVER () AS t FROM (SELECT " + _SPLIT.format(key="c_custkey") + " AS split FROM customer) GROUP BY 1)")
+@query("split_kl", "SELECT round(sum(n / t * ln((n / t) / CASE split WHEN 'TRAIN' THEN 0.9 ELSE 0.1 END)), 6) AS kl, CAST(sum(n) AS BIGINT) AS n "
+    "FROM (SELECT split, count(*) AS n, sum(count(*)) OVER () AS t FROM (SELECT " + _SPLIT.format(key="c_custkey") + " AS split FROM customer) GROUP BY 1)")
 def split_kl(spark, d):
     s = read(spark, d, "customer").select(id_split(F.col("c_custkey")).alias("split"))
     return rounded(stats.split_divergence(s, {"TRAIN": 0.9, "TUNE": 0.1}), "kl")
 
 
-@query("match_values", WITH(PAIRS_SQL, _SCORED, "m AS (SELECT s.score, l.label AS a, r.label AS b FROM scored s JOIN embeddings l ON l.vec_id = 2 * s.pair_id JOIN embeddings r ON r.vec_id = 2 * s.pair_id + 1)") + "SELECT CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE 'mismatch' END AS \"match\", count(*) AS n, round(avg(score), 6) AS mean, round(min(score), 6) AS least, round(max(score), 6) AS most FROM m GROUP BY 1")
+@query("match_values", WITH(PAIRS_SQL, _SCORED, "m AS (SELECT s.score, l.label AS a, r.label AS b FROM scored s JOIN embeddings l ON l.vec_id = 2 * "
+    "s.pair_id JOIN embeddings r ON r.vec_id = 2 * s.pair_id + 1)") + "SELECT CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE 'mismatch' END AS "
+    "\"match\", count(*) AS n, round(avg(score), 6) AS mean, round(min(score), 6) AS least, round(max(score), 6) AS most FROM m GROUP BY 1")
 def match_values(spark, d):
     return rounded(stats.match_values(_scored(spark, d), "left_label", "right_label", "score"), "mean", "least", "most")
 
 
-@query("match_lists", WITH(PAIRS_SQL, _SCORED, "m AS (SELECT s.pair_id, s.score, l.label AS a, r.label AS b FROM scored s JOIN embeddings l ON l.vec_id = 2 * s.pair_id JOIN embeddings r ON r.vec_id = 2 * s.pair_id + 1)") + "SELECT CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE 'mismatch' END AS \"match\", pair_id, round(score, 6) AS score FROM m")
+@query("match_lists", WITH(PAIRS_SQL, _SCORED, "m AS (SELECT s.pair_id, s.score, l.label AS a, r.label AS b FROM scored s JOIN embeddings l ON "
+    "l.vec_id = 2 * s.pair_id JOIN embeddings r ON r.vec_id = 2 * s.pair_id + 1)") + "SELECT CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE 'mismatch' "
+    "END AS \"match\", pair_id, round(score, 6) AS score FROM m")
 def match_lists(spark, d):
     return rounded(stats.match_lists(_scored(spark, d), "left_label", "right_label", "pair_id", "score"), "score")
 
@@ -667,7 +726,8 @@ near_by AS (SELECT m.object_id, m.band, m.time, count(*) FILTER (WHERE p.pos < l
   FROM moments m LEFT JOIN placed p ON p.object_id = m.object_id AND p.band = m.band AND (p.pos BETWEEN lo - 3 AND lo - 1 OR p.pos BETWEEN hi + 1 AND hi + 3) GROUP BY 1, 2, 3)"""
 
 
-@query("window_ties", WITH(LINES_SQL, _TIED) + "SELECT o.tie, CAST(3 - n_before AS INTEGER) AS before_padding, CAST(3 - n_after AS INTEGER) AS after_padding, round(before_sum, 4) AS before_sum, round(after_sum, 4) AS after_sum FROM obs o JOIN near_by USING (object_id, band, time)")
+@query("window_ties", WITH(LINES_SQL, _TIED) + "SELECT o.tie, CAST(3 - n_before AS INTEGER) AS before_padding, CAST(3 - n_after AS INTEGER) AS "
+    "after_padding, round(before_sum, 4) AS before_sum, round(after_sum, 4) AS after_sum FROM obs o JOIN near_by USING (object_id, band, time)")
 def window_ties(spark, d):
     total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 4)
     w = windows.surroundings(line_curves(spark, d), 3)
@@ -691,7 +751,9 @@ def contiguous_runs(spark, d):
     return windows.runs(observations(spark, d), 0.5, 3.0).select("tie", "run")
 
 
-@query("valid_windows", WITH(OBS_SQL, _DIFFS, _RUNS) + "SELECT tie, pos FROM (SELECT tie, row_number() OVER (PARTITION BY object_id, band ORDER BY time, tie) - 1 AS pos, bool_and(ok) OVER f AS good, count(*) OVER f AS n FROM marked WINDOW f AS (PARTITION BY object_id, band ORDER BY time, tie ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)) WHERE good AND n = 2")
+@query("valid_windows", WITH(OBS_SQL, _DIFFS, _RUNS) + "SELECT tie, pos FROM (SELECT tie, row_number() OVER (PARTITION BY object_id, band ORDER BY "
+    "time, tie) - 1 AS pos, bool_and(ok) OVER f AS good, count(*) OVER f AS n FROM marked WINDOW f AS (PARTITION BY object_id, band ORDER BY time, "
+    "tie ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)) WHERE good AND n = 2")
 def valid_windows(spark, d):
     return windows.valid_windows(observations(spark, d), 3, 0.5, 3.0).select("tie", "pos")
 
@@ -704,18 +766,21 @@ def downsample_nth(spark, d):
     return windows.every_nth(observations(spark, d), 8.0).select("object_id", "band", "tie")
 
 
-@query("prefix_index", WITH(OBS_SQL) + "SELECT object_id, band, CAST(sum(n) OVER (ORDER BY object_id, band) - n AS BIGINT) AS start, CAST(sum(n) OVER (ORDER BY object_id, band) AS BIGINT) AS \"end\" FROM (SELECT object_id, band, count(*) AS n FROM obs GROUP BY 1, 2)")
+@query("prefix_index", WITH(OBS_SQL) + "SELECT object_id, band, CAST(sum(n) OVER (ORDER BY object_id, band) - n AS BIGINT) AS start, CAST(sum(n) "
+    "OVER (ORDER BY object_id, band) AS BIGINT) AS \"end\" FROM (SELECT object_id, band, count(*) AS n FROM obs GROUP BY 1, 2)")
 def prefix_index(spark, d):
     return windows.range_index(observations(spark, d), "object_id", "band")
 
 
-@query("run_index", "SELECT o_orderkey, min(pos) AS start, max(pos) + 1 AS \"end\" FROM (SELECT l_orderkey AS o_orderkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos FROM lineitem) GROUP BY 1")
+@query("run_index", "SELECT o_orderkey, min(pos) AS start, max(pos) + 1 AS \"end\" FROM (SELECT l_orderkey AS o_orderkey, row_number() OVER (ORDER "
+    "BY l_orderkey, l_linenumber) - 1 AS pos FROM lineitem) GROUP BY 1")
 def run_index(spark, d):
     placed = lookups.numbered(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber"), "o_orderkey", "l_linenumber")
     return windows.run_index(placed, "o_orderkey")
 
 
-@query("index_slices", WITH(OBS_SQL) + "SELECT object_id, n, CAST(sum(n) OVER (ORDER BY object_id) - n AS BIGINT) AS first_pos, CAST(sum(n) OVER (ORDER BY object_id) - 1 AS BIGINT) AS last_pos FROM (SELECT object_id, count(*) AS n FROM obs GROUP BY 1)")
+@query("index_slices", WITH(OBS_SQL) + "SELECT object_id, n, CAST(sum(n) OVER (ORDER BY object_id) - n AS BIGINT) AS first_pos, CAST(sum(n) OVER "
+    "(ORDER BY object_id) - 1 AS BIGINT) AS last_pos FROM (SELECT object_id, count(*) AS n FROM obs GROUP BY 1)")
 def index_slices(spark, d):
     o = observations(spark, d)
     points = lookups.numbered(o.select("object_id", "tie"), "object_id", "tie").select("pos", "tie")
@@ -732,7 +797,8 @@ def seeded_rotation(spark, d):
     return windows.rotation(read(spark, d, "customer").select(F.col("c_custkey").alias("object_id")), SEED)
 
 
-@query("chunk_ids", WITH("ids AS (SELECT c_custkey AS object_id FROM customer)", _rotation("ids")) + "SELECT object_id, step, step // 7 AS chunk, CAST(step % 7 AS INTEGER) AS place FROM laps WHERE (step // 7 + 1) * 7 <= (SELECT count(*) FROM customer)")
+@query("chunk_ids", WITH("ids AS (SELECT c_custkey AS object_id FROM customer)", _rotation("ids")) + "SELECT object_id, step, step // 7 AS chunk, "
+    "CAST(step % 7 AS INTEGER) AS place FROM laps WHERE (step // 7 + 1) * 7 <= (SELECT count(*) FROM customer)")
 def chunk_ids(spark, d):
     return windows.chunks(windows.rotation(read(spark, d, "customer").select(F.col("c_custkey").alias("object_id")), SEED), 7)
 
@@ -744,18 +810,21 @@ def first_after_rotation(spark, d):
 
 
 # ---------------------------------------------------------------- sets and splits
-@query("merge_curves", WITH(OBS_SQL) + "SELECT object_id, band, count(*) AS n, round(sum(time), 6) AS time_sum FROM (SELECT object_id, band, time FROM obs UNION ALL SELECT object_id - object_id % 2, band, time + 1 FROM obs WHERE object_id % 2 = 1) GROUP BY 1, 2")
+@query("merge_curves", WITH(OBS_SQL) + "SELECT object_id, band, count(*) AS n, round(sum(time), 6) AS time_sum FROM (SELECT object_id, band, time "
+    "FROM obs UNION ALL SELECT object_id - object_id % 2, band, time + 1 FROM obs WHERE object_id % 2 = 1) GROUP BY 1, 2")
 def merge_curves(spark, d):
     o = observations(spark, d)
     other = curves.linear_transform(o.where("object_id % 2 = 1").withColumn("object_id", F.col("object_id") - F.col("object_id") % 2), translate_time=1.0)
     return curves.merge(o, other).groupBy("object_id", "band").agg(F.count("*").alias("n"), F.round(F.sum("time"), 6).alias("time_sum"))
 
 
-@query("class_set_algebra", WITH(META_SQL) + "SELECT object_id, target, target IN (1, 2, 3, 5, 8) OR target IN (2, 4, 6, 8) AS in_any, target IN (2, 8) AS in_both, target IN (1, 3, 5) AS only_first FROM meta")
+@query("class_set_algebra", WITH(META_SQL) + "SELECT object_id, target, target IN (1, 2, 3, 5, 8) OR target IN (2, 4, 6, 8) AS in_any, target IN (2, "
+    "8) AS in_both, target IN (1, 3, 5) AS only_first FROM meta")
 def class_set_algebra(spark, d):
     flags = periods.class_table(spark, first=(1, 2, 3, 5, 8), second=(2, 4, 6, 8))
     joined = metadata(spark, d).select("object_id", "target").join(F.broadcast(flags), "target", "left").na.fill(False)  # flags: a literal list
-    return joined.select("object_id", "target", (F.col("first") | F.col("second")).alias("in_any"), (F.col("first") & F.col("second")).alias("in_both"), (F.col("first") & ~F.col("second")).alias("only_first"))
+    return joined.select("object_id", "target", (F.col("first") | F.col("second")).alias("in_any"),
+        (F.col("first") & F.col("second")).alias("in_both"), (F.col("first") & ~F.col("second")).alias("only_first"))
 
 
 @query("ids_in_all_bands", WITH(OBS_SQL) + "SELECT object_id FROM " + _STRETCHES_SQL + " GROUP BY 1 HAVING count(DISTINCT band) = 5")
@@ -797,7 +866,8 @@ _ALL = (OBS_SQL, _FRAMES, _POINT, _WINDOW)
 @query("per_point_features", WITH(*_ALL[:3]) + f"SELECT object_id, band, round(request_time, 6) AS request_time, before_padding, after_padding, round(ct, 6) AS closest_time_in_band, cf AS closest_flux_in_band, round(diff, 6) AS closest_time_diff, {_cells()} FROM feat")
 def per_point_features(spark, d):
     f = features.point_features(observations(spark, d), N, EVENT_BANDS)
-    kept = ["object_id", "band", F.round("request_time", 6).alias("request_time"), "before_padding", "after_padding", F.round("closest_time_in_band", 6).alias("closest_time_in_band"), "closest_flux_in_band", F.round("closest_time_diff", 6).alias("closest_time_diff")]
+    kept = ["object_id", "band", F.round("request_time", 6).alias("request_time"), "before_padding", "after_padding", F.round("closest_time_in_band",
+        6).alias("closest_time_in_band"), "closest_flux_in_band", F.round("closest_time_diff", 6).alias("closest_time_diff")]
     return f.select(*kept, *_cell_columns())
 
 
@@ -808,7 +878,8 @@ def _windows(spark, d):
 @query("window_mask", WITH(*_ALL) + f"SELECT object_id, band, round(request_time, 6) AS request_time, in_window, array_to_string([CASE WHEN m THEN '1' ELSE '0' END FOR m IN mask], '') AS mask FROM layer")
 def window_mask(spark, d):
     w = _windows(spark, d)
-    return w.select("object_id", "band", F.round("request_time", 6).alias("request_time"), "in_window", F.array_join(F.transform("mask", lambda m: F.when(m, "1").otherwise("0")), "").alias("mask"))
+    return w.select("object_id", "band", F.round("request_time", 6).alias("request_time"), "in_window", F.array_join(F.transform("mask",
+        lambda m: F.when(m, "1").otherwise("0")), "").alias("mask"))
 
 
 @query("dflux_dt", WITH(*_ALL) + "SELECT object_id, band, round(request_time, 6) AS request_time, " + ", ".join(f"round(CASE WHEN mask[{i + 1}] THEN coalesce(dflux_dt[{i + 1}], 0.0) ELSE 0.0 END, 5) AS s{i}" for i in range(2 * N)) + " FROM layer")
@@ -817,13 +888,16 @@ def dflux_dt(spark, d):
     return w.select("object_id", "band", F.round("request_time", 6).alias("request_time"), *(F.round(F.col("v")[i], 5).alias(f"s{i}") for i in range(2 * N)))
 
 
-@query("initial_layer", WITH(*_ALL) + "SELECT object_id, band, round(request_time, 6) AS request_time, " + ", ".join(f"round({c}[{i + 1}], 5) AS {c}_{i}" for i in (0, 2 * N - 1) for c in features.COLUMNS) + " FROM layer")
+@query("initial_layer", WITH(*_ALL) + "SELECT object_id, band, round(request_time, 6) AS request_time, " + ", ".join(f"round({c}[{i + 1}], 5) AS {c}_{i}" for i in (0,
+    2 * N - 1) for c in features.COLUMNS) + " FROM layer")
 def initial_layer(spark, d):
     w = _windows(spark, d).withColumn("layer", C.initial_layer(F.col("dflux"), F.col("dtime")))
-    return w.select("object_id", "band", F.round("request_time", 6).alias("request_time"), *(F.round(F.col("layer")[i][j], 5).alias(f"{c}_{i}") for i in (0, 2 * N - 1) for j, c in enumerate(features.COLUMNS)))
+    return w.select("object_id", "band", F.round("request_time", 6).alias("request_time"), *(F.round(F.col("layer")[i][j],
+        5).alias(f"{c}_{i}") for i in (0, 2 * N - 1) for j, c in enumerate(features.COLUMNS)))
 
 
-@query("soft_onehot", WITH(OBS_SQL) + "SELECT tie, " + ", ".join(f"round(1 / (1 + exp(-(flux - {c}.0) / 25.0)), 6) AS b{i}, round(exp(-pow((flux - {c}.0) / 25.0, 2)), 6) AS g{i}" for i, c in enumerate((0, 50, 100, 200))) + " FROM obs")
+@query("soft_onehot", WITH(OBS_SQL) + "SELECT tie, " + ", ".join(f"round(1 / (1 + exp(-(flux - {c}.0) / 25.0)), 6) AS b{i}, round(exp(-pow((flux - {c}.0) / 25.0, 2)), 6) AS g{i}" for i,
+    c in enumerate((0, 50, 100, 200))) + " FROM obs")
 def soft_onehot(spark, d):
     cut, scale = F.array(*(F.lit(float(x)) for x in (0, 50, 100, 200))), F.lit(25.0)
     s, g = C.soft_onehot(F.array("flux"), cut, scale)[0], C.soft_onehot(F.array("flux"), cut, scale, C.gaussian)[0]
@@ -854,7 +928,8 @@ _BINS = "CASE WHEN mask[{s}] THEN 1 / (1 + exp(greatest(-700.0, least(700.0, -({
 _FIXED = "fixed AS (SELECT *, [-1.0, 1.0] AS dflux_dt_cut, 2.0 AS dflux_dt_scale, [-50.0, 50.0] AS dflux_cut, 100.0 AS dflux_scale, [-2.0, 2.0] AS dtime_cut, 4.0 AS dtime_scale FROM layer)"
 
 
-@query("dense_features", WITH(*_ALL, _FIXED) + "SELECT object_id, band, round(request_time, 6) AS request_time, " + ", ".join(f"round({_BINS.format(s=s, c=c, e=e)}, 5) AS {c}_{s - 1}_{e - 1}" for s in (1, 2 * N) for c in features.COLUMNS for e in (1, 2)) + " FROM fixed")
+@query("dense_features", WITH(*_ALL, _FIXED) + "SELECT object_id, band, round(request_time, 6) AS request_time, " + ", ".join(f"round({_BINS.format(s=s, c=c, e=e)}, 5) AS {c}_{s - 1}_{e - 1}" for s in (1,
+    2 * N) for c in features.COLUMNS for e in (1, 2)) + " FROM fixed")
 def dense_features(spark, d):
     rows = [(b, c, s, [-x, x]) for b in EVENT_BANDS for c, s, x in (("dflux_dt", 2.0, 1.0), ("dflux", 100.0, 50.0), ("dtime", 4.0, 2.0))]
     cut = spark.createDataFrame(rows, "band string, column string, median_scale double, cutoffs array<double>")
@@ -876,13 +951,15 @@ def per_band_unpivot(spark, d):
     return features.per_band_long(wide, EVENT_BANDS, ("n",), "object_id").where("n is not null")
 
 
-@query("stack_bands", WITH(OBS_SQL) + "SELECT object_id, array_to_string(list(n ORDER BY passband), ',') AS counts FROM (SELECT object_id, passband, count(*) AS n FROM obs GROUP BY 1, 2) GROUP BY 1")
+@query("stack_bands", WITH(OBS_SQL) + "SELECT object_id, array_to_string(list(n ORDER BY passband), ',') AS counts FROM (SELECT object_id, passband, "
+    "count(*) AS n FROM obs GROUP BY 1, 2) GROUP BY 1")
 def stack_bands(spark, d):
     per = observations(spark, d).groupBy("object_id", "band").agg(F.count("*").alias("n"))
     return features.stack_bands(per, "n", EVENT_BANDS, "object_id").select("object_id", F.array_join(F.transform("n", lambda x: x.cast("string")), ",").alias("counts"))
 
 
-@query("join_features", WITH(OBS_SQL, _STEPS) + "SELECT object_id, count(*) AS n_points, count(DISTINCT band) AS n_bands, round(max(a.arc), 6) AS arc_length FROM obs JOIN (SELECT object_id, sum(arc_length) AS arc FROM band_arcs GROUP BY 1) a USING (object_id) GROUP BY 1")
+@query("join_features", WITH(OBS_SQL, _STEPS) + "SELECT object_id, count(*) AS n_points, count(DISTINCT band) AS n_bands, round(max(a.arc), 6) AS "
+    "arc_length FROM obs JOIN (SELECT object_id, sum(arc_length) AS arc FROM band_arcs GROUP BY 1) a USING (object_id) GROUP BY 1")
 def join_features(spark, d):
     o = observations(spark, d)
     return rounded(features.join_features(curves.point_counts(o), curves.arc_lengths(o), "object_id"), "arc_length")
@@ -905,7 +982,8 @@ both_sides AS (SELECT object_id, band, tie, 'left' AS side, time, flux, flux_err
   UNION ALL SELECT object_id, band, tie, 'right', dt * (time + tt), df * (flux + tf), sqrt(df) * flux_err, dt * (pair_time + tt) FROM obs JOIN moment USING (object_id) JOIN made USING (object_id))"""
 
 
-@query("positive_pairs", WITH(OBS_SQL, _MADE) + "SELECT object_id, side, tie, round(time, 6) AS time, round(flux, 6) AS flux, round(flux_err, 6) AS flux_err, round(pair_time, 6) AS pair_time FROM both_sides")
+@query("positive_pairs", WITH(OBS_SQL, _MADE) + "SELECT object_id, side, tie, round(time, 6) AS time, round(flux, 6) AS flux, round(flux_err, 6) AS "
+    "flux_err, round(pair_time, 6) AS pair_time FROM both_sides")
 def positive_pairs(spark, d):
     p = pairs.positive_pairs(observations(spark, d), SEED)
     return rounded(p.select("object_id", "side", "tie", "time", "flux", "flux_err", "pair_time"), "time", "flux", "flux_err", "pair_time")
@@ -940,10 +1018,14 @@ pnear AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side, band ORDER BY
 def pair_features(spark, d):
     f = pairs.negative_features(observations(spark, d), metadata(spark, d), None, N, EVENT_BANDS, SEED)
     total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 6)
-    return f.where("closest_time_in_band is not null").select("pair_id", "side", "band", "label", F.round("closest_time_in_band", 6).alias("closest_time_in_band"), "closest_flux_in_band", "before_padding", "after_padding", total("before_flux").alias("before_sum"), total("after_flux").alias("after_sum"))
+    return f.where("closest_time_in_band is not null").select("pair_id", "side", "band", "label", F.round("closest_time_in_band",
+        6).alias("closest_time_in_band"), "closest_flux_in_band", "before_padding", "after_padding", total("before_flux").alias("before_sum"),
+        total("after_flux").alias("after_sum"))
 
 
-@query("lr_pivot", WITH(OBS_SQL, META_SQL, _RANKED, _drawn(), _NEGATIVE) + "SELECT pair_id, max(target) FILTER (WHERE side = 'left') AS left_target, max(target) FILTER (WHERE side = 'right') AS right_target, round(max(time) FILTER (WHERE side = 'left'), 6) AS left_time, round(max(time) FILTER (WHERE side = 'right'), 6) AS right_time FROM negative GROUP BY 1")
+@query("lr_pivot", WITH(OBS_SQL, META_SQL, _RANKED, _drawn(), _NEGATIVE) + "SELECT pair_id, max(target) FILTER (WHERE side = 'left') AS left_target, "
+    "max(target) FILTER (WHERE side = 'right') AS right_target, round(max(time) FILTER (WHERE side = 'left'), 6) AS left_time, round(max(time) "
+    "FILTER (WHERE side = 'right'), 6) AS right_time FROM negative GROUP BY 1")
 def lr_pivot(spark, d):
     n = pairs.negative_pairs(observations(spark, d), metadata(spark, d), None, SEED)
     return rounded(features.left_right(n, ("target", "time"), "pair_id"), "left_time", "right_time")
@@ -966,7 +1048,8 @@ def training_set(spark, d):
     rows = pairs.training_set(observations(spark, d), metadata(spark, d), N, EVENT_BANDS, SEED).where("closest_time_in_band is not null")
     total = lambda c: F.sum(F.aggregate(c, F.lit(0.0), lambda a, x: a + x))
     sums = {"times": F.sum("closest_time_in_band"), "fluxes": F.sum("closest_flux_in_band"), "before_sum": total("before_flux"), "after_sum": total("after_flux")}
-    return rows.groupBy("label", "side", "band").agg(F.count("*").alias("n"), F.sum("before_padding").alias("before_padding"), F.sum("after_padding").alias("after_padding"), *(F.round(x, 3).alias(c) for c, x in sums.items()))
+    return rows.groupBy("label", "side", "band").agg(F.count("*").alias("n"), F.sum("before_padding").alias("before_padding"),
+        F.sum("after_padding").alias("after_padding"), *(F.round(x, 3).alias(c) for c, x in sums.items()))
 
 
 _REGULAR = """gaps AS (SELECT *, time - lag(time) OVER (PARTITION BY object_id, band ORDER BY time, tie) AS dt FROM thin),
@@ -992,13 +1075,16 @@ wpairs AS (SELECT s.pair_id, s.label, s.side, r.pts FROM wsides s JOIN wranked r
 wslopes AS (SELECT pair_id, label, side, [coalesce((pts[i + 1].f - pts[i].f) / nullif(pts[i + 1].t - pts[i].t, 0), 0.0) FOR i IN range(1, 3)] AS v FROM wpairs)"""
 
 
-@query("contiguous_window_pairs", WITH(OBS_SQL, _THIN.format(rate=_RATE), _REGULAR, _WINDOW_PAIRS) + "SELECT pair_id, label, max(pts[1].f) FILTER (WHERE side = 'left') AS left_f0, max(pts[1].f) FILTER (WHERE side = 'right') AS right_f0 FROM wpairs GROUP BY 1, 2")
+@query("contiguous_window_pairs", WITH(OBS_SQL, _THIN.format(rate=_RATE), _REGULAR, _WINDOW_PAIRS) + "SELECT pair_id, label, max(pts[1].f) FILTER "
+    "(WHERE side = 'left') AS left_f0, max(pts[1].f) FILTER (WHERE side = 'right') AS right_f0 FROM wpairs GROUP BY 1, 2")
 def contiguous_window_pairs(spark, d):
     p = pairs.window_pairs(pairs.regular_windows(observations(spark, d), 3, _RATE), None, SEED)
     return p.select("pair_id", "label", F.col("left")[0]["flux"].alias("left_f0"), F.col("right")[0]["flux"].alias("right_f0"))
 
 
-@query("window_slope_similarity", WITH(OBS_SQL, _THIN.format(rate=_RATE), _REGULAR, _WINDOW_PAIRS) + "SELECT l.pair_id, l.label, round(list_dot_product(l.v, r.v) / nullif(sqrt(list_dot_product(l.v, l.v)) * sqrt(list_dot_product(r.v, r.v)), 0), 6) AS cosine FROM wslopes l JOIN wslopes r USING (pair_id) WHERE l.side = 'left' AND r.side = 'right'")
+@query("window_slope_similarity", WITH(OBS_SQL, _THIN.format(rate=_RATE), _REGULAR, _WINDOW_PAIRS) + "SELECT l.pair_id, l.label, "
+    "round(list_dot_product(l.v, r.v) / nullif(sqrt(list_dot_product(l.v, l.v)) * sqrt(list_dot_product(r.v, r.v)), 0), 6) AS cosine FROM wslopes l "
+    "JOIN wslopes r USING (pair_id) WHERE l.side = 'left' AND r.side = 'right'")
 def window_slope_similarity(spark, d):
     return rounded(pairs.slope_similarity(pairs.window_pairs(pairs.regular_windows(observations(spark, d), 3, _RATE), None, SEED)), "cosine")
 
@@ -1018,7 +1104,8 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER
 
 def _next_pairs(spark, d):
     m = metadata(spark, d)
-    return m.select(F.col("object_id").alias("pair_id"), F.col("object_id").alias("left_id"), (F.col("object_id") + 1).alias("right_id")).join(m.select(F.col("object_id").alias("right_id")), "right_id", "left_semi")
+    return m.select(F.col("object_id").alias("pair_id"), F.col("object_id").alias("left_id"),
+        (F.col("object_id") + 1).alias("right_id")).join(m.select(F.col("object_id").alias("right_id")), "right_id", "left_semi")
 
 
 _NEXT = "SELECT object_id AS pair_id, object_id AS left_id, object_id + 1 AS right_id FROM meta WHERE object_id + 1 IN (SELECT object_id FROM meta)"
@@ -1030,7 +1117,9 @@ def align_grid(spark, d):
     return rounded(found.select("pair_id", "candidate", "arc_length"), "arc_length")
 
 
-@query("align_matrix", WITH(OBS_SQL, META_SQL, _GRID_SQL, _costs_sql("SELECT a.object_id * 1000000 + b.object_id AS pair_id, a.object_id AS left_id, b.object_id AS right_id, a.target AS lt, b.target AS rt FROM meta a JOIN meta b ON a.object_id <> b.object_id")) + "SELECT left_id, right_id, lt AS target, candidate, round(arc_length, 6) AS arc_length FROM best JOIN apairs USING (pair_id)")
+@query("align_matrix", WITH(OBS_SQL, META_SQL, _GRID_SQL, _costs_sql("SELECT a.object_id * 1000000 + b.object_id AS pair_id, a.object_id AS left_id, "
+    "b.object_id AS right_id, a.target AS lt, b.target AS rt FROM meta a JOIN meta b ON a.object_id <> b.object_id")) + "SELECT left_id, right_id, lt AS "
+    "target, candidate, round(arc_length, 6) AS arc_length FROM best JOIN apairs USING (pair_id)")
 def align_matrix(spark, d):
     found = align.alignment_matrix(metadata(spark, d), observations(spark, d), align.candidate_grid(spark, **_GRID))
     return rounded(found.select("left_id", "right_id", F.col("left_target").alias("target"), "candidate", "arc_length"), "arc_length")
@@ -1042,7 +1131,8 @@ _EVERY = "SELECT a.object_id * 1000000 + b.object_id AS pair_id, a.object_id AS
 @query(
     "nearest_partners",
     WITH(OBS_SQL, META_SQL, _GRID_SQL, _costs_sql(_EVERY))
-    + "SELECT left_id, CAST(rank AS INTEGER) AS rank, right_id, candidate, round(arc_length, 6) AS arc_length FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY round(arc_length, 6), right_id) AS rank FROM best JOIN apairs USING (pair_id)) WHERE rank <= 3",
+    + "SELECT left_id, CAST(rank AS INTEGER) AS rank, right_id, candidate, round(arc_length, 6) AS arc_length FROM (SELECT *, row_number() OVER "
+        "(PARTITION BY left_id ORDER BY round(arc_length, 6), right_id) AS rank FROM best JOIN apairs USING (pair_id)) WHERE rank <= 3",
 )
 def nearest_partners(spark, d):
     own = observations(spark, d).join(metadata(spark, d).select("object_id"), "object_id", "left_semi")
@@ -1086,15 +1176,18 @@ def top5_periods(spark, d):
     return rounded(stats.top_periods(_powers(spark, d)), "period", "score")
 
 
-@query("best_period", WITH(OBS_SQL, _POWER) + "SELECT object_id, round(period, 6) AS period, round(1 / period, 6) AS frequency FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY power DESC, period) AS nth FROM powers WHERE power IS NOT NULL) WHERE nth = 1")
+@query("best_period", WITH(OBS_SQL, _POWER) + "SELECT object_id, round(period, 6) AS period, round(1 / period, 6) AS frequency FROM (SELECT *, "
+    "row_number() OVER (PARTITION BY object_id ORDER BY power DESC, period) AS nth FROM powers WHERE power IS NOT NULL) WHERE nth = 1")
 def best_period(spark, d):
     return rounded(stats.best_period(_powers(spark, d), "object_id"), "period", "frequency")
 
 
-_CATALOGUE = "catalogue AS (SELECT object_id, ddf, target, " + ", ".join(f"max(period) FILTER (WHERE nth = {i}) AS period{i}, max(power) FILTER (WHERE nth = {i}) AS score{i}" for i in range(1, 6)) + " FROM meta JOIN top USING (object_id) GROUP BY 1, 2, 3)"
+_CATALOGUE = "catalogue AS (SELECT object_id, ddf, target, " + ", ".join(f"max(period) FILTER (WHERE nth = {i}) AS period{i}, max(power) FILTER (WHERE nth = {i}) AS score{i}" for i in range(1,
+    6)) + " FROM meta JOIN top USING (object_id) GROUP BY 1, 2, 3)"
 
 
-@query("period_catalogue", WITH(OBS_SQL, META_SQL, _POWER, _TOP, _CATALOGUE) + "SELECT object_id, ddf, target, " + ", ".join(f"round({c}{i}, 6) AS {c}{i}" for c in ("period", "score") for i in range(1, 6)) + " FROM catalogue")
+@query("period_catalogue", WITH(OBS_SQL, META_SQL, _POWER, _TOP, _CATALOGUE) + "SELECT object_id, ddf, target, " + ", ".join(f"round({c}{i}, 6) AS {c}{i}" for c in ("period",
+    "score") for i in range(1, 6)) + " FROM catalogue")
 def period_catalogue(spark, d):
     return rounded(_catalogue(spark, d), *(f"{n}{i}" for n in ("period", "score") for i in range(1, 6)))
 
@@ -1103,7 +1196,8 @@ def _catalogue(spark, d):
     return periods.period_catalogue(metadata(spark, d), _powers(spark, d))
 
 
-@query("period_file", WITH(OBS_SQL, META_SQL, _POWER, _TOP, _CATALOGUE) + "SELECT object_id, CAST(ddf AS INTEGER) AS ddf, CAST(target AS INTEGER) AS target, round(period1, 6) AS period1, round(score5, 6) AS score5 FROM catalogue")
+@query("period_file", WITH(OBS_SQL, META_SQL, _POWER, _TOP, _CATALOGUE) + "SELECT object_id, CAST(ddf AS INTEGER) AS ddf, CAST(target AS INTEGER) AS "
+    "target, round(period1, 6) AS period1, round(score5, 6) AS score5 FROM catalogue")
 def period_file(spark, d):
     path = shared_path(spark, "periods")
     tables.write_periods(_catalogue(spark, d), path)
@@ -1125,13 +1219,17 @@ def period_report(spark, d):
 @query(
     "period_histogram",
     WITH(OBS_SQL, META_SQL, _POWER, _TOP, _CATALOGUE, "lim AS (SELECT target, min(period1) AS lo, max(period1) AS hi, count(*) AS total FROM catalogue GROUP BY 1)")
-    + "SELECT target, bin, count(*) AS n, round(count(*) / nullif(max(total) * max((hi - lo) / 10), 0), 6) AS density FROM (SELECT c.target, CAST(CASE WHEN hi > lo THEN least(floor((period1 - lo) / ((hi - lo) / 10)), 9) ELSE 0 END AS INTEGER) AS bin, total, hi, lo FROM catalogue c JOIN lim USING (target)) GROUP BY 1, 2",
+    + "SELECT target, bin, count(*) AS n, round(count(*) / nullif(max(total) * max((hi - lo) / 10), 0), 6) AS density FROM (SELECT c.target, "
+        "CAST(CASE WHEN hi > lo THEN least(floor((period1 - lo) / ((hi - lo) / 10)), 9) ELSE 0 END AS INTEGER) AS bin, total, hi, lo FROM catalogue "
+        "c JOIN lim USING (target)) GROUP BY 1, 2",
 )
 def period_histogram(spark, d):
     return rounded(periods.period_report(_catalogue(spark, d), bins=10)["histogram"], "density")
 
 
-@query("period_density", WITH(OBS_SQL, META_SQL, _POWER, _TOP, _CATALOGUE) + "SELECT target, CAST(place AS INTEGER) AS place, round(sum(exp(-0.5 * pow(x - period1, 2))) / count(*) / sqrt(2 * pi()), 6) AS density FROM catalogue, (SELECT place, pow(10, -1 + place * (2.5 / 19)) AS x FROM range(20) AS r(place)) GROUP BY 1, 2")
+@query("period_density", WITH(OBS_SQL, META_SQL, _POWER, _TOP, _CATALOGUE) + "SELECT target, CAST(place AS INTEGER) AS place, round(sum(exp(-0.5 * "
+    "pow(x - period1, 2))) / count(*) / sqrt(2 * pi()), 6) AS density FROM catalogue, (SELECT place, pow(10, -1 + place * (2.5 / 19)) AS x FROM "
+    "range(20) AS r(place)) GROUP BY 1, 2")
 def period_density(spark, d):
     positions = [10 ** (-1 + i * (2.5 / 19)) for i in range(20)]
     return rounded(periods.period_report(_catalogue(spark, d), positions=positions)["density"].drop("x"), "density")
@@ -1143,7 +1241,8 @@ def refined_periods(spark, d):
     return rounded(periods.refined(o, stats.top_periods(_powers(spark, d))), "period", "score")
 
 
-@query("phase_folded_best", WITH(OBS_SQL, _POWER, _TOP) + "SELECT tie, round(period, 6) AS period_best, round(time - period * floor(time / period), 6) AS phase FROM obs JOIN top USING (object_id) WHERE nth = 1")
+@query("phase_folded_best", WITH(OBS_SQL, _POWER, _TOP) + "SELECT tie, round(period, 6) AS period_best, round(time - period * floor(time / period), "
+    "6) AS phase FROM obs JOIN top USING (object_id) WHERE nth = 1")
 def phase_folded_best(spark, d):
     f = periods.phase_folded(observations(spark, d), stats.top_periods(_powers(spark, d)))
     return rounded(f.select("tie", "period_best", "phase"), "period_best", "phase")

@@ -18,7 +18,8 @@ OBS = _struct(object_id=LONG, band=STRING, passband=INT, time=DOUBLE, flux=DOUBL
 #: Observation files: passband numbers, no band names.
 RAW_OBS = _struct(object_id=LONG, mjd=DOUBLE, passband=INT, flux=DOUBLE, flux_err=DOUBLE, detected=INT)
 META = _struct(
-    object_id=LONG, ra=DOUBLE, decl=DOUBLE, gal_l=DOUBLE, gal_b=DOUBLE, ddf=INT, hostgal_specz=DOUBLE, hostgal_photoz=DOUBLE, hostgal_photoz_err=DOUBLE, distmod=DOUBLE, mwebv=DOUBLE, target=INT
+    object_id=LONG, ra=DOUBLE, decl=DOUBLE, gal_l=DOUBLE, gal_b=DOUBLE, ddf=INT, hostgal_specz=DOUBLE, hostgal_photoz=DOUBLE,
+        hostgal_photoz_err=DOUBLE, distmod=DOUBLE, mwebv=DOUBLE, target=INT
 )
 CURVE_CSV = _struct(time=DOUBLE, value=DOUBLE, error=DOUBLE)
 CUTOFF = T.StructType([T.StructField("band", STRING), T.StructField("column", STRING), T.StructField("median_scale", DOUBLE), T.StructField("cutoffs", T.ArrayType(DOUBLE))])

@@ -37,7 +37,8 @@ def supernova_points(text: DataFrame) -> DataFrame:
     tagged = lines.select("file", F.trim(F.split("value", ":", 2)[0]).alias("tag"), F.trim(F.split("value", ":", 2)[1]).alias("rest"))
     one = lambda tag: F.max(F.when(F.col("tag") == tag, F.col("rest")))
     heads = tagged.where(F.col("tag").isin(*SINGLE_TAGS)).groupBy("file").agg(
-        *(F.count_if(F.col("tag") == t).alias(f"n_{t}") for t in SINGLE_TAGS), one("SNID").alias("id"), one("SNTYPE").alias("type"), F.split(F.trim(one("VARLIST")), r"\s+").alias("names")
+        *(F.count_if(F.col("tag") == t).alias(f"n_{t}") for t in SINGLE_TAGS), one("SNID").alias("id"), one("SNTYPE").alias("type"),
+            F.split(F.trim(one("VARLIST")), r"\s+").alias("names")
     )
     points = tagged.where(F.col("tag") == POINT_TAG).select("file", F.split("rest", r"\s+").alias("values"))
     joined = points.join(heads, "file", "left")

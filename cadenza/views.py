@@ -38,7 +38,8 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers that are objects: target is the nation."""
     c = read(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("object_id"), F.col("c_nationkey").alias("target"), (F.col("c_custkey") % 2).cast("int").alias("ddf"), F.col("c_acctbal").alias("distmod"), F.col("c_mktsegment").alias("segment")
+        F.col("c_custkey").alias("object_id"), F.col("c_nationkey").alias("target"), (F.col("c_custkey") % 2).cast("int").alias("ddf"),
+            F.col("c_acctbal").alias("distmod"), F.col("c_mktsegment").alias("segment")
     )
     ids = read(spark, sf_dir, "events").select(F.col("user_id").alias("object_id")).distinct()
     return c.join(ids, "object_id", "left_semi")
