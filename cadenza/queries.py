@@ -1235,7 +1235,28 @@ def period_density(spark, d):
     return rounded(periods.period_report(_catalogue(spark, d), positions=positions)["density"].drop("x"), "density")
 
 
-@query("refined_periods")
+_ZOOMED = """zoomed AS (SELECT object_id, nth, 1 / period - step AS low, step / 100 AS zstep FROM top JOIN grid USING (object_id)),
+zfreqs AS (SELECT object_id, nth, k, low + zstep * k AS f FROM zoomed, range(201) AS r(k) WHERE low > 0),
+zsums AS (SELECT object_id, nth, k, f, band, sum(w) AS w, sum(w*y)/sum(w) AS y, sum(w*c)/sum(w) AS c, sum(w*s)/sum(w) AS s, sum(w*y*y)/sum(w) AS yy,
+    sum(w*c*c)/sum(w) AS cc, sum(w*s*s)/sum(w) AS ss, sum(w*c*s)/sum(w) AS cs, sum(w*y*c)/sum(w) AS yc, sum(w*y*s)/sum(w) AS ys
+  FROM (SELECT object_id, nth, k, f, band, 1/(flux_err*flux_err) AS w, flux AS y, cos(2*pi()*time*f) AS c, sin(2*pi()*time*f) AS s FROM obs JOIN zfreqs USING (object_id))
+  GROUP BY object_id, nth, k, f, band),
+zv AS (SELECT object_id, nth, k, f, w, yy-y*y AS vyy, cc-c*c AS vcc, ss-s*s AS vss, cs-c*s AS vcs, yc-y*c AS vyc, ys-y*s AS vys FROM zsums),
+zp AS (SELECT *, vcc*vss-vcs*vcs AS d FROM zv),
+zparts AS (SELECT object_id, nth, k, f, w*vyy AS chi,
+    CASE WHEN d > 1e-6 AND vyy > 1e-6 THEN (vss*vyc*vyc + vcc*vys*vys - 2*vcs*vyc*vys)/(vyy*d) END AS part FROM zp),
+zpowers AS (SELECT object_id, nth, k, f, sum(chi*part) FILTER (WHERE part IS NOT NULL) / nullif(sum(chi) FILTER (WHERE part IS NOT NULL), 0) AS power
+  FROM zparts GROUP BY object_id, nth, k, f),
+zbest AS (SELECT object_id, nth, 1 / f AS fine, power AS fine_power FROM
+  (SELECT *, row_number() OVER (PARTITION BY object_id, nth ORDER BY power DESC, k) AS r FROM zpowers WHERE power IS NOT NULL) WHERE r = 1)"""
+
+
+@query(
+    "refined_periods",
+    WITH(OBS_SQL, _POWER, _TOP, _ZOOMED)
+    + "SELECT object_id, CAST(nth AS INTEGER) AS rank, round(coalesce(fine, period), 6) AS period, round(coalesce(fine_power, power), 6) AS score "
+    "FROM top LEFT JOIN zbest USING (object_id, nth)",
+)
 def refined_periods(spark, d):
     o = observations(spark, d)
     return rounded(periods.refined(o, stats.top_periods(_powers(spark, d))), "period", "score")
