@@ -366,9 +366,14 @@ def placed_slice(spark, d):
 @query("bucketed_join", WITH(OBS_SQL, META_SQL) + "SELECT object_id, target, segment, count(*) AS n, round(sum(flux), 6) AS flux FROM obs JOIN meta "
     "USING (object_id) GROUP BY 1, 2, 3")
 def bucketed_join(spark, d):
-    names = [shared_path(spark, x) for x in ("curves", "objects")]
-    o, m = (tables.write_bucketed(t, p.rsplit("/", 1)[-1].replace("-", "_"), p, 8, "object_id") for t, p in zip((observations(spark, d), metadata(spark, d)), names, strict=True))
-    return lookups.with_metadata(o, m).groupBy("object_id", "target", "segment").agg(F.count("*").alias("n"), F.round(F.sum("flux"), 6).alias("flux"))
+    opened = []
+    for name, table in (("curves", observations(spark, d)), ("objects", metadata(spark, d))):
+        path = shared_path(spark, name)
+        known = path.rsplit("/", 1)[-1].replace("-", "_")
+        tables.write_bucketed(table, known, path, 8)
+        opened.append(tables.open_dataset(spark, known, {}))
+    joined = lookups.with_metadata(*opened)
+    return joined.groupBy("object_id", "target", "segment").agg(F.count("*").alias("n"), F.round(F.sum("flux"), 6).alias("flux"))
 
 
 @query("magnitude_lookup", "SELECT c_name AS id, c_custkey FROM customer WHERE c_name = 'Customer#000000101'")

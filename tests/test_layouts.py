@@ -92,6 +92,16 @@ def test_a_lookup_reads_one_bucket(bucketed):
     assert found.count() == obs.where("object_id = 17").count()
 
 
+def test_data_sets_by_name(spark, bucketed, tmp_path):
+    """A path of the given map, a table of the catalog, and neither."""
+    obs, _, own, _ = bucketed
+    obs.write.parquet(f"{tmp_path}/obs")
+    name = next(t.name for t in spark.catalog.listTables() if t.name.startswith("t") and "flux" in spark.table(t.name).columns)
+    assert tables.open_dataset(spark, "x", {"x": f"{tmp_path}/obs"}).count() == tables.open_dataset(spark, name, {"x": ""}).count() == own.count()
+    with pytest.raises(KeyError):
+        tables.open_dataset(spark, "nowhere", {})
+
+
 # ---------------------------------------------------------------- cost flat in the radius, and in the positions
 @pytest.mark.parametrize("radius", [0.01, 1.5, 9.0, 1000.0])
 def test_region_bands_of_any_radius(spark, radius):
