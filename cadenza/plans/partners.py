@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 
 from cadenza.operators.batches import group_starts, whole_groups
 from cadenza.operators.lookups import numbered
-from cadenza.plans.align import PARAMETERS, Curves
+from cadenza.plans.align import PARAMETERS
+from cadenza.plans.tiles import Points, best_candidates, merged_lengths
 from cadenza.storage import dropped, stored
 
-#: Curves of a tile, and pairs whose merged lengths are taken together.
-TILE, PAIRS = 256, 2_048
+#: Curves of a tile.
+TILE = 256
 _FOUND = "left_id long, right_id long, candidate int, arc_length double, n_tried long, n_pairs long"
 
 
@@ -54,20 +55,16 @@ def _best(table: pa.Table, grid: np.ndarray, k: int) -> tuple[dict[str, list], i
     left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
     least = np.maximum(length[left][:, None, :], length[right][None, :, :]).sum(axis=2)
     other = ids[left][:, None] != ids[right][None, :]
-    a, b = np.nonzero(other & (least <= bound[left][:, None] + 1e-6))
-    out: dict[str, list] = {c: [] for c in ("left_id", "right_id", "candidate", "arc_length")}
-    cost, which = np.empty(len(a)), np.empty(len(a), np.int64)
-    for at in range(0, len(a), PAIRS):
-        one, two = left[a[at : at + PAIRS]], right[b[at : at + PAIRS]]
-        both = np.stack([one, two], axis=1).ravel()
-        n = counts[both]
-        rows = np.arange(n.sum()) + np.repeat(starts[both] - (np.cumsum(n) - n), n)
-        moves = np.repeat(np.tile([False, True], len(one)), n)
-        curves = Curves(n.reshape(-1, 2).sum(axis=1), band[rows], time[rows], flux[rows], moves)
-        every = np.arange(len(one))
-        tried = np.stack([np.round(curves.lengths(every, np.tile(p, (len(one), 1))), 6) for p in grid])
-        which[at : at + PAIRS] = tried.argmin(axis=0)  # of equal ones the first
-        cost[at : at + PAIRS] = tried.min(axis=0)
+    wanted = other & (least <= bound[left][:, None] + 1e-6)
+    sides = [Points(counts[x], band[own], time[own], flux[own]) for x, own in ((left, side == 0), (right, side == 1))]
+    length_of, which_of = np.empty(wanted.shape), np.empty(wanted.shape, np.int64)
+    positive = (grid[:, 2] > 0) & (grid[:, 3] > 0)
+    for l, r, lengths in merged_lengths(*sides, grid, len(names), wanted):
+        lengths[~positive] = np.inf
+        which_of[l, r] = best_candidates(lengths)
+        length_of[l, r] = np.round(lengths.min(axis=0), 6)
+    a, b = np.nonzero(wanted)
+    cost, which = length_of[a, b], which_of[a, b]
     order = np.lexsort((ids[right][b], cost, a))
     nth = np.arange(len(order)) - np.searchsorted(a[order], a[order])
     top = order[nth < k]
