@@ -295,3 +295,19 @@ def test_any_partitioning_gives_the_same(spark):
         found.append((sorted(map(tuple, curves.arc_lengths(obs).select("object_id", F.round("arc_length", 6)).collect())), sorted(map(tuple, windows.range_index(obs, "object_id", "band").collect())), sorted(map(str, features.point_features(obs, 2, ["a", "b"]).collect()))))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert found[0] == found[1] == found[2]
+
+
+def test_pairs_of_a_class_are_made_by_many_tasks(spark):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    meta = spark.createDataFrame([(i, None if i == 7 else 1 if i < 60 else 2) for i in range(64)], "object_id long, target int").coalesce(1)
+    made = joins.same_class_pairs(meta, block=8).withColumn("part", F.spark_partition_id()).collect()
+    classes = [[i for i in range(60) if i != 7], [60, 61, 62, 63]]
+    assert sorted((r.left_id, r.right_id) for r in made) == sorted((a, b) for c in classes for a in c for b in c if a != b)
+    tasks = Counter(r.part for r in made)
+    assert len(tasks) > 2 and max(tasks.values()) < 0.6 * len(made)
+    obs = spark.createDataFrame([(i, t) for i in range(64) if i != 5 for t in range(i % 3 + 1)], "object_id long, time int")
+    got = {(r.left_id, r.right_id): (r.left_n, r.right_n) for r in joins.pair_counts(meta, obs).collect()}
+    assert got == {(a, b): (a % 3 + 1, b % 3 + 1) for c in classes for a in c for b in c if a < b and 5 not in (a, b)}
