@@ -7,7 +7,7 @@ to one in the shortest period, so closely spaced that no peak is missed.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.columns import phase
+from cadenza.operators.batches import whole_groups
 from cadenza.operators.stats import best_of, density_1d, describe, histogram, top_periods
+from cadenza.storage import stored
 
 
 def period_grid(spark, periods: Sequence[float]) -> DataFrame:
@@ -179,6 +181,25 @@ def _power_rows(table: pa.Table) -> pa.Table:
     return pa.table({**ids, "power": pa.array(power, from_pandas=True)})
 
 
+_BLOCK = ("object_id", "grid", "first")
+#: Points that are taken from Spark together, and powers that are given back together.
+POINTS, POWERS = 50_000, 200_000
+
+
+def _block_powers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Powers of many blocks in turn: small blocks share their Arrow batches."""
+    for table, starts in whole_groups(batches, _BLOCK, POINTS):
+        table, made, rows = table.combine_chunks(), [], 0
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
+            made.append(_power_rows(table.slice(a, b - a)))
+            rows += made[-1].num_rows
+            if rows >= POWERS:
+                yield from pa.concat_tables(made).combine_chunks().to_batches()
+                made, rows = [], 0
+        if made:
+            yield from pa.concat_tables(made).combine_chunks().to_batches()
+
+
 def _blocks(grids: DataFrame) -> DataFrame:
     """A row for each block of a grid's frequencies: first and n are of the block."""
     count = F.ceil(F.col("n") / GRID_BLOCK).cast("int")
@@ -196,7 +217,9 @@ def grid_powers(obs: DataFrame, grids: DataFrame, chunk: int = 50_000) -> DataFr
     points = obs.where(F.col("flux_err") > 0).select("object_id", "band", "time", "flux", "flux_err", "tie")
     counts = points.groupBy("object_id").agg(F.count("*").alias("_points"))
     asked = points.join(_blocks(grids).join(counts, "object_id"), "object_id")
-    whole = asked.where(F.col("_points") <= chunk).groupBy("object_id", "grid", "first").applyInArrow(_power_rows, f"{_AT}, power double")
+    small = asked.where(F.col("_points") <= chunk).select(*_BLOCK, "low", "step", "n", "band", "time", "flux", "flux_err")
+    parts = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # however few bytes: searches cost time
+    whole = small.repartition(parts, *_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(_block_powers, f"{_AT}, power double")
     share = F.pmod(F.xxhash64("tie", "time", "band"), F.ceil(F.col("_points") / chunk))
     dealt = asked.where(F.col("_points") > chunk).withColumn("_chunk", share).groupBy("object_id", "grid", "first", "_chunk").applyInArrow(_sum_rows, _PART)
     summed = dealt.groupBy("object_id", "grid", "k", "period", "band").agg(*(F.sum(c).alias(c) for c in _SUMS))
@@ -210,7 +233,9 @@ def span_periodogram(obs: DataFrame, shortest: float = 0.1, oversampling: float
 
 def refined(obs: DataFrame, top: DataFrame, oversampling: float = 5.0, zoom: int = 100) -> DataFrame:
     """object_id, rank, period and score of the peaks (as of top_periods), each searched again between
-    its neighbours of the span's grid, `zoom` times as closely. Peaks keep their rank."""
+    its neighbours of the span's grid, `zoom` times as closely. Peaks keep their rank. The peaks are
+    stored: they are asked for twice, and the search behind them is the dear part."""
+    top = stored(top.select("object_id", "rank", "period", "score"), "period-peaks")
     span = obs.where(F.col("flux_err") > 0).groupBy("object_id").agg((F.max("time") - F.min("time")).alias("_span"))
     step = 1.0 / (oversampling * F.col("_span"))
     grids = top.join(span, "object_id").select("object_id", F.col("rank").alias("grid"), (1.0 / F.col("period") - step).alias("low"),

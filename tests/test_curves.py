@@ -311,3 +311,22 @@ def test_pairs_of_a_class_are_made_by_many_tasks(spark):
     obs = spark.createDataFrame([(i, t) for i in range(64) if i != 5 for t in range(i % 3 + 1)], "object_id long, time int")
     got = {(r.left_id, r.right_id): (r.left_n, r.right_n) for r in joins.pair_counts(meta, obs).collect()}
     assert got == {(a, b): (a % 3 + 1, b % 3 + 1) for c in classes for a in c for b in c if a < b and 5 not in (a, b)}
+
+
+def test_refined_periods_search_once_and_deal_blocks(spark, monkeypatch):
+    from cadenza.plans import periods
+
+    rows = [(o, "ab"[i % 2], 0.37 * i + 0.01 * (i * i % 7), math.sin(0.37 * i * (1 + o)) + o, 0.1, 1, i) for o in range(5) for i in range(24)]
+    obs = spark.createDataFrame(rows, "object_id long, band string, time double, flux double, flux_err double, detected int, tie long")
+    top = stats.top_periods(periods.span_periodogram(obs))
+    fine = periods.refined(obs, top)
+    plan = fine._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and plan.count("MapInArrow") == 1  # the peaks are not searched for again
+    whole = sorted(map(tuple, fine.collect()))
+    assert len(whole) == top.count() and len(whole) >= 5
+    monkeypatch.setattr(periods, "POINTS", 30)
+    monkeypatch.setattr(periods, "POWERS", 100)
+    cut = sorted(map(tuple, periods.refined(obs, top).collect()))
+    assert [r[:2] for r in cut] == [r[:2] for r in whole]
+    for one, other in zip(cut, whole, strict=True):
+        assert one[2:] == pytest.approx(other[2:], abs=1e-9)
