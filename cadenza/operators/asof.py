@@ -70,22 +70,35 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * n), pa.array(values.ravel()))
 
 
-def _windows(points: _Points, curve: np.ndarray, at: np.ndarray, n: int) -> list[pa.Array]:
-    """Windows and closest point of each request (its curve and time)."""
-    low, high = np.searchsorted(points.curve, curve, "left"), np.searchsorted(points.curve, curve, "right")
-    found = points.closest(low, high, at)
-    some, last = found >= 0, max(len(points.time) - 1, 0)
-    time, flux = (points.time, points.flux) if len(points.time) else (np.zeros(1), np.zeros(1))
-    first, after = (points.first_of_moment[found], points.after_moment[found]) if len(points.time) else (found, found)
-    out, padding = [], []
-    for place, valid in ((first[:, None] + np.arange(-n, 0), lambda p: p >= low[:, None]), (after[:, None] + np.arange(n), lambda p: p < high[:, None])):
-        filled = valid(place) & some[:, None]
+class Windows:
+    """Windows and closest points of requests (each one's curve and time): times and fluxes of the n slots before and
+    after, outer ones 0 where `filled` is false, and of the closest point, if there is `some`."""
+
+    def __init__(self, points: _Points, curve: np.ndarray, at: np.ndarray, n: int):
+        low, high = np.searchsorted(points.curve, curve, "left"), np.searchsorted(points.curve, curve, "right")
+        found = points.closest(low, high, at)
+        self.n, self.some, last = n, found >= 0, max(len(points.time) - 1, 0)
+        time, flux = (points.time, points.flux) if len(points.time) else (np.zeros(1), np.zeros(1))
+        first, after = (points.first_of_moment[found], points.after_moment[found]) if len(points.time) else (found, found)
+        place = np.concatenate([first[:, None] + np.arange(-n, 0), after[:, None] + np.arange(n)], axis=1)
+        self.filled = np.concatenate([place[:, :n] >= low[:, None], place[:, n:] < high[:, None]], axis=1) & self.some[:, None]
         rows = np.clip(place, 0, last)
-        out += [_lists(np.where(filled, values[rows], 0.0)) for values in (time, flux)]
-        padding.append(pa.array((n - filled.sum(axis=1)).astype(np.int32)))
-    rows = np.clip(found, 0, last)
-    near = [pa.array(v, mask=~some) for v in (time[rows], flux[rows], np.abs(time[rows] - at))]
-    return [*out, *padding, *near]
+        self.time, self.flux = (np.where(self.filled, values.take(rows), 0.0) for values in (time, flux))
+        rows = np.clip(found, 0, last)
+        self.closest_time, self.closest_flux = time[rows], flux[rows]
+        self.diff = np.abs(self.closest_time - at)
+
+    def arrays(self) -> list[pa.Array]:
+        """The columns from before_time to closest_time_diff."""
+        n = self.n
+        lists = [_lists(values[:, side]) for side in (slice(0, n), slice(n, None)) for values in (self.time, self.flux)]
+        padding = [pa.array((n - self.filled[:, side].sum(axis=1)).astype(np.int32)) for side in (slice(0, n), slice(n, None))]
+        return [*lists, *padding, *(pa.array(v, mask=~self.some) for v in (self.closest_time, self.closest_flux, self.diff))]
+
+
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows by keys, in the session's number of partitions however few bytes they are: windows cost time, not bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def nearest_windows(obs: DataFrame, requests: DataFrame, n: int, bands: Sequence[str], bias: float = 1e-8, keys: Sequence[str] = ("object_id",)) -> DataFrame:
@@ -108,8 +121,8 @@ def nearest_windows(obs: DataFrame, requests: DataFrame, n: int, bands: Sequence
     )
     asks = requests.where("request_time is not null").select(*keys, F.lit(1).alias("_ask"), F.lit(None).cast("string").alias("_band"),
         F.col("request_time").cast("double").alias("_at"), *extra)
-    both = points.unionByName(asks, allowMissingColumns=True).repartition(*keys)
-    ordered = both.sortWithinPartitions(*keys, "_ask", "_band", "_at", "_tie").drop("_tie")
+    both = points.unionByName(asks, allowMissingColumns=True)
+    ordered = _dealt(both, *keys).sortWithinPartitions(*keys, "_ask", "_band", "_at", "_tie").drop("_tie")
     schema = StructType([*(both.schema[c] for c in (*keys, *extra)), *_OUT])
     arrow = to_arrow_schema(schema)
     names = sorted(set(bands))
@@ -129,7 +142,50 @@ def nearest_windows(obs: DataFrame, requests: DataFrame, n: int, bands: Sequence
                 codes = np.tile([names.index(b) for b in bands], len(part) // len(bands))
                 carried = table.select([*keys, *extra]).take(pa.array(part))
                 made = [*(c.combine_chunks() for c in carried.columns), pa.array(time[part]), pa.array(np.array(names, object)[codes], pa.string()),
-                    *_windows(known, group[part] * len(names) + codes, time[part], n)]
+                    *Windows(known, group[part] * len(names) + codes, time[part], n).arrays()]
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(made, arrow, strict=True)], schema=arrow)
 
     return ordered.mapInArrow(run, schema)
+
+
+def own_windows(batches: Iterator[pa.RecordBatch], n: int, bands: Sequence[str], bias: float = 1e-8) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, Windows]]:
+    """The windows of whole objects (rows of own_points) at their own distinct times: for some requests and each of
+    the bands the object, the time, the band's number in `bands`, and the windows."""
+    names = np.array(sorted(set(bands)))
+    number = np.searchsorted(names, list(bands))
+    for table, starts in whole_groups(batches, ("object_id",), BATCH_ROWS):
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
+        time, band = table["_at"].to_numpy() + 0.0, table["_band"].combine_chunks().dictionary_encode()
+        known = np.array([*(np.searchsorted(names, b) if b in names else -1 for b in band.dictionary.to_pylist()), -1], np.int64)
+        code = known[band.indices.fill_null(len(known) - 1).to_numpy()]
+        own = np.flatnonzero(code >= 0)
+        own = own[np.argsort(group[own] * len(names) + code[own], kind="stable")]  # in order of time and tie already
+        points = _Points(group[own] * len(names) + code[own], time[own], table["_flux"].to_numpy()[own], bias)
+        new = np.ones(len(time), bool)
+        new[1:] = (group[1:] != group[:-1]) | ((time[1:] != time[:-1]) & ~(np.isnan(time[1:]) & np.isnan(time[:-1])))
+        ask, ids = np.flatnonzero(new), table["object_id"].combine_chunks()
+        for i in range(0, len(ask), ASKS):
+            part = np.repeat(ask[i : i + ASKS], len(bands))
+            codes = np.tile(np.arange(len(bands)), len(part) // len(bands))
+            yield ids.take(pa.array(part)), time[part], codes, Windows(points, group[part] * len(names) + number[codes], time[part], n)
+
+
+def own_points(obs: DataFrame) -> DataFrame:
+    """The points of all bands, an object's together and in order of time and tie, for own_windows: one shuffle."""
+    points = obs.where("time is not null").select("object_id", F.col("time").cast("double").alias("_at"), F.col("tie").alias("_tie"),
+        F.col("band").cast("string").alias("_band"), F.col("flux").cast("double").alias("_flux"))
+    return _dealt(points, "object_id").sortWithinPartitions("object_id", "_at", "_tie").drop("_tie")
+
+
+def windows_at_points(obs: DataFrame, n: int, bands: Sequence[str], bias: float = 1e-8) -> DataFrame:
+    """nearest_windows at every distinct time of every object, without a table of requests: a curve asks for itself."""
+    ordered = own_points(obs)
+    schema = StructType([ordered.schema["object_id"], *_OUT])
+    arrow, names = to_arrow_schema(schema), np.array(list(bands), object)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, time, codes, windows in own_windows(batches, n, bands, bias):
+            made = [ids, pa.array(time), pa.array(names[codes], pa.string()), *windows.arrays()]
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(made, arrow, strict=True)], schema=arrow)
+
+    return ordered.mapInArrow(run, schema)

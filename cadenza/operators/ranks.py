@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegralType, LongType, StructField, StructType
 
+from cadenza.operators.batches import Made
+
 #: Cells of all groups together, rows of cells that a task holds, and values inside brackets that are counted singly.
 CELLS, HELD, SINGLE = 1 << 20, 1 << 18, 1 << 18
 #: Leading bits of the first pass: sign, exponent and eight bits more.
@@ -80,13 +82,15 @@ def group_codes(batch: pa.RecordBatch, keys: int) -> tuple[np.ndarray, list[tupl
     return code, names
 
 
-def _count(keys: int, brackets: dict[tuple, _Brackets] | None, types: list[pa.DataType], names: list[str]):
-    """Counts of cells of a task's values (doubles or whole numbers); brackets None: by leading bits."""
+def _count(keys: int, brackets: dict[tuple, _Brackets] | None, types: list[pa.DataType], names: list[str], make=None):
+    """Counts of cells of a task's values (doubles or whole numbers); brackets None: by leading bits. make: what
+    makes the values of the task's batches, if anything does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers: dict[tuple, int] = {}
         held: list[list[np.ndarray]] = []
-        for batch in batches:
+        cells = 0
+        for batch in make(batches) if make else batches:
             code, groups = group_codes(batch, keys)
             values = batch.column(keys)
             if pa.types.is_list(values.type):
@@ -96,11 +100,13 @@ def _count(keys: int, brackets: dict[tuple, _Brackets] | None, types: list[pa.Da
                 code, values = code[some], values.drop_null()
             given = values.to_numpy(zero_copy_only=False)
             key = given if given.dtype == np.int64 else in_order(given)
-            order = np.lexsort((key, code))
-            key, code = key[order], code[order]
+            if len(groups) > 1:
+                code = code.astype(np.min_scalar_type(len(groups)))
+                order = np.argsort(code, kind="stable")
+                key, code = key[order], code[order]
             starts = np.searchsorted(code, np.arange(len(groups) + 1))
             for g, name in enumerate(groups):
-                own = key[starts[g] : starts[g + 1]]
+                own = np.sort(key[starts[g] : starts[g + 1]])
                 if brackets is None:
                     inside, of, cell = slice(None), np.zeros(len(own), np.int64), own >> (64 - LEADING)
                 elif name in brackets:
@@ -116,8 +122,10 @@ def _count(keys: int, brackets: dict[tuple, _Brackets] | None, types: list[pa.Da
                 ends = np.append(at[1:], len(own))
                 number = numbers.setdefault(name, len(numbers))
                 held.append([np.full(len(at), number), of[at], cell[at], ends - at, own[at], own[ends - 1]])
-            if sum(len(h[0]) for h in held) > HELD:
+                cells += len(at)
+            if cells > HELD and len(held) > 1:
                 held = [_counted(*(np.concatenate(c) for c in zip(*held, strict=True)))]
+                cells = len(held[0][0]) // 2  # if most cells stay apart, as many again come in first
         if held:
             group, *rest = _counted(*(np.concatenate(c) for c in zip(*held, strict=True)))
             known = list(numbers)
@@ -130,13 +138,15 @@ def _count(keys: int, brackets: dict[tuple, _Brackets] | None, types: list[pa.Da
 _CELL = ("_bracket", "_cell", "_n", "_low", "_high")
 
 
-def _cells(values: DataFrame, keys: Sequence[str], brackets: dict[tuple, _Brackets] | None, most: int) -> dict[tuple, list[np.ndarray]] | None:
+def _cells(values: DataFrame | Made, keys: Sequence[str], brackets: dict[tuple, _Brackets] | None, most: int) -> dict[tuple, list[np.ndarray]] | None:
     """Per group: bracket, cell, n, low, high of the cells with values, in order; None if more than `most`."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    types = [to_arrow_type(values.schema[k].dataType) for k in keys]
-    schema = StructType([*(values.schema[k] for k in keys), *(StructField(c, LongType()) for c in _CELL)])
-    counted = values.mapInArrow(_count(len(keys), brackets, types, schema.names), schema)
+    given = values.table() if isinstance(values, Made) else values
+    types = [to_arrow_type(given.schema[k].dataType) for k in keys]
+    schema = StructType([*(given.schema[k] for k in keys), *(StructField(c, LongType()) for c in _CELL)])
+    rows, make = (values.rows, values.make) if isinstance(values, Made) else (values, None)
+    counted = rows.mapInArrow(_count(len(keys), brackets, types, schema.names, make), schema)
     summed = counted.groupBy(*keys, "_bracket", "_cell").agg(F.sum("_n").alias("_n"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
     table = summed.limit(most + 1).toArrow()
     if table.num_rows > most:
@@ -219,12 +229,16 @@ def value_at(table: DataFrame, column: str, position: int, cells: int = 1 << 14)
     return (int(r.low[0]) if whole else float(as_doubles(r.low)[0])), int(r.under[0])
 
 
-def narrowed_percentiles(values: DataFrame, fractions: Sequence[float], *keys: str, value: str = "value", cells: int = CELLS, single: int = SINGLE) -> DataFrame | None:
+def narrowed_percentiles(values: DataFrame | Made, fractions: Sequence[float], *keys: str, value: str = "value", cells: int = CELLS, single: int = SINGLE) -> DataFrame | None:
     """at: the exact percentiles of the fractions (linear between ranks) per group, in their order; nulls are
     left out. `value` may be an array, whose values all count. None if the groups' cells are too many for
-    the driver (some hundred groups of values of many sizes), however many values there are."""
-    kind = ArrayType(DoubleType()) if isinstance(values.schema[value].dataType, ArrayType) else DoubleType()
-    read = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast(kind).alias("_v"))
+    the driver (some hundred groups of values of many sizes), however many values there are. Rows still to be made
+    hold the keys and doubles or arrays of them, in that order."""
+    if isinstance(values, Made):
+        read, values = values, values.table()
+    else:
+        kind = ArrayType(DoubleType()) if isinstance(values.schema[value].dataType, ArrayType) else DoubleType()
+        read = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast(kind).alias("_v"))
     found = _cells(read, keys, None, cells)
     if found is None:
         return None

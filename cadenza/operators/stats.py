@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, StructType
 
 from cadenza.functions.columns import column, log_loss, norm
+from cadenza.operators.batches import Made
 from cadenza.operators.curves import by_object, differences
 from cadenza.operators.lookups import before_parts, in_ranges
 from cadenza.operators.ranks import group_codes, narrowed_percentiles
@@ -31,7 +32,7 @@ def describe(table: DataFrame, value: str, *keys: str) -> DataFrame:
     )
 
 
-def percentiles(values: DataFrame, fractions: Sequence[float], *keys: str, value: str = "value") -> DataFrame:
+def percentiles(values: DataFrame | Made, fractions: Sequence[float], *keys: str, value: str = "value") -> DataFrame:
     """at: the exact percentiles of the fractions (linear between ranks) per group, in their order. `value` may
     be an array, whose values all count.
 
@@ -41,6 +42,8 @@ def percentiles(values: DataFrame, fractions: Sequence[float], *keys: str, value
     found = narrowed_percentiles(values, fractions, *keys, value=value)
     if found is not None:
         return found
+    if isinstance(values, Made):
+        values = values.table()
     if isinstance(values.schema[value].dataType, ArrayType):
         values = values.select(*keys, F.explode(value).alias(value))
     return percentiles_by_ranges(values, fractions, *keys, value=value)
@@ -83,7 +86,7 @@ def median_interval(obs: DataFrame) -> DataFrame:
     return percentiles(differences(by_object(obs)), [0.5], value="dt").select(F.get("at", F.lit(0)).alias("median_dt"))
 
 
-def percentile_cutoffs(values: DataFrame, n: int, *keys: str, value: str = "value", extra: int = 8, exact: bool = True) -> DataFrame:
+def percentile_cutoffs(values: DataFrame | Made, n: int, *keys: str, value: str = "value", extra: int = 8, exact: bool = True) -> DataFrame:
     """cutoffs: n rising percentiles of the values per group.
 
     Grids of n, n + 1, ... n + extra percentiles are taken in one pass; the first with n distinct
@@ -95,6 +98,7 @@ def percentile_cutoffs(values: DataFrame, n: int, *keys: str, value: str = "valu
     if exact:
         found = percentiles(values, fractions, *keys, value=value)
     else:
+        values = values.table() if isinstance(values, Made) else values
         single = values.select(*keys, F.explode(value).alias(value)) if isinstance(values.schema[value].dataType, ArrayType) else values
         found = single.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.percentile_approx(value, fractions).alias("at"))
     cells = [F.array_distinct(F.array(*(F.col("at")[fractions.index(q)] for q in grid))) for grid in grids]

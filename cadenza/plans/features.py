@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from cadenza.functions import columns as C
-from cadenza.operators.asof import nearest_windows
+from cadenza.operators.asof import Windows, nearest_windows, own_points, own_windows, windows_at_points
+from cadenza.operators.batches import Made
 from cadenza.operators.stats import cutoff_scales, percentile_cutoffs
 
 COLUMNS = ("dflux_dt", "dflux", "dtime")
@@ -22,7 +27,7 @@ def window_features(obs: DataFrame, requests: DataFrame, n: int, bands: Sequence
 
 def point_features(obs: DataFrame, n: int, bands: Sequence[str]) -> DataFrame:
     """Window features at every distinct time of every object."""
-    return window_features(obs, obs.select("object_id", F.col("time").alias("request_time")).distinct(), n, bands)
+    return windows_at_points(obs, n, bands)
 
 
 def window_columns(features: DataFrame, n: int, band_time_diff: float = 4.0, clip: float = 10.0) -> DataFrame:
@@ -48,9 +53,40 @@ def layer_values(windows: DataFrame, include_padding: bool = True) -> DataFrame:
     return windows.where("in_window").select("band", F.explode(columns).alias("v")).select("band", "v.*")
 
 
+def slots(windows: Windows, band_time_diff: float = 4.0, clip: float = 10.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What window_columns makes of windows, as arrays: in_window, mask, and the slots' values of each of COLUMNS, 0
+    where the mask is off or the value is null."""
+    seen = windows.some & (windows.diff < band_time_diff)
+    mask = windows.filled & seen[:, None]
+    dflux, dtime = windows.flux - windows.closest_flux[:, None], windows.time - windows.closest_time[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope = np.fmax(-clip, np.fmin(clip, dflux / dtime))  # NaN is largest, as for Spark
+    edge = np.where((dflux > 0) | np.isnan(dflux), clip, np.where(dflux < 0, -clip, 0.0))
+    every = np.stack([np.where(dtime == 0, edge, slope), dflux, dtime])
+    return seen, mask, np.where(mask, every, 0.0)
+
+
+def _own_values(n: int, bands: Sequence[str], band_time_diff: float, include_padding: bool) -> Callable:
+    """layer_values of each curve's own windows: band, column and an array of values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, codes, windows in own_windows(batches, n, bands):
+            seen, mask, every = slots(windows, band_time_diff)
+            for b, band in enumerate(bands):
+                own = seen & (codes == b)
+                for c, values in zip(COLUMNS, every, strict=True):
+                    flat = values[own].ravel() if include_padding else values[own][mask[own]]
+                    one = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))
+                    yield pa.RecordBatch.from_arrays([pa.array([band]), pa.array([c]), one], names=["band", "column", "value"])
+
+    return run
+
+
 def learn_cutoffs(obs: DataFrame, n: int, bands: Sequence[str], cutoffs: int, band_time_diff: float = 4.0, include_padding: bool = True, exact: bool = True) -> DataFrame:
-    """band, column, median_scale and cutoffs from all points of the given curves."""
-    values = layer_values(window_columns(point_features(obs, n, bands), n, band_time_diff), include_padding)
+    """band, column, median_scale and cutoffs from all points of the given curves. Values go from the windows to the
+    counts of their cells in one task: none is stored or given back to Spark."""
+    schema = "band string, column string, value array<double>"
+    values = Made(own_points(obs), _own_values(n, bands, band_time_diff, include_padding), schema)
     found = percentile_cutoffs(values, cutoffs, "band", "column", exact=exact)
     return found.join(cutoff_scales(found, "band", "column"), ["band", "column"]).select("band", "column", "median_scale", "cutoffs")
 
@@ -77,6 +113,43 @@ def binned_features(features: DataFrame, cutoffs: DataFrame, n: int, band_time_d
     return joined.select("object_id", "request_time", "band", stacked.alias("binned"))
 
 
+def point_bins(obs: DataFrame, cutoffs: DataFrame, n: int, bands: Sequence[str], band_time_diff: float = 4.0) -> DataFrame:
+    """binned_features of point_features: the windows of each curve are binned where they are made. The cutoff table
+    has a row per band and column; bands without cutoffs have no rows."""
+    known: dict[str, dict] = {}
+    for r in cutoffs.select("band", "column", "median_scale", "cutoffs").collect():
+        known.setdefault(r.band, {})[r.column] = r.median_scale, r.cutoffs
+    kept = [b for b in bands if b in known]
+    ordered = own_points(obs)
+    schema = StructType([ordered.schema["object_id"], StructField("request_time", DoubleType()), StructField("band", StringType()),
+        StructField("binned", ArrayType(ArrayType(ArrayType(DoubleType()))))])
+    arrow = to_arrow_schema(schema)
+
+    def lists(values: pa.Array, sizes: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, time, codes, windows in own_windows(batches, n, kept):
+            _, mask, every = slots(windows, band_time_diff)
+            for b, band in enumerate(kept):
+                own = np.flatnonzero(codes == b)
+                cells, void = [], []
+                for c, values in zip(COLUMNS, every, strict=True):
+                    scale, cut = known[band].get(c, (None, ()))
+                    cut = np.array([np.nan if x is None else x for x in cut or ()])
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        x = 1.0 / (1.0 + np.exp(-((values[own][:, :, None] - cut) / (scale or 1.0))))
+                    cells.append(np.where(mask[own][:, :, None], x, 0.0))
+                    void.append(mask[own][:, :, None] & (np.isnan(cut) | (not scale)))  # nothing is divided by 0 or null
+                flat, null = np.concatenate(cells, axis=2), np.concatenate(void, axis=2)
+                inner = np.tile([c.shape[2] for c in cells], len(own) * 2 * n)
+                whole = lists(lists(lists(pa.array(flat.ravel(), mask=null.ravel()), inner), np.full(len(own) * 2 * n, len(COLUMNS))), np.full(len(own), 2 * n))
+                made = [ids.take(pa.array(own)), pa.array(time[own]), pa.array([band] * len(own), pa.string()), whole]
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(made, arrow, strict=True)], schema=arrow)
+
+    return ordered.mapInArrow(run, schema)
+
+
 def stack_bands(rows: DataFrame, value: str, bands: Sequence[str], *keys: str) -> DataFrame:
     """One array of the bands' values in band order per key."""
     place = F.array_position(F.array(*map(F.lit, bands)), F.col("band"))
