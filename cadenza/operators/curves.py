@@ -26,6 +26,17 @@ def by_object(obs: DataFrame) -> DataFrame:
     return obs.repartition("object_id")
 
 
+#: Points (and requests) of a task whose windows keep wide rows.
+TASK_ROWS = 200_000
+
+
+def by_object_sized(rows: DataFrame, count: int) -> DataFrame:
+    """by_object in so many partitions that each has some TASK_ROWS of the points counted: the memory of a task
+    doesn't grow with the table."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(parts, -(-count // TASK_ROWS)), "object_id")
+
+
 # ---------------------------------------------------------------- transforms
 def with_detected(obs: DataFrame) -> DataFrame:
     """Missing detection flags count as detected."""

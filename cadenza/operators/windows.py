@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.hashing import integer
-from cadenza.operators.curves import KEY, along, by_object, differences
+from cadenza.operators.curves import KEY, along, by_object, by_object_sized, differences
 from cadenza.operators.lookups import numbered
 
 
@@ -20,13 +20,14 @@ def surroundings(obs: DataFrame, n: int, bias: float = 1e-8) -> DataFrame:
     """The n points before and after each one: before_time, before_flux, before_padding, after_...
 
     Points of one time (within the bias of the one before them) have the same surroundings: what lies
-    before the first and after the last of them.
+    before the first and after the last of them. Points are counted first: rows with windows are wide, and a task
+    sorts them twice.
     """
     back, forth = along().rowsBetween(-n, -1), along().rowsBetween(1, n)
     point = F.struct("time", "flux")
     step = F.col("time") - F.lag("time").over(along())
     moment = F.sum(F.when(step <= bias, 0).otherwise(1)).over(along().rowsBetween(Window.unboundedPreceding, 0))
-    framed = by_object(obs).withColumns({"_first": F.collect_list(point).over(back), "_last": F.collect_list(point).over(forth), "_moment": moment})
+    framed = by_object_sized(obs, obs.count()).withColumns({"_first": F.collect_list(point).over(back), "_last": F.collect_list(point).over(forth), "_moment": moment})
     whole, place = Window.partitionBy(*KEY, "_moment"), F.struct("time", "tie")
     shared = framed.withColumns({"_before": F.min_by("_first", place).over(whole), "_after": F.max_by("_last", place).over(whole)})
     out = {}
