@@ -166,7 +166,20 @@ def _sum_rows(table: pa.Table) -> pa.Table:
     return pa.concat_tables([pa.table({**ids, "band": [b] * len(ids["k"]), **dict(zip(_SUMS, own, strict=True))}) for b, own in zip(names, sums, strict=True)])
 
 
-def _power_rows(table: pa.Table) -> pa.Table:
+def _summits(power: np.ndarray, keep: int) -> np.ndarray:
+    """Of a block's powers by rising frequency the rows that decide its share of the `keep` highest peaks: its own
+    highest peaks, their neighbours, and two rows at either end, which meet the next block's. A row that looks like a
+    peak only because rows beside it are left out is lower than a peak of them, and so than the block's `keep` best."""
+    at = np.flatnonzero(~np.isnan(power))[::-1]  # by rising period, as peaks are defined
+    own = power[at]
+    peaks = np.flatnonzero((own[1:-1] > own[:-2]) & (own[1:-1] >= own[2:])) + 1
+    best = peaks[np.argsort(-own[peaks], kind="stable")[:keep]]
+    ends = np.array([0, 1, len(own) - 2, len(own) - 1])
+    kept = np.unique(np.concatenate([best - 1, best, best + 1, ends[(ends >= 0) & (ends < len(own))]]))
+    return np.sort(at[kept])
+
+
+def _power_rows(table: pa.Table, keep: int | None = None) -> pa.Table:
     ids, _, sums = _grid_sums(table)
     top, all_chi = np.zeros(len(ids["k"])), np.zeros(len(ids["k"]))
     for own in sums:
@@ -178,6 +191,9 @@ def _power_rows(table: pa.Table) -> pa.Table:
         top += np.where(fits, own[0] * vyy * part, 0.0)
         all_chi += np.where(fits, own[0] * vyy, 0.0)
     power = np.where(all_chi > 0, top / np.where(all_chi > 0, all_chi, 1.0), np.nan)
+    if keep is not None:
+        kept = _summits(power, keep)
+        ids, power = {c: v[kept] for c, v in ids.items()}, power[kept]
     return pa.table({**ids, "power": pa.array(power, from_pandas=True)})
 
 
@@ -186,18 +202,22 @@ _BLOCK = ("object_id", "grid", "first")
 POINTS, POWERS = 50_000, 200_000
 
 
-def _block_powers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Powers of many blocks in turn: small blocks share their Arrow batches."""
-    for table, starts in whole_groups(batches, _BLOCK, POINTS):
-        table, made, rows = table.combine_chunks(), [], 0
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
-            made.append(_power_rows(table.slice(a, b - a)))
-            rows += made[-1].num_rows
-            if rows >= POWERS:
+def _block_powers(keep: int | None):
+    """Powers of many blocks in turn, or their summits: small blocks share their Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, _BLOCK, POINTS):
+            table, made, rows = table.combine_chunks(), [], 0
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
+                made.append(_power_rows(table.slice(a, b - a), keep))
+                rows += made[-1].num_rows
+                if rows >= POWERS:
+                    yield from pa.concat_tables(made).combine_chunks().to_batches()
+                    made, rows = [], 0
+            if made:
                 yield from pa.concat_tables(made).combine_chunks().to_batches()
-                made, rows = [], 0
-        if made:
-            yield from pa.concat_tables(made).combine_chunks().to_batches()
+
+    return run
 
 
 def _blocks(grids: DataFrame) -> DataFrame:
@@ -208,27 +228,29 @@ def _blocks(grids: DataFrame) -> DataFrame:
     return each.select("object_id", "grid", "low", "step", first.alias("first"), F.least(F.col("n") - first, F.lit(GRID_BLOCK)).cast("int").alias("n"))
 
 
-def grid_powers(obs: DataFrame, grids: DataFrame, chunk: int = 50_000) -> DataFrame:
+def grid_powers(obs: DataFrame, grids: DataFrame, chunk: int = 50_000, keep: int | None = None) -> DataFrame:
     """object_id, grid, k, period and power of each object's own frequency grids (see span_grids).
 
     A curve meets GRID_BLOCK frequencies at a time, as arrays. One of more than `chunk` points is dealt to
-    several groups, whose sums are added up by Spark: no group grows with the table or with the time span.
+    several groups, whose sums are added up by Spark: no group grows with the table or with the time span. keep: only powers that
+    best_period and top_periods up to that rank need (see _summits), and all of curves that are dealt.
     """
     points = obs.where(F.col("flux_err") > 0).select("object_id", "band", "time", "flux", "flux_err", "tie")
     counts = points.groupBy("object_id").agg(F.count("*").alias("_points"))
     asked = points.join(_blocks(grids).join(counts, "object_id"), "object_id")
     small = asked.where(F.col("_points") <= chunk).select(*_BLOCK, "low", "step", "n", "band", "time", "flux", "flux_err")
     parts = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # however few bytes: searches cost time
-    whole = small.repartition(parts, *_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(_block_powers, f"{_AT}, power double")
+    whole = small.repartition(parts, *_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(_block_powers(keep), f"{_AT}, power double")
     share = F.pmod(F.xxhash64("tie", "time", "band"), F.ceil(F.col("_points") / chunk))
     dealt = asked.where(F.col("_points") > chunk).withColumn("_chunk", share).groupBy("object_id", "grid", "first", "_chunk").applyInArrow(_sum_rows, _PART)
     summed = dealt.groupBy("object_id", "grid", "k", "period", "band").agg(*(F.sum(c).alias(c) for c in _SUMS))
     return whole.unionByName(_powers(summed, "object_id", "grid", "k", "period"))
 
 
-def span_periodogram(obs: DataFrame, shortest: float = 0.1, oversampling: float = 5.0, chunk: int = 50_000) -> DataFrame:
-    """power per (object_id, period), periods from the shortest to each object's time span."""
-    return grid_powers(obs, span_grids(obs, shortest, oversampling), chunk).select("object_id", "period", "power")
+def span_periodogram(obs: DataFrame, shortest: float = 0.1, oversampling: float = 5.0, chunk: int = 50_000, keep: int | None = None) -> DataFrame:
+    """power per (object_id, period), periods from the shortest to each object's time span; with `keep` only what the
+    `keep` highest peaks of each object follow from."""
+    return grid_powers(obs, span_grids(obs, shortest, oversampling), chunk, keep).select("object_id", "period", "power")
 
 
 def refined(obs: DataFrame, top: DataFrame, oversampling: float = 5.0, zoom: int = 100) -> DataFrame:
