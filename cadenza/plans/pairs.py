@@ -77,7 +77,9 @@ def positive_requests(obs: DataFrame, seed: int, **options) -> DataFrame:
 
 def subsample(points: DataFrame, seed: int, radius: float = 4.0, min_rate: float = 0.5, max_rate: float = 1.0, keys: Sequence[str] = ("object_id", "side", "band")) -> DataFrame:
     """Keep all points within the radius of pair_time and k of the others, by hash; k is drawn from
-    [max(min(2, n), floor(min_rate n)), ceil(max_rate n)), its lower end if that is empty."""
+    [max(min(2, n), floor(min_rate n)), ceil(max_rate n)), its lower end if that is empty. Points are dealt in the
+    session's number of partitions however few bytes they are: hashes and sorts cost time, not bytes."""
+    points = points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     near = F.abs(F.col("time") - F.col("pair_time")) < radius
     other = F.sum(F.when(near, 0).otherwise(1)).over(Window.partitionBy(*keys))
     low = F.greatest(F.least(F.col("_n"), F.lit(2)), F.floor(F.col("_n") * min_rate))
