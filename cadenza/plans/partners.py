@@ -6,8 +6,9 @@ merged length from below. Curves are numbered by their least length and cut into
 shortest ones first, which gives an upper bound for its k-th best partner; after that a pair of tiles is
 looked at only if its bound is below that of some curve in it, and in a tile a pair only if its own is.
 
-A task holds two tiles at a time; curves are copied once for each tile they meet, not for each pair. What goes
-on is at most k partners of a curve from each pair of tiles, and k in the end.
+Tiles are stored once, and a task reads some tiles that meet some others and holds two at a time: curves are not
+shuffled for the tiles they meet. The k best that a tile has found in a task bound the tiles it meets there next, and
+what goes on is at most k partners of a curve from each task, and k in the end.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.operators.batches import group_starts, whole_groups
+from cadenza.operators.batches import group_starts, met, packed, unpacked
 from cadenza.operators.lookups import numbered
 from cadenza.plans.align import PARAMETERS
 from cadenza.plans.tiles import Points, best_candidates, merged_lengths
@@ -27,7 +28,7 @@ from cadenza.storage import dropped, stored
 
 #: Curves of a tile.
 TILE = 256
-_FOUND = "left_id long, right_id long, candidate int, arc_length double, n_tried long, n_pairs long"
+_FOUND = "left_id long, right_id long, candidate int, arc_length double, n_tried long"
 
 
 def _lengths(curves: DataFrame, grid: np.ndarray) -> DataFrame:
@@ -72,32 +73,65 @@ def _best(table: pa.Table, grid: np.ndarray, k: int) -> tuple[dict[str, list], i
     return out, len(a), int(other.sum())
 
 
-def _met(curves: DataFrame, left: DataFrame, right: DataFrame, grid: np.ndarray, k: int) -> DataFrame:
-    """Partners found where tiles meet. left: object_id, tile, other (the tile it meets) and bound; right:
-    object_id, tile, other. curves has own and least lengths of each band."""
-    columns = ("tile", "other", "side", "object_id", "band", "time", "tie", "flux", "length", "bound")
-    sides = [
-        curves.join(left, "object_id").withColumns({"side": F.lit(0), "length": F.col("own")}),
-        curves.join(right, "object_id").withColumns({"side": F.lit(1), "length": F.col("least"), "bound": F.lit(0.0)}),
-    ]
-    both = sides[0].select(*columns).unionByName(sides[1].select(*columns))
-    parts = int(curves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = both.repartition(parts, "tile", "other").sortWithinPartitions("tile", "other", "side", "object_id", "band", "time", "tie")
+def _sides(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The points of two tiles below each other, as _best reads them."""
+    each = []
+    for side, tile, length in ((0, left, "own"), (1, right, "least")):
+        bound = tile["bound"] if "bound" in tile.column_names else pa.array(np.full(tile.num_rows, np.inf))
+        each.append(pa.table({"side": np.full(tile.num_rows, side), **{c: tile[c] for c in ("object_id", "band", "time", "flux")}, "length": tile[length], "bound": bound}))
+    return pa.concat_tables(each).combine_chunks()
+
+
+def _nth(sorted_ids: np.ndarray) -> np.ndarray:
+    return np.arange(len(sorted_ids)) - np.searchsorted(sorted_ids, sorted_ids)
+
+
+def _joined(held: dict[str, np.ndarray], found: dict[str, np.ndarray], k: int) -> dict[str, np.ndarray]:
+    """The k best of the partners held and found, in order of the left curves."""
+    both = {c: np.concatenate([held[c], found[c]]) for c in found}
+    order = np.lexsort((both["right_id"], both["arc_length"], both["left_id"]))
+    order = order[_nth(both["left_id"][order]) < k]
+    return {c: v[order] for c, v in both.items()}
+
+
+def _tightened(left: pa.Table, held: dict[str, np.ndarray], k: int) -> pa.Table:
+    """The tile, its curves bound by the k-th best partner held."""
+    kth = _nth(held["left_id"]) == k - 1
+    ids, cost = held["left_id"][kth], held["arc_length"][kth]
+    if not len(ids):
+        return left
+    own = left["object_id"].to_numpy()
+    at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+    bound = left["bound"].to_numpy() if "bound" in left.column_names else np.full(len(own), np.inf)
+    bound = np.where(ids[at] == own, np.minimum(bound, cost[at]), bound)
+    return left.select([c for c in left.column_names if c != "bound"]).append_column("bound", pa.array(bound))
+
+
+def _met(left: DataFrame, right: DataFrame, condition: Column, grid: np.ndarray, k: int) -> DataFrame:
+    """Partners found where tiles meet. left, right: tile and packed, of left with bounds if there are any."""
+    renamed = right.withColumnsRenamed({"tile": "_tile", "packed": "other"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in whole_groups(batches, ("tile", "other"), 1):
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
-                found, tried, pairs = _best(table.slice(a, b - a).combine_chunks(), grid, k)
-                n = len(found["left_id"])
-                first = np.arange(n) == 0
-                columns = [*found.values(), np.where(first, tried, 0), np.where(first, pairs, 0)]
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_NAMES)
-                elif pairs:  # nothing was worth trying
-                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.float64())), pa.array([tried]),
-                        pa.array([pairs])], names=_NAMES)
+        tile, held, tried = None, None, 0
+        for batch in batches:
+            for row, now in enumerate(batch["tile"].to_pylist()):
+                if held is None or now != tile:
+                    if held is not None:
+                        yield _record(held, tried)
+                    tile, held, tried, own = now, None, 0, unpacked(batch["packed"], row)
+                table = _sides(own if held is None else _tightened(own, held, k), unpacked(batch["other"], row))
+                found, n, _ = _best(table, grid, k)
+                found = {c: np.asarray(v) for c, v in found.items()}
+                held, tried = found if held is None else _joined(held, found, k), tried + n
+        if held is not None:
+            yield _record(held, tried)
+
+    return met(left, renamed, condition).select("tile", "packed", "other").mapInArrow(run, _FOUND)
+
 
-    return ordered.mapInArrow(run, _FOUND)
+def _record(held: dict[str, np.ndarray], tried: int) -> pa.RecordBatch:
+    first = np.arange(len(held["left_id"])) == 0
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (*held.values(), np.where(first, tried, 0))], names=_NAMES)
 
 
 _NAMES = [x.split()[0] for x in _FOUND.split(", ")]
@@ -118,15 +152,14 @@ def nearest_partners(obs: DataFrame, grid: DataFrame, k: int, tile: int = TILE)
     bands = curves.select("object_id", "band", "own", "least").distinct()
     totals = bands.groupBy("object_id").agg(F.sum("least").alias("total"))
     placed = stored(numbered(totals, "total", "object_id").select("object_id", "pos", F.floor(F.col("pos") / tile).alias("tile")), "partner-tiles")
+    columns, inside = ("object_id", "band", "time", "flux", "own", "least"), ("object_id", "band", "time", "tie")
+    cut = curves.join(placed, "object_id")
+    tiles = packed(cut, "partner-points", ("tile",), inside, columns)
     # every curve meets the shortest ones: a bound for its k-th best
-    first = placed.where(F.col("pos") <= k).select("object_id")  # k + 1 curves
-    tiles = placed.select("tile").distinct()
-    left = placed.select("object_id", "tile", F.lit(-1).cast("long").alias("other"), F.lit(float("inf")).alias("bound"))
-    short = tiles.join(F.broadcast(first), how="cross").select("object_id", "tile", F.lit(-1).cast("long").alias("other"))
-    begun = stored(_met(curves, left, short, parameters, k), "partners")
+    short = packed(cut.where(F.col("pos") <= k).withColumn("tile", F.lit(-1).cast("long")), "partner-short", ("tile",), inside, columns)  # k + 1 curves
+    begun = stored(_met(tiles, short, F.lit(True), parameters, k), "partners")
     order = Window.partitionBy("left_id").orderBy("arc_length", "right_id")
-    bound = begun.where("left_id is not null").withColumn("_n", F.row_number().over(order)).where(F.col("_n") == k).select(F.col("left_id").alias("object_id"),
-        F.col("arc_length").alias("bound"))
+    bound = begun.withColumn("_n", F.row_number().over(order)).where(F.col("_n") == k).select(F.col("left_id").alias("object_id"), F.col("arc_length").alias("bound"))
     bounded = placed.join(bound, "object_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
     # tiles that can hold a better one: sum over bands of the larger of both tiles' least lengths
     of_tile = bands.join(bounded, "object_id").groupBy("tile", "band").agg(F.count("*").alias("_n"), F.min("own").alias("_own"), F.min("least").alias("_least"))
@@ -138,12 +171,11 @@ def nearest_partners(obs: DataFrame, grid: DataFrame, k: int, tile: int = TILE)
     theirs = lows.groupBy("tile").agg(F.map_from_entries(F.collect_list(F.struct("band", "_least"))).alias("_b"), F.sum("_least").alias("_sum")).withColumnRenamed("tile", "other")
     greater = F.map_zip_with("_a", "_b", lambda _, x, y: F.greatest(F.coalesce(x, F.lit(0.0)), F.coalesce(y, F.lit(0.0))))
     least = F.aggregate(F.map_values(greater), F.lit(0.0), lambda s, x: s + x)
-    meeting = mine.join(theirs, F.col("_sum") <= F.col("_bound") + 1e-6).where(least <= F.col("_bound") + 1e-6).select("tile", "other")
-    meeting = stored(meeting, "partner-meetings")
-    asks = bounded.join(meeting, "tile").select("object_id", "tile", "other", "bound")
-    answers = placed.select("object_id", F.col("tile").alias("other")).join(meeting, "other").select("object_id", "tile", "other")
-    found = stored(_met(curves, asks, answers, parameters, k), "partners")
-    ranked = found.where("left_id is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    asks = packed(curves.join(bounded, "object_id"), "partner-asks", ("tile",), inside, (*columns, "bound")).join(F.broadcast(mine), "tile")  # one row per tile
+    answers = tiles.withColumnRenamed("tile", "other").join(F.broadcast(theirs), "other").withColumnRenamed("other", "tile")
+    meeting = (F.col("_sum") <= F.col("_bound") + 1e-6) & (least <= F.col("_bound") + 1e-6)
+    found = stored(_met(asks, answers, meeting, parameters, k), "partners")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     count = placed.agg((F.count("*") * (F.count("*") - 1)).alias("n_pairs"))
     tried = found.agg(F.coalesce(F.sum("n_tried"), F.lit(0)).alias("_t")).join(begun.agg(F.coalesce(F.sum("n_tried"), F.lit(0)).alias("_f")), how="cross")  # one row each
     work = count.join(tried, how="cross").select("n_pairs", (F.col("_t") + F.col("_f")).alias("n_tried"))
